@@ -35,9 +35,9 @@ def _dist(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def _summaries(points: DataFrame, size: float) -> DataFrame:
+def _summaries(points: DataFrame, size: float, by: list[str]) -> DataFrame:
     """Per-cell summary of distinct points ``x, y``."""
-    return points.groupBy(_cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy")).agg(
+    return points.groupBy(*by, _cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("x").alias("x0"),
         F.max("x").alias("x1"),
@@ -47,12 +47,12 @@ def _summaries(points: DataFrame, size: float) -> DataFrame:
     )
 
 
-def _coarser(summaries: DataFrame, levels: int) -> DataFrame:
+def _coarser(summaries: DataFrame, levels: int, by: list[str]) -> DataFrame:
     """Summaries of cells ``SPLIT**levels`` times larger."""
     if levels == 0:
         return summaries
     bits = SHIFT * levels
-    return summaries.groupBy(F.shiftright("cx", bits).alias("cx"), F.shiftright("cy", bits).alias("cy")).agg(
+    return summaries.groupBy(*by, F.shiftright("cx", bits).alias("cx"), F.shiftright("cy", bits).alias("cy")).agg(
         F.sum("n").alias("n"),
         F.min("x0").alias("x0"),
         F.max("x1").alias("x1"),
@@ -62,11 +62,11 @@ def _coarser(summaries: DataFrame, levels: int) -> DataFrame:
     )
 
 
-def _bounded_cell_size(points: DataFrame, start: float, smallest: float) -> float:
+def _bounded_cell_size(points: DataFrame, start: float, smallest: float, by: list[str]) -> float:
     """Largest cell size, by powers of SPLIT, whose cells respect the capacity."""
     size = float(start)
     while True:
-        cells = points.groupBy(_cell(F.col("x"), size), _cell(F.col("y"), size)).agg(F.count(F.lit(1)).alias("n"))
+        cells = points.groupBy(*by, _cell(F.col("x"), size), _cell(F.col("y"), size)).agg(F.count(F.lit(1)).alias("n"))
         fullest = cells.agg(F.max("n")).first()[0] or 0
         if fullest <= CELL_CAPACITY or size / SPLIT < smallest:
             return size
@@ -113,6 +113,7 @@ def flag_within_radius(
     probe_y: str = "center_y",
     radius: str = "radius",
     cell: float = 3200.0,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add boolean ``flag``: some point lies strictly within the probe's radius.
 
@@ -120,28 +121,31 @@ def flag_within_radius(
     its radius, so it touches at most 25 cells whatever its size. A cell whose
     sample or whole extent is within the radius settles the probe; a cell whose
     extent is out of reach is dropped; only cells the circle cuts through are
-    opened, level by level, down to cells of bounded population.
+    opened, level by level, down to cells of bounded population. ``by`` names
+    columns that must agree on both sides.
     """
-    pts = checkpointed(points.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct())
+    by = list(by)
+    pts = checkpointed(points.select(*by, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct())
     keys = checkpointed(
-        probes.select(F.col(probe_x).alias("px"), F.col(probe_y).alias("py"), F.col(radius).alias("r"))
+        probes.select(*by, F.col(probe_x).alias("px"), F.col(probe_y).alias("py"), F.col(radius).alias("r"))
         .where("px IS NOT NULL AND py IS NOT NULL AND r > 0")
         .distinct()
     )
-    size = _bounded_cell_size(pts, cell, 1.0)
+    size = _bounded_cell_size(pts, cell, 1.0, by)
     widest = keys.agg(F.max("r")).first()[0] or 0.0
     top = max(0, math.ceil(math.log(max(widest, 1e-9) / (2.0 * size), SPLIT)))
     level_of = F.greatest(F.lit(0), F.ceil(F.log(F.col("r") / (2.0 * size)) / math.log(SPLIT))).cast("int")
     keys = keys.withColumn("level", F.least(level_of, F.lit(top)))
-    base = _summaries(pts, size)
+    base = _summaries(pts, size, by)
     hits, carried = [], None
-    key = ["px", "py", "r"]
+    key = [*by, "px", "py", "r"]
+    cells = [*by, "cx", "cy"]
     for level in range(top, -1, -1):
         width = size * SPLIT**level
         cand = _cover(keys.where(F.col("level") == level).drop("level"), width, F.col("r"))
         if carried is not None:
             cand = cand.unionByName(carried)
-        judged = cand.join(_coarser(base, level), ["cx", "cy"]).withColumns(_bounds_to_probe())
+        judged = cand.join(_coarser(base, level, by), cells).withColumns(_bounds_to_probe())
         settled = (F.col("d_sample") < F.col("r")) | (F.col("d_max") < F.col("r"))
         judged = judged.where(F.col("d_min") < F.col("r")).select(*key, "cx", "cy", settled.alias("hit"))
         if top > 0 and level > 0:
@@ -151,7 +155,7 @@ def flag_within_radius(
         hits.append(found)
         carried = _children(open_cells) if level > 0 else open_cells
     exact = (
-        carried.join(pts.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)}), ["cx", "cy"])
+        carried.join(pts.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)}), cells)
         .where(_dist(F.col("x") - F.col("px"), F.col("y") - F.col("py")) < F.col("r"))
         .select(*key)
     )
@@ -159,10 +163,10 @@ def flag_within_radius(
     for h in hits:
         near = near.unionByName(h)
     near = near.distinct().select(
-        F.col("px").alias(probe_x), F.col("py").alias(probe_y), F.col("r").alias(radius), F.lit(True).alias("_near")
+        *by, F.col("px").alias(probe_x), F.col("py").alias(probe_y), F.col("r").alias(radius), F.lit(True).alias("_near")
     )
     return (
-        probes.join(near, [probe_x, probe_y, radius], "left")
+        probes.join(near, [*by, probe_x, probe_y, radius], "left")
         .withColumn(flag, F.coalesce("_near", F.lit(False)))
         .select(*probes.columns, flag)
     )
@@ -179,12 +183,12 @@ def nearest_within(
     """
     spots = checkpointed(nodes.groupBy("x", "y").agg(F.min(node_id).alias("nid")))
     keys = probes.select(F.col("x").alias("px"), F.col("y").alias("py")).distinct()
-    size = _bounded_cell_size(spots, tolerance, tolerance / SPLIT**6)
+    size = _bounded_cell_size(spots, tolerance, tolerance / SPLIT**6, [])
     levels = round(math.log(tolerance / size, SPLIT))
     cand = _cover(keys, tolerance, F.lit(float(tolerance)))
-    base = _summaries(spots, size) if levels else None
+    base = _summaries(spots, size, []) if levels else None
     for level in range(levels, 0, -1):
-        judged = cand.join(_coarser(base, level), ["cx", "cy"]).withColumns(_bounds_to_probe())
+        judged = cand.join(_coarser(base, level, []), ["cx", "cy"]).withColumns(_bounds_to_probe())
         judged = checkpointed(judged.where(F.col("d_min") < tolerance).select("px", "py", "cx", "cy", "d_min", "d_sample"))
         best = judged.groupBy("px", "py").agg(F.min("d_sample").alias("bound"))
         cand = _children(judged.join(best, ["px", "py"]).where("d_min <= bound").select("px", "py", "cx", "cy"))
@@ -215,6 +219,7 @@ def flag_inside_any(
     min_edge_height: float = 0.0,
     cell: float = 0.0005,
     pair_limit: int = 200_000,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add boolean ``flag``: the point is inside some area (even-odd rule).
 
@@ -226,11 +231,13 @@ def flag_inside_any(
     read in strips of a few edges. ``min_edge_height`` leaves flatter edges out
     of the parity count.
     """
-    pts = points.select(F.col(point_lon).alias("px"), F.col(point_lat).alias("py"))
+    by = list(by)
+    cell_key = [*by, "level", "cx", "cy"]
+    pts = points.select(*by, F.col(point_lon).alias("px"), F.col(point_lat).alias("py"))
     pts = checkpointed(pts.where("px IS NOT NULL AND py IS NOT NULL").distinct())
-    shapes = areas.where(F.size(ring) >= 3).select(F.col(ring).alias("ring")).distinct()
-    shapes = shapes.withColumn("wid", F.xxhash64(F.to_json("ring"))).withColumn("_b", G.bbox(F.col("ring")))
-    shapes = shapes.select("wid", "ring", "_b.*")
+    shapes = areas.where(F.size(ring) >= 3).select(*by, F.col(ring).alias("ring")).distinct()
+    shapes = shapes.withColumn("wid", F.sha1(F.concat_ws("/", *by, F.to_json("ring")))).withColumn("_b", G.bbox(F.col("ring")))
+    shapes = shapes.select(*by, "wid", "ring", "_b.*")
     extent = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
     level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(extent, F.lit(1e-12)) / (4.0 * cell)) / math.log(SPLIT)))
     shapes = checkpointed(shapes.withColumn("level", level.cast("int")))
@@ -248,36 +255,36 @@ def flag_inside_any(
         )
 
     w = width(F.col("level"))
-    cells = shapes.select("wid", "level", "min_lon", "min_lat", "max_lon", "max_lat").withColumn(
+    cells = shapes.select(*by, "wid", "level", "min_lon", "min_lat", "max_lon", "max_lat").withColumn(
         "cx",
         F.explode(F.sequence(F.floor(F.col("min_lon") / w).cast("long"), F.floor(F.col("max_lon") / w).cast("long"))),
     ).withColumn(
         "cy",
         F.explode(F.sequence(F.floor(F.col("min_lat") / w).cast("long"), F.floor(F.col("max_lat") / w).cast("long"))),
-    ).select("wid", "level", "cx", "cy")
+    ).select("wid", *cell_key)
 
     inside, pairs = [], []
     while True:
         levels = [r[0] for r in cells.select("level").distinct().collect()]  # a handful of integers
         if not levels:
             break
-        occupied = point_keys(levels).groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n_points"))
-        judged = checkpointed(_judge_cells(cells.join(occupied, ["level", "cx", "cy"]), edges, tall, width))
-        full = judged.where("state = 'full'").select("level", "cx", "cy").distinct()
-        settled = point_keys(levels).join(full, ["level", "cx", "cy"], "left_semi").select("px", "py")
+        occupied = point_keys(levels).groupBy(*cell_key).agg(F.count(F.lit(1)).alias("n_points"))
+        judged = checkpointed(_judge_cells(cells.join(occupied, cell_key), edges, tall, width, cell_key))
+        full = judged.where("state = 'full'").select(*cell_key).distinct()
+        settled = point_keys(levels).join(full, cell_key, "left_semi").select(*by, "px", "py")
         inside.append(settled)
-        cut = judged.where("state = 'cut'").join(full, ["level", "cx", "cy"], "left_anti")
-        load = cut.groupBy("level", "cx", "cy").agg((F.count(F.lit(1)) * F.max("n_points")).alias("load"))
-        hot = load.where((F.col("load") > pair_limit) & (F.col("level") > -8)).select("level", "cx", "cy")
+        cut = judged.where("state = 'cut'").join(full, cell_key, "left_anti")
+        load = cut.groupBy(*cell_key).agg((F.count(F.lit(1)) * F.max("n_points")).alias("load"))
+        hot = load.where((F.col("load") > pair_limit) & (F.col("level") > -8)).select(*cell_key)
         hot = checkpointed(hot)
         pairs.append(
             point_keys(levels).join(
-                cut.join(hot, ["level", "cx", "cy"], "left_anti").select("level", "cx", "cy", "wid"), ["level", "cx", "cy"]
-            ).select("px", "py", "wid")
+                cut.join(hot, cell_key, "left_anti").select(*cell_key, "wid"), cell_key
+            ).select(*by, "px", "py", "wid")
         )
         if hot.isEmpty():
             break
-        cells = _children(cut.join(hot, ["level", "cx", "cy"], "left_semi").select("wid", "level", "cx", "cy"))
+        cells = _children(cut.join(hot, cell_key, "left_semi").select("wid", *cell_key))
         cells = checkpointed(cells.withColumn("level", F.col("level") - 1))
 
     if not pairs:
@@ -287,16 +294,16 @@ def flag_inside_any(
         candidates = candidates.unionByName(p)
     for p in inside[1:]:
         settled = settled.unionByName(p)
-    decided = _parity(candidates.distinct(), shapes, edges.where(tall)).unionByName(settled).distinct()
-    decided = decided.select(F.col("px").alias(point_lon), F.col("py").alias(point_lat), F.lit(True).alias("_in"))
+    decided = _parity(candidates.distinct(), shapes, edges.where(tall), by).unionByName(settled).distinct()
+    decided = decided.select(*by, F.col("px").alias(point_lon), F.col("py").alias(point_lat), F.lit(True).alias("_in"))
     return (
-        points.join(decided, [point_lon, point_lat], "left")
+        points.join(decided, [*by, point_lon, point_lat], "left")
         .withColumn(flag, F.coalesce("_in", F.lit(False)))
         .select(*points.columns, flag)
     )
 
 
-def _judge_cells(cells: DataFrame, edges: DataFrame, tall: Column, width) -> DataFrame:
+def _judge_cells(cells: DataFrame, edges: DataFrame, tall: Column, width, cell_key: list[str]) -> DataFrame:
     """State of each (area, cell): ``full``, ``cut``; cells outside are dropped.
 
     A cell is uniform when no counted edge overlaps it and no left-out edge
@@ -319,14 +326,14 @@ def _judge_cells(cells: DataFrame, edges: DataFrame, tall: Column, width) -> Dat
     crosses = tall & G.edge_crosses_ray(mid_x, mid_y, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     agg = (
         box.join(edges, "wid")
-        .groupBy("level", "cx", "cy", "wid", "n_points")
+        .groupBy(*cell_key, "wid", "n_points")
         .agg(F.count_if(touches).alias("touching"), F.count_if(crosses).alias("crossings"))
     )
     state = F.when(F.col("touching") > 0, "cut").when(F.col("crossings") % 2 == 1, "full")
-    return agg.select("level", "cx", "cy", "wid", "n_points", state.alias("state")).where("state IS NOT NULL")
+    return agg.select(*cell_key, "wid", "n_points", state.alias("state")).where("state IS NOT NULL")
 
 
-def _parity(pairs: DataFrame, shapes: DataFrame, edges: DataFrame) -> DataFrame:
+def _parity(pairs: DataFrame, shapes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """Points of ``pairs`` (px, py, wid) inside their area, by latitude strips."""
     strips = F.least(F.greatest(F.ceil(F.size("ring") / 4.0), F.lit(1)), F.lit(65536))
     meta = shapes.select(
@@ -348,16 +355,16 @@ def _parity(pairs: DataFrame, shapes: DataFrame, edges: DataFrame) -> DataFrame:
         pairs.join(meta, "wid")
         .where(F.col("py").between(F.col("y_lo"), F.col("y_hi")) & F.col("px").between(F.col("x_lo"), F.col("x_hi")))
         .withColumn("strip", strip(F.col("py")))
-        .select("wid", "strip", "px", "py")
+        .select(*by, "wid", "strip", "px", "py")
     )
     crosses = G.edge_crosses_ray(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return (
         probed.join(banded.select("wid", "strip", "ax", "ay", "bx", "by"), ["wid", "strip"])
         .where(crosses)
-        .groupBy("px", "py", "wid")
+        .groupBy(*by, "px", "py", "wid")
         .agg((F.count(F.lit(1)) % 2).alias("odd"))
         .where("odd = 1")
-        .select("px", "py")
+        .select(*by, "px", "py")
     )
 
 
