@@ -7,9 +7,10 @@ grids, and fixed metres-per-degree factors for raster grids.
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPHERE_RADIUS_M = 6371000.0
@@ -110,6 +111,77 @@ def wgs84_to_utm(lon, lat, zone=None, northern: bool | None = None, series: str
     )
 
 
+def with_utm(
+    df: DataFrame, points: dict[str, tuple[str, str]], zone: int, northern: bool | None = None, series: str = "full"
+) -> DataFrame:
+    """Add ``<name>_e, <name>_n`` for each named pair of lon, lat expressions.
+
+    The same projection as :func:`wgs84_to_utm`, staged over flat columns: each
+    intermediate is computed once and the whole chain stays in one small
+    generated stage, which matters when several points of a row are projected.
+    """
+    m0, m2, m4, m6 = (f"{m!r}D" for m in _meridian_coefficients(series))
+    stages: list[dict[str, str]] = [{}, {}, {}, {}, {}]
+    for name, (lon, lat) in points.items():
+        v = f"_{name}_"
+        north = f"{v}lat >= 0D" if northern is None else str(bool(northern)).lower()
+        stages[0] |= {f"{v}lat": lat, f"{v}p": f"radians({lat})", f"{v}dl": f"radians({lon} - {zone * 6.0 - 183.0!r}D)"}
+        stages[1] |= {f"{v}sin": f"sin({v}p)", f"{v}cos": f"cos({v}p)", f"{v}tan": f"tan({v}p)"}
+        stages[2] |= {
+            f"{v}nu": f"{WGS84_A!r}D / sqrt(1D - {E2!r}D * {v}sin * {v}sin)",
+            f"{v}t": f"{v}tan * {v}tan",
+            f"{v}c": f"{EP2!r}D * {v}cos * {v}cos",
+            f"{v}a": f"{v}dl * {v}cos",
+        }
+        stages[3] |= {f"{v}a2": f"{v}a * {v}a"}
+        t, c, a2, p = f"{v}t", f"{v}c", f"{v}a2", f"{v}p"
+        arc = f"{WGS84_A!r}D * ({m0} * {p} - {m2} * sin(2D * {p}) + {m4} * sin(4D * {p}) - {m6} * sin(6D * {p}))"
+        east5 = f"(5D - 18D * {t} + {t} * {t} + 72D * {c} - {58.0 * EP2!r}D) / 120D"
+        north4 = f"(5D - {t} + 9D * {c} + 4D * {c} * {c}) / 24D"
+        north6 = f"(61D - 58D * {t} + {t} * {t} + 600D * {c} - {330.0 * EP2!r}D) / 720D"
+        stages[4] |= {
+            f"{name}_e": f"{K0!r}D * {v}nu * {v}a * (1D + {a2} * ((1D - {t} + {c}) / 6D + {a2} * {east5})) + {FALSE_EASTING!r}D",
+            f"{name}_n": f"{K0!r}D * ({arc} + {v}nu * {v}tan * {a2} * (0.5D + {a2} * ({north4} + {a2} * {north6})))"
+            f" + CASE WHEN {north} THEN 0D ELSE {FALSE_NORTHING_SOUTH!r}D END",
+        }
+    kept = df.columns
+    for stage in stages:
+        df = df.selectExpr("*", *[f"{text} AS {name}" for name, text in stage.items()])
+    return df.select(*kept, *stages[4])
+
+
+@functools.lru_cache(maxsize=64)
+def _origin(spark: SparkSession, lon: float, lat: float, zone: int) -> tuple[float, float]:
+    """Projected grid origin, computed by the engine that projects the data."""
+    one = spark.range(1).selectExpr(f"{float(lon)!r}D + 0D * id AS lon", f"{float(lat)!r}D + 0D * id AS lat")
+    row = with_utm(one, {"o": ("lon", "lat")}, zone, lat >= 0.0).first()
+    return row["o_e"], row["o_n"]
+
+
+def with_tiles(
+    df: DataFrame,
+    points: dict[str, tuple[str, str]],
+    tile_size_m: float,
+    origin_lon: float,
+    origin_lat: float,
+    per_point_hemisphere: bool = False,
+) -> DataFrame:
+    """Add ``<name>_col, <name>_row`` for each named pair of lon, lat expressions.
+
+    Floor of the UTM offset from the origin. The hemisphere is that of the
+    origin, so a grid that touches the equator stays continuous;
+    ``per_point_hemisphere`` restores the jump there.
+    """
+    zone = int(math.floor((origin_lon + 180.0) / 6.0)) + 1
+    east, north = _origin(df.sparkSession, origin_lon, origin_lat, zone)
+    df = with_utm(df, points, zone, None if per_point_hemisphere else origin_lat >= 0.0)
+    tiles = []
+    for name in points:
+        tiles.append(f"CAST(floor(({name}_e - {east!r}D) / {float(tile_size_m)!r}D) AS INT) AS {name}_col")
+        tiles.append(f"CAST(floor(({name}_n - {north!r}D) / {float(tile_size_m)!r}D) AS INT) AS {name}_row")
+    return df.selectExpr("*", *tiles).drop(*[f"{n}_{k}" for n in points for k in "en"])
+
+
 def utm_to_wgs84(easting, northing, zone, north=True, series: str = "full") -> Column:
     """Struct ``(lon, lat)`` from UTM coordinates."""
     zone_col = zone if isinstance(zone, Column) else F.lit(int(zone))
@@ -168,23 +240,6 @@ def tile_bounds(col: Column, row: Column, tile_size_m: float, origin_lon: float,
     )
 
 
-def lonlat_to_tile(lon, lat, tile_size_m: float, origin_lon: float, origin_lat: float, per_point_hemisphere=False):
-    """Struct ``(col, row)``: floor of the UTM offset from the origin.
-
-    The hemisphere is that of the origin, so a grid that touches the equator
-    stays continuous; ``per_point_hemisphere`` restores the jump.
-    """
-    zone = int(math.floor((origin_lon + 180.0) / 6.0)) + 1
-    north = None if per_point_hemisphere else origin_lat >= 0.0
-    here = wgs84_to_utm(lon, lat, zone, north)
-    origin = wgs84_to_utm(origin_lon, origin_lat, zone, origin_lat >= 0.0)
-    size = float(tile_size_m)
-    return F.struct(
-        F.floor((here["easting"] - origin["easting"]) / size).cast("int").alias("col"),
-        F.floor((here["northing"] - origin["northing"]) / size).cast("int").alias("row"),
-    )
-
-
 def _local_scale(origin_lat: float) -> tuple[Column, float]:
     per_degree = math.pi / 180.0 * SPHERE_RADIUS_M
     return F.cos(F.radians(F.lit(float(origin_lat)))) * per_degree, per_degree

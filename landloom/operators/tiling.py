@@ -28,49 +28,37 @@ class Grid:
     def north(self) -> bool:
         return self.origin_lat >= 0.0
 
-    def tile_of(self, lon, lat):
-        return P.lonlat_to_tile(lon, lat, self.tile_size_m, self.origin_lon, self.origin_lat)
+    def with_tiles(self, df: DataFrame, points: dict[str, tuple[str, str]]) -> DataFrame:
+        """Add ``<name>_col, <name>_row`` for each named pair of lon, lat expressions."""
+        return P.with_tiles(df, points, self.tile_size_m, self.origin_lon, self.origin_lat)
 
     def bounds_of(self, col, row):
         return P.tile_bounds(col, row, self.tile_size_m, self.origin_lon, self.origin_lat)
 
 
 def with_bbox(features: DataFrame) -> DataFrame:
-    return features.withColumn("bbox", G.feature_bbox(F.col("rings")))
-
-
-def with_tile_range(features: DataFrame, grid: Grid) -> DataFrame:
-    """Add the tiles of the bounding box corners: ``col0, row0, col1, row1``."""
-    df = features.withColumns(
-        {
-            "_lo": grid.tile_of(F.col("bbox.min_lon"), F.col("bbox.min_lat")),
-            "_hi": grid.tile_of(F.col("bbox.max_lon"), F.col("bbox.max_lat")),
-        }
-    )
-    return df.withColumns(
-        {
-            "col0": F.col("_lo.col"),
-            "row0": F.col("_lo.row"),
-            "col1": F.col("_hi.col"),
-            "row1": F.col("_hi.row"),
-        }
-    ).drop("_lo", "_hi")
+    """Add ``min_lon, min_lat, max_lon, max_lat`` over all rings."""
+    return features.withColumn("_bbox", G.feature_bbox(F.col("rings"))).select("*", "_bbox.*").drop("_bbox")
 
 
 def assign_tiles(features: DataFrame, grid: Grid) -> DataFrame:
-    """One row per feature and covered tile.
+    """One row per feature and covered tile; needs the bounding box columns.
 
     Adds ``tile_col, tile_row, clipped``: every tile between the tiles of the
     two bounding box corners, and whether those corners differ. Pure row
-    expansion: no join and no shuffle.
+    expansion: no join and no shuffle. An inverted corner pair covers nothing,
+    as an empty range does.
     """
-    df = with_tile_range(features, grid).withColumn(
-        "clipped", (F.col("col0") != F.col("col1")) | (F.col("row0") != F.col("row1"))
-    )
-    # An inverted corner pair covers nothing, as an empty range does.
-    df = df.where((F.col("col0") <= F.col("col1")) & (F.col("row0") <= F.col("row1")))
-    df = df.withColumn("tile_col", F.explode(F.sequence("col0", "col1")))
-    return df.withColumn("tile_row", F.explode(F.sequence("row0", "row1"))).drop("col0", "row0", "col1", "row1")
+    corners = {"_lo": ("min_lon", "min_lat"), "_hi": ("max_lon", "max_lat")}
+    df = grid.with_tiles(features, corners)
+    differ = (F.col("_lo_col") != F.col("_hi_col")) | (F.col("_lo_row") != F.col("_hi_row"))
+
+    def span(lo: str, hi: str):
+        return F.when(F.col(lo) <= F.col(hi), F.sequence(lo, hi))
+
+    df = df.withColumn("clipped", differ).withColumn("tile_col", F.explode(span("_lo_col", "_hi_col")))
+    df = df.withColumn("tile_row", F.explode(span("_lo_row", "_hi_row")))
+    return df.drop("_lo_col", "_lo_row", "_hi_col", "_hi_row")
 
 
 def tile_counts(assigned: DataFrame) -> DataFrame:
