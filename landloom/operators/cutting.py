@@ -196,7 +196,8 @@ def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -
             ranked = dense_index(crowded, bucket, [F.col("ord")], "_rank", restart=1)
             first = ranked.where(F.col("_rank") < batch).drop("_rank")
             taken = pairs.join(heavy, "piece_id", "left_anti").unionByName(first)
-        cut = marked.groupBy("piece_id").cogroup(taken.groupBy("piece_id")).applyInPandas(run, _PIECE)
+        near = taken.withColumnRenamed("piece_id", "near_piece")
+        cut = marked.groupBy("piece_id").cogroup(near.groupBy("near_piece")).applyInPandas(run, _PIECE)
         if heavy.isEmpty():
             finished.append(cut.drop("after", "more"))
             break
