@@ -20,7 +20,7 @@ from landloom.functions import projection as P
 from landloom.operators import filters as Fl
 from landloom.operators.indexing import dense_index
 from landloom.operators.roads import polyline_segments
-from landloom.session import checkpointed
+from landloom.session import checkpointed, spread
 
 CUT_ORDER = {"Road": 0, "River": 1, "Coastline": 2}
 EDGE_MARGIN = 0.01
@@ -196,8 +196,8 @@ def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -
             ranked = dense_index(crowded, bucket, [F.col("ord")], "_rank", restart=1)
             first = ranked.where(F.col("_rank") < batch).drop("_rank")
             taken = pairs.join(heavy, "piece_id", "left_anti").unionByName(first)
-        near = taken.withColumnRenamed("piece_id", "near_piece")
-        cut = marked.groupBy("piece_id").cogroup(near.groupBy("near_piece")).applyInPandas(run, _PIECE)
+        near = spread(taken.withColumnRenamed("piece_id", "near_piece"), "near_piece")
+        cut = spread(marked, "piece_id").groupBy("piece_id").cogroup(near.groupBy("near_piece")).applyInPandas(run, _PIECE)
         if heavy.isEmpty():
             finished.append(cut.drop("after", "more"))
             break

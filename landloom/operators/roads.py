@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from landloom.functions import tags as K
 from landloom.operators import spatial
-from landloom.operators.components import connected_components
+from landloom.operators.components import touching_cells
 from landloom.operators.indexing import dense_index
-from landloom.session import checkpointed
+from landloom.session import checkpointed, spread
 
 UNITS_PER_DEGREE = 100000.0
 MERGE_TOLERANCE = 100.0
@@ -83,15 +83,7 @@ def merge_positions(positions: DataFrame, tolerance: float, group_limit: int = G
     cell = [F.floor(F.col(c) / float(tolerance)).cast("long").alias(f"c{c}") for c in ("x", "y")]
     celled = spots.select("x", "y", "ord", *cell)
     cells = checkpointed(celled.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
-    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, -1), (1, 0), (1, 1), (0, 1))])
-    near = cells.withColumn("_o", F.explode(ahead)).select(
-        F.col("cx").alias("ux"), F.col("cy").alias("uy"), (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy")
-    )
-    links = near.join(cells, ["cx", "cy"]).select(
-        F.struct(F.col("ux").alias("cx"), F.col("uy").alias("cy")).alias("u"), F.struct("cx", "cy").alias("v")
-    )
-    comps = connected_components(links).select("node.cx", "node.cy", F.col("root").alias("grp"))
-    grouped = cells.join(comps, ["cx", "cy"], "left").withColumn("grp", F.coalesce("grp", F.struct("cx", "cy")))
+    grouped = cells.join(touching_cells(cells), ["cx", "cy"])
     totals = grouped.groupBy("grp").agg(F.sum("n").alias("total"))
     grouped = grouped.join(totals, "grp").select("cx", "cy", "grp", "total")
     placed = checkpointed(celled.join(grouped, ["cx", "cy"]))
@@ -100,7 +92,7 @@ def merge_positions(positions: DataFrame, tolerance: float, group_limit: int = G
         return _leaders(pdf, float(tolerance))
 
     out = (
-        placed.where(F.col("total") <= group_limit)
+        spread(placed.where(F.col("total") <= group_limit), "grp")
         .groupBy("grp")
         .applyInPandas(run, "x double, y double, ord long, leader long")
     )

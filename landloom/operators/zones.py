@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from landloom.functions import projection as P
 from landloom.operators import terrain
-from landloom.operators.components import connected_components
+from landloom.operators.components import connected_components, least_linked
 from landloom.operators.indexing import dense_index
 from landloom.schema import TerrainConfig
-from landloom.session import checkpointed
+from landloom.session import checkpointed, spread
 
 BLOCK = 256
 ROW_STEP = 1 << 31
@@ -31,28 +31,14 @@ OUTLINE_LIMIT = 500_000
 def _block_roots(classes: np.ndarray) -> np.ndarray:
     """Least flat index of each 4-connected component of equal class.
 
-    Entries below zero are holes. Hooks and pointer jumps over whole arrays.
+    Entries below zero are holes.
     """
-    parent = np.arange(classes.size)
-    index = parent.reshape(classes.shape)
+    index = np.arange(classes.size).reshape(classes.shape)
     same_x = (classes[:, 1:] == classes[:, :-1]) & (classes[:, 1:] >= 0)
     same_y = (classes[1:, :] == classes[:-1, :]) & (classes[1:, :] >= 0)
     a = np.concatenate([index[:, 1:][same_x], index[1:, :][same_y]])
     b = np.concatenate([index[:, :-1][same_x], index[:-1, :][same_y]])
-    while True:
-        ra, rb = parent[a], parent[b]
-        differ = ra != rb
-        if not differ.any():
-            return parent
-        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-        low = np.minimum(ra, rb)
-        np.minimum.at(parent, ra, low)
-        np.minimum.at(parent, rb, low)
-        while True:
-            jumped = parent[parent]
-            if (jumped == parent).all():
-                break
-            parent = jumped
+    return least_linked(classes.size, a, b)
 
 
 def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,7 +64,8 @@ def label_zones(cells: DataFrame, block: int = BLOCK) -> DataFrame:
         {"_bx": F.floor(F.col("x") / block).cast("int"), "_by": F.floor(F.col("y") / block).cast("int")}
     )
     schema = T.StructType([*keyed.schema.fields, T.StructField("root", T.LongType())])
-    local = checkpointed(keyed.groupBy("grid_id", "_bx", "_by").applyInPandas(_label_block, schema))
+    blocks = spread(keyed, "grid_id", "_bx", "_by").groupBy("grid_id", "_bx", "_by")
+    local = checkpointed(blocks.applyInPandas(_label_block, schema))
     seams = _seam_links(local, "x", "y", block).unionByName(_seam_links(local, "y", "x", block))
     found = connected_components(seams).select(
         F.col("node.grid_id").alias("grid_id"), F.col("node.root").alias("root"), F.col("root.root").alias("_top")
@@ -220,7 +207,7 @@ def merge_small_zones(
         )
 
     bounded = seen.where(F.col("n") <= cluster_limit)
-    merged = bounded.groupBy("grid_id", "cluster").applyInPandas(run, schema)
+    merged = spread(bounded, "grid_id", "cluster").groupBy("grid_id", "cluster").applyInPandas(run, schema)
     oversized = seen.where(F.col("n") > cluster_limit)
     if oversized.isEmpty():
         return merged
@@ -430,7 +417,7 @@ def outline_rings(cells: DataFrame, outline_limit: int = OUTLINE_LIMIT) -> DataF
         ]
     )
     bounded = sized.where(F.col("n") <= outline_limit).drop("n")
-    rings = bounded.groupBy("grid_id", "zone_id").applyInPandas(_rings_of, schema)
+    rings = spread(bounded, "grid_id", "zone_id").groupBy("grid_id", "zone_id").applyInPandas(_rings_of, schema)
     oversized = sized.where(F.col("n") > outline_limit).drop("n")
     if not oversized.isEmpty():
         rings = rings.unionByName(_rings_by_doubling(oversized))
