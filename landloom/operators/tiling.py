@@ -140,38 +140,31 @@ def sorted_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def tiles_for_bounds(queries: DataFrame, tiles: DataFrame, grid: Grid) -> DataFrame:
-    """Join many query rectangles to the tiles they touch.
+    """Join many query rectangles ``q_min_lon ..`` to the tiles they touch.
 
-    A rectangle is expanded to the tile positions it can reach on the regular
-    grid (plus one ring, as shared edges count), which turns the interval test
-    into an equi-join on (tile_col, tile_row); the four comparisons then decide.
+    Both sides are hashed to cells of one tile's extent, which turns the
+    interval test into an equi-join; the four comparisons then decide (shared
+    edges count), and a pair is kept in the lowest cell both cover.
     """
-    size = grid.tile_size_m
-    dlon = F.lit(size) / P.meters_per_degree_lon(grid.origin_lat)
-    dlat = size / P.meters_per_degree_lat()
-
-    def index(value, origin, step):
-        return F.floor((value - origin) / step).cast("int")
-
-    q = queries.withColumn(
-        "tile_col",
-        F.explode(
-            F.sequence(
-                index(F.col("q_min_lon"), grid.origin_lon, dlon) - 1, index(F.col("q_max_lon"), grid.origin_lon, dlon) + 1
-            )
-        ),
-    ).withColumn(
-        "tile_row",
-        F.explode(
-            F.sequence(
-                index(F.col("q_min_lat"), grid.origin_lat, dlat) - 1, index(F.col("q_max_lat"), grid.origin_lat, dlat) + 1
-            )
-        ),
-    )
+    dlat = grid.tile_size_m / P.meters_per_degree_lat()
+    dlon = dlat / math.cos(math.radians(grid.origin_lat))
+
+    def cells(df: DataFrame, prefix: str) -> DataFrame:
+        def index(name: str, origin: float, step: float):
+            return F.floor((F.col(f"{prefix}{name}") - origin) / step).cast("long")
+
+        lo_x, lo_y = index("min_lon", grid.origin_lon, dlon), index("min_lat", grid.origin_lat, dlat)
+        hi_x, hi_y = index("max_lon", grid.origin_lon, dlon), index("max_lat", grid.origin_lat, dlat)
+        df = df.withColumns({f"_{prefix}x": lo_x, f"_{prefix}y": lo_y, "_hx": hi_x, "_hy": hi_y})
+        df = df.withColumn("_cx", F.explode(F.sequence(f"_{prefix}x", "_hx")))
+        return df.withColumn("_cy", F.explode(F.sequence(f"_{prefix}y", "_hy"))).drop("_hx", "_hy")
+
     touching = (
         (F.col("max_lon") >= F.col("q_min_lon"))
         & (F.col("min_lon") <= F.col("q_max_lon"))
         & (F.col("max_lat") >= F.col("q_min_lat"))
         & (F.col("min_lat") <= F.col("q_max_lat"))
     )
-    return q.join(tiles, ["tile_col", "tile_row"]).where(touching)
+    lowest = (F.col("_cx") == F.greatest("_q_x", "_x")) & (F.col("_cy") == F.greatest("_q_y", "_y"))
+    joined = cells(queries, "q_").join(cells(tiles, ""), ["_cx", "_cy"]).where(touching & lowest)
+    return joined.drop("_cx", "_cy", "_q_x", "_q_y", "_x", "_y")

@@ -54,7 +54,7 @@ def query_tile_features(copies: DataFrame, tiles: DataFrame, grid: tiling.Grid)
     kept = with_id.where(inside).select("q_col", "q_row", "feature_id", *TILE)
     found = copies.join(kept, ["feature_id", *TILE]).withColumns({"tile_col": F.col("q_col"), "tile_row": F.col("q_row")})
     found = found.drop("q_col", "q_row").select(*copies.columns)
-    loose = copies.where("feature_id IS NULL").join(touching, TILE)
+    loose = copies.where("feature_id IS NULL").join(touching.drop("tile_ord"), TILE)
     loose = loose.where(F.coalesce(c["lon"].between(F.col("q_min_lon"), F.col("q_max_lon")) & c["lat"].between(F.col("q_min_lat"), F.col("q_max_lat")), F.lit(True)))
     loose = loose.withColumns({"tile_col": F.col("q_col"), "tile_row": F.col("q_row")}).select(*copies.columns)
     return found.unionByName(loose)
