@@ -99,45 +99,50 @@ def decode(files: DataFrame, width: int = 0, height: int = 0) -> DataFrame:
     return rows.withColumn("elev", F.when(~F.isnan("elev"), F.col("elev")))
 
 
-def rejects(files: DataFrame, width: int = 0, height: int = 0) -> DataFrame:
-    """Files that cannot be decoded: ``path, reason``."""
+def headers(files: DataFrame, width: int = 0, height: int = 0) -> DataFrame:
+    """``dem_id, width, height, reason`` per file, without emitting pixels."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [
-                (p, r)
-                for p, e, c in zip(pdf["path"], pdf["ext"], pdf["content"])
-                if isinstance(r := _layout(e, c, width, height), str)
-            ]
-            yield pd.DataFrame(found, columns=["path", "reason"])
+            found = []
+            for path, ext, content in zip(pdf["path"], pdf["ext"], pdf["content"]):
+                layout = _layout(ext, content, width, height)
+                bad = isinstance(layout, str)
+                found.append((path, 0 if bad else layout[2], 0 if bad else layout[3], layout if bad else None))
+            yield pd.DataFrame(found, columns=["dem_id", "width", "height", "reason"])
 
     return files.select("path", file_extension(F.col("path")).alias("ext"), "content").mapInPandas(
-        run, "path string, reason string"
+        run, "dem_id string, width int, height int, reason string"
     )
 
 
+def rejects(files: DataFrame, width: int = 0, height: int = 0) -> DataFrame:
+    """Files that cannot be decoded: ``path, reason``."""
+    return headers(files, width, height).where("reason IS NOT NULL").select(F.col("dem_id").alias("path"), "reason")
+
+
 def list_dem_files(spark: SparkSession, path: str) -> DataFrame:
     """Raster files under a folder (recursive) or a single file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where(file_extension(F.col("path")).isin(*EXTENSIONS))
 
 
-def tile_table(pixels: DataFrame, bounds: tuple | None = None) -> DataFrame:
-    """One row per raster: order, bounds and size.
+def tile_table(heads: DataFrame, bounds: tuple | None = None) -> DataFrame:
+    """One row per readable raster: order, bounds and size.
 
     Bounds come from names such as ``N31E121`` unless given.
     """
-    tiles = pixels.groupBy("dem_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     named = R.srtm_bounds(base_name(F.col("dem_id")))
     given = [F.lit(float(b)) for b in bounds] if bounds else [F.lit(0.0)] * 4
     cols = [F.coalesce(named[f], g).alias(f) for f, g in zip(S.RECT_FIELDS, given)]
     order = F.row_number().over(W.orderBy("dem_id")) - 1  # one row per file
-    return tiles.select("dem_id", order.alias("tile_ord"), *cols, "width", "height")
+    return heads.where("reason IS NULL").select("dem_id", order.alias("tile_ord"), *cols, "width", "height")
 
 
 def read_dem(
     spark: SparkSession, path: str, width: int = 0, height: int = 0, bounds: tuple | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(tiles, pixels)`` of an elevation file or folder."""
-    pixels = decode(list_dem_files(spark, path), width, height)
-    return tile_table(pixels, bounds), pixels.select("dem_id", "px", "py", "elev")
+    files = list_dem_files(spark, path)
+    pixels = decode(files, width, height)
+    return tile_table(headers(files, width, height), bounds), pixels.select("dem_id", "px", "py", "elev")
