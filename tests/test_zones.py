@@ -72,16 +72,25 @@ def test_labels_cross_block_seams(case):
         assert (to_grid(pdf, g, shape) == reference_labels(c)[0]).all()
 
 
-@pytest.mark.parametrize("limit", [200_000, 4])
-def test_merging_small_zones(case, limit):
+def test_merging_small_zones(case):
     grids, shape, labelled = case
     cfg = TerrainConfig(resolution_m=1.0, min_zone_area_sqm=5.0)
-    pdf = zones.merged_cells(labelled, cfg, cluster_limit=limit).toPandas()
+    pdf = zones.merged_cells(labelled, cfg).toPandas()
     for g, c in grids.items():
         lab, k = reference_labels(c)
         assert (to_grid(pdf, g, shape) == reference_merge(lab, k, 5.0)).all()
 
 
+def test_merging_in_rounds_equals_replay(spark):
+    size = [("g", i, n) for i, n in enumerate((2, 1, 3, 2, 1, 40))]
+    links = {(0, 1): 2, (0, 5): 1, (1, 2): 2, (1, 3): 1, (2, 3): 1, (3, 4): 2, (2, 5): 1, (4, 5): 1}
+    rows = [("g", a, b, n, i) for i, ((a, b), n) in enumerate(links.items())] + [("g", b, a, n, i + 20) for i, ((a, b), n) in enumerate(links.items())]
+    sizes = spark.createDataFrame(size, "grid_id string, zone_id long, pixels long")
+    near = spark.createDataFrame(rows, "grid_id string, zone_id long, neighbour long, contacts long, first_pos long")
+    one, many = (zones.merge_small_zones(sizes, near, 6.0, limit).toPandas().sort_values("zone_id").values.tolist() for limit in (100, 2))
+    assert one == many and len(one) >= 3
+
+
 def test_outlines_enclose_each_zone(case):
     _, _, labelled = case
     a = zones.outline_rings(labelled).toPandas().sort_values(["grid_id", "zone_id", "ring_no", "seq"])
