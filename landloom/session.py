@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "landloom", memory: str = "8g") -> SparkSession:
@@ -46,9 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
+    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+
+    The columns are named anew, so the result can be joined with anything
+    derived from ``df`` without sharing column references.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    saved = df.checkpoint(eager=True)
+    return saved.select(*[F.col(c).alias(c) for c in saved.columns])
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
