@@ -39,8 +39,8 @@ def test_no_split_and_merged_vertices(spark):
 @pytest.mark.parametrize("limit", [100_000, 5])
 def test_first_come_merging(spark, limit):
     rng = np.random.default_rng(5)
-    x, y = np.r_[rng.uniform(0, 900, 40), np.full(20, 33.0)], np.r_[rng.uniform(0, 300, 40), np.full(20, 44.0)]
-    df = pd.DataFrame({"x": x, "y": y, "ord": rng.permutation(60)})
+    x, y = np.r_[rng.uniform(0, 500, 20), np.full(6, 33.0)], np.r_[rng.uniform(0, 200, 20), np.full(6, 44.0)]
+    df = pd.DataFrame({"x": x, "y": y, "ord": rng.permutation(26)})
     got = roads.merge_positions(spark.createDataFrame(df), 100.0, limit).toPandas().set_index("ord").leader.to_dict()
     want, leads = {}, []
     for r in df.sort_values("ord").itertuples():
