@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,11 @@ def words_in(text: Column) -> Column:
     single = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
     gaps = F.octet_length(single) - F.octet_length(F.replace(single, F.lit(" ")))
     return F.when(single == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+
+
+def text_bytes(column, rows: int = 256) -> Iterator[bytes]:
+    """UTF-8 of an Arrow string column, a few hundred values in memory at a time; null is empty."""
+    binary = column.cast("binary")
+    for at in range(0, len(binary), rows):
+        for value in binary.slice(at, rows).to_pylist():
+            yield value or b""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landloom.llm import exact_dedup, mixing
+from landloom.llm import binary_ids, bpe_chunks, chat, exact_dedup, mixing, simhash, topk, toxicity
 from landloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,39 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_exact_dedup", exact_dedup.ORACLE)
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_code_points")
+
+
+@query("op2_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op7_bpe_chunk_reuse")
+def bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op6_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).drop("hits")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op10_token_id_files")
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_ids.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op9_exact_top_k", topk.ORACLE)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_chat_format", chat.ORACLE)
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)
+    return chat.read_back(chat.format_turns(rows))
