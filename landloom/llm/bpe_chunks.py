@@ -8,11 +8,14 @@ space before the cut to the first one after it is encoded anew and replaces
 the ids of its two parts. Both parts are encoded, too, and must agree with the
 ends of the chunks' ids; a text where they do not is encoded whole.
 
-Scale. The first pass shuffles one hash per chunk, the second pass every text
-once, together with the short list of its shared chunks; ids move only for
-shared chunks and for texts that fetch some. A chunk that a third of all texts
-hold has one owner, found by a pre-aggregated minimum, and meets its readers in
-a join that adaptive execution splits. Nothing is cached on an executor's disk.
+Scale. The first pass shuffles one hash per chunk. Texts that share chunks are
+then shuffled once, to meet the short list of them; a bitmap of fixed size
+(``MARK_BITS``), set for the keys of such texts, lets the others stay where they
+are. A text marked by chance takes the long way and comes to the same result,
+so a bitmap that fills up costs time, not correctness. Ids move only for shared
+chunks and for texts that fetch some. A chunk that a third of all texts hold has
+one owner, found by a pre-aggregated minimum, and meets its readers in a join
+that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landloom.llm.common import saved, text_bytes, text_of
+from landloom.llm.common import discard, saved, text_bytes, text_of
 from landloom.llm.pieces import Pieces, pieces, token_strings
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +41,7 @@ MEAN_BITS = 10
 LEAST = 256
 MOST = 8192
 SEGMENT = 1 << 20
+MARK_BITS = 1 << 24
 SPACE = b" \t\n\x0b\x0c\r"
 
 OUTPUTS = {
@@ -218,8 +222,20 @@ def encode(
     shared = chunks.join(owners, "chunk").withColumn("own", place == F.col("owner"))
     plan = shared.groupBy("doc_id", "key").agg(F.collect_set(F.struct("ord", "chunk", "own")).alias("plan"))
     plan = plan.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "plan")
-    ready = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_d"]) & (rows["key"] == plan["_k"]), "left").drop("_d", "_k")
-    ready = ready.withColumn("uid", F.monotonically_increasing_id())
+    plan = plan_table = saved(plan, "plan")
+
+    # At most MARK_BITS / 64 rows, so the broadcast has a bound.
+    bit = F.pmod(F.xxhash64("_k"), F.lit(MARK_BITS))
+    marks = plan.select(F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("_b"))
+    marks = marks.groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
+    own = F.pmod(F.xxhash64("key"), F.lit(MARK_BITS))
+    marked = rows.withColumns({"_at": F.shiftright(own, 6), "_in": (own % 64).cast("int")})
+    marked = marked.join(F.broadcast(marks), F.col("_at") == F.col("_word"), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col("_bits"), F.col("_in")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    alone = marked.where(~hit).select("doc_id", "key", "t", F.lit(None).cast(plan.schema["plan"].dataType).alias("plan"))
+    some = marked.where(hit).select("doc_id", "key", "t")
+    met = some.join(plan, some["doc_id"].eqNullSafe(plan["_d"]) & (some["key"] == plan["_k"]), "left").select("doc_id", "key", "t", "plan")
+    met = met.withColumn("uid", F.monotonically_increasing_id())
 
     # kind 0: a finished row; 1: ids of a shared chunk; 2: a part of a row that waits for shared chunks.
     fixed = [("kind", "int"), ("doc_id", "long"), ("uid", "long"), ("ord", "int"), ("chunk", "binary")]
@@ -253,7 +269,10 @@ def encode(
 
         return _rows(batches, with_key, each)
 
-    step = saved(ready.mapInArrow(encode_rows, ", ".join(f"`{n}` {k}" for n, k in with_key)), "encoded")
+    made = ", ".join(f"`{n}` {k}" for n, k in with_key)
+    step = alone.withColumn("uid", F.lit(-1).cast("long")).mapInArrow(encode_rows, made).unionByName(met.mapInArrow(encode_rows, made))
+    step = saved(step, "encoded")
+    discard(chunks, plan_table)
     names = ["doc_id", *outputs]
     finished = step.where("kind = 0").select(*names)
     ids = step.where("kind = 1").select("chunk", F.col("packed").alias("fetched")).groupBy("chunk").agg(F.first("fetched").alias("fetched"))

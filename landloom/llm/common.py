@@ -31,7 +31,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of ``saved`` tables whose readers are done."""
+    for df in frames:
+        jvm, path = df.sparkSession.sparkContext._jvm, getattr(df, "_scratch", None)
+        if path is not None:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_of(name: str) -> Column:
@@ -57,3 +68,24 @@ def text_bytes(column, rows: int = 256) -> Iterator[bytes]:
     for at in range(0, len(binary), rows):
         for value in binary.slice(at, rows).to_pylist():
             yield value or b""
+
+
+MARK_BITS = 1 << 24
+
+
+def with_mark(rows: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:
+    """Add ``_hit``: false only if ``key`` is not among the values ``of`` the table ``keys``.
+
+    A bitmap of fixed size is broadcast, at most ``MARK_BITS / 64`` rows. A key
+    may be hit by chance, more often the fuller the bitmap is; an exact join
+    decides for the rows that are hit, the others need not move.
+    """
+    shift = lambda name, *args: F.call_function(name, *args)
+    bit = F.pmod(F.xxhash64(of), F.lit(MARK_BITS))
+    marks = keys.select(F.shiftright(bit, 6).alias("_word"), shift("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("_b"))
+    marks = marks.groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
+    own = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    placed = rows.withColumns({"_at": F.shiftright(own, 6), "_in": (own % 64).cast("int")})
+    joined = placed.join(F.broadcast(marks), F.col("_at") == F.col("_word"), "left")
+    hit = F.coalesce(shift("shiftright", F.col("_bits"), F.col("_in")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return joined.withColumn("_hit", hit).drop("_at", "_in", "_word", "_bits")
