@@ -3,22 +3,53 @@
 A tokenizer's merges stay inside the runs its pre-tokenizer cuts. Pieces that
 end on such a cut can be encoded on their own and put together again. Natural
 text repeats its pieces, so the library encodes each distinct piece once per
-worker; the table is emptied when it has grown to ``MOST`` pieces, which bounds
-memory and changes no result.
+worker. A table that has grown to ``MOST`` pieces becomes the older one, from which
+pieces still in use move over; so memory is bounded and no result changes.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-MOST = 300_000
-#: White space beyond the ASCII kind: texts with it are not cut into pieces.
-ODD_WHITE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+MOST = 400_000
+#: Marks that a pre-token never shares with the letter before them.
+MARKS = b".,;:!?"
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: White space beyond the ASCII kind; texts with it are not cut into pieces.
+ODD_WHITE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+ODD_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 RUN = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
+WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte.
+
+    Printable Latin-1 stands for itself, the others follow from U+0100 upward.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
+
+
+def single_run(settings: dict) -> tuple[re.Pattern, bool] | None:
+    """Pieces that are one run of letters for this tokenizer, and whether it lower-cases them.
+
+    Such a piece needs no normalizer and no pre-tokenizer: the model alone gives its ids.
+    """
+    before, norm = settings.get("pre_tokenizer") or {}, settings.get("normalizer")
+    if norm is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+        return re.compile(" ?" + WORD), False
+    kinds = [n.get("type") for n in (norm or {}).get("normalizers", ())]
+    parts = before.get("pretokenizers", ())
+    if kinds == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in parts] == ["Split", "ByteLevel"] and r"[\p{L}]+" in parts[0]["pattern"].get("Regex", ""):
+        return re.compile(WORD), True
+    return None
 
 
 class Pieces(dict):
@@ -26,15 +57,31 @@ class Pieces(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.single = single_run(json.loads(self.tokenizer.to_str()))
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = self.whole(piece)
-        self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None and len(piece) > 1 and piece[-1] in MARKS and piece[-2] in LETTERS:
+            ids = self[piece[:-1]] + self[piece[-1:]]
+        self[piece] = ids = self.piece(piece) if ids is None else ids
         return ids
 
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of a piece that is not known yet."""
+        text = piece.decode("utf-8", "replace")
+        if self.single is None or not self.single[0].fullmatch(text):
+            return self.whole(piece)
+        if self.single[1]:
+            piece = text.lower().encode()
+        tokens = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+
     def whole(self, text: bytes) -> bytes:
         """Ids of ``text`` straight from the library."""
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -42,6 +89,7 @@ class Pieces(dict):
 
     def bounded(self) -> None:
         if len(self) > MOST:
+            self.older = dict(self)
             self.clear()
 
     def words(self, text: bytes) -> bytes:
@@ -55,7 +103,7 @@ class Pieces(dict):
         A non-white character before white space always ends a pre-token, so
         the cut is exact for ASCII white space; other kinds go to the library whole.
         """
-        if ODD_WHITE.search(text):
+        if not text.isascii() and any(lead in text for lead in ODD_LEADS) and ODD_WHITE.search(text):
             return self.whole(text)
         self.bounded()
         return b"".join([self[w] for w in RUN.findall(text)])
