@@ -10,7 +10,7 @@ ends of the chunks' ids; a text where they do not is encoded whole.
 
 Scale. The first pass shuffles one hash per chunk. Texts that share chunks are
 then shuffled once, to meet the short list of them; a bitmap of fixed size
-(``MARK_BITS``), set for the keys of such texts, lets the others stay where they
+(``common.with_mark``), set for the keys of such texts, lets the others stay where they
 are. A text marked by chance takes the long way and comes to the same result,
 so a bitmap that fills up costs time, not correctness. Ids move only for shared
 chunks and for texts that fetch some. A chunk that a third of all texts hold has
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landloom.llm.common import discard, saved, text_bytes, text_of
+from landloom.llm.common import discard, saved, text_bytes, text_of, with_mark
 from landloom.llm.pieces import Pieces, pieces, token_strings
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,7 +41,6 @@ MEAN_BITS = 10
 LEAST = 256
 MOST = 8192
 SEGMENT = 1 << 20
-MARK_BITS = 1 << 24
 SPACE = b" \t\n\x0b\x0c\r"
 
 OUTPUTS = {
@@ -224,14 +223,8 @@ def encode(
     plan = plan.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "plan")
     plan = plan_table = saved(plan, "plan")
 
-    # At most MARK_BITS / 64 rows, so the broadcast has a bound.
-    bit = F.pmod(F.xxhash64("_k"), F.lit(MARK_BITS))
-    marks = plan.select(F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("_b"))
-    marks = marks.groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
-    own = F.pmod(F.xxhash64("key"), F.lit(MARK_BITS))
-    marked = rows.withColumns({"_at": F.shiftright(own, 6), "_in": (own % 64).cast("int")})
-    marked = marked.join(F.broadcast(marks), F.col("_at") == F.col("_word"), "left")
-    hit = F.coalesce(F.call_function("shiftright", F.col("_bits"), F.col("_in")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    marked = with_mark(rows, F.col("key"), plan, F.col("_k"))
+    hit = F.col("_hit")
     alone = marked.where(~hit).select("doc_id", "key", "t", F.lit(None).cast(plan.schema["plan"].dataType).alias("plan"))
     some = marked.where(hit).select("doc_id", "key", "t")
     met = some.join(plan, some["doc_id"].eqNullSafe(plan["_d"]) & (some["key"] == plan["_k"]), "left").select("doc_id", "key", "t", "plan")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.llm.common import WHITE, saved, text_of
+from landloom.llm.common import WHITE, discard, saved, text_of
 
 BLOCK_CHARS = 4096
 
@@ -50,9 +50,9 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = F.when(F.col("_norm") == "", F.array(F.lit(""))).otherwise(cut)
 
     contents = rows.select(F.explode(blocks).alias("_block")).distinct()
-    names = saved(_numbered(contents, "_block").select(F.unhex(F.sha2("_block", 256)).alias("_digest"), "_name"), "blocks")
+    numbers = saved(_numbered(contents, "_block").select(F.unhex(F.sha2("_block", 256)).alias("_digest"), "_name"), "blocks")
     clash = F.raise_error(F.lit("two different blocks share a SHA-256 digest"))
-    names = names.groupBy("_digest").agg(F.min("_name").alias("_name"), F.count(F.lit(1)).alias("_n"))
+    names = numbers.groupBy("_digest").agg(F.min("_name").alias("_name"), F.count(F.lit(1)).alias("_n"))
     names = names.select("_digest", F.when(F.col("_n") == 1, F.col("_name")).otherwise(clash.cast("long")).alias("_name"))
 
     cells = rows.select("doc_id", "n_code_points", F.unhex(F.sha2("_norm", 256)).alias("_sha"), blocks.alias("_blocks"))
@@ -61,6 +61,7 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     deepest = cells.agg(F.max("_left")).first()[0] or 0
     current = cells.select("doc_id", "_sha", "_left", "_pos", "_digest").join(names, "_digest").drop("_digest")
+    used = [numbers, cells]
     done = [current.where("_left = 1").select("doc_id", "_sha", F.lit(0).alias("level"), "_name")]
     level = 0
     while deepest > 1:
@@ -73,6 +74,7 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
         pairs = saved(pairs, f"pairs{level}")
         numbers = saved(_numbered(pairs.select("_a", "_b").distinct(), "_a", "_b"), f"names{level}")
+        used += [pairs, numbers]
         current = pairs.join(numbers, ["_a", "_b"]).select("doc_id", "_sha", "_left", "_pos", "_name")
         done.append(current.where("_left = 1").select("doc_id", "_sha", F.lit(level).alias("level"), "_name"))
     named = done[0].distinct()
@@ -81,7 +83,9 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     first = cells.where("_pos = 0").select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_key"), "n_code_points")
     joined = first.join(named, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("_sha")))
-    return joined.select("doc_id", F.lower(F.hex("_sha")).alias("text_sha256"), "n_code_points", "level", F.col("_name").alias("name"))
+    out = saved(joined.select("doc_id", F.lower(F.hex("_sha")).alias("text_sha256"), "n_code_points", "level", F.col("_name").alias("name")), "identities")
+    discard(*used)
+    return out
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -92,7 +96,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     come last. Of repeated rows with one id and one text exactly one is
     ``kept``. An empty table gives an empty result.
     """
-    rows = saved(block_identities(docs, id_col, text_col, block_chars), "identities")
+    rows = block_identities(docs, id_col, text_col, block_chars)
     order = F.struct((-F.col("n_code_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
     groups = rows.groupBy("level", "name").agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("group_size"))
     copy = F.row_number().over(W.partitionBy("doc_id", "text_sha256", "n_code_points").orderBy("level"))

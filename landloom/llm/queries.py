@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import binary_ids, bpe_chunks, chat, exact_dedup, mixing, simhash, topk, toxicity
+from landloom.llm import binary_ids, bpe_chunks, chat, exact_dedup, mixing, secrets, simhash, token_counts, topk, toxicity
 from landloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)
     return chat.read_back(chat.format_turns(rows))
+
+
+@query("op3_token_counts")
+def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op1_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).withColumn("value", F.sha2("value", 256))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.llm.common import saved, text_bytes, text_of
+from landloom.llm.common import discard, saved, text_bytes, text_of, with_mark
 from landloom.operators.components import connected_components
 
 WORDS = 3
@@ -36,6 +36,7 @@ BITS = 3
 HALF = 32
 SEED = 42
 SLICE = 1 << 15
+FEW_WORDS = 20
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -119,10 +120,6 @@ def _stars(rows: DataFrame, keys: list[str], center: Column) -> DataFrame:
     return rows.join(heart, keys).select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    return connected_components(edges)
-
-
 def components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """``fp, root`` for distinct fingerprints ``fp``: linked ones share a root."""
     if bits > 3:
@@ -158,9 +155,12 @@ def components(fps: DataFrame, bits: int = BITS) -> DataFrame:
             edges = edges.unionByName(rows.join(heart, keys).select(F.col("fp").alias("u"), "v").where("u <> v").distinct())
         else:
             raise ValueError("bits must be 3 where segments are crowded")
-    linked = saved(_roots(saved(edges, "edges")), "linked")
+    edges = saved(edges, "edges")
+    linked = connected_components(edges)
     found = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     if not crowded:
+        found = saved(found, "found")
+        discard(members, sizes, met, edges)
         return found
 
     # Distance 3 in the other half of an equal one matters only between
@@ -172,9 +172,10 @@ def components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     rows = split.join(placed, ["seg", "val"]).select("seg", "val", F.col("root").alias("fp"), F.explode(_ball(F.col("rest"), 2)).alias("k"))
     rows = rows.groupBy("seg", "val", F.col("k.x").alias("x"), "fp").agg(F.min("k.d").alias("d"))
     more = saved(_stars(rows, ["seg", "val", "x"], F.when(F.col("d") <= 1, F.col("fp"))), "more")
+    discard(members, sizes, met, edges)
     if more.isEmpty():
         return found
-    again = _roots(more).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    again = connected_components(more).select(F.col("node").alias("root"), F.col("root").alias("_top"))
     return found.join(again, "root", "left").select("fp", F.coalesce("_top", "root").alias("root"))
 
 
@@ -188,13 +189,119 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = saved(fingerprints(docs, id_col, text_col, words), "fingerprints")
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     placed = components(fps.select("fp"), bits).join(fps, "fp")
-    placed = saved(placed, "placed")
     tops = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(tops, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, "fp").select("doc_id", "text_key", hexed.alias("fingerprint"), "component_id")
 
 
+def set_fingerprints(text: bytes, seeds: tuple[int, ...]) -> list[int]:
+    """SimHashes (signed) of the distinct words of a text, one per seed.
+
+    Changing one word in fifty leaves four fifths of the five-word shingles, but
+    nearly all words, so similar texts come within three bits. Texts with few
+    distinct words are told apart by their three-word shingles instead.
+    """
+    parts = text.lower().split()
+    found = set(parts)
+    if len(found) < FEW_WORDS:
+        wide = min(WORDS, len(parts))
+        found = {b" ".join(parts[i : i + wide]) for i in range(len(parts) - wide + 1)} if parts else set()
+    out, items = [], list(found)
+    for seed in seeds:
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(items), SLICE):
+            own = items[at : at + SLICE]
+            hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in own]), dtype=np.uint8)
+            counts += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        out.append(int(np.packbits(counts * 2 > len(items)).view(">i8")[0]))
+    return out
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles (the whole sequence if it is shorter)."""
+    parts = text.lower().split()
+    wide = min(words, len(parts))
+    found = {b" ".join(parts[i : i + wide]) for i in range(max(1, len(parts) - wide + 1))}
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64).view(np.int64))
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, seeds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_key, stays`` of the texts that share a group with others; and repeated rows.
+
+    Texts within three bits under one of the fingerprints form a group. In each
+    group the text of the smallest id stays; those whose shingles are at least
+    ``similarity`` alike go with it; the rest of the group is judged anew among
+    itself. So no text goes without a similar one that stays. Rows that repeat
+    an id and a text count once here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [set_fingerprints(t, seeds) for t in text_bytes(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_key", "fps"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, words) for t in text_bytes(batch.column("t"))]
+            own = [batch.column(c) for c in ("uid", "doc_id", "text_key", "grp")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.list_(pa.int64()))], ["uid", "doc_id", "text_key", "grp", "set"])
+
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
+    made = rows.mapInArrow(run, "doc_id long, text_key long, fps array<long>").groupBy("doc_id", "text_key").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("n"))
+    prints = saved(made.withColumn("uid", F.monotonically_increasing_id()), "prints")
+    edges = None
+    for i in range(len(seeds)):
+        own = prints.select("uid", F.col("fps")[i].alias("fp"))
+        first = saved(own.groupBy("fp").agg(F.min("uid").alias("first")), "first")
+        placed = components(first.select("fp")).join(first, "fp")
+        tops = placed.groupBy("root").agg(F.min("first").alias("top"))
+        links = own.join(placed.join(tops, "root").select("fp", "top"), "fp").where("uid <> top").select(F.col("uid").alias("u"), F.col("top").alias("v"))
+        links = saved(links, "links")
+        discard(first)
+        edges = links if edges is None else edges.unionByName(links)
+    grouped = connected_components(edges).select(F.col("node").alias("uid"), F.col("root").alias("grp"))
+    members = saved(prints.join(grouped, "uid").select("uid", "doc_id", "text_key", "grp"), "members")
+
+    near = with_mark(rows, F.col("text_key"), members, F.col("text_key")).where("_hit").dropDuplicates(["doc_id", "text_key"])
+    near = near.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "t")
+    texts = members.join(near, members["doc_id"].eqNullSafe(near["_d"]) & (members["text_key"] == near["_k"]))
+    left = saved(texts.select("uid", "doc_id", "text_key", "grp", "t").mapInArrow(cut, "uid long, doc_id long, text_key long, grp long, set array<long>"), "sets")
+    gone = members.where("false").select("doc_id", "text_key", F.lit(True).alias("stays"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
+    while not left.isEmpty():
+        heads = left.groupBy("grp").agg(F.min_by(F.struct("uid", "set"), order).alias("h")).select("grp", F.col("h.uid").alias("_uid"), F.col("h.set").alias("_set"))
+        both = F.size(F.array_intersect("set", "_set"))
+        alike = both >= F.lit(float(similarity)) * (F.size("set") + F.size("_set") - both)
+        judged = left.join(heads, "grp").withColumn("state", F.when(F.col("uid") == F.col("_uid"), 0).when(alike, 1).otherwise(2))
+        judged = saved(judged.drop("_uid", "_set"), "judged")
+        gone = gone.unionByName(judged.where("state < 2").select("doc_id", "text_key", (F.col("state") == 0).alias("stays")))
+        left = judged.where("state = 2").drop("state")
+    return gone, prints.where("n > 1").select("doc_id", "text_key")
+
+
+def drop_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (SEED, 1, 2, 3)
+) -> DataFrame:
+    """``docs`` with one row left of each group of similar texts, columns as they were.
+
+    Similar: at least ``similarity`` of the distinct word shingles in common,
+    found through SimHashes with several seeds. Rows that repeat an id and a
+    text leave one row. Null texts are empty.
+    """
+    judged, repeated = similar_groups(docs, id_col, text_col, words, similarity, seeds)
+    key = F.xxhash64(text_of(text_col))
+    go = judged.where("NOT stays").select(F.col("doc_id").alias("_go_id"), F.col("text_key").alias("_go_key"))
+    touched = saved(go.unionByName(repeated.toDF("_go_id", "_go_key")), "touched")
+    tagged = with_mark(docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_key": key}), F.col("_row_key"), touched, F.col("_go_key"))
+    some = tagged.where("_hit")
+    some = some.join(go, some["_row_id"].eqNullSafe(go["_go_id"]) & (some["_row_key"] == go["_go_key"]), "left_anti")
+    copy = F.row_number().over(W.partitionBy("_row_id", "_row_key").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
+    some = some.withColumn("_copy", copy).where("_copy = 1")
+    return tagged.where("NOT _hit").select(*docs.columns).unionByName(some.select(*docs.columns))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """``docs`` with one row left of each component (smallest id), columns as they were."""
     rows = near_duplicates(docs, id_col, text_col, words, bits)
