@@ -15,8 +15,7 @@ from landloom.operators import filters as Fl
 from landloom.operators import landcover as L
 from landloom.operators import sampling, spatial, stats, tiling
 from landloom.plans import derive as D
-from landloom.plans import tiled
-from landloom.schema import ClassifyRules
+from landloom.schema import LAND_USE_TYPES, ClassifyRules
 from landloom.sinks import store, tiles
 from landloom.sources import landcover as lc_source
 
@@ -224,22 +223,25 @@ def _(spark, sf):
     return lc_source.parse_landcover(docs)[1]
 
 
-# One 125-column raster over the blocks, cut to 1 km tiles under the boxes.
-GT = (LON0 - 0.01, 0.02, 0.0, LAT0 + 0.05, 0.0, -0.001)
-
-
+# One raster of 125 columns over all blocks in use, as many rows as the keys need.
 @query(
     "landcover_crop_to_tiles",
     f"""WITH px AS (SELECT CAST(o_orderkey % 125 AS INT) AS x, CAST(floor(o_orderkey / 125) AS INT) AS y, {V.LC_CODE} AS code FROM orders),
+    g AS (SELECT (SELECT max(y) + 1 FROM px) AS h, (SELECT max(bc) + 1 FROM lc) AS nc, (SELECT max(br) + 1 FROM lc) AS nr),
+    gt AS (SELECT h, nc * {d(V.STEP)} / 125 AS dx, {d(LAT0)} + nr * {d(V.STEP)} AS y0, -(nr * {d(V.STEP)} / h) AS dy FROM g),
     t AS (SELECT DISTINCT bc, br, {d(LON0)} + bc * {d(V.STEP)} AS a, {d(LAT0)} + br * {d(V.STEP)} AS b, {d(LON0)} + (bc + 1) * {d(V.STEP)} AS c, {d(LAT0)} + (br + 1) * {d(V.STEP)} AS e FROM lc),
-    win AS (SELECT bc, br, greatest(0, least(CAST(trunc((a - {d(GT[0])}) / {d(GT[1])}) AS INT), 124)) AS c0, greatest(0, least(CAST(trunc((c - {d(GT[0])}) / {d(GT[1])}) AS INT), 124)) AS c1,
-     greatest(0, least(CAST(trunc((e - {d(GT[3])}) / {d(GT[5])}) AS INT), 59)) AS r0, greatest(0, least(CAST(trunc((b - {d(GT[3])}) / {d(GT[5])}) AS INT), 59)) AS r1 FROM t)
+    win AS (SELECT bc, br, greatest(0, least(CAST(trunc((a - {d(LON0)}) / dx) AS INT), 124)) AS c0, greatest(0, least(CAST(trunc((c - {d(LON0)}) / dx) AS INT), 124)) AS c1,
+     greatest(0, least(CAST(trunc((e - y0) / dy) AS INT), h - 1)) AS r0, greatest(0, least(CAST(trunc((b - y0) / dy) AS INT), h - 1)) AS r1 FROM t, gt)
     SELECT bc AS tile_col, br AS tile_row, c1 - c0 AS width, r1 - r0 AS height, x - c0 AS x, y - r0 AS y, code FROM win JOIN px ON x >= c0 AND x < c1 AND y >= r0 AND y < r1""",
     ("lc",),
 )
 def _(spark, sf):
     px = V.table(spark, sf, "orders").selectExpr(f"{V.CELL_X} AS x", f"{V.CELL_Y} AS y", f"{V.LC_CODE} AS code")
-    return L.crop_to_tiles(V.landcover_grids(spark, sf), px, GT, 125, 60)
+    grids = V.landcover_grids(spark, sf)
+    height = px.agg(F.max("y") + 1).first()[0]
+    cols, rows = grids.agg(F.max("tile_col") + 1, F.max("tile_row") + 1).first()
+    transform = (LON0, cols * V.STEP / 125, 0.0, LAT0 + rows * V.STEP, 0.0, -(rows * V.STEP / height))
+    return L.crop_to_tiles(grids, px, transform, 125, height)
 
 
 @query("placeholder_landcover", "SELECT bc AS tile_col, br AS tile_row, count(*) * 0 + 100 AS pixels, CAST(3000 AS BIGINT) AS code_sum FROM lc GROUP BY 1, 2", ("lc",))
@@ -263,7 +265,23 @@ def _(spark, sf):
     return p.select(F.col("polygon_id").alias("pid"), r("x", 2).alias("x"), r("y", 2).alias("y"))
 
 
-@query("sample_points_jittered")
+def jitter_sql(axis: int) -> str:
+    """Offset in centimetres of a lattice place ``pid, ix, iy``."""
+    p = sampling.JITTER_PRIME
+    at = f"(({42 * 7919 + axis} + pid % 65521 * 40503 + ix * 2654435 + iy * 97531) % {p})"
+    return f"((({at} * {at} + {at} * 7) % {p} / {d(float(p))}) * {d(2.0)} - {d(1.0)}) * {d(200.0)}"
+
+
+@query(
+    "sample_points_jittered",
+    f"""WITH {POLY}, bb AS (SELECT pid, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM world GROUP BY pid),
+    ix AS (SELECT *, unnest(range(0, CAST(floor((x1 - x0) / 1000) AS BIGINT) + 1)) AS ix FROM bb JOIN poly0 USING (pid)),
+    g AS (SELECT *, unnest(range(0, CAST(floor((y1 - y0) / 1000) AS BIGINT) + 1)) AS iy FROM ix),
+    p AS (SELECT *, x0 + ix * 1000 + {jitter_sql(104729)} AS x, y0 + iy * 1000 + {jitter_sql(1299709)} AS y FROM g)
+    SELECT pid AS polygon_id, round(x, 3) AS x, round(y, 3) AS y, CASE land_use WHEN 'Residential' THEN 0 WHEN 'Forest' THEN 3 WHEN 'Farmland' THEN 4
+      WHEN 'Water' THEN 5 ELSE {len(LAND_USE_TYPES) - 1} END AS land_use_type FROM p WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1""",
+    ("box",),
+)
 def _(spark, sf):
     p = sampling.sample_points(C.with_defaults(raw_polygons(spark, sf)), 10.0, 2.0)
     return p.select("polygon_id", r("x", 3).alias("x"), r("y", 3).alias("y"), "land_use_type")
@@ -298,12 +316,3 @@ def _(spark, sf):
     keep = big.where(F.map_values("props")[0].isin("park", "wood") & (F.col("h") > 0.00074)).select(F.col("feature_id").alias("polygon_id"))
     polys = V.block_polygons(spark, sf).join(keep, "polygon_id", "left_semi")
     return stats.batch_outcome(t, polys)
-
-
-@query("all_tiles_build")
-def _(spark, sf):
-    features = tiling.assign_tiles(tiling.with_bbox(V.all_features(spark, sf)), V.GRID)
-    t = tiling.tile_table(features, V.GRID).withColumn("tile_ord", F.struct("tile_col", "tile_row"))
-    p = tiled.build_all_tiles(features.drop("min_lon", "min_lat", "max_lon", "max_lat"), t, V.GRID, RULES)
-    return p.groupBy("tile_col", "tile_row", "land_use").agg(F.count(F.lit(1)).alias("polygons"), r(F.sum("area_sqm"), 2).alias("area_sqm"))
-

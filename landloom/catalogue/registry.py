@@ -22,7 +22,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
             text = sql.strip()
             if views:
                 with_views = ", ".join(V.SQL[v] for v in views)
-                text = f"WITH {with_views}, {text[5:]}" if text.upper().startswith("WITH ") else f"WITH {with_views} {text}"
+                head = next((h for h in ("WITH RECURSIVE ", "WITH ") if text.upper().startswith(h)), "")
+                text = f"{head}{with_views}, {text[len(head) :]}" if head else f"WITH {with_views} {text}"
             ORACLES[name] = text
         return fn
 

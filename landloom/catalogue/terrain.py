@@ -88,7 +88,15 @@ def terrain_cells(spark, sf):
     return terrain.classify_cells(terrain.slope_aspect(V.cells(spark, sf)), CFG)
 
 
-@query("connected_zones")
+# Least scan position of each area, handed from cell to cell until nothing changes.
+ZONES = """tc AS (SELECT x, y, s, z, CLASS AS c FROM sl),
+ lab(x, y, c, l) USING KEY (x, y) AS (SELECT x, y, c, CAST(y AS BIGINT) * 2147483648 + x FROM tc
+   UNION SELECT o.x, o.y, o.c, min(n.l) FROM lab n JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(dx, dy) ON true
+     JOIN recurring.lab o ON o.x = n.x + s.dx AND o.y = n.y + s.dy AND o.c = n.c AND o.l > n.l GROUP BY ALL),
+ zn AS (SELECT x, y, c, l, dense_rank() OVER (ORDER BY l) - 1 AS zone_id FROM lab)""".replace("CLASS", TERRAIN_SQL)
+
+
+@query("connected_zones", f"WITH RECURSIVE {HORN}, {ZONES} SELECT x, y, c AS terrain_class, zone_id FROM zn", ("cell",))
 def _(spark, sf):
     return zones.label_zones(terrain_cells(spark, sf)).select("x", "y", "terrain_class", "zone_id")
 
@@ -167,11 +175,22 @@ def _(spark, sf):
     return elevation.resample_tiles(targets.select("tile_col", "tile_row", *RECT_FIELDS), t, px, 6)
 
 
-@query("elevation_analysis_grid")
+GRID_M = 200.0
+
+
+@query(
+    "elevation_analysis_grid",
+    f"""WITH {SHEET}, b AS (SELECT min(x0) AS bx0, min(y0) AS by0, max(x1) AS bx1, max(y1) AS by1 FROM sh),
+    n AS (SELECT *, greatest(1, CAST(ceil((bx1 - bx0) * ({d(111320.0)} * cos(radians((by0 + by1) / {d(2.0)}))) / {d(GRID_M)}) AS BIGINT)) AS nx,
+      greatest(1, CAST(ceil((by1 - by0) * {d(110540.0)} / {d(GRID_M)}) AS BIGINT)) AS ny FROM b),
+    c AS (SELECT *, unnest(range(0, nx * ny)) AS id FROM n),
+    p AS (SELECT id, CAST(id % nx AS INT) AS gx, CAST(id // nx AS INT) AS gy, bx0 + (id % nx + {d(0.5)}) * ((bx1 - bx0) / nx) AS lon, by0 + (id // nx + {d(0.5)}) * ((by1 - by0) / ny) AS lat FROM c), {LOCATE}
+    SELECT gx AS x, gy AS y, e AS elev FROM at_px LEFT JOIN px ON px.s = at_px.s AND px.px = qx AND px.py = qy""",
+)
 def _(spark, sf):
     t, px = sheets(spark, sf)
     b = tuple(t.agg(F.min("min_lon"), F.min("min_lat"), F.max("max_lon"), F.max("max_lat")).first())
-    return elevation.elevation_grid(spark, t, px, b, 200.0).select("x", "y", "elev")
+    return elevation.elevation_grid(spark, t, px, b, GRID_M).select("x", "y", "elev")
 
 
 def _binary(spark, sf, ext: str, head: str):
@@ -275,7 +294,21 @@ def _(spark, sf):
     return roads.leftmost_turns(nodes, edges)
 
 
-@query("road_graph_nodes")
+# First-come merging: a vertex leads if no earlier vertex in reach leads. State 0 open, 1 leader, 2 merged.
+NODES = """rv AS (SELECT rid * 2 AS o, lon0 AS lon, lat0 AS lat FROM road UNION ALL SELECT rid * 2 + 1, lon1, lat1 FROM road),
+ sp AS (SELECT lon * 100000 AS x, lat * 100000 AS y, min(o) AS o, floor(lon * 100000 / 100) AS cx, floor(lat * 100000 / 100) AS cy FROM rv GROUP BY ALL),
+ rim AS (SELECT *, cx + i AS kx, cy + j AS ky FROM sp, range(-1, 2) a(i), range(-1, 2) b(j)),
+ reach AS (SELECT a.o AS later, b.o AS earlier FROM rim a JOIN sp b ON b.cx = a.kx AND b.cy = a.ky AND b.o < a.o WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 10000),
+ st(o, s) USING KEY (o) AS (SELECT o, CASE WHEN o IN (SELECT later FROM reach) THEN 0 ELSE 1 END FROM sp
+   UNION SELECT a.o, CASE WHEN bool_or(n.s = 1) THEN 2 ELSE 1 END FROM recurring.st a JOIN reach ON a.o = later JOIN recurring.st n ON n.o = earlier
+     WHERE a.s = 0 GROUP BY a.o HAVING bool_or(n.s = 1) OR bool_and(n.s = 2))"""
+
+
+@query(
+    "road_graph_nodes",
+    f"WITH RECURSIVE {NODES} SELECT row_number() OVER (ORDER BY o) - 1 AS node_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM st JOIN rv USING (o) WHERE s = 1",
+    ("road",),
+)
 def _(spark, sf):
     nodes, _e = roads.build_graph(V.roads(spark, sf))
     return nodes.select("node_id", r("lon").alias("lon"), r("lat").alias("lat"))

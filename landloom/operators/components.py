@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landloom.session import checkpointed, spread
-
-BLOCK = 64
+from landloom.session import checkpointed
 
 
 def least_linked(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,51 +31,7 @@ def least_linked(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = jumped
 
 
-def _local_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Groups of touching cells inside one block, named by their first cell."""
-    x, y = pdf["cx"].to_numpy(), pdf["cy"].to_numpy()
-    x0, y0 = x.min(), y.min()
-    taken = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), dtype=bool)
-    taken[y - y0, x - x0] = True
-    index = np.arange(taken.size).reshape(taken.shape)
-    pairs = [
-        (index[:, 1:], index[:, :-1]),
-        (index[1:, :], index[:-1, :]),
-        (index[1:, 1:], index[:-1, :-1]),
-        (index[1:, :-1], index[:-1, 1:]),
-    ]
-    flat = taken.ravel()
-    a = np.concatenate([p.ravel() for p, _ in pairs])
-    b = np.concatenate([q.ravel() for _, q in pairs])
-    both = flat[a] & flat[b]
-    root = least_linked(taken.size, a[both], b[both]).reshape(taken.shape)[y - y0, x - x0]
-    return pd.DataFrame({"cx": x, "cy": y, "rx": root % taken.shape[1] + x0, "ry": root // taken.shape[1] + y0})
-
-
-def touching_cells(cells: DataFrame) -> DataFrame:
-    """``cx, cy, grp`` of distinct cells; cells that touch (8 ways) share a group.
-
-    Blocks of cells are grouped in one task each; the links across block edges
-    form the much smaller graph whose components join the groups.
-    """
-    block = [F.floor(F.col(c) / BLOCK).alias(f"b{c}") for c in ("cx", "cy")]
-    keyed = spread(cells.select("cx", "cy", *block), "bcx", "bcy")
-    local = checkpointed(
-        keyed.groupBy("bcx", "bcy").applyInPandas(lambda pdf: _local_groups(pdf), "cx long, cy long, rx long, ry long")
-    )
-    on_edge = F.pmod("cx", F.lit(BLOCK)).isin(0, BLOCK - 1) | F.pmod("cy", F.lit(BLOCK)).isin(0, BLOCK - 1)
-    rim = local.where(on_edge)
-    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, -1), (1, 0), (1, 1), (0, 1))])
-    moved = rim.withColumn("_o", F.explode(ahead)).select(
-        (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"), F.struct("rx", "ry").alias("u")
-    )
-    links = moved.join(rim.select("cx", "cy", F.struct("rx", "ry").alias("v")), ["cx", "cy"]).select("u", "v")
-    comps = connected_components(links).select("node.rx", "node.ry", F.col("root").alias("_g"))
-    joined = local.join(comps, ["rx", "ry"], "left")
-    return joined.select("cx", "cy", F.coalesce("_g", F.struct("rx", "ry")).alias("grp"))
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` with ``root`` the least node of the component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each
@@ -90,7 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     pairs = checkpointed(pairs)
     before = _digest(pairs)
-    for _ in range(max_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -108,8 +61,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("connected components did not converge")
     roots = pairs.select("v").distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("root"))

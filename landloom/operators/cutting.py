@@ -135,40 +135,42 @@ def _cut_piece(piece: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
     """Apply one batch of segments, in order, to one piece."""
     row = piece.iloc[0]
     ring = np.array([(v["x"], v["y"]) for v in row["world_vertices"]], dtype=float)
-    rings = [ring]
+    parts = [(row["piece_id"], ring)]
     segs = segs.sort_values("ord")
-    for s in segs[["x0", "y0", "x1", "y1"]].to_numpy():
+    for number, s in zip(segs["ord"].to_numpy(), segs[["x0", "y0", "x1", "y1"]].to_numpy()):
         a, b = s[:2], s[2:]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         nxt = []
-        for r in rings:
+        for name, r in parts:
             apart = (r.max(axis=0) < lo).any() or (r.min(axis=0) > hi).any()
             halves = None if apart else split_ring(r, a, b)
-            nxt.extend(halves if halves else (r,))
-        rings = nxt
-    names = [row["piece_id"]] if len(rings) == 1 else [f"{row['piece_id']}.{i}" for i in range(len(rings))]
+            nxt += [(f"{name}.{number}{side}", h) for side, h in zip("lr", halves)] if halves else [(name, r)]
+        parts = nxt
     return pd.DataFrame(
         {
             "polygon_id": row["polygon_id"],
-            "piece_id": names,
+            "piece_id": [name for name, _ in parts],
             "after": int(segs["ord"].max()) if len(segs) else int(row["after"]),
             "more": bool(row["more"]),
-            "world_vertices": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings],
+            "world_vertices": [[{"x": float(x), "y": float(y)} for x, y in r] for _, r in parts],
         }
     )
 
 
-_PIECE = "polygon_id long, piece_id string, after long, more boolean, world_vertices array<struct<x:double,y:double>>"
+_PIECE = "piece_id string, after long, more boolean, world_vertices array<struct<x:double,y:double>>"
 
 
 def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -> DataFrame:
     """Cut ``polygon_id, world_vertices`` by ordered segments.
 
     Returns ``polygon_id, piece_id, world_vertices``; slivers are dropped. A
-    task takes one piece and at most ``batch`` of its segments. A piece with
-    more is cut by the first batch, and its parts - which from then on do not
-    affect each other - go on in the next round with the segments near them.
+    piece is named by its cuts - segment number and side - so names do not
+    depend on ``batch``. Polygons without a segment near are never sent to
+    Python. A task takes one piece and at most ``batch`` of its segments. A
+    piece with more is cut by the first batch, and its parts - which from then
+    on do not affect each other - go on in the next round with the segments near them.
     """
+    schema = f"polygon_id {polygons.schema['polygon_id'].dataType.simpleString()}, {_PIECE}"
     segments = checkpointed(segments)
     pending = polygons.where(F.size("world_vertices") >= 3).select(
         "polygon_id",
@@ -187,7 +189,8 @@ def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -
         pending = checkpointed(pending)
         pairs = checkpointed(candidate_segments(pending, segments))
         load = pairs.groupBy("piece_id").agg((F.count(F.lit(1)) > batch).alias("more"))
-        marked = pending.join(load, "piece_id", "left").withColumn("more", F.coalesce("more", F.lit(False)))
+        marked = pending.join(load, "piece_id")
+        finished.append(pending.join(load, "piece_id", "left_anti").select("polygon_id", "piece_id", "world_vertices"))
         heavy = checkpointed(load.where("more").select("piece_id"))
         taken = pairs
         if not heavy.isEmpty():
@@ -197,7 +200,7 @@ def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -
             first = ranked.where(F.col("_rank") < batch).drop("_rank")
             taken = pairs.join(heavy, "piece_id", "left_anti").unionByName(first)
         near = spread(taken.withColumnRenamed("piece_id", "near_piece"), "near_piece")
-        cut = spread(marked, "piece_id").groupBy("piece_id").cogroup(near.groupBy("near_piece")).applyInPandas(run, _PIECE)
+        cut = spread(marked, "piece_id").groupBy("piece_id").cogroup(near.groupBy("near_piece")).applyInPandas(run, schema)
         if heavy.isEmpty():
             finished.append(cut.drop("after", "more"))
             break

@@ -15,16 +15,22 @@ from landloom.functions import geometry as G
 from landloom.functions import tags as K
 
 TILE = ["tile_col", "tile_row"]
+WINDOW = ["c0", "c1", "r0", "r1"]
 # Land-use types a raster can vote for, in ordinal order (ties: lowest first).
 VOTE_TYPES = tuple(t for t in S.LAND_USE_TYPES if t in set(S.WORLDCOVER_LAND_USE.values()))
 
 
 def pixel_window(polygons: DataFrame, grids: DataFrame, row_origin: str = "north") -> DataFrame:
-    """Pixel range ``c0, c1, r0, r1`` of each polygon's bounding box.
+    """Pixel range ``c0, c1, r0, r1`` of each polygon row's bounding box in its tile's raster.
 
     Ranges are clamped to the raster. ``row_origin`` says where row 0 lies:
     ``north`` is how rasters are written, ``south`` reads them upside down.
     """
+    return _with_window(polygons, grids, row_origin).select("polygon_id", *TILE, *WINDOW)
+
+
+def _with_window(polygons: DataFrame, grids: DataFrame, row_origin: str) -> DataFrame:
+    """Polygon rows that have a raster, with their pixel range."""
     if row_origin not in ("north", "south"):
         raise ValueError("row_origin must be 'north' or 'south'")
     box = polygons.where(F.size("geo_vertices") > 0).withColumn("_b", G.bbox(F.col("geo_vertices")))
@@ -43,8 +49,7 @@ def pixel_window(polygons: DataFrame, grids: DataFrame, row_origin: str = "north
     if row_origin == "north":
         lo, hi = F.col("height") - 1 - hi, F.col("height") - 1 - lo
     return joined.select(
-        "polygon_id",
-        *TILE,
+        *polygons.columns,
         clamp((F.col("_b.min_lon") - F.col("min_lon")) / cw, "width").alias("c0"),
         clamp((F.col("_b.max_lon") - F.col("min_lon")) / cw, "width").alias("c1"),
         lo.alias("r0"),
@@ -82,21 +87,30 @@ def window_counts(windows: DataFrame, pixels: DataFrame, groups: dict[str, Colum
             )
         ]
     )
-    wanted = windows.select(*key, *TILE, F.explode(corners).alias("_c")).select(*key, *TILE, "_c.*")
+    own = list(dict.fromkeys([*key, *TILE]))
+    wanted = windows.select(*own, F.explode(corners).alias("_c")).select(*own, "_c.*")
     wanted = wanted.where("x >= 0 AND y >= 0")
     got = wanted.join(running_counts(pixels, groups), [*TILE, "x", "y"])
     return got.groupBy(*key).agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in groups])
 
 
 def polygon_votes(polygons: DataFrame, pixels: DataFrame, grids: DataFrame, row_origin: str = "north") -> DataFrame:
-    """``polygon_id``, votes per type, ``total_votes`` and ``winner``.
+    """Per polygon row ``polygon_id``, tile, votes per type, ``total_votes`` and ``winner``.
 
     Most votes win, the lowest type ordinal on ties; water wins as soon as it
-    has more than a third of the votes. Polygons without votes are absent.
+    has more than a third of the votes. Polygons without votes are absent; a
+    polygon kept by two tiles has a row for each.
     """
+    windows = pixel_window(polygons, grids, row_origin)
+    return windows.join(_window_votes(windows, pixels), [*TILE, *WINDOW]).drop(*WINDOW)
+
+
+def _window_votes(windows: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Votes and winner per distinct window: they depend on the tile and the window alone."""
     voted = K.worldcover_to_land_use(F.col("code"))
     groups = {f"v_{t}": voted == t for t in VOTE_TYPES}
-    counts = window_counts(pixel_window(polygons, grids, row_origin), pixels, groups, ["polygon_id"])
+    distinct = windows.select(*TILE, *WINDOW).distinct()
+    counts = window_counts(distinct, pixels, groups, [*TILE, *WINDOW])
     total = sum((F.col(n) for n in groups), F.lit(0))
     counts = counts.withColumn("total_votes", total.cast("long")).where("total_votes > 0")
     best = F.greatest(*[F.col(n) for n in groups])
@@ -106,13 +120,18 @@ def polygon_votes(polygons: DataFrame, pixels: DataFrame, grids: DataFrame, row_
 
 
 def fuse_landcover(polygons: DataFrame, pixels: DataFrame, grids: DataFrame, row_origin: str = "north") -> DataFrame:
-    """Replace ``land_use`` by the raster's winner; no votes leave it as it is."""
-    votes = polygon_votes(polygons, pixels, grids, row_origin).select("polygon_id", "winner")
-    return (
-        polygons.join(votes, "polygon_id", "left")
-        .withColumn("land_use", F.coalesce("winner", "land_use"))
-        .select(*polygons.columns)
-    )
+    """Replace ``land_use`` by the raster's winner; no votes leave it as it is.
+
+    Rows meet the votes of their window in their own tile, so ids may be null
+    and may occur in several tiles. Rows without a raster pass unchanged.
+    """
+    placed = _with_window(polygons, grids, row_origin)
+    votes = _window_votes(placed, pixels).select(*TILE, *WINDOW, "winner")
+    fused = placed.join(votes, [*TILE, *WINDOW], "left").withColumn("land_use", F.coalesce("winner", "land_use"))
+    usable = grids.where("width > 0 AND height > 0 AND max_lon > min_lon AND max_lat > min_lat").select(*TILE).distinct()
+    has_shape = F.coalesce(F.size("geo_vertices") > 0, F.lit(False))
+    rest = polygons.where(has_shape).join(usable, TILE, "left_anti").unionByName(polygons.where(~has_shape))
+    return fused.select(*polygons.columns).unionByName(rest.select(*polygons.columns))
 
 
 def majority_class(pixels: DataFrame, start_col: int, start_row: int, region_w: int, region_h: int) -> DataFrame:

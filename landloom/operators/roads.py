@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from landloom.functions import tags as K
 from landloom.operators import spatial
-from landloom.operators.components import touching_cells
 from landloom.operators.indexing import dense_index
 from landloom.session import checkpointed, spread
 
 UNITS_PER_DEGREE = 100000.0
 MERGE_TOLERANCE = 100.0
 SPLIT_TOLERANCE = 50.0
-GROUP_LIMIT = 200_000
+BLOCK = 128
+OPEN, LEADER, MERGED = 0, 1, 2
 
 
 def polyline_segments(lines: DataFrame, keep: list[str], coords: str = "coords") -> DataFrame:
@@ -47,111 +47,103 @@ def road_vertices(roads: DataFrame) -> DataFrame:
     )
 
 
-def _leaders(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """First-come leaders of one group of positions, in order."""
-    cells: dict[tuple[int, int], list[tuple[float, float, int]]] = {}
-    lead = []
-    for x, y, o in sorted(zip(pdf["x"], pdf["y"], pdf["ord"]), key=lambda r: r[2]):
-        cx, cy = int(x // tolerance), int(y // tolerance)
-        best, best_d = None, tolerance * tolerance
-        for i in (cx - 1, cx, cx + 1):
-            for j in (cy - 1, cy, cy + 1):
-                for lx, ly, lo in cells.get((i, j), ()):
-                    d = (lx - x) ** 2 + (ly - y) ** 2
-                    if d < best_d or (d == best_d and best is not None and lo < best):
-                        best, best_d = lo, d
-        if best is None:
-            cells.setdefault((cx, cy), []).append((x, y, o))
-            best = o
-        lead.append((x, y, o, best))
-    return pd.DataFrame(lead, columns=["x", "y", "ord", "leader"])
-
-
-def merge_positions(positions: DataFrame, tolerance: float, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def _near(cells: dict, cx: int, cy: int, x: float, y: float, tolerance: float) -> tuple[float, int] | None:
+    """``(distance squared, ord)`` of the nearest entry within the tolerance, the first on ties."""
+    best = None
+    for i in (cx - 1, cx, cx + 1):
+        for j in (cy - 1, cy, cy + 1):
+            for px, py, o in cells.get((i, j), ()):
+                d = (px - x) ** 2 + (py - y) ** 2
+                if d < tolerance * tolerance and (best is None or (d, o) < best):
+                    best = (d, o)
+    return best
+
+
+def _settle(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """Decide, in order, the positions of one block as far as its rim lets it.
+
+    A position near an earlier leader has merged; one whose earlier neighbours
+    have all merged is a leader; else an open neighbour on the rim decides later.
+    """
+    leaders: dict[tuple[int, int], list] = {}
+    waiting: dict[tuple[int, int], list] = {}
+    out = []
+    for r in pdf.sort_values("ord").itertuples(index=False):
+        state = r.state
+        if state == OPEN and r.own and _near(leaders, r.cx, r.cy, r.x, r.y, tolerance):
+            state = MERGED
+        elif state == OPEN and r.own and not _near(waiting, r.cx, r.cy, r.x, r.y, tolerance):
+            state = LEADER
+        if state != MERGED:
+            (leaders if state == LEADER else waiting).setdefault((r.cx, r.cy), []).append((r.x, r.y, r.ord))
+        if r.own:
+            out.append((r.x, r.y, r.ord, r.cx, r.cy, state))
+    return pd.DataFrame(out, columns=["x", "y", "ord", "cx", "cy", "state"])
+
+
+def _follow(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """Give every position of a block the nearest leader that came before it, or itself."""
+    leaders: dict[tuple[int, int], list] = {}
+    out = []
+    for r in pdf.sort_values("ord").itertuples(index=False):
+        if r.state == LEADER:
+            leaders.setdefault((r.cx, r.cy), []).append((r.x, r.y, r.ord))
+        if r.own:
+            out.append((r.x, r.y, r.ord if r.state == LEADER else _near(leaders, r.cx, r.cy, r.x, r.y, tolerance)[1]))
+    return pd.DataFrame(out, columns=["x", "y", "leader"])
+
+
+def _with_rim(spots: DataFrame, block: int) -> DataFrame:
+    """Spots by block of cells; those on a block's rim go to the blocks beside it, too."""
+
+    def shifts(c: str):
+        at = F.pmod(c, F.lit(block))
+        return F.array_compact(F.array(F.lit(0), F.when(at == 0, -1), F.when(at == block - 1, 1)))
+
+    dealt = spots.withColumn("_i", F.explode(shifts("cx"))).withColumn("_j", F.explode(shifts("cy")))
+    dealt = dealt.withColumns(
+        {
+            "bx": F.floor(F.col("cx") / block) + F.col("_i"),
+            "by": F.floor(F.col("cy") / block) + F.col("_j"),
+            "own": (F.col("_i") == 0) & (F.col("_j") == 0),
+        }
+    )
+    return spread(dealt.drop("_i", "_j"), "bx", "by")
+
+
+def merge_positions(positions: DataFrame, tolerance: float, block: int = BLOCK) -> DataFrame:
     """First-come merging of positions ``x, y, ord`` (``ord`` unique).
 
     In ``ord`` order, a position within the tolerance of existing leaders joins
     the nearest one, otherwise it becomes a leader. Returns ``x, y, ord,
     leader`` with the leader's ``ord``.
 
-    Only the first copy of an equal position takes part. Occupied cells of
-    tolerance size that touch form groups which cannot influence each other;
-    groups up to ``group_limit`` positions replay in one task each, larger ones
-    run as rounds over the cells.
+    Only the first copy of an equal position takes part. Blocks of cells of
+    tolerance size are replayed side by side, each with its rim; what hangs on
+    an open position of the rim waits for the next round. A round settles all
+    of a chain of positions that lies in one block, so the number of rounds is
+    the number of block borders that the longest such chain crosses.
     """
-    spots = checkpointed(positions.groupBy("x", "y").agg(F.min("ord").alias("ord")))
+    spots = positions.groupBy("x", "y").agg(F.min("ord").alias("ord"))
     cell = [F.floor(F.col(c) / float(tolerance)).cast("long").alias(f"c{c}") for c in ("x", "y")]
-    celled = spots.select("x", "y", "ord", *cell)
-    cells = checkpointed(celled.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
-    grouped = cells.join(touching_cells(cells), ["cx", "cy"])
-    totals = grouped.groupBy("grp").agg(F.sum("n").alias("total"))
-    grouped = grouped.join(totals, "grp").select("cx", "cy", "grp", "total")
-    placed = checkpointed(celled.join(grouped, ["cx", "cy"]))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _leaders(pdf, float(tolerance))
-
-    out = (
-        spread(placed.where(F.col("total") <= group_limit), "grp")
-        .groupBy("grp")
-        .applyInPandas(run, "x double, y double, ord long, leader long")
-    )
-    big = placed.where(F.col("total") > group_limit).select("x", "y", "ord")
-    if not big.isEmpty():
-        out = out.unionByName(_merge_in_rounds(big, float(tolerance)))
-    spots_out = out.select("x", "y", "leader")
-    return positions.join(spots_out, ["x", "y"]).select("x", "y", "ord", "leader")
-
+    spots = checkpointed(spots.select("x", "y", "ord", *cell, F.lit(OPEN).alias("state")))
 
-def _merge_in_rounds(spots: DataFrame, tolerance: float) -> DataFrame:
-    """First-come merging as rounds over cells.
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _settle(pdf, float(tolerance))
 
-    Cells have half the tolerance as side, so positions of one cell are always
-    within the tolerance of each other and a cell holds at most one leader. A
-    cell's earliest open position becomes a leader when every cell in reach has
-    only later open positions; then all open positions near new leaders close.
-    """
-    side = tolerance / 2.0
-    reach = 2
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    cells = {c: F.floor(F.col(a) / side).cast("long") for c, a in (("cx", "x"), ("cy", "y"))}
-
-    def around(df: DataFrame) -> DataFrame:
-        return (
-            df.withColumn("_i", F.explode(span))
-            .withColumn("_j", F.explode(span))
-            .withColumns({"cx": F.col("cx") + F.col("_i"), "cy": F.col("cy") + F.col("_j")})
-            .drop("_i", "_j")
-        )
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _follow(pdf, float(tolerance))
 
-    waiting = checkpointed(spots.withColumns(cells))
-    leaders: list[DataFrame] = []
-    while not waiting.isEmpty():
-        first = waiting.groupBy("cx", "cy").agg(F.min(F.struct("ord", "x", "y")).alias("f")).select("cx", "cy", "f.*")
-        seen = around(first.select("cx", "cy", F.col("ord").alias("other"))).groupBy("cx", "cy").agg(
-            F.min("other").alias("earliest")
-        )
-        new = checkpointed(first.join(seen, ["cx", "cy"]).where("ord <= earliest").select("cx", "cy", "ord", "x", "y"))
-        leaders.append(new.select("ord", "x", "y"))
-        close = around(new.select("cx", "cy", F.col("x").alias("lx"), F.col("y").alias("ly")))
-        d2 = (F.col("x") - F.col("lx")) ** 2 + (F.col("y") - F.col("ly")) ** 2
-        covered = waiting.join(close, ["cx", "cy"]).where(d2 < tolerance * tolerance).select("ord").distinct()
-        waiting = checkpointed(waiting.join(covered, "ord", "left_anti"))
-    every = leaders[0]
-    for df in leaders[1:]:
-        every = every.unionByName(df)
-    every = checkpointed(every)
-    # Nearest leader that came before the position (or is the position).
-    placed = every.withColumns(cells).select("cx", "cy", F.col("ord").alias("leader"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    d2 = (F.col("x") - F.col("lx")) ** 2 + (F.col("y") - F.col("ly")) ** 2
-    pairs = spots.withColumns(cells).join(around(placed), ["cx", "cy"]).withColumn("d2", d2)
-    pairs = pairs.where((F.col("d2") < tolerance * tolerance) & (F.col("leader") <= F.col("ord")))
-    return pairs.groupBy("x", "y", "ord").agg(F.min(F.struct("d2", "leader")).alias("m")).select(
-        "x", "y", "ord", F.col("m.leader").alias("leader")
-    )
+    while True:
+        blocks = _with_rim(spots, block).groupBy("bx", "by")
+        spots = checkpointed(blocks.applyInPandas(settle, "x double, y double, ord long, cx long, cy long, state int"))
+        if spots.where(F.col("state") == OPEN).isEmpty():
+            break
+    led = _with_rim(spots, block).groupBy("bx", "by").applyInPandas(follow, "x double, y double, leader long")
+    return positions.join(led, ["x", "y"]).select("x", "y", "ord", "leader")
 
 
-def build_graph(roads: DataFrame, tolerance: float = MERGE_TOLERANCE, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+def build_graph(roads: DataFrame, tolerance: float = MERGE_TOLERANCE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` of road features before splitting.
 
     Nodes ``node_id, x, y, lon, lat`` are numbered in order of first use, edges
@@ -161,7 +153,7 @@ def build_graph(roads: DataFrame, tolerance: float = MERGE_TOLERANCE, group_limi
     ordered = checkpointed(
         dense_index(vertices, [F.floor(F.col("feature_id") / 65536)], [F.col("feature_id"), F.col("vertex_no")], "ord")
     )
-    merged = merge_positions(ordered.select("x", "y", "ord"), tolerance, group_limit)
+    merged = merge_positions(ordered.select("x", "y", "ord"), tolerance, block)
     led = checkpointed(ordered.join(merged.select("ord", "leader"), "ord"))
     leads = led.where("ord = leader").select("ord", "x", "y", "lon", "lat")
     nodes = checkpointed(dense_index(leads, [F.floor(F.col("ord") / 65536)], [F.col("ord")], "node_id"))

@@ -10,12 +10,18 @@ from landloom.functions import tags as K
 from landloom.operators import filters as Fl
 from landloom.schema import LAND_USE_TYPES
 
+JITTER_PRIME = 16777213
 
 
 def _jitter(seed: int, axis: str, amount: float) -> Column:
-    """Uniform offset in [-amount, amount) from a hash of the lattice position."""
-    h = F.xxhash64(F.lit(seed), F.lit(axis), F.col("polygon_id"), F.col("ix"), F.col("iy"))
-    return ((F.pmod(h, F.lit(1 << 24)) / float(1 << 24)) * 2.0 - 1.0) * float(amount)
+    """Uniform offset in [-amount, amount) from the lattice position.
+
+    Whole-number arithmetic modulo a prime, the same in any engine.
+    """
+    start = F.lit(seed * 7919 + {"x": 104729, "y": 1299709}[axis]).cast("long")
+    at = start + F.pmod(F.col("polygon_id"), F.lit(65521)) * 40503 + F.col("ix") * 2654435 + F.col("iy") * 97531
+    at = F.pmod(at, F.lit(JITTER_PRIME))
+    return ((F.pmod(at * at + at * 7, F.lit(JITTER_PRIME)) / float(JITTER_PRIME)) * 2.0 - 1.0) * float(amount)
 
 
 def lattice_points(polygons: DataFrame, interval_cm: float = 1000.0, jitter_cm: float = 0.0, seed: int = 42) -> DataFrame:
@@ -26,8 +32,8 @@ def lattice_points(polygons: DataFrame, interval_cm: float = 1000.0, jitter_cm:
     not depend on execution order; the inside test follows the offset.
 
     Each lattice row of a polygon carries only the edges near that row. The
-    rows are spread over tasks before their columns are expanded, so a very
-    large polygon is shared out row by row.
+    rows are dealt out by polygon and row before edges are gathered and columns
+    expanded, so a very large polygon is shared out row by row.
     """
     cols = [c for c in ("land_use", "building_density", "vegetation_density") if c in polygons.columns]
     shapes = polygons.where(F.size("world_vertices") >= 3)
@@ -45,12 +51,14 @@ def lattice_points(polygons: DataFrame, interval_cm: float = 1000.0, jitter_cm:
     first = F.greatest(F.lit(0), F.ceil(row(F.least("ay", "by") - reach) - 1e-6))
     last = F.least(last_row, F.floor(row(F.greatest("ay", "by") + reach) + 1e-6))
     banded = (
-        edges.join(box.select("polygon_id", "min_y", "max_y"), "polygon_id")
+        edges.join(box, "polygon_id")
         .withColumn("iy", F.explode(F.when(first <= last, F.sequence(first, last))))
-        .groupBy("polygon_id", "iy")
-        .agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("near"))
+        .repartition("polygon_id", "iy")
+    )
+    carried = [c for c in box.columns if c != "polygon_id"]
+    rows = banded.groupBy("polygon_id", "iy").agg(
+        F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("near"), *[F.first(c).alias(c) for c in carried]
     )
-    rows = banded.join(box, "polygon_id")
     columns = F.sequence(F.lit(0).cast("long"), F.floor((F.col("max_x") - F.col("min_x")) / step))
     grid = rows.withColumn("ix", F.explode(columns))
     dx = _jitter(seed, "x", reach) if reach else F.lit(0.0)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.functions import geometry as G
@@ -306,31 +307,51 @@ def flag_inside_any(
 def _judge_cells(cells: DataFrame, edges: DataFrame, tall: Column, width, cell_key: list[str]) -> DataFrame:
     """State of each (area, cell): ``full``, ``cut``; cells outside are dropped.
 
-    A cell is uniform when no counted edge overlaps it and no left-out edge
-    shares its latitudes; its centre then speaks for every point in it.
+    Edges are walked row of cells by row of cells: they cut the cells they pass
+    through, and where they cross the middle of a row the cells to the west have
+    one more crossing. A cell that no edge passes and whose row holds no
+    left-out edge is uniform; its count then speaks for every point in it. The
+    rows made grow with the length of the outline, not with cells times edges.
     """
     w = width(F.col("level"))
-    box = cells.withColumns(
-        {
-            "cx0": F.col("cx") * w,
-            "cy0": F.col("cy") * w,
-            "cx1": (F.col("cx") + 1) * w,
-            "cy1": (F.col("cy") + 1) * w,
-        }
-    )
-    mid_x, mid_y = (F.col("cx0") + F.col("cx1")) / 2.0, (F.col("cy0") + F.col("cy1")) / 2.0
     slack = 1e-9
-    y_overlap = (F.least("ay", "by") <= F.col("cy1") + slack) & (F.greatest("ay", "by") >= F.col("cy0") - slack)
-    x_overlap = (F.least("ax", "bx") <= F.col("cx1") + slack) & (F.greatest("ax", "bx") >= F.col("cx0") - slack)
-    touches = y_overlap & F.when(tall, x_overlap).otherwise(F.col("ay") != F.col("by"))
-    crosses = tall & G.edge_crosses_ray(mid_x, mid_y, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    agg = (
-        box.join(edges, "wid")
-        .groupBy(*cell_key, "wid", "n_points")
-        .agg(F.count_if(touches).alias("touching"), F.count_if(crosses).alias("crossings"))
+    row_key = ["wid", "level", "cy"]
+    rows_used = cells.select(*row_key).distinct()
+
+    def index(v: Column) -> Column:
+        return F.floor(v / w).cast("long")
+
+    walked = edges.join(cells.select("wid", "level").distinct(), "wid").withColumn(
+        "cy", F.explode(F.sequence(index(F.least("ay", "by") - slack), index(F.greatest("ay", "by") + slack)))
     )
-    state = F.when(F.col("touching") > 0, "cut").when(F.col("crossings") % 2 == 1, "full")
-    return agg.select(*cell_key, "wid", "n_points", state.alias("state")).where("state IS NOT NULL")
+    walked = checkpointed(walked.join(rows_used, row_key, "left_semi"))
+    rise = F.col("by") - F.col("ay")
+
+    def x_at(y: Column) -> Column:
+        part = F.when(rise == 0.0, F.lit(0.0)).otherwise((y - F.col("ay")) / F.when(rise == 0.0, F.lit(1.0)).otherwise(rise))
+        return F.col("ax") + (F.col("bx") - F.col("ax")) * F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
+
+    low, high = F.col("cy") * w - slack, (F.col("cy") + 1) * w + slack
+    level_edge = rise == 0.0
+    ends = [F.when(level_edge, F.col("ax")).otherwise(x_at(low)), F.when(level_edge, F.col("bx")).otherwise(x_at(high))]
+    passed = walked.where(tall).withColumn(
+        "cx", F.explode(F.sequence(index(F.least(*ends) - slack), index(F.greatest(*ends) + slack)))
+    )
+    passed = passed.select(*row_key, "cx").distinct().withColumn("_cut", F.lit(True))
+    left_out = walked.where(~tall & (F.col("ay") != F.col("by"))).select(*row_key).distinct().withColumn("_flat", F.lit(True))
+
+    middle = (F.col("cy") + 0.5) * w
+    spans = (F.col("ay") > middle) != (F.col("by") > middle)
+    at = F.try_divide((F.col("bx") - F.col("ax")) * (middle - F.col("ay")), rise) + F.col("ax")
+    crossed = walked.where(tall & spans).select(*row_key, index(at).alias("cx")).groupBy(*row_key, "cx").agg(F.count(F.lit(1)).alias("n"))
+    marks = crossed.withColumn("_cell", F.lit(False)).unionByName(
+        cells.select(*row_key, "cx", F.lit(0).cast("long").alias("n"), F.lit(True).alias("_cell"))
+    )
+    east = W.partitionBy(*row_key).orderBy(F.desc("cx")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    counted = marks.withColumn("crossings", F.sum("n").over(east)).where("_cell").select(*row_key, "cx", "crossings")
+    judged = cells.join(counted, [*row_key, "cx"]).join(passed, [*row_key, "cx"], "left").join(left_out, row_key, "left")
+    state = F.when(F.coalesce("_cut", "_flat", F.lit(False)), "cut").when(F.col("crossings") % 2 == 1, "full")
+    return judged.select(*cell_key, "wid", "n_points", state.alias("state")).where("state IS NOT NULL")
 
 
 def _parity(pairs: DataFrame, shapes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
@@ -409,6 +430,10 @@ def crossing_segments(segments: DataFrame, cell: float, eps: float = 0.001, max_
     end node are no pair. Returns ``a_id, b_id`` (a < b) with the parameters
     ``t, u`` and the crossing ``x, y``. Segments between the same two nodes are
     reduced to one before pairing and expanded only in the found crossings.
+    Crowded cells are cut finer. Segments that meet in one node stay together
+    however fine the cells are, and need no pairing among themselves: a cell's
+    busiest node is its hub, only the segments beside it count as crowd, and
+    pairs have at least one of those.
     """
     ends = ["n0", "n1", "x0", "y0", "x1", "y1"]
     distinct = segments.groupBy(*ends).agg(F.min("seg_id").alias("sid"))
@@ -417,10 +442,18 @@ def crossing_segments(segments: DataFrame, cell: float, eps: float = 0.001, max_
     for depth in range(max_depth + 1):
         pending = checkpointed(pending)
         load = pending.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-        hot = load.where(F.col("n") > CELL_CAPACITY).select("cx", "cy")
+        crowded = checkpointed(load.where(F.col("n") > CELL_CAPACITY))
+        if crowded.isEmpty():
+            found.append(_cross_in_cells(pending.withColumn("hub", F.lit(None).cast(pending.schema["n0"].dataType)), eps))
+            break
+        node = F.explode(F.array_distinct(F.array("n0", "n1"))).alias("node")
+        degrees = pending.join(crowded, ["cx", "cy"]).select("cx", "cy", "n", node).groupBy("cx", "cy", "n", "node").agg(F.count(F.lit(1)).alias("d"))
+        hubs = degrees.groupBy("cx", "cy", "n").agg(F.max(F.struct("d", "node")).alias("h"))
+        hubs = checkpointed(hubs.select("cx", "cy", F.col("h.node").alias("hub"), (F.col("n") - F.col("h.d")).alias("beside")))
+        hot = hubs.where(F.col("beside") > CELL_CAPACITY).select("cx", "cy")
         last = depth == max_depth or hot.isEmpty()
         settled = pending if last else pending.join(hot, ["cx", "cy"], "left_anti")
-        found.append(_cross_in_cells(settled, eps))
+        found.append(_cross_in_cells(settled.join(hubs.select("cx", "cy", "hub"), ["cx", "cy"], "left"), eps))
         if last:
             break
         size /= SPLIT
@@ -446,17 +479,24 @@ def crossing_segments(segments: DataFrame, cell: float, eps: float = 0.001, max_
 
 def _cross_in_cells(cells: DataFrame, eps: float) -> DataFrame:
     cols = ["sid", "n0", "n1", "x0", "y0", "x1", "y1"]
-    a = cells.select("cx", "cy", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = cells.select("cx", "cy", *[F.col(c).alias(f"b_{c}") for c in cols])
+    at_hub = F.coalesce((F.col("n0") == F.col("hub")) | (F.col("n1") == F.col("hub")), F.lit(False))
+    marked = cells.withColumn("_at_hub", at_hub)
+    a = marked.where(~F.col("_at_hub")).select("cx", "cy", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = marked.select("cx", "cy", "_at_hub", *[F.col(c).alias(f"b_{c}") for c in cols])
     apart = (
         (F.col("a_n0") != F.col("b_n0"))
         & (F.col("a_n0") != F.col("b_n1"))
         & (F.col("a_n1") != F.col("b_n0"))
         & (F.col("a_n1") != F.col("b_n1"))
     )
-    t, u, denom = G.line_parameters(*[F.col(f"{s}_{c}") for s in "ab" for c in ("x0", "y0", "x1", "y1")])
-    joined = a.join(b, ["cx", "cy"]).where((F.col("a_sid") < F.col("b_sid")) & apart)
-    hit = joined.withColumns({"t": t, "u": u, "_d": F.abs(denom)}).where(
+    joined = a.join(b, ["cx", "cy"]).where((F.col("_at_hub") | (F.col("a_sid") < F.col("b_sid"))) & apart)
+    # The segment of the lower id comes first, whichever side it was on.
+    first = F.col("a_sid") < F.col("b_sid")
+    lower = F.when(first, F.struct(*[F.col(f"a_{c}").alias(c) for c in cols])).otherwise(F.struct(*[F.col(f"b_{c}").alias(c) for c in cols]))
+    upper = F.when(first, F.struct(*[F.col(f"b_{c}").alias(c) for c in cols])).otherwise(F.struct(*[F.col(f"a_{c}").alias(c) for c in cols]))
+    pair = joined.select(lower.alias("p"), upper.alias("q"))
+    t, u, denom = G.line_parameters(*[F.col(f"{s}.{c}") for s in "pq" for c in ("x0", "y0", "x1", "y1")])
+    hit = pair.withColumns({"t": t, "u": u, "_d": F.abs(denom)}).where(
         (F.col("_d") >= G.PARALLEL_EPS)
         & (F.col("t") > eps)
         & (F.col("t") < 1.0 - eps)
@@ -464,10 +504,10 @@ def _cross_in_cells(cells: DataFrame, eps: float) -> DataFrame:
         & (F.col("u") < 1.0 - eps)
     )
     return hit.select(
-        F.col("a_sid").alias("sid_a"),
-        F.col("b_sid").alias("sid_b"),
+        F.col("p.sid").alias("sid_a"),
+        F.col("q.sid").alias("sid_b"),
         "t",
         "u",
-        (F.col("a_x0") + (F.col("a_x1") - F.col("a_x0")) * F.col("t")).alias("x"),
-        (F.col("a_y0") + (F.col("a_y1") - F.col("a_y0")) * F.col("t")).alias("y"),
+        (F.col("p.x0") + (F.col("p.x1") - F.col("p.x0")) * F.col("t")).alias("x"),
+        (F.col("p.y0") + (F.col("p.y1") - F.col("p.y0")) * F.col("t")).alias("y"),
     )

@@ -1,7 +1,9 @@
 """Slope, aspect and terrain class of raster cells.
 
-A raster is a long table ``grid_id, x, y, elev`` with row 0 in the south. Only
-one row or one column of a raster is ever sorted together.
+A raster is a long table ``grid_id, x, y, elev`` with row 0 in the south.
+Neighbours are read in square blocks with a rim of one cell: a raster of any
+shape is dealt out by block, in one shuffle, and only a block's row or column is
+ever sorted together.
 """
 
 from __future__ import annotations
@@ -16,15 +18,37 @@ from landloom.schema import TerrainConfig
 GRID = "grid_id"
 
 
+BLOCK = 512
+_KEYS = ["_bx", "_by", "_own"]
+
+
+def _blocks(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Cells dealt out by block; a cell on a block's rim goes to the blocks beside it, too (``_own`` false)."""
+
+    def shifts(c: str):
+        at = F.pmod(c, F.lit(block))
+        return F.array_compact(F.array(F.lit(0), F.when(at == 0, -1), F.when(at == block - 1, 1)))
+
+    spread = cells.withColumn("_sx", F.explode(shifts("x"))).withColumn("_sy", F.explode(shifts("y")))
+    spread = spread.withColumns(
+        {
+            "_bx": F.floor(F.col("x") / block) + F.col("_sx"),
+            "_by": F.floor(F.col("y") / block) + F.col("_sy"),
+            "_own": (F.col("_sx") == 0) & (F.col("_sy") == 0),
+        }
+    )
+    return spread.drop("_sx", "_sy").repartition(GRID, "_bx", "_by")
+
+
 def _row():
-    return W.partitionBy(GRID, "y").orderBy("x")
+    return W.partitionBy(GRID, "_bx", "_by", "y").orderBy("x")
 
 
 def _column():
-    return W.partitionBy(GRID, "x").orderBy("y")
+    return W.partitionBy(GRID, "_bx", "_by", "x").orderBy("y")
 
 
-def gradients(cells: DataFrame) -> DataFrame:
+def gradients(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add the 3x3 weighted differences ``gx, gy`` (edge cells repeat).
 
     The 3x3 kernel is separable, so two one-dimensional passes replace nine
@@ -33,7 +57,7 @@ def gradients(cells: DataFrame) -> DataFrame:
     """
     left = F.coalesce(F.lag("elev").over(_row()), F.col("elev"))
     right = F.coalesce(F.lead("elev").over(_row()), F.col("elev"))
-    across = cells.withColumns({"_dx": right - left, "_sx": left + 2.0 * F.col("elev") + right})
+    across = _blocks(cells, block).withColumns({"_dx": right - left, "_sx": left + 2.0 * F.col("elev") + right})
 
     def before(c):
         return F.coalesce(F.lag(c).over(_column()), F.col(c))
@@ -46,7 +70,7 @@ def gradients(cells: DataFrame) -> DataFrame:
             "gx": before("_dx") + 2.0 * F.col("_dx") + after("_dx"),
             "gy": after("_sx") - before("_sx"),
         }
-    ).drop("_dx", "_sx")
+    ).where("_own").drop("_dx", "_sx", *_KEYS)
 
 
 def slope_aspect(cells: DataFrame, cell_size_m: float = 30.0) -> DataFrame:
@@ -86,7 +110,7 @@ def class_grid(cells: DataFrame) -> DataFrame:
     return cells.select(GRID, "x", "y", "terrain_class")
 
 
-def with_neighbours(cells: DataFrame, column: str) -> DataFrame:
+def with_neighbours(cells: DataFrame, column: str, block: int = BLOCK) -> DataFrame:
     """Add ``n_left, n_right, n_up, n_down``: the column at the 4 neighbours.
 
     NULL where there is no neighbour. ``up`` is y-1 and ``down`` y+1.
@@ -95,7 +119,7 @@ def with_neighbours(cells: DataFrame, column: str) -> DataFrame:
     def at(fn, window, axis, step):
         return F.when(fn(axis).over(window) == F.col(axis) + step, fn(column).over(window))
 
-    return cells.withColumns(
+    beside = _blocks(cells, block).withColumns(
         {
             "n_left": at(F.lag, _row(), "x", -1),
             "n_right": at(F.lead, _row(), "x", 1),
@@ -106,6 +130,7 @@ def with_neighbours(cells: DataFrame, column: str) -> DataFrame:
             "n_down": at(F.lead, _column(), "y", 1),
         }
     )
+    return beside.where("_own").drop(*_KEYS)
 
 
 def flag_border_cells(cells: DataFrame, zone: str = "zone_id") -> DataFrame:

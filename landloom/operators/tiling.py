@@ -71,18 +71,25 @@ def with_tile_bounds(tiles: DataFrame, grid: Grid) -> DataFrame:
 
 
 def tile_table(assigned: DataFrame, grid: Grid) -> DataFrame:
-    """The tile list of a tiling run: counts, bounds and relative paths."""
+    """The tile list of a tiling run: counts, bounds and relative paths.
+
+    ``geojson`` names the tile's folder in the stored feature table.
+    """
     tiles = with_tile_bounds(tile_counts(assigned), grid)
-    name = P.tile_id(F.col("tile_col"), F.col("tile_row"))
     return tiles.withColumns(
         {
-            "geojson": F.concat(F.lit("tiles/"), name, F.lit("/osm.geojson")),
+            "geojson": stored_folder("features"),
             "dem": F.lit(""),
             "landcover": F.lit(""),
         }
     )
 
 
+def stored_folder(kind: str):
+    """Relative folder of a tile in a table partitioned by tile."""
+    return F.concat(F.lit(f"{kind}/tile_col="), F.col("tile_col").cast("string"), F.lit("/tile_row="), F.col("tile_row").cast("string"))
+
+
 def manifest_rollup(tiles: DataFrame) -> DataFrame:
     """Grid extent, total bounds, and feature total of a tile list (one row)."""
     agg = tiles.agg(

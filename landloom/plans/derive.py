@@ -116,14 +116,16 @@ def polygons_from_zones(
     outlines = zones.zone_outlines(cells, bounds, shape, origin_lon, origin_lat)
     kept = outlines.join(zone_rows.select("grid_id", "zone_id"), ["grid_id", "zone_id"], "left_semi")
     segments = cutting.cut_segments(features, origin_lon, origin_lat)
-    pieces = cutting.cut_polygons(kept.select(F.col("zone_id").alias("polygon_id"), "world_vertices"), segments)
-    info = zone_rows.select(F.col("zone_id").alias("polygon_id"), "avg_elevation", "avg_slope", "terrain_class")
+    key = F.to_json(F.struct("grid_id", "zone_id")).alias("polygon_id")
+    pieces = cutting.cut_polygons(kept.select(key, "world_vertices"), segments)
+    info = zone_rows.select(key, "grid_id", "zone_id", "avg_elevation", "avg_slope", "terrain_class")
     sized = pieces.join(info, "polygon_id").withColumns(
         {"area_sqm": G.area_sqm(F.col("world_vertices")), "_c": G.vertex_mean(F.col("world_vertices"), "x", "y")}
     )
     typed = Fl.min_area(sized, min_area_sqm).select(
         F.xxhash64("piece_id").alias("polygon_id"),
-        F.col("polygon_id").alias("zone_id"),
+        "grid_id",
+        "zone_id",
         "piece_id",
         K.terrain_to_land_use(F.col("terrain_class")).alias("land_use"),
         "world_vertices",

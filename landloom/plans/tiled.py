@@ -13,7 +13,7 @@ from landloom.schema import RECT_FIELDS, ClassifyRules
 from landloom.session import checkpointed
 from landloom.sinks import tiles as K
 from landloom.sources import dem as dem_source
-from landloom.sources import discovery, geojson
+from landloom.sources import discovery, geojson, manifest
 
 TILE = ["tile_col", "tile_row"]
 
@@ -119,39 +119,52 @@ def preprocess(
     skip_landcover: bool = False,
     skip_validation: bool = False,
     placeholder_landcover: bool = False,
+    lines: bool = False,
 ) -> DataFrame:
     """Tile a folder of inputs and write the result; returns the issues found.
 
     ``landcover_raster`` is ``(pixels, transform, width, height)`` of a decoded
-    raster; there is no image codec here.
+    raster; there is no image codec here. ``lines`` reads newline-delimited
+    features, the splittable form. The output holds ``features`` (a table
+    partitioned by tile, which the tiled provider reads), ``landcover``, ``dem``,
+    ``tiles`` and the ``manifest``, whose paths are checked against what is stored.
     """
     listed = discovery.discover_inputs(spark, input_dir)
     vector = [r[0] for r in listed.where("kind = 'geojson'").orderBy("path").collect()]  # file names
     if not vector:
         raise FileNotFoundError(f"no GeoJSON files in {input_dir}")
-    features = geojson.read_geojson(spark, vector)
+    features = (geojson.read_geojson_lines if lines else geojson.read_geojson)(spark, vector)
     assigned, tiles = cut_into_tiles(features, grid)
     K.write_tiled_features(assigned, f"{output_dir}/features", "overwrite")
     tiles = checkpointed(tiles)
     if not skip_dem and not listed.where("kind = 'dem'").isEmpty():
-        dem_tiles, pixels = dem_source.read_dem(spark, input_dir, *dem_size)
+        dem_tiles, pixels = dem_source.read_dem(spark, input_dir, *dem_size, only=listed.where("kind = 'dem'"))
         K.write_dem_tiles(elevation.resample_tiles(tiles, dem_tiles, pixels), f"{output_dir}/dem", "overwrite")
-        tiles = tiles.withColumn("dem", F.lit("dem"))
+        heights = spark.read.parquet(f"{output_dir}/dem").select(*TILE).distinct().withColumn("_dem", tiling.stored_folder("dem"))
+        tiles = tiles.join(heights, TILE, "left").withColumn("dem", F.coalesce("_dem", F.lit(""))).drop("_dem")
     if not skip_landcover and landcover_raster is not None:
         pixels, transform, width, height = landcover_raster
         crops = landcover.crop_to_tiles(tiles, pixels, transform, width, height)
         K.write_landcover(K.landcover_documents(crops, tiles, transform[1]), f"{output_dir}/landcover", "overwrite")
-        covered = crops.select(*TILE).distinct().withColumn("_lc", F.lit("landcover"))
+        covered = crops.select(*TILE).distinct().withColumn("_lc", K.landcover_folder())
         tiles = tiles.join(covered, TILE, "left").withColumn("landcover", F.coalesce("_lc", F.lit(""))).drop("_lc")
     elif not skip_landcover and placeholder_landcover:
         crops = landcover.placeholder_landcover(tiles)
         K.write_landcover(K.landcover_documents(crops, tiles, 0.0), f"{output_dir}/landcover", "overwrite")
-        tiles = tiles.withColumn("landcover", F.lit("landcover"))
+        tiles = tiles.withColumn("landcover", K.landcover_folder())
     tiles = checkpointed(tiles)
     K.write_manifest(tiles, grid, f"{output_dir}/manifest")
     tiles.write.mode("overwrite").parquet(f"{output_dir}/tiles")
     if skip_validation:
         return validate.tile_issues(tiles, tiles.select(*TILE, F.col("feature_count").alias("actual_count"))).where("false")
+    return validate_output(spark, output_dir)
+
+
+def validate_output(spark: SparkSession, output_dir: str) -> DataFrame:
+    """Issues of a stored tiling output: its manifest against the files that are there."""
+    docs = spark.read.text(f"{output_dir}/manifest", wholetext=True)
+    _, tiles = manifest.parse_manifest(docs)
     stored = spark.read.parquet(f"{output_dir}/features").groupBy(*TILE).agg(F.count(F.lit(1)).alias("actual_count"))
-    return validate.tile_issues(tiles, stored)
+    found = validate.manifest_issues(docs).unionByName(validate.tile_issues(tiles, stored, discovery.stored_folders(spark, output_dir)))
+    return found
 

@@ -108,6 +108,11 @@ def landcover_documents(crops: DataFrame, tiles: DataFrame, pixel_degrees: float
     return joined.select(*TILE, F.to_json(F.struct("width", "height", "cell_size_m", "classes")).alias("value"))
 
 
+def landcover_folder():
+    """Relative folder of a tile's land cover."""
+    return F.concat(F.lit("landcover/tile_id="), P.tile_id(F.col("tile_col"), F.col("tile_row")))
+
+
 def write_landcover(documents: DataFrame, path: str, mode: str = "error") -> None:
     named = documents.select(P.tile_id(F.col("tile_col"), F.col("tile_row")).alias("tile_id"), "value")
     named.repartition("tile_id").write.mode(mode).partitionBy("tile_id").text(path)

@@ -1,7 +1,8 @@
 """ArcGIS feature-service source (Python DataSource API).
 
-Each layer is one input partition, paged in order with the public REST query
-parameters; the server applies ``where``, the field list and the envelope.
+A layer whose size the server tells is dealt out in ranges of offsets, one input
+partition each; other layers are one partition, paged to their end. The server
+applies ``where``, the field list and the envelope.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from landloom.operators.indexing import dense_index
 from landloom.sources.geojson import parse_features
 
 DEFAULT_PAGE = 2000
+PAGES_PER_PARTITION = 50
 TIMEOUT_SEC = 30
 
 
@@ -39,38 +42,59 @@ def query_url(layer: str, where: str, out_fields: str, page: int, bounds=None, o
     return url + (f"&token={token}" if token else "")
 
 
-class _Layer(InputPartition):
-    def __init__(self, url: str, order: int):
-        super().__init__(url)
-        self.url, self.order = url, order
+class _Span(InputPartition):
+    """Offsets ``start`` to ``stop`` (None: to the end) of a layer."""
+
+    def __init__(self, url: str, order: int, start: int, stop: int | None):
+        super().__init__((url, start))
+        self.url, self.order, self.start, self.stop = url, order, start, stop
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, fetch: Callable[[str], str]):
         self.options, self.fetch = options, fetch
 
+    def _url(self, layer: str, offset: int) -> str:
+        o, raw = self.options, self.options.get("bounds", "")
+        bounds = [float(v) for v in raw.split(",")] if raw else None
+        page = int(o.get("max_record_count", DEFAULT_PAGE))
+        return query_url(layer, o.get("where", "1=1"), o.get("out_fields", "*"), page, bounds, offset, o.get("token", ""))
+
+    def _count(self, layer: str) -> int | None:
+        """Features of a layer, if the server answers count queries."""
+        try:
+            return int(json.loads(self.fetch(self._url(layer, 0) + "&returnCountOnly=true"))["count"])
+        except Exception:
+            return None
+
     def partitions(self):
         urls = [self.options["url"], *[u for u in self.options.get("extra_layers", "").split(",") if u]]
-        return [_Layer(u, i) for i, u in enumerate(urls)]
-
-    def read(self, partition: _Layer) -> Iterator[tuple]:
-        o = self.options
-        page = int(o.get("max_record_count", DEFAULT_PAGE))
-        raw = o.get("bounds", "")
-        bounds = [float(v) for v in raw.split(",")] if raw else None
-        offset = 0
-        while True:
-            url = query_url(partition.url, o.get("where", "1=1"), o.get("out_fields", "*"), page, bounds, offset, o.get("token", ""))
+        span = int(self.options.get("max_record_count", DEFAULT_PAGE)) * PAGES_PER_PARTITION
+        out = []
+        for i, url in enumerate(urls):
+            n = self._count(url)
+            starts = list(range(0, n, span)) or [0] if n is not None else [0]
+            out += [_Span(url, i, s, e) for s, e in zip(starts, [*starts[1:], None])]
+        return out
+
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        page = int(self.options.get("max_record_count", DEFAULT_PAGE))
+        offset = partition.start
+        while partition.stop is None or offset < partition.stop:
             try:
-                features = json.loads(self.fetch(url))["features"]
+                reply = json.loads(self.fetch(self._url(partition.url, offset)))
+                features = reply["features"]
             except Exception:
-                # Pages already read stay; only a main layer without any page fails.
-                if offset == 0 and partition.order == 0:
+                # Part of a layer is no result, unless asked for; a main layer must give a page.
+                if self.options.get("partial", "fail") != "keep" or (offset == 0 and partition.order == 0):
                     raise
                 return
             for i, feature in enumerate(features):
-                yield partition.url, offset + i, json.dumps(feature, ensure_ascii=False)
-            if len(features) < page:
+                if partition.stop is None or offset + i < partition.stop:
+                    yield partition.url, partition.order, offset + i, json.dumps(feature, ensure_ascii=False)
+            # A server with a smaller limit of its own says that there is more.
+            more = reply.get("exceededTransferLimit") or (reply.get("properties") or {}).get("exceededTransferLimit")
+            if not features or (len(features) < page and not more):
                 return
             offset += len(features)
 
@@ -80,7 +104,8 @@ class ArcGISFeatures(DataSource):
 
     Options: ``url``, ``extra_layers`` (comma separated), ``where``,
     ``out_fields``, ``bounds`` (min_lon,min_lat,max_lon,max_lat), ``token``,
-    ``max_record_count``.
+    ``max_record_count``, ``partial`` (``fail``, or ``keep`` to go on with what
+    came before an error).
     """
 
     fetch: Callable[[str], str] = staticmethod(http_fetch)
@@ -90,7 +115,7 @@ class ArcGISFeatures(DataSource):
         return "arcgis_features"
 
     def schema(self) -> str:
-        return "source string, pos long, feature string"
+        return "source string, layer int, pos long, feature string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options), type(self).fetch)
@@ -103,11 +128,16 @@ def register(spark: SparkSession, fetch: Callable[[str], str] | None = None) ->
 
 
 def read_arcgis(spark: SparkSession, url: str, extra_layers: list[str] | None = None, **options) -> DataFrame:
-    """Features of one or more layers, appended without removing duplicates."""
+    """Features of one or more layers, appended without removing duplicates.
+
+    Ids are dense and follow layer and offset, the order in which later steps
+    cut and merge.
+    """
     reader = spark.read.format("arcgis_features").option("url", url)
     if extra_layers:
         reader = reader.option("extra_layers", ",".join(extra_layers))
     for key, value in options.items():
         reader = reader.option(key, ",".join(map(str, value)) if isinstance(value, (tuple, list)) else value)
-    rows = reader.load().withColumn("feature_id", F.xxhash64("source", "pos"))
-    return parse_features(rows.drop("pos"), parity="plugin")
+    bucket = [F.col("layer"), F.floor(F.col("pos") / 65536)]
+    rows = dense_index(reader.load(), bucket, [F.col("pos")], "feature_id")
+    return parse_features(rows.drop("pos", "layer"), parity="plugin")

@@ -140,9 +140,15 @@ def tile_table(heads: DataFrame, bounds: tuple | None = None) -> DataFrame:
 
 
 def read_dem(
-    spark: SparkSession, path: str, width: int = 0, height: int = 0, bounds: tuple | None = None
+    spark: SparkSession, path: str, width: int = 0, height: int = 0, bounds: tuple | None = None, only: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(tiles, pixels)`` of an elevation file or folder."""
+    """``(tiles, pixels)`` of an elevation file or folder.
+
+    ``only`` (``path``) limits the files, for example to those that discovery
+    takes for elevation.
+    """
     files = list_dem_files(spark, path)
+    if only is not None:
+        files = files.join(only.select("path").distinct(), "path", "left_semi")
     pixels = decode(files, width, height)
     return tile_table(headers(files, width, height), bounds), pixels.select("dem_id", "px", "py", "elev")

@@ -30,3 +30,11 @@ def discover_inputs(spark: SparkSession, folder: str) -> DataFrame:
         .when(ext.isin("tif", "hgt") & ~any_cover, "dem")
     )
     return files.select("path", kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def stored_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of every folder under ``folder`` that holds files, relative to it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    root = folder.rstrip("/").removeprefix("file:").lstrip("/")
+    parent = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]+$", 1), r"^file:/*", "")
+    return files.select(F.substring(parent, len(root) + 2, 1 << 20).alias("path")).distinct()

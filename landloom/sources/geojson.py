@@ -71,9 +71,14 @@ def _flat_coords(geom_type: Column, rings: Column) -> Column:
 
 
 def property_map(text: Column) -> Column:
-    """Scalar properties as strings; null and nested values are dropped."""
+    """Scalar properties as strings; null and nested values are dropped.
+
+    The JSON type decides, so a string that begins with a bracket stays.
+    """
     raw = F.from_json(text, T.MapType(T.StringType(), T.StringType()))
-    scalar = F.map_filter(raw, lambda _, v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
+    typed = F.from_json(text, T.MapType(T.StringType(), T.VariantType()))
+    nested = lambda k: F.schema_of_variant(F.element_at(typed, k)).rlike("^(OBJECT|ARRAY)<")
+    scalar = F.map_filter(raw, lambda k, v: v.isNotNull() & ~(v.rlike(r"^\s*[\[{]") & nested(k)))
     return F.coalesce(scalar, F.create_map().cast("map<string,string>"))
 
 
@@ -159,19 +164,14 @@ def _has_geometry(rows: DataFrame) -> DataFrame:
     return rows.where(F.get_json_object("feature", "$.geometry").isNotNull())
 
 
-def source_feature_id(props: Column) -> Column:
-    """Id a tiling run stored in the properties, whatever its prefix.
-
-    Accepts ``feature_id`` and any ``<prefix>_feature_id``.
-    """
-    hits = F.map_values(F.map_filter(props, lambda k, _: k.rlike(r"(^|_)feature_id$")))
-    return F.when(F.size(hits) > 0, hits[0].cast("double").cast("long"))
+def source_feature_id(props: Column, keys: tuple[str, ...] = ("feature_id",)) -> Column:
+    """Id a tiling run stored in the properties under one of ``keys``, the first that is there."""
+    return F.coalesce(*[F.element_at(props, k).try_cast("double").cast("long") for k in keys])
 
 
-def source_clipped(props: Column) -> Column:
-    """Tile-crossing flag stored in the properties, whatever its prefix."""
-    hits = F.map_values(F.map_filter(props, lambda k, _: k.rlike(r"(^|_)clipped$")))
-    return F.coalesce(F.when(F.size(hits) > 0, hits[0] == "true"), F.lit(False))
+def source_clipped(props: Column, keys: tuple[str, ...] = ("clipped",)) -> Column:
+    """Tile-crossing flag stored in the properties under one of ``keys``."""
+    return F.coalesce(*[F.element_at(props, k) == "true" for k in keys], F.lit(False))
 
 
 def feature_text(geom_type: Column, coordinates_json: Column, props: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from landloom.operators import elevation, tiling
 from landloom.operators import filters as Fl
+from landloom.schema import RECT_FIELDS
 from landloom.sources import arcgis, dem, geojson, landcover, manifest
 
 
@@ -41,15 +42,17 @@ class LocalFiles:
 
     name = "LocalFile"
 
-    def __init__(self, spark: SparkSession, geojson_path: str, dem_path: str | None = None, dem_size=(0, 0), dem_bounds=None):
-        self.spark, self.geojson_path, self.dem_path = spark, geojson_path, dem_path
+    def __init__(self, spark: SparkSession, geojson_path: str, dem_path: str | None = None, dem_size=(0, 0), dem_bounds=None, lines: bool = False):
+        """``lines`` reads newline-delimited features, the splittable form."""
+        self.spark, self.geojson_path, self.dem_path, self.lines = spark, geojson_path, dem_path, lines
         self.dem_size, self.dem_bounds = dem_size, dem_bounds
 
     def available(self) -> bool:
         return bool(self.geojson_path) and _exists(self.spark, self.geojson_path)
 
     def features(self, bounds=None) -> DataFrame:
-        return Fl.any_vertex_in_bounds(geojson.read_geojson(self.spark, self.geojson_path), bounds)
+        read = geojson.read_geojson_lines if self.lines else geojson.read_geojson
+        return Fl.any_vertex_in_bounds(read(self.spark, self.geojson_path), bounds)
 
     def dem(self):
         if not self.dem_path:
@@ -96,9 +99,16 @@ class TiledFiles:
 
     name = "TiledFile"
 
-    def __init__(self, spark: SparkSession, manifest_path: str, dem_path: str | None = None, parity_no_dem: bool = True):
+    def __init__(
+        self,
+        spark: SparkSession,
+        manifest_path: str,
+        dem_path: str | None = None,
+        parity_no_dem: bool = True,
+        id_keys: tuple[str, ...] = ("feature_id",),
+    ):
         self.spark, self.manifest_path, self.dem_path, self.parity_no_dem = spark, manifest_path, dem_path, parity_no_dem
-        self.base = manifest_path.rsplit("/", 1)[0]
+        self.base, self.id_keys = manifest_path.rsplit("/", 1)[0], id_keys
         self._parsed = None
 
     def _load(self):
@@ -116,28 +126,58 @@ class TiledFiles:
     def tiles(self) -> DataFrame:
         return self._load()[1]
 
-    def _paths(self, tiles: DataFrame, kind: str) -> list[str]:
-        """Stored paths of the wanted tiles: the file list of a pruned scan."""
-        rows = tiles.where(F.col(kind) != "").select(kind).distinct().collect()
-        return [p for p in (f"{self.base}/{r[0]}" for r in rows) if _exists(self.spark, p)]
+    def _wanted(self, bounds) -> DataFrame:
+        return self.tiles() if bounds is None else Fl.tiles_in_bounds(self.tiles(), bounds)
+
+    def _documents(self, tiles: DataFrame, kind: str, pattern: str) -> DataFrame:
+        """Stored documents of the wanted tiles: ``tile_col, tile_row, source, value``.
+
+        Documents and tiles meet in a join on the declared path (a file or its
+        folder). A declared path without a file is an error, not an empty tile.
+        """
+        named = tiles.where(F.col(kind) != "").select("tile_col", "tile_row", F.col(kind).alias("_path"))
+        top = named.select(F.regexp_extract("_path", r"^([^/]+)/", 1).alias("t")).distinct().limit(2).collect()
+        root = self.base if len(top) != 1 or not top[0]["t"] else f"{self.base}/{top[0]['t']}"
+        reader = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        docs = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+        base = self.base.removeprefix("file:").lstrip("/")
+        relative = F.substring(F.regexp_replace("source", r"^file:/*", ""), len(base) + 2, 1 << 20)
+        # Partition folders escape odd characters in the path text only.
+        docs = docs.withColumn("_file", relative).withColumn("_folder", F.regexp_extract("_file", r"^(.*)/[^/]+$", 1))
+        by_file = docs.select("source", "value", F.explode(F.array("_file", "_folder")).alias("_path"))
+        found = named.join(by_file, "_path", "left")
+        gone = found.where("source IS NULL").select("_path").limit(3).collect()
+        if gone:
+            raise FileNotFoundError(f"the manifest names {kind} files that are not stored: {[r[0] for r in gone]}")
+        return found.drop("_path")
 
     def copies(self, bounds=None) -> DataFrame:
-        """Feature copies per tile, with the id stored by the tiling run."""
-        tiles = self.tiles() if bounds is None else Fl.tiles_in_bounds(self.tiles(), bounds)
-        paths = self._paths(tiles, "geojson")
-        if not paths:
-            return geojson.parse_features(
-                self.spark.createDataFrame([], "source string, feature string")
-            ).selectExpr("*", "cast(null as long) feature_id", "0 tile_col", "0 tile_row", "0 tile_ord")
-        rows = geojson.read_geojson(self.spark, paths, with_ids=False)
-        col, row = landcover.tile_of_path(F.col("source"))
-        rows = rows.withColumns({"feature_id": geojson.source_feature_id(F.col("props")), "tile_col": col, "tile_row": row})
+        """Feature copies per tile, with the id stored by the tiling run.
+
+        Outputs of ``preprocess`` keep all tiles in one table partitioned by
+        tile, read by a pruned join; other data sets keep a GeoJSON file per tile.
+        """
+        tiles = self._wanted(bounds)
+        listed = tiles.where("geojson <> ''")
+        if listed.where("geojson LIKE 'features/tile_col=%'").isEmpty():
+            docs = self._documents(tiles, "geojson", "*json")
+            rows = geojson.parse_features(geojson.explode_collections(docs).drop("pos"))
+            ids = geojson.source_feature_id(F.col("props"), self.id_keys)
+            rows = rows.withColumn("feature_id", ids)
+        else:
+            stored = self.spark.read.parquet(f"{self.base}/features")
+            gone = listed.join(stored.select("tile_col", "tile_row").distinct(), ["tile_col", "tile_row"], "left_anti")
+            lost = gone.select("geojson").limit(3).collect()
+            if lost:
+                raise FileNotFoundError(f"the manifest names tiles that are not stored: {[r[0] for r in lost]}")
+            rows = stored.join(listed.select("tile_col", "tile_row"), ["tile_col", "tile_row"], "left_semi")
+            rows = rows.drop("clipped", *RECT_FIELDS)
         return rows.join(tiles.select("tile_col", "tile_row", "tile_ord"), ["tile_col", "tile_row"])
 
-    def features(self, bounds) -> DataFrame:
-        """Features of the tiles that touch the bounds, first copy per id."""
+    def features(self, bounds=None) -> DataFrame:
+        """Features of the tiles that touch the bounds (None: all), first copy per id."""
         once = tiling.first_copies(self.copies(bounds))
-        return Fl.centroid_in_bounds(once, *bounds)
+        return once if bounds is None else Fl.centroid_in_bounds(once, *bounds)
 
     def dem(self):
         if self.parity_no_dem or not self.dem_path:
@@ -153,11 +193,10 @@ class TiledFiles:
 
         ``single_tile_only`` answers only when exactly one tile matches.
         """
-        tiles = self.tiles() if bounds is None else Fl.tiles_in_bounds(self.tiles(), bounds)
+        tiles = self._wanted(bounds)
         if single_tile_only and tiles.limit(2).count() != 1:
             return None
-        paths = self._paths(tiles, "landcover")
-        if not paths:
+        if tiles.where("landcover <> ''").isEmpty():
             return None
-        grids, pixels = landcover.read_landcover_json(self.spark, paths)
+        grids, pixels = landcover.parse_landcover(self._documents(tiles, "landcover", "*"))
         return landcover.with_tile_bounds(grids, tiles), pixels

@@ -1,13 +1,17 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from landloom.functions import geometry as G
 from landloom.operators import tiling
 from landloom.operators import validate as val
 from landloom.plans import tiled
+from landloom.plans.region import generate_region
 from landloom.sinks import tiles as sink
 from landloom.sources import discovery, geojson, manifest
+from landloom.sources.provider import TiledFiles
 
 SQ = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]
 HOLE = [[0.5, 0.5], [1.0, 0.5], [1.0, 1.0], [0.5, 0.5]]
@@ -67,12 +71,21 @@ def test_ids_follow_file_and_row_order(spark, tmp_path):
         assert sorted((r["feature_id"], r["props"]["n"]) for r in rows) == list(enumerate(["0", "1", "2", "10", "11", "12"]))
 
 
-def test_source_ids_accept_any_prefix(spark):
-    df = spark.createDataFrame([({"x_feature_id": "7", "x_clipped": "true"},), ({"feature_id": "8"},), ({"k": "1"},)], "props map<string,string>")
+def test_source_ids_by_exact_key(spark):
+    df = spark.createDataFrame([({"x_feature_id": "7", "x_clipped": "true"},), ({"feature_id": "8", "parent_feature_id": "9"},), ({"feature_id": "no"},)], "props map<string,string>")
     rows = df.select(geojson.source_feature_id(F.col("props")).alias("i"), geojson.source_clipped(F.col("props")).alias("c")).collect()
+    assert [(r["i"], r["c"]) for r in rows] == [(None, False), (8, False), (None, False)]
+    keys = ("feature_id", "x_feature_id")
+    rows = df.select(geojson.source_feature_id(F.col("props"), keys).alias("i"), geojson.source_clipped(F.col("props"), ("x_clipped",)).alias("c")).collect()
     assert [(r["i"], r["c"]) for r in rows] == [(7, True), (8, False), (None, False)]
 
 
+def test_bracketed_strings_stay(spark):
+    f = feature("Point", [1.0, 2.0], name="[old] inn", memo="{x}", deep={"a": 1}, more=[1], gone=None)
+    props = geojson.parse_features(spark.createDataFrame([(json.dumps(f),)], "feature string")).first()["props"]
+    assert props == {"name": "[old] inn", "memo": "{x}"}
+
+
 def square(lon, lat, size, **props):
     ring = [[lon, lat], [lon + size, lat], [lon + size, lat + size], [lon, lat + size], [lon, lat]]
     return feature("Polygon", [ring], **props)
@@ -102,6 +115,20 @@ def test_preprocess_end_to_end(spark, tmp_path):
     one = tiles.select("tile_col", "tile_row").first()
     lost = val.tile_issues(tiles, actual.where(f"NOT (tile_col = {one[0]} AND tile_row = {one[1]})"))
     assert [(r["tile_col"], r["tile_row"], r["rule"]) for r in lost.collect()] == [(one[0], one[1], "geojson_missing")]
+    provider = TiledFiles(spark, str(out / "manifest"))
+    once = provider.features().collect()
+    assert sorted(r["feature_id"] for r in once) == list(range(len(feats)))
+    assert provider.features((121.4701, 31.2301, 121.4712, 31.2312)).count() >= 1
+    grids, pixels = provider.landcover()
+    assert grids.count() == tiles.count() and pixels.count() == 100 * tiles.count()
+    polygons, _ = generate_region(spark, "tiled", str(out / "manifest"), 121.47, 31.23)
+    assert polygons.count() == len(feats) - 1
+    gone = out / "features" / f"tile_col={one[0]}" / f"tile_row={one[1]}"
+    gone.rename(tmp_path / "moved")
+    assert [(r["tile_col"], r["tile_row"], r["rule"]) for r in tiled.validate_output(spark, str(out)).collect()] == [(one[0], one[1], "geojson_missing")]
+    with pytest.raises(FileNotFoundError):
+        TiledFiles(spark, str(out / "manifest")).features()
+    (tmp_path / "moved").rename(gone)
     sink.write_tile_lines(stored, str(out / "lines"))
     again = geojson.read_geojson_lines(spark, str(out / "lines"), with_ids=False)
     assert again.count() == stored.count()

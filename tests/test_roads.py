@@ -36,12 +36,12 @@ def test_no_split_and_merged_vertices(spark):
     assert n.count() == 2 and e.count() == 1
 
 
-@pytest.mark.parametrize("limit", [100_000, 5])
-def test_first_come_merging(spark, limit):
+@pytest.mark.parametrize("block", [128, 1])
+def test_first_come_merging(spark, block):
     rng = np.random.default_rng(5)
     x, y = np.r_[rng.uniform(0, 500, 20), np.full(6, 33.0)], np.r_[rng.uniform(0, 200, 20), np.full(6, 44.0)]
     df = pd.DataFrame({"x": x, "y": y, "ord": rng.permutation(26)})
-    got = roads.merge_positions(spark.createDataFrame(df), 100.0, limit).toPandas().set_index("ord").leader.to_dict()
+    got = roads.merge_positions(spark.createDataFrame(df), 100.0, block).toPandas().set_index("ord").leader.to_dict()
     want, leads = {}, []
     for r in df.sort_values("ord").itertuples():
         near = [(np.hypot(a - r.x, b - r.y), o) for a, b, o in leads]
@@ -65,7 +65,10 @@ def test_feature_service_pages(spark):
         return json.dumps({"type": "FeatureCollection", "features": feats})
 
     arcgis.register(spark, fetch)
-    df = arcgis.read_arcgis(spark, "http://h/0", ["http://h/1", "http://bad/2"], where="a = 1", bounds=(1, 2, 3, 4), max_record_count=2)
+    df = arcgis.read_arcgis(spark, "http://h/0", ["http://h/1", "http://bad/2"], where="a = 1", bounds=(1, 2, 3, 4), max_record_count=2, partial="keep")
+    assert sorted((r["feature_id"], r["props"]["n"]) for r in df.collect()) == [(i, str(i % 5)) for i in range(10)]
+    with pytest.raises(Exception, match="down"):
+        arcgis.read_arcgis(spark, "http://h/0", ["http://bad/2"], where="a = 1", bounds=(1, 2, 3, 4)).collect()
     assert sorted(r["props"]["n"] for r in df.collect()) == sorted(["0", "1", "2", "3", "4"] * 2)
     url = arcgis.query_url("http://h/0", "1=1", "*", 5)
     assert url == "http://h/0/query?where=1%3D1&outFields=%2A&f=geojson&resultRecordCount=5"

@@ -85,3 +85,16 @@ def test_crossings_with_copies_and_a_crowded_cell(spark, rng):
             if 0.001 < t < 0.999 and 0.001 < u < 0.999:
                 want.add((int(p[0]), int(q[0])))
     assert len(got) == len(want) and set(zip(got.a_id, got.b_id)) == want
+
+
+def test_star_needs_no_pairs(spark):
+    n = 400
+    a = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    star = pd.DataFrame({"seg_id": range(n), "n0": 0, "n1": range(1, n + 1), "x0": 0.0, "y0": 0.0, "x1": 20 * np.cos(a), "y1": 20 * np.sin(a)})
+    line = pd.DataFrame({"seg_id": [n, n + 1], "n0": [n + 1, n + 3], "n1": [n + 2, n + 4], "x0": [-30.0, 3.0], "y0": [0.5, -30.0], "x1": [30.0, 3.1], "y1": [0.5, 30.0]})
+    got = spatial.crossing_segments(spark.createDataFrame(pd.concat([star, line])), 50.0).toPandas()
+    rays = np.sin(a) * 20 > 0.5 / 0.999
+    met = set(zip(got.a_id, got.b_id))
+    assert (n, n + 1) in met and {(i, n) for i in np.flatnonzero(rays)} <= met
+    assert all(i < n <= j for i, j in met - {(n, n + 1)}) and len(got) == len(met)
+    assert np.allclose(got.y[(got.b_id == n)], 0.5)

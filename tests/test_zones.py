@@ -114,14 +114,25 @@ def test_plane_slope(spark):
     assert got[1, 1]["aspect"] == pytest.approx(180.0) and got[1, 1]["compass_aspect"] == pytest.approx(270.0)
 
 
+def test_blocks_of_any_size_agree(spark):
+    rng = np.random.default_rng(1)
+    rows = [("g", x, y, float(rng.integers(0, 50))) for x in range(13) for y in range(9)]
+    df = spark.createDataFrame(rows, "grid_id string, x int, y int, elev double")
+    for run in (lambda b: terrain.gradients(df, b), lambda b: terrain.with_neighbours(df, "elev", b)):
+        assert sorted(map(tuple, run(4).collect()), key=str) == sorted(map(tuple, run(512).collect()), key=str)
+
+
 SQUARE = [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0), (0.0, 1000.0)]
 
 
-def cut(spark, rings, segs, **kw):
+def cut(spark, rings, segs, names=None, **kw):
     polys = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "polygon_id long, world_vertices array<struct<x:double,y:double>>")
     lines = spark.createDataFrame([(i, *map(float, s)) for i, s in enumerate(segs)], "ord long, x0 double, y0 double, x1 double, y1 double")
     out = {}
-    for r in cutting.cut_polygons(polys, lines, **kw).collect():
+    rows = cutting.cut_polygons(polys, lines, **kw).collect()
+    if names is not None:
+        names.append(sorted(r["piece_id"] for r in rows))
+    for r in rows:
         ring = np.array([(v["x"], v["y"]) for v in r["world_vertices"]])
         x, y = ring[:, 0], ring[:, 1]
         out.setdefault(r["polygon_id"], []).append(round(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2, 3))
@@ -139,6 +150,8 @@ def test_cut_in_batches_gives_the_same(spark):
     rng = np.random.default_rng(3)
     segs = [(a, -50, b, 1050) for a, b in rng.uniform(0, 1000, (6, 2))] + [(-50, a, 1050, b) for a, b in rng.uniform(0, 1000, (5, 2))]
     far = [(x + 5000.0, y) for x, y in SQUARE]
-    once = cut(spark, [SQUARE, far], segs)
-    assert once == cut(spark, [SQUARE, far], segs, batch=4)
+    names = []
+    once = cut(spark, [SQUARE, far], segs, names)
+    assert once == cut(spark, [SQUARE, far], segs, names, batch=4)
+    assert names[0] == names[1] and "1" in names[0] and any(n.startswith("0.0") for n in names[0])
     assert sum(once[0]) == pytest.approx(1e6, abs=200.0) and len(once[0]) > 6 and once[1] == [1000000.0]
