@@ -19,6 +19,7 @@ fingerprints is lost and no group is capped.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,8 +123,15 @@ def _stars(rows: DataFrame, keys: list[str], center: Column) -> DataFrame:
 
 def components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """``fp, root`` for distinct fingerprints ``fp``: linked ones share a root."""
-    if bits > 3:
-        raise ValueError("two segments of which one differs by at most one bit hold for up to 3 bits")
+    found, edges = linked_components(fps, bits)
+    discard(edges)
+    return found
+
+
+def linked_components(fps: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """``(fp, root)`` and the links ``u, v`` it was found by."""
+    if bits != 3:
+        raise ValueError("segments and balls are laid out for 3 bits")
     members = saved(_halves(fps), "halves")
     sizes = saved(members.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n")), "sizes")
     size = lambda side: sizes.select("seg", F.col("val").alias(side), F.col("n").alias(f"n{side}"))
@@ -138,45 +146,55 @@ def components(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
     many = met.where(~few)
     crowded = not many.isEmpty()
+
+    def one_bit_stars(pairs: DataFrame) -> DataFrame:
+        """Links over shared values at distance 1 of the other half, within a segment or across two that met."""
+        side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("val"))
+        sides = F.when(F.col("a") == F.col("b"), F.array(side(0, "a"))).otherwise(F.array(side(0, "a"), side(1, "b")))
+        placed = pairs.select("seg", "a", "b", F.explode(sides).alias("m")).select("seg", "a", "b", "m.side", "m.val")
+        rows = placed.join(members, ["seg", "val"]).select("seg", "a", "b", "side", "fp", F.explode(_ball(F.col("rest"), 1)).alias("k"))
+        rows = rows.select("seg", "a", "b", "side", "fp", F.col("k.x").alias("x"))
+        keys = ["seg", "a", "b", "x"]
+        heart = rows.groupBy(*keys).agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("_n"), F.min("side").alias("_s0"), F.max("side").alias("_s1"))
+        heart = heart.where("_n > 1 AND (a = b OR _s0 < _s1)").select(*keys, "v")
+        return rows.join(heart, keys).select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+
     if crowded:
-        # One-bit balls: all links at distance 2 at most in the other half, one less
-        # where the segments differ already.
-        reach = bits - 1
-        if reach >= 2:
-            inside = many.where("a = b").select("seg", "a", "b", F.lit(0).alias("side"), F.col("a").alias("val"))
-            across = many.where("a <> b")
-            across = across.select("seg", "a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("val")), F.struct(F.lit(1).alias("side"), F.col("b").alias("val")))).alias("m"))
-            across = across.select("seg", "a", "b", "m.side", "m.val")
-            rows = inside.unionByName(across).join(members, ["seg", "val"]).select("seg", "a", "b", "side", "fp", F.explode(_ball(F.col("rest"), 1)).alias("k"))
-            rows = rows.select("seg", "a", "b", "side", "fp", F.col("k.x").alias("x"))
-            keys = ["seg", "a", "b", "x"]
-            heart = rows.groupBy(*keys).agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("_n"), F.min("side").alias("_s0"), F.max("side").alias("_s1"))
-            heart = heart.where("_n > 1 AND (a = b OR _s0 < _s1)").select(*keys, "v")
-            edges = edges.unionByName(rows.join(heart, keys).select(F.col("fp").alias("u"), "v").where("u <> v").distinct())
-        else:
-            raise ValueError("bits must be 3 where segments are crowded")
+        edges = edges.unionByName(one_bit_stars(many.where("a = b")))
     edges = saved(edges, "edges")
     linked = connected_components(edges)
     found = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    if not crowded:
-        found = saved(found, "found")
-        discard(members, sizes, met, edges)
-        return found
-
-    # Distance 3 in the other half of an equal one matters only between
-    # members that are not in one component yet.
     found = saved(found, "found")
-    inside = many.where("a = b").select("seg", F.col("a").alias("val"))
-    placed = inside.join(members, ["seg", "val"]).join(found, "fp")
-    split = placed.groupBy("seg", "val").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("seg", "val")
-    rows = split.join(placed, ["seg", "val"]).select("seg", "val", F.col("root").alias("fp"), F.explode(_ball(F.col("rest"), 2)).alias("k"))
+    if not crowded:
+        discard(members, sizes, met)
+        return found, edges
+
+    # What is left to find between crowded groups matters only where their
+    # members are not in one component yet: two bits across segments that met,
+    # three inside one.
+    def spans(pairs: DataFrame) -> DataFrame:
+        """``pairs`` whose members have more than one root."""
+        placed = members.join(found, "fp").groupBy("seg", "val").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+        at = lambda c: placed.select("seg", F.col("val").alias(c), F.col("r0").alias(f"{c}0"), F.col("r1").alias(f"{c}1"))
+        both = pairs.join(at("a"), ["seg", "a"]).join(at("b"), ["seg", "b"])
+        return both.where("least(a0, b0) < greatest(a1, b1)").select(*pairs.columns)
+
+    open_pairs = saved(spans(many), "open")
+    across = one_bit_stars(open_pairs.where("a <> b"))
+    roots = found.select(F.col("fp").alias("u"), F.col("root").alias("ru")), found.select(F.col("fp").alias("v"), F.col("root").alias("rv"))
+    across = across.join(roots[0], "u").join(roots[1], "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u <> v").distinct()
+    placed = open_pairs.where("a = b").select("seg", F.col("a").alias("val")).join(members, ["seg", "val"]).join(found, "fp")
+    rows = placed.select("seg", "val", F.col("root").alias("fp"), F.explode(_ball(F.col("rest"), 2)).alias("k"))
     rows = rows.groupBy("seg", "val", F.col("k.x").alias("x"), "fp").agg(F.min("k.d").alias("d"))
-    more = saved(_stars(rows, ["seg", "val", "x"], F.when(F.col("d") <= 1, F.col("fp"))), "more")
-    discard(members, sizes, met, edges)
+    more = saved(across.unionByName(_stars(rows, ["seg", "val", "x"], F.when(F.col("d") <= 1, F.col("fp")))), "more")
+    discard(members, sizes, met, open_pairs)
     if more.isEmpty():
-        return found
+        return found, edges
     again = connected_components(more).select(F.col("node").alias("root"), F.col("root").alias("_top"))
-    return found.join(again, "root", "left").select("fp", F.coalesce("_top", "root").alias("root"))
+    found = saved(found.join(again, "root", "left").select("fp", F.coalesce("_top", "root").alias("root")), "found")
+    both = saved(edges.unionByName(more), "edges")
+    discard(edges, more)
+    return found, both
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -227,13 +245,14 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, seeds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, text_key, stays`` of the texts that share a group with others; and repeated rows.
-
-    Texts within three bits under one of the fingerprints form a group. In each
-    group the text of the smallest id stays; those whose shingles are at least
-    ``similarity`` alike go with it; the rest of the group is judged anew among
-    itself. So no text goes without a similar one that stays. Rows that repeat
-    an id and a text count once here.
+    """``doc_id, text_key, stays`` of texts with a similar one; and ``doc_id, text_key`` of repeated rows.
+
+    Texts within three bits under one of the fingerprints are linked. A link
+    holds if at least ``similarity`` of the shingles are in common: first every
+    text is held against the head of its group, then those that are not alike
+    to it against the texts they are linked to directly. Texts joined by links
+    that hold form a group, and the one of the smallest id stays. Rows that
+    repeat an id and a text count once here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,41 +263,57 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in text_bytes(batch.column("t"))]
-            own = [batch.column(c) for c in ("uid", "doc_id", "text_key", "grp")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.list_(pa.int64()))], ["uid", "doc_id", "text_key", "grp", "set"])
+            own = [batch.column(c) for c in ("uid", "grp")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.list_(pa.int64()))], ["uid", "grp", "set"])
 
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
     made = rows.mapInArrow(run, "doc_id long, text_key long, fps array<long>").groupBy("doc_id", "text_key").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("n"))
-    prints = saved(made.withColumn("uid", F.monotonically_increasing_id()), "prints")
-    edges = None
+    # Texts in order: by id (null last), then by text.
+    uid = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.coalesce("text_key", F.lit(0)).alias("k"))
+    prints = saved(made.withColumn("uid", uid), "prints")
+    stars, direct = [], []
     for i in range(len(seeds)):
         own = prints.select("uid", F.col("fps")[i].alias("fp"))
         first = saved(own.groupBy("fp").agg(F.min("uid").alias("first")), "first")
-        placed = components(first.select("fp")).join(first, "fp")
+        found, edges = linked_components(first.select("fp"))
+        placed = saved(found.join(first, "fp"), "placed")
         tops = placed.groupBy("root").agg(F.min("first").alias("top"))
-        links = own.join(placed.join(tops, "root").select("fp", "top"), "fp").where("uid <> top").select(F.col("uid").alias("u"), F.col("top").alias("v"))
-        links = saved(links, "links")
-        discard(first)
-        edges = links if edges is None else edges.unionByName(links)
-    grouped = connected_components(edges).select(F.col("node").alias("uid"), F.col("root").alias("grp"))
+        named = placed.join(tops, "root").select("fp", "first", "top")
+        links = saved(own.join(named, "fp").where("uid <> top").select("uid", "top", "first"), "links")
+        stars.append(links.select(F.col("uid").alias("u"), F.col("top").alias("v")))
+        at = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+        pairs = edges.join(at("u"), "u").join(at("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+        direct.append(saved(pairs.unionByName(links.where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v"))).distinct(), "direct"))
+        discard(first, edges)
+    every = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    grouped = connected_components(every(stars)).select(F.col("node").alias("uid"), F.col("root").alias("grp"))
     members = saved(prints.join(grouped, "uid").select("uid", "doc_id", "text_key", "grp"), "members")
 
     near = with_mark(rows, F.col("text_key"), members, F.col("text_key")).where("_hit").dropDuplicates(["doc_id", "text_key"])
     near = near.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "t")
     texts = members.join(near, members["doc_id"].eqNullSafe(near["_d"]) & (members["text_key"] == near["_k"]))
-    left = saved(texts.select("uid", "doc_id", "text_key", "grp", "t").mapInArrow(cut, "uid long, doc_id long, text_key long, grp long, set array<long>"), "sets")
-    gone = members.where("false").select("doc_id", "text_key", F.lit(True).alias("stays"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
-    while not left.isEmpty():
-        heads = left.groupBy("grp").agg(F.min_by(F.struct("uid", "set"), order).alias("h")).select("grp", F.col("h.uid").alias("_uid"), F.col("h.set").alias("_set"))
-        both = F.size(F.array_intersect("set", "_set"))
-        alike = both >= F.lit(float(similarity)) * (F.size("set") + F.size("_set") - both)
-        judged = left.join(heads, "grp").withColumn("state", F.when(F.col("uid") == F.col("_uid"), 0).when(alike, 1).otherwise(2))
-        judged = saved(judged.drop("_uid", "_set"), "judged")
-        gone = gone.unionByName(judged.where("state < 2").select("doc_id", "text_key", (F.col("state") == 0).alias("stays")))
-        left = judged.where("state = 2").drop("state")
-    return gone, prints.where("n > 1").select("doc_id", "text_key")
+    left = saved(texts.select("uid", "grp", "t").mapInArrow(cut, "uid struct<n:boolean,d:bigint,k:bigint>, grp struct<n:boolean,d:bigint,k:bigint>, set array<long>"), "sets")
+
+    def alike(a: str, b: str) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return both >= F.lit(float(similarity)) * (F.size(a) + F.size(b) - both)
+
+    sets = left.select("uid", "set")
+    heads = left.where("uid = grp").select("grp", F.col("set").alias("_set"))
+    held = saved(left.where("uid <> grp").join(heads, "grp").select("uid", "grp", alike("set", "_set").alias("ok")), "held")
+    rest = held.where("NOT ok").select(F.col("uid").alias("u"))
+    both_ways = every(direct).unionByName(every(direct).select(F.col("v").alias("u"), F.col("u").alias("v")))
+    asked = both_ways.join(rest, "u", "left_semi").distinct()
+    tried = asked.join(sets.select(F.col("uid").alias("u"), "set"), "u").join(sets.select(F.col("uid").alias("v"), F.col("set").alias("_set")), "v")
+    links = held.where("ok").select(F.col("uid").alias("u"), F.col("grp").alias("v")).unionByName(tried.where(alike("set", "_set")).select("u", "v"))
+    joined = connected_components(saved(links, "held_links")).select(F.col("node").alias("uid"), F.col("root").alias("kin"))
+    judged = saved(joined, "judged")
+    stay = judged.groupBy("kin").agg(F.min("uid").alias("_stay"))
+    out = judged.join(stay, "kin").select(
+        F.when(~F.col("uid.n"), F.col("uid.d")).alias("doc_id"), F.col("uid.k").alias("text_key"), (F.col("uid") == F.col("_stay")).alias("stays")
+    )
+    return out, prints.where("n > 1").select("doc_id", "text_key")
 
 
 def drop_similar(
