@@ -70,9 +70,9 @@ def pid(props: str = "props"):
     return F.element_at(props, "pid").cast("long").alias("pid")
 
 
-def tiled_output(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+def tiled_output(spark: SparkSession, sf: str, cover: bool = False) -> tuple[str, DataFrame]:
     out = folder(spark)
-    issues = tiled.preprocess(spark, feature_files(spark, sf), out, V.GRID, skip_dem=True, placeholder_landcover=True, lines=True)
+    issues = tiled.preprocess(spark, feature_files(spark, sf), out, V.GRID, skip_dem=True, placeholder_landcover=cover, lines=True)
     return out, issues
 
 
@@ -106,7 +106,7 @@ def _(spark, sf):
 
 @query("tiled_provider_landcover", f"WITH {ASSIGNED}, {COUNTS} SELECT tile_col, tile_row, CAST(100 AS BIGINT) AS pixels, CAST(3000 AS BIGINT) AS code_sum FROM counts", ("box",))
 def _(spark, sf):
-    out, _ = tiled_output(spark, sf)
+    out, _ = tiled_output(spark, sf, cover=True)
     _, pixels = TiledFiles(spark, f"{out}/manifest").landcover()
     return pixels.groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("pixels"), F.sum("code").alias("code_sum"))
 
