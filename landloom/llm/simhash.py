@@ -19,7 +19,7 @@ fingerprints is lost and no group is capped.
 
 from __future__ import annotations
 
-import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +38,8 @@ HALF = 32
 SEED = 42
 SLICE = 1 << 15
 FEW_WORDS = 20
+#: Texts that the order of shingles is taken from, shingles it tells apart, and heads at a shingle in a round.
+SAMPLED, COMMON, HEADS = 4096, 200_000, 64
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -244,88 +246,125 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64).view(np.int64))
 
 
-def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, seeds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes that several of the sampled texts have, and in how many.
+
+    Only the order in which a text's shingles are looked at depends on them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in text_bytes(batch.column("t")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text, words), pa.int64())], ["s"])
+
+    some = rows.where(F.pmod(F.xxhash64("text_key"), F.lit(max(rows.count(), 1))) < SAMPLED)
+    found = some.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = sorted((r["s"], r["n"]) for r in found.orderBy(F.desc("n"), "s").limit(COMMON).collect())
+    return np.array([s for s, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest of the sorted ``hashes`` of a text: any text alike to it has one of them among its own.
+
+    Of ``n`` shingles at least ``similarity * n`` are shared, so two alike texts
+    cannot differ in all of the first ``n - ceil(similarity * n) + 1`` of one order.
+    """
+    known, counts = common
+    wide = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    if not len(known):
+        return hashes[:wide]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    often = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))[:wide]]
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_key, stays`` of texts with a similar one; and ``doc_id, text_key`` of repeated rows.
 
-    Texts within three bits under one of the fingerprints are linked. A link
-    holds if at least ``similarity`` of the shingles are in common: first every
-    text is held against the head of its group, then those that are not alike
-    to it against the texts they are linked to directly. Texts joined by links
-    that hold form a group, and the one of the smallest id stays. Rows that
-    repeat an id and a text count once here.
+    Two texts are similar if at least ``similarity`` of their shingles are in
+    common. Texts joined by similar pairs form a group, and the one of the
+    smallest id stays. Similar texts share a shingle of their prefixes, so texts
+    meet at the shingles of their prefixes; each round holds the texts of a
+    shingle against some of it, until no shingle has texts of two groups that
+    were not compared. No similar pair is left out, whatever the length of the
+    texts. Rows that repeat an id and a text count once here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [set_fingerprints(t, seeds) for t in text_bytes(batch.column("t"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_key", "fps"])
+            sizes, firsts = [], []
+            for text in text_bytes(batch.column("t")):
+                hashes = shingle_hashes(text, words)
+                sizes.append(len(hashes))
+                firsts.append(prefix(hashes, similarity, common).copy())
+            own = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "text_key", "size", "firsts"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t, words) for t in text_bytes(batch.column("t"))]
-            own = [batch.column(c) for c in ("uid", "grp")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.list_(pa.int64()))], ["uid", "grp", "set"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_hashes(t, words) for t in text_bytes(part.column("t"))]
+                yield pa.RecordBatch.from_arrays([part.column("no"), pa.array(sets, pa.list_(pa.int64()))], ["no", "set"])
 
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
-    made = rows.mapInArrow(run, "doc_id long, text_key long, fps array<long>").groupBy("doc_id", "text_key").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("n"))
-    # Texts in order: by id (null last), then by text.
-    uid = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.coalesce("text_key", F.lit(0)).alias("k"))
-    prints = saved(made.withColumn("uid", uid), "prints")
-    stars, direct = [], []
-    for i in range(len(seeds)):
-        own = prints.select("uid", F.col("fps")[i].alias("fp"))
-        first = saved(own.groupBy("fp").agg(F.min("uid").alias("first")), "first")
-        found, edges = linked_components(first.select("fp"))
-        placed = saved(found.join(first, "fp"), "placed")
-        tops = placed.groupBy("root").agg(F.min("first").alias("top"))
-        named = placed.join(tops, "root").select("fp", "first", "top")
-        links = saved(own.join(named, "fp").where("uid <> top").select("uid", "top", "first"), "links")
-        stars.append(links.select(F.col("uid").alias("u"), F.col("top").alias("v")))
-        at = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
-        pairs = edges.join(at("u"), "u").join(at("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-        direct.append(saved(pairs.unionByName(links.where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v"))).distinct(), "direct"))
-        discard(first, edges)
-    every = lambda parts: functools.reduce(DataFrame.unionByName, parts)
-    grouped = connected_components(every(stars)).select(F.col("node").alias("uid"), F.col("root").alias("grp"))
-    members = saved(prints.join(grouped, "uid").select("uid", "doc_id", "text_key", "grp"), "members")
-
+    common = _common(rows, words)
+    made = rows.mapInArrow(run, "doc_id long, text_key long, size int, firsts array<long>")
+    made = made.groupBy("doc_id", "text_key").agg(F.first("size").alias("size"), F.first("firsts").alias("firsts"), F.count(F.lit(1)).alias("n"))
+    prints = saved(made.withColumn("no", F.monotonically_increasing_id()), "prints")
+    posted = prints.select(F.explode("firsts").alias("key"), "no", "size")
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    left = saved(posted.join(shared, "key"), "postings")
+
+    members = saved(left.select("no").distinct().join(prints.select("no", "doc_id", "text_key"), "no"), "members")
     near = with_mark(rows, F.col("text_key"), members, F.col("text_key")).where("_hit").dropDuplicates(["doc_id", "text_key"])
     near = near.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "t")
     texts = members.join(near, members["doc_id"].eqNullSafe(near["_d"]) & (members["text_key"] == near["_k"]))
-    left = saved(texts.select("uid", "grp", "t").mapInArrow(cut, "uid struct<n:boolean,d:bigint,k:bigint>, grp struct<n:boolean,d:bigint,k:bigint>, set array<long>"), "sets")
-
-    def alike(a: str, b: str) -> Column:
-        both = F.size(F.array_intersect(a, b))
-        return both >= F.lit(float(similarity)) * (F.size(a) + F.size(b) - both)
-
-    sets = left.select("uid", "set")
-    heads = left.where("uid = grp").select("grp", F.col("set").alias("_set"))
-    held = saved(left.where("uid <> grp").join(heads, "grp").select("uid", "grp", alike("set", "_set").alias("ok")), "held")
-    rest = held.where("NOT ok").select(F.col("uid").alias("u"))
-    both_ways = every(direct).unionByName(every(direct).select(F.col("v").alias("u"), F.col("u").alias("v")))
-    asked = both_ways.join(rest, "u", "left_semi").distinct()
-    tried = asked.join(sets.select(F.col("uid").alias("u"), "set"), "u").join(sets.select(F.col("uid").alias("v"), F.col("set").alias("_set")), "v")
-    links = held.where("ok").select(F.col("uid").alias("u"), F.col("grp").alias("v")).unionByName(tried.where(alike("set", "_set")).select("u", "v"))
-    joined = connected_components(saved(links, "held_links")).select(F.col("node").alias("uid"), F.col("root").alias("kin"))
-    judged = saved(joined, "judged")
+    sets = saved(texts.select("no", "t").mapInArrow(cut, "no long, set array<long>"), "sets")
+
+    both = F.size(F.array_intersect("set", "_set"))
+    alike = both >= F.lit(float(similarity)) * (F.size("set") + F.size("_set") - both)
+    links = kin = tried = None
+    heads_each = 1
+    while not left.isEmpty():
+        placed = left.withColumn("kin", F.col("no")) if kin is None else left.join(kin, "no", "left").withColumn("kin", F.coalesce("kin", "no"))
+        # One head of each group at a shingle, a few groups at first, then more.
+        heads = placed.groupBy("key", "kin").agg(F.min_by(F.struct("no", "size"), "no").alias("h"))
+        kinds = heads.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("kin").alias("least")).where("kinds > 1")
+        chosen = (F.col("kin") == F.col("least")) | (F.pmod(F.xxhash64("kin", F.lit(heads_each)), F.col("kinds")) < heads_each - 1)
+        heads = saved(heads.join(kinds, "key").where(chosen).select("key", F.col("kin").alias("hkin"), F.col("h.no").alias("hno"), F.col("h.size").alias("hsize")), "heads")
+        placed = placed.join(kinds.select("key"), "key")
+        met = placed.join(heads, "key").where((F.col("kin") != F.col("hkin")) & (F.least("size", "hsize") >= F.lit(float(similarity)) * F.greatest("size", "hsize") - 1e-9))
+        met = met.select(F.least("no", "hno").alias("u"), F.greatest("no", "hno").alias("v")).distinct()
+        met = saved(met if tried is None else met.join(tried, ["u", "v"], "left_anti"), "pairs")
+        judged = met.join(sets.select(F.col("no").alias("u"), "set"), "u").join(sets.select(F.col("no").alias("v"), F.col("set").alias("_set")), "v")
+        more = saved(judged.where(alike).select("u", "v"), "similar")
+        tried = met if tried is None else tried.unionByName(met)
+        after = saved(placed.join(heads.select("key", F.col("hno").alias("no")), ["key", "no"], "left_anti").select("key", "no", "size"), "postings")
+        discard(left, heads)
+        left = after
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            kin = saved(connected_components(links).select(F.col("node").alias("no"), F.col("root").alias("kin")), "kin")
+        heads_each = min(8 * heads_each, HEADS)
+    if kin is None:
+        kin = prints.where("false").select("no", F.col("no").alias("kin"))
+    # Texts in order: by id (null last), then by text.
+    uid = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_key").alias("k"))
+    judged = saved(kin.join(prints.select("no", "doc_id", "text_key", uid.alias("uid")), "no"), "judged")
     stay = judged.groupBy("kin").agg(F.min("uid").alias("_stay"))
-    out = judged.join(stay, "kin").select(
-        F.when(~F.col("uid.n"), F.col("uid.d")).alias("doc_id"), F.col("uid.k").alias("text_key"), (F.col("uid") == F.col("_stay")).alias("stays")
-    )
+    out = judged.join(stay, "kin").select("doc_id", "text_key", (F.col("uid") == F.col("_stay")).alias("stays"))
     return out, prints.where("n > 1").select("doc_id", "text_key")
 
 
-def drop_similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (SEED, 1, 2, 3)
-) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row left of each group of similar texts, columns as they were.
 
-    Similar: at least ``similarity`` of the distinct word shingles in common,
-    found through SimHashes with several seeds. Rows that repeat an id and a
-    text leave one row. Null texts are empty.
+    Similar: at least ``similarity`` of the distinct word shingles in common.
+    Rows that repeat an id and a text leave one row. Null texts are empty.
     """
-    judged, repeated = similar_groups(docs, id_col, text_col, words, similarity, seeds)
+    judged, repeated = similar_groups(docs, id_col, text_col, words, similarity)
     key = F.xxhash64(text_of(text_col))
     go = judged.where("NOT stays").select(F.col("doc_id").alias("_go_id"), F.col("text_key").alias("_go_key"))
     touched = saved(go.unionByName(repeated.toDF("_go_id", "_go_key")), "touched")
