@@ -44,3 +44,21 @@ def test_a_shingle_of_many_unlike_texts(spark):
     texts = {i: f"{line} w{rng.randrange(10**6)} w{i}" for i in range(150)}
     texts |= {500 + i: f"{texts[i]} tail" for i in range(0, 150, 3)}
     assert stays(spark, texts) == plain_stays(texts)
+
+
+def test_short_texts_of_all_lengths(spark):
+    """A word more or less, from five words on and across the switch to single words of the fingerprints."""
+    rng, texts = random.Random(2), {}
+    for n in (19, 20, *range(6, 40)):
+        for _ in range(3):
+            words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+            texts[len(texts)] = " ".join(words)
+            texts[len(texts)] = " ".join([*words, f"x{n}"])
+    for _ in range(6):
+        few = [f"u{rng.randrange(10**6)}" for _ in range(19)]
+        words = [*few, *(rng.choice(few) for _ in range(41))]
+        texts[len(texts)] = " ".join(words)
+        texts[len(texts)] = " ".join([*words, "new"])
+    want = plain_stays(texts)
+    assert len(want) < len(texts) * 0.6
+    assert stays(spark, texts) == want
