@@ -62,3 +62,23 @@ def test_short_texts_of_all_lengths(spark):
     want = plain_stays(texts)
     assert len(want) < len(texts) * 0.6
     assert stays(spark, texts) == want
+
+
+def test_copies_in_a_crowded_segment(spark):
+    """Over 64 fingerprints that share a half, heads unlike the copies; and a chain of copies."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    halves = {}
+    for i in range(4000):
+        more = [f"x{i}-{k}" for k in range(6)]
+        fp = simhash.set_fingerprints(" ".join(words + more).encode(), (simhash.SEED,))[0]
+        halves.setdefault(fp & 0xFFFFFFFF, {})[fp] = more
+    crowd = max(halves.values(), key=len)
+    assert len(crowd) > 64
+    texts = {i: " ".join(rng.sample(words, 300) + more) for i, more in enumerate(crowd.values())}
+    texts |= {1000 + i: f"{texts[i]} y{i}" for i in range(20, len(crowd), 3)}
+    step = texts[7].split()
+    for i in range(6):
+        step[i * 40 : i * 40 + 20] = [f"z{i}-{k}" for k in range(20)]
+        texts[2000 + i] = " ".join(step)
+    assert stays(spark, texts) == plain_stays(texts)
