@@ -6,8 +6,9 @@ words cover, where it stands (path) and the words before it. A random forest
 trained on labelled findings then keeps the real ones.
 
 Scale. Texts are read in place; only candidates, a few dozen bytes each, go on.
-The forest and the dictionary are fitted on bounded samples (``TRAIN_FINDINGS``,
-``DICTIONARY_WORDS``); every candidate of every text is scored.
+The dictionary counts the words of all texts and keeps the ``DICTIONARY_WORDS``
+most frequent; the forest is fitted on at most ``TRAIN_FINDINGS`` findings; every
+candidate of every text is scored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from landloom.llm.common import saved, text_of
 LEAST = 16
 TRAIN_FINDINGS = 20_000
 DICTIONARY_WORDS = 20_000
-DICTIONARY_TEXTS = 5_000
+LONGEST = 32
 TREES, DEPTH, SEED = 30, 8, 11
 RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 #: Words that name a secret, and marks that assign one.
@@ -65,15 +66,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), text_of(text_col).alias("t")).mapInArrow(run, CANDIDATE)
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", texts: int = DICTIONARY_TEXTS, words: int = DICTIONARY_WORDS) -> frozenset[str]:
-    """Frequent words of a bounded sample of texts (least hashes)."""
-    rows = docs.select(F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("t"))
-    top = rows.select("h").distinct().orderBy("h").limit(texts).agg(F.max("h")).first()[0]
-    if top is None:
-        return frozenset()
-    found = rows.where(F.col("h") <= top).dropDuplicates(["h"]).select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
-    counted = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(words)
-    return frozenset(r["w"] for r in counted.collect())
+def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> frozenset[str]:
+    """The most frequent words of all texts, of at most ``LONGEST`` letters."""
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("w"))
+    counted = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.length("w") <= LONGEST)
+    return frozenset(r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(words).collect())
 
 
 def covered(value: str, known: frozenset[str], longest: int) -> float:
