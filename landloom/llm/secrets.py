@@ -128,15 +128,16 @@ def rule_label() -> Column:
     return F.col("before").rlike(rf"(?i)(^|[^a-z])({words})\s*[=:]\s*[\"']$").cast("double")
 
 
-def fit(findings: DataFrame, rows: int = TRAIN_FINDINGS, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel | None:
-    """A forest from ``features, label``; None unless both labels occur.
+def fit(findings: DataFrame, rows: int = TRAIN_FINDINGS, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel | float:
+    """A forest from ``features, label``; with one label alone, that label (0 without any).
 
-    At most ``rows`` findings take part, those of least hash over id, place and value.
+    At most ``rows / 2`` findings of each label take part, those of least hash over id, place and value.
     """
-    bounded = findings.orderBy(F.xxhash64("doc_id", "start", "value"), "doc_id", "start").limit(rows)
-    bounded = saved(bounded.select("features", "label"), "findings")
-    if bounded.agg(F.count_distinct("label")).first()[0] < 2:
-        return None
+    some = lambda c: findings.where(c).orderBy(F.xxhash64("doc_id", "start", "value"), "doc_id", "start").limit(rows // 2)
+    bounded = saved(some(F.col("label") > 0).unionByName(some(F.col("label") <= 0)).select("features", "label"), "findings")
+    kinds = [r["label"] for r in bounded.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        return float(kinds[0]) if kinds else 0.0
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featuresCol="features", labelCol="label").fit(bounded)
 
 
@@ -157,8 +158,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
         labelled = found.join(labels, ["doc_id", "start"])
     model = fit(labelled)
     keep = ["doc_id", "path", "start", "value"]
-    if model is None:
-        only = labelled.agg(F.max("label")).first()[0]
-        return found.select(*keep, F.lit(float(only or 0)).alias("score"), F.lit(int(only or 0)).alias("predicted"))
+    if isinstance(model, float):
+        return found.select(*keep, F.lit(model).alias("score"), F.lit(int(model)).alias("predicted"))
     scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
     return scored.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
