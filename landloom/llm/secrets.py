@@ -99,7 +99,7 @@ def describe(value: str, before: str, after: str, path: str, start: int, known:
         -sum(v / n * math.log2(v / n) for v in counts.values()),
         sum(a != b for a, b in zip(kind, kind[1:])) / n,
         len(re.findall(r"[aeiou]+", value.lower())) / n,
-        covered(value[:256], known, longest),
+        covered(value, known, longest),
         float(not KEY_WORDS.isdisjoint(near)),
         float(ASSIGN.search(before) is not None),
         float(before[-1:] in "\"'" and before != "" and after[:1] == before[-1:]),

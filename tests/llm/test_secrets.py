@@ -22,3 +22,8 @@ def test_rare_label_is_learned(spark):
     model = secrets.fit(rows, rows=8)
     assert not isinstance(model, float) and model.numClasses == 2
     assert secrets.fit(rows.where("label = 0"), rows=8) == 0.0 and secrets.fit(rows.where("label = 1"), rows=8) == 1.0
+
+
+def test_cover_of_the_whole_value():
+    x = secrets.describe("1" * 300 + "lorem" * 60, "", "", "", 0, frozenset(["lorem"]), 5)
+    assert x[secrets.FEATURES.index("dictionary_share")] == 0.5
