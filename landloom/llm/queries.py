@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import binary_ids, bpe_chunks, chat, exact_dedup, mixing, secrets, simhash, token_counts, topk, toxicity
+from landloom.llm import binary_ids, bpe_chunks, chat, distinct_words, exact_dedup, mixing, secrets, simhash, token_counts, topk, toxicity
 from landloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).withColumn("value", F.sha2("value", 256))
+
+
+@query("op12_distinct_word_bpe")
+def distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words.encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
