@@ -3,18 +3,19 @@
 Merges never leave a pre-token (a match of the split pattern), so the ids of a
 text are the ids of its pre-tokens in order. Texts are exploded into pre-tokens
 with their positions; each distinct pre-token ("word") of the whole corpus is
-encoded once; its ids are joined back and put together by position. Decoding
-goes the same way: the ids of each distinct word are exploded with their
-positions, joined with the table of token bytes and put together again.
+encoded once, by the one bucket of words it falls in; its ids are joined back and put
+together by position. Decoding joins the ids with the table of token bytes and
+puts those together by position.
 
 Scale. A row per pre-token would be many times the corpus, so positions are held
-by block: a block is a run of whole texts (``BLOCK`` bytes, or one longer text), and a text is the
-array of its pre-tokens' numbers in the block's own list of distinct words. One
-row (block, number, word) per distinct word of a block is shuffled, with a word's repeats inside
-the block already gone; a word of every text has one row a block. Rows of such a word
-are dealt over salts, whose number grows with the blocks, so no key has
-more than ``READERS`` of them. Blocks then meet their words' ids
-in a grouped step that holds one block at a time. The only broadcast is the token table, whose size is the vocabulary's.
+by block: a block is a run of whole texts (``BLOCK`` bytes, or one longer text), and a
+text is the array of its pre-tokens' numbers in the block's own list of distinct
+words. That list is cut by the words' hash: one row per block and bucket is
+shuffled, with a word's repeats inside the block already gone. The most
+frequent word thus has one place per block, and no key is hot. The number of
+buckets follows the size of the corpus, so a bucket holds a bounded share of the blocks'
+words; past the words of a block, its rows hold one word each. Blocks then
+meet their words' ids in a grouped step that holds one block at a time.
 """
 
 from __future__ import annotations
@@ -29,17 +30,20 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landloom.llm.common import discard, saved, text_bytes, text_of
+from landloom.llm.common import saved, text_bytes, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK = 4 << 20
-READERS = 2048
-BLOCKS_A_TASK = 64
+BLOCK = 16 << 20
+#: Bytes of text for each bucket of words.
+BUCKET = 4 << 20
 SEGMENT = 1 << 18
+SHORT = 512
 #: A non-white character before a white one: no pre-token holds both.
 SAFE = regex.compile(r"\S\s")
 
@@ -83,21 +87,54 @@ class _Numbers(dict):
         return number
 
 
-SPLIT = [("block", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.binary()), ("no", pa.int32()), ("word", pa.string())]
+def _pack(data: bytes) -> bytes:
+    return b"z" + zstandard.ZstdCompressor(level=1).compress(data) if len(data) > SHORT else b"r" + data
 
 
-def _split(pattern: str, block_bytes: int):
-    """Arrow step: texts to rows of their pre-tokens' numbers, and to rows of each block's words."""
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"z" else data[1:]
+
+
+def pack_parts(parts: list[bytes]) -> bytes:
+    """Byte strings as their number, their lengths and their bytes."""
+    return _pack(np.array([len(parts), *map(len, parts)], dtype="<u4").tobytes() + b"".join(parts))
+
+
+def unpack_parts(data: bytes) -> list[bytes]:
+    raw = _unpack(data)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.frombuffer(raw, dtype="<u4", count=n, offset=4).cumsum() + 4 * (n + 1)).tolist()
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends)]
+
+
+SPLIT = [("block", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.binary()), ("bucket", pa.int64()), ("first", pa.int32()), ("words", pa.binary())]
+SPLIT_SCHEMA = "block long, doc_id long, seq binary, bucket long, first int, words binary"
+
+
+def _split(pattern: str, block_bytes: int, buckets: int):
+    """Arrow step: texts to rows of their pre-tokens' numbers, and to rows of each block's words by bucket.
+
+    A block's words are numbered in order of their buckets, so a bucket's row names its first number only.
+    """
 
     def flush(block: int, docs: list, seqs: list, words: _Numbers) -> Iterator[pa.RecordBatch]:
-        n = len(docs)
-        if n:
-            columns = [pa.array([block] * n, pa.int64()), pa.array(docs, pa.int64()), pa.array(seqs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [c for c, _ in SPLIT])
-        m = len(words)
-        if m:
-            columns = [pa.array([block] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(np.arange(m), pa.int32()), pa.array(list(words), pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [c for c, _ in SPLIT])
+        known = [w.encode() for w in words]
+        of = np.array([xxhash.xxh64_intdigest(w) % buckets for w in known], dtype=np.int64)
+        order = np.argsort(of, kind="stable")
+        number = np.empty(len(order), dtype="<u4")
+        number[order] = np.arange(len(order), dtype="<u4")
+        if docs:
+            n = len(docs)
+            columns = [pa.array([block] * n, pa.int64()), pa.array(docs, pa.int64()), pa.array([_pack(number[s].tobytes()) for s in seqs], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, kind) for _, kind in SPLIT[3:])], [c for c, _ in SPLIT])
+        if known:
+            own, starts = np.unique(of[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            at = order.tolist()
+            packs = [pack_parts([known[i] for i in at[a:b]]) for a, b in zip(starts.tolist(), ends)]
+            n = len(packs)
+            columns = [pa.array(own, pa.int64()), pa.array(starts, pa.int32()), pa.array(packs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *columns], [c for c, _ in SPLIT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
@@ -105,12 +142,9 @@ def _split(pattern: str, block_bytes: int):
         docs, seqs, words, size = [], [], _Numbers(), 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("t"))):
-                parts = [np.array([words[w] for w in found], dtype="<u4") for found in pre_tokens(text.decode("utf-8", "replace"), compiled)]
-                seq = np.concatenate(parts)
-                # Two bytes a number where they suffice; the lead byte says which.
-                small = len(words) <= 1 << 16
+                found = pre_tokens(text.decode("utf-8", "replace"), compiled)
                 docs.append(doc)
-                seqs.append(b"2" + seq.astype("<u2").tobytes() if small else b"4" + seq.tobytes())
+                seqs.append(np.concatenate([np.array([words[w] for w in part], dtype="<u4") for part in found]))
                 size += len(text)
                 if size >= block_bytes:
                     yield from flush(block, docs, seqs, words)
@@ -120,38 +154,60 @@ def _split(pattern: str, block_bytes: int):
     return run
 
 
-def token_table(spark: SparkSession, path: str) -> DataFrame:
+def _encode_bucket(path: str):
+    """Grouped step: encodes each distinct word of a bucket once and gives every block's row its words' ids."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        encode_one, ids_of, packs = encoding(path).encode_ordinary, {}, []
+        for pack in rows.column("words").to_pylist():
+            words = unpack_parts(pack)
+            for word in words:
+                if word not in ids_of:
+                    ids_of[word] = np.array(encode_one(word.decode()), dtype="<u4").tobytes()
+            packs.append(pack_parts([ids_of[w] for w in words]))
+        return pa.table({"block": rows.column("block"), "first": rows.column("first"), "ids": pa.array(packs, pa.binary())})
+
+    return run
+
+
+@functools.cache
+def token_table(path: str) -> pa.Table:
     """``id, token``: the bytes of each token; one row per entry of the vocabulary."""
     ranks = read_ranks(path)
-    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())}))
+    return pa.table({"id": pa.array(ranks.values(), pa.uint32()), "token": pa.array(ranks.keys(), pa.binary())})
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``word, ids`` (array of int) of the distinct values of ``word``, each encoded once."""
+def decoded(path: str, texts: list[bytes]) -> list[bytes]:
+    """What each id sequence of ``texts`` (little-endian unsigned 32-bit) decodes to.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoding(path)
-        for batch in batches:
-            ids = [table.encode_ordinary(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+    The distinct ids are joined with the token table, and the tokens put
+    together by position. An id that is no token raises an error.
+    """
+    ids = [np.frombuffer(t, dtype="<u4") for t in texts]
+    known, at = np.unique(np.concatenate([*ids, np.empty(0, dtype="<u4")]), return_inverse=True)
+    met = pa.table({"id": pa.array(known, pa.uint32())}).join(token_table(path), "id", join_type="inner").sort_by("id")
+    if met.num_rows < len(known):
+        raise ValueError("ids that are no tokens of the table")
+    token = met.column("token").to_pylist().__getitem__
+    out, start = [], 0
+    for own in ids:
+        out.append(b"".join(map(token, at[start : start + len(own)].tolist())))
+        start += len(own)
+    return out
 
-    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
 
+def decode(rows: DataFrame, ranks: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``doc_id, decoded`` (bytes) of rows with ``ids`` as little-endian unsigned 32-bit integers; null ids count as none."""
+    path = ranks or public_tokenizers.path(RANKS)
 
-def decode_ids(rows: DataFrame, key: str, path: str) -> DataFrame:
-    """``key, bytes``: the array ``ids`` of each row decoded; ``key`` tells the rows apart.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = decoded(path, [i or b"" for i in part.column("ids").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "decoded"])
 
-    Ids are exploded with their positions, joined with the token table and put
-    together by position. Rows without ids give empty bytes; an id that is no token raises an error.
-    """
-    table = token_table(rows.sparkSession, path)
-    spread = rows.select(key, F.posexplode_outer("ids").alias("pos", "id"))
-    met = spread.join(F.broadcast(table), "id", "left")
-    unknown = F.raise_error(F.concat(F.lit("no such token id: "), F.col("id").cast("string"))).cast("string")
-    shown = F.when(F.col("id").isNull(), F.lit("")).when(F.col("token").isNull(), unknown).otherwise(F.hex("token"))
-    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), shown.alias("hex"))))
-    gathered = met.groupBy(key).agg(parts.alias("parts"))
-    return gathered.select(key, F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")).alias("bytes"))
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, decoded binary")
 
 
 def encode(
@@ -162,61 +218,44 @@ def encode(
     text_col: str = "text",
     outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
     block_bytes: int = BLOCK,
+    bucket_bytes: int = BUCKET,
 ) -> DataFrame:
     """``doc_id`` and the ``outputs`` asked for, one row per input row.
 
     ``ids`` are little-endian unsigned 32-bit integers, without special tokens;
-    ``decoded`` are the bytes they decode to. Null texts count as empty (no
-    ids, empty bytes); null ids are kept; repeated rows give repeated rows; an empty table gives
-    none; other columns are ignored, whatever their names. A text longer than a block is a block of its own, split in segments.
+    ``decoded`` are the bytes that these ids decode to. Null texts count as empty (no
+    ids, empty bytes); null ids are kept; repeated rows give repeated rows; an
+    empty table gives none; other columns are ignored, whatever their names. A
+    text longer than a block is a block of its own, split in segments.
     """
     path = ranks or public_tokenizers.path(RANKS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    made = "block long, doc_id long, seq binary, no int, word string"
-    step = saved(rows.mapInArrow(_split(pattern, block_bytes), made), "blocks")
-    words = step.where("word IS NOT NULL").select("block", "no", "word")
-    blocks = words.where("no = 0").count()
-
-    coded = encode_words(words, path).withColumn("key", F.monotonically_increasing_id())
-    coded = saved(coded, "words")
-    plain = decode_ids(coded, "key", path)
-    hexed = F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0"))
-    swapped = F.transform(hexed, lambda h: F.concat(*[F.substring(h, p, 2) for p in (7, 5, 3, 1)]))
-    known = coded.join(plain, "key").select("word", F.unhex(F.array_join(swapped, "")).alias("ids"), "bytes")
-
-    salts = 1 + blocks // READERS
-    if salts > 1:
-        words = words.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
-        known = words.select("word", "salt").distinct().join(known, "word")
-        met = words.join(known, ["word", "salt"])
-    else:
-        met = words.join(known, "word")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    step = saved(rows.mapInArrow(_split(pattern, block_bytes, 1 + size // bucket_bytes), SPLIT_SCHEMA), "blocks")
+
     spark = docs.sparkSession
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, blocks // BLOCKS_A_TASK)
-    parts = met.select(F.col("block").alias("of"), "no", "ids", "bytes").repartition(wide, "of")
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, size // (4 * block_bytes))
+    packs = step.where("words IS NOT NULL").select("block", "bucket", "first", "words").repartition(wide, "bucket")
+    coded = packs.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, first int, ids binary")
+    coded = saved(coded.withColumnRenamed("block", "of"), "words").repartition(wide, "of")
     texts = step.where("seq IS NOT NULL").select("block", "doc_id", "seq").repartition(wide, "block")
 
     def put(own: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.argsort(found.column("no").to_numpy())
-        found = found.select(["ids", "bytes"]).take(pa.array(order))
-        ids_of = found.column("ids").to_pylist().__getitem__
-        bytes_of = found.column("bytes").to_pylist().__getitem__
-        values: dict[str, list] = {o: [] for o in outputs}
+        ids_of: list[bytes] = []
+        for pack in found.sort_by("first").column("ids").to_pylist():
+            ids_of += unpack_parts(pack)
+        ids = []
         for seq in own.column("seq").to_pylist():
-            at = np.frombuffer(seq, dtype="<u2" if seq[:1] == b"2" else "<u4", offset=1).tolist()
-            ids, back = b"".join(map(ids_of, at)), b"".join(map(bytes_of, at))
-            make = {
-                "n_tokens": lambda: len(ids) // 4,
-                "ids": lambda: ids,
-                "decoded": lambda: back,
-                "ids_sha256": lambda: hashlib.sha256(ids).hexdigest(),
-                "decoded_sha256": lambda: hashlib.sha256(back).hexdigest(),
-            }
-            for o in outputs:
-                values[o].append(make[o]())
-        return pa.table({"doc_id": own.column("doc_id"), **{o: pa.array(values[o], OUTPUTS[o][1]) for o in outputs}})
+            ids.append(b"".join(map(ids_of.__getitem__, np.frombuffer(_unpack(seq), dtype="<u4").tolist())))
+        back = decoded(path, ids) if "decoded" in outputs or "decoded_sha256" in outputs else []
+        make = {
+            "n_tokens": lambda: [len(i) // 4 for i in ids],
+            "ids": lambda: ids,
+            "decoded": lambda: back,
+            "ids_sha256": lambda: [hashlib.sha256(i).hexdigest() for i in ids],
+            "decoded_sha256": lambda: [hashlib.sha256(b).hexdigest() for b in back],
+        }
+        return pa.table({"doc_id": own.column("doc_id"), **{o: pa.array(make[o](), OUTPUTS[o][1]) for o in outputs}})
 
     schema = ", ".join(["doc_id long", *[f"{o} {OUTPUTS[o][0]}" for o in outputs]])
-    out = saved(texts.groupBy("block").cogroup(parts.groupBy("of")).applyInArrow(put, schema), "encoded")
-    discard(step, coded)
-    return out
+    return texts.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(put, schema)
