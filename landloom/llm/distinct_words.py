@@ -44,6 +44,7 @@ BLOCK = 16 << 20
 BUCKET = 4 << 20
 SEGMENT = 1 << 18
 SHORT = 512
+RUN = 1 << 16
 #: A non-white character before a white one: no pre-token holds both.
 SAFE = regex.compile(r"\S\s")
 
@@ -107,34 +108,62 @@ def unpack_parts(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends)]
 
 
-SPLIT = [("block", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.binary()), ("bucket", pa.int64()), ("first", pa.int32()), ("words", pa.binary())]
-SPLIT_SCHEMA = "block long, doc_id long, seq binary, bucket long, first int, words binary"
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Integers below 2 ** 32, byte plane by byte plane: small ones leave planes of zeros."""
+    return _pack(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpack(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+#: Rows of texts (several a row, of ``RUN`` pre-tokens or one longer text), and rows of words.
+SPLIT = [
+    ("block", pa.int64()),
+    ("doc_ids", pa.list_(pa.int64())),
+    ("counts", pa.list_(pa.int32())),
+    ("seq", pa.binary()),
+    ("bucket", pa.int64()),
+    ("numbers", pa.binary()),
+    ("words", pa.binary()),
+]
+SPLIT_SCHEMA = "block long, doc_ids array<long>, counts array<int>, seq binary, bucket long, numbers binary, words binary"
 
 
 def _split(pattern: str, block_bytes: int, buckets: int):
     """Arrow step: texts to rows of their pre-tokens' numbers, and to rows of each block's words by bucket.
 
-    A block's words are numbered in order of their buckets, so a bucket's row names its first number only.
+    The more often a block has a word, the lower its number, so numbers compress well.
     """
 
+    def batch_of(block: int, columns: dict[str, list]) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        arrays = [pa.array(columns[c], k) if c in columns else pa.array([block] * n, k) if c == "block" else pa.nulls(n, k) for c, k in SPLIT]
+        return pa.RecordBatch.from_arrays(arrays, [c for c, _ in SPLIT])
+
     def flush(block: int, docs: list, seqs: list, words: _Numbers) -> Iterator[pa.RecordBatch]:
-        known = [w.encode() for w in words]
-        of = np.array([xxhash.xxh64_intdigest(w) % buckets for w in known], dtype=np.int64)
-        order = np.argsort(of, kind="stable")
+        every = np.concatenate([*seqs, np.empty(0, dtype="<u4")])
+        order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
         number = np.empty(len(order), dtype="<u4")
         number[order] = np.arange(len(order), dtype="<u4")
-        if docs:
-            n = len(docs)
-            columns = [pa.array([block] * n, pa.int64()), pa.array(docs, pa.int64()), pa.array([_pack(number[s].tobytes()) for s in seqs], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, kind) for _, kind in SPLIT[3:])], [c for c, _ in SPLIT])
+        every = number[every]
+        counts, at, start = [len(s) for s in seqs], 0, 0
+        while at < len(docs):
+            upto, size = at + 1, counts[at]
+            while upto < len(docs) and size + counts[upto] <= RUN:
+                size += counts[upto]
+                upto += 1
+            yield batch_of(block, {"doc_ids": [docs[at:upto]], "counts": [counts[at:upto]], "seq": [pack_numbers(every[start : start + size])]})
+            at, start = upto, start + size
+        known = [w.encode() for w in words]
         if known:
-            own, starts = np.unique(of[order], return_index=True)
-            ends = [*starts[1:].tolist(), len(order)]
-            at = order.tolist()
-            packs = [pack_parts([known[i] for i in at[a:b]]) for a, b in zip(starts.tolist(), ends)]
-            n = len(packs)
-            columns = [pa.array(own, pa.int64()), pa.array(starts, pa.int32()), pa.array(packs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *columns], [c for c, _ in SPLIT])
+            of = np.array([xxhash.xxh64_intdigest(w) % buckets for w in known], dtype=np.int64)[order]
+            by_bucket = np.argsort(of, kind="stable")
+            own, starts = np.unique(of[by_bucket], return_index=True)
+            held = np.split(by_bucket, starts[1:])
+            packs = [pack_parts([known[i] for i in order[h].tolist()]) for h in held]
+            yield batch_of(block, {"bucket": own.tolist(), "numbers": [pack_numbers(h) for h in held], "words": packs})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
@@ -165,7 +194,7 @@ def _encode_bucket(path: str):
                 if word not in ids_of:
                     ids_of[word] = np.array(encode_one(word.decode()), dtype="<u4").tobytes()
             packs.append(pack_parts([ids_of[w] for w in words]))
-        return pa.table({"block": rows.column("block"), "first": rows.column("first"), "ids": pa.array(packs, pa.binary())})
+        return pa.table({"block": rows.column("block"), "numbers": rows.column("numbers"), "ids": pa.array(packs, pa.binary())})
 
     return run
 
@@ -235,18 +264,24 @@ def encode(
 
     spark = docs.sparkSession
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, size // (4 * block_bytes))
-    packs = step.where("words IS NOT NULL").select("block", "bucket", "first", "words").repartition(wide, "bucket")
-    coded = packs.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, first int, ids binary")
+    packs = step.where("words IS NOT NULL").select("block", "bucket", "numbers", "words").repartition(wide, "bucket")
+    coded = packs.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, numbers binary, ids binary")
     coded = saved(coded.withColumnRenamed("block", "of"), "words").repartition(wide, "of")
-    texts = step.where("seq IS NOT NULL").select("block", "doc_id", "seq").repartition(wide, "block")
+    texts = step.where("seq IS NOT NULL").select("block", "doc_ids", "counts", "seq").repartition(wide, "block")
 
     def put(own: pa.Table, found: pa.Table) -> pa.Table:
-        ids_of: list[bytes] = []
-        for pack in found.sort_by("first").column("ids").to_pylist():
-            ids_of += unpack_parts(pack)
-        ids = []
-        for seq in own.column("seq").to_pylist():
-            ids.append(b"".join(map(ids_of.__getitem__, np.frombuffer(_unpack(seq), dtype="<u4").tolist())))
+        packs = [unpack_parts(p) for p in found.column("ids").to_pylist()]
+        ids_of: list[bytes] = [b""] * sum(map(len, packs))
+        for numbers, pack in zip(found.column("numbers").to_pylist(), packs):
+            for number, ids in zip(unpack_numbers(numbers).tolist(), pack):
+                ids_of[number] = ids
+        docs, ids = [], []
+        for some, counts, seq in zip(*(own.column(c).to_pylist() for c in ("doc_ids", "counts", "seq"))):
+            docs += some
+            numbers, start = unpack_numbers(seq).tolist(), 0
+            for count in counts:
+                ids.append(b"".join(map(ids_of.__getitem__, numbers[start : start + count])))
+                start += count
         back = decoded(path, ids) if "decoded" in outputs or "decoded_sha256" in outputs else []
         make = {
             "n_tokens": lambda: [len(i) // 4 for i in ids],
@@ -255,7 +290,7 @@ def encode(
             "ids_sha256": lambda: [hashlib.sha256(i).hexdigest() for i in ids],
             "decoded_sha256": lambda: [hashlib.sha256(b).hexdigest() for b in back],
         }
-        return pa.table({"doc_id": own.column("doc_id"), **{o: pa.array(make[o](), OUTPUTS[o][1]) for o in outputs}})
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), **{o: pa.array(make[o](), OUTPUTS[o][1]) for o in outputs}})
 
     schema = ", ".join(["doc_id long", *[f"{o} {OUTPUTS[o][0]}" for o in outputs]])
     return texts.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(put, schema)
