@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import binary_ids, bpe_chunks, chat, distinct_words, exact_dedup, mixing, secrets, simhash, token_counts, topk, toxicity
+from landloom.llm import binary_ids, bpe_chunks, chat, distinct_words, exact_dedup, merkle, mixing, secrets, simhash, token_counts, topk, toxicity, turn_repair
 from landloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,13 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_distinct_word_bpe")
 def distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_words.encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op11_turn_repair", turn_repair.ORACLE)
+def turn_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_summary(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_merkle_manifest")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
