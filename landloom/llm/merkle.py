@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.llm.common import discard, saved
+from landloom.llm.turn_repair import CRC
 
 FANOUT = 8
 CHUNK_LEVELS = 4
@@ -232,3 +233,44 @@ def manifest(
     out = out.join(proofs, "row_id").withColumn("verified", F.col("folded_root") == F.col("root"))
     discard(leaves, tops, nodes, *levels, *upper)
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _sql_leaf(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+ORACLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER () AS uid, {_sql_leaf("text")} AS leaf,
+         {_sql_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} AS low,
+         {CRC.format(key="CAST(doc_id AS VARCHAR)")} % 3 = 0 AS hit FROM documents
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang COLLATE C NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS no,
+         count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), inner_ AS (
+  SELECT tree, 0 AS level, no, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, no // 8, sha256(string_agg(h, '' ORDER BY no)), any_value((n + 7) // 8) FROM inner_ WHERE n > 1 GROUP BY tree, level, no // 8
+), tops AS (SELECT *, count(*) OVER () AS wide FROM inner_ WHERE n = 1),
+outer_ AS (
+  SELECT -1 AS tree, 0 AS level, tree AS no, h, wide AS n FROM tops
+  UNION ALL
+  SELECT tree, level + 1, no // 8, sha256(string_agg(h, '' ORDER BY no)), any_value((n + 7) // 8) FROM outer_ WHERE n > 1 GROUP BY tree, level, no // 8
+), nodes AS (
+  -- A node with what it is part of: its key, the key of its run, its place there.
+  SELECT tree || ':' || level || ':' || no AS key, CASE WHEN n > 1 THEN tree || ':' || (level + 1) || ':' || (no // 8) END AS run, no % 8 AS slot, h FROM (SELECT * FROM inner_ WHERE n > 1 UNION ALL SELECT * FROM outer_)
+  UNION ALL SELECT i.tree || ':' || i.level || ':' || i.no, o.run, o.slot, i.h FROM inner_ i JOIN
+    (SELECT no AS t, CASE WHEN n > 1 THEN '-1:1:' || (no // 8) END AS run, no % 8 AS slot FROM outer_ WHERE level = 0) o ON i.tree = o.t WHERE i.n = 1
+), runs AS (SELECT run, list(h ORDER BY slot) AS hs FROM (SELECT DISTINCT * FROM nodes WHERE run IS NOT NULL AND NOT (key LIKE '-1:0:%')) GROUP BY run),
+climb AS (
+  SELECT uid, tree || ':0:' || no AS key, CASE WHEN hit THEN low ELSE leaf END AS h, '' AS proof, 0 AS steps FROM placed
+  UNION ALL
+  SELECT uid, n.run, sha256(array_to_string(hs[1:slot], '') || c.h || array_to_string(hs[slot + 2:], '')),
+         proof || array_to_string(hs[1:slot], '') || array_to_string(hs[slot + 2:], ''), steps + 1
+  FROM climb c JOIN nodes n ON c.key = n.key JOIN runs r ON n.run = r.run
+), ended AS (SELECT uid, arg_max(h, steps) AS folded, arg_max(proof, steps) AS proof FROM climb GROUP BY uid),
+top AS (SELECT h AS root FROM outer_ WHERE n = 1)
+SELECT doc_id, leaf, tops.h AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed JOIN tops ON placed.tree = tops.tree JOIN ended USING (uid), top
+"""

@@ -90,6 +90,6 @@ def turn_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_summary(table(spark, sf_dir, "conversations"))
 
 
-@query("op13_merkle_manifest")
+@query("op13_merkle_manifest", merkle.ORACLE)
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
