@@ -118,67 +118,91 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-#: Rows of texts (several a row, of ``RUN`` pre-tokens or one longer text), and rows of words.
-SPLIT = [
-    ("block", pa.int64()),
-    ("doc_ids", pa.list_(pa.int64())),
-    ("counts", pa.list_(pa.int32())),
-    ("seq", pa.binary()),
-    ("bucket", pa.int64()),
-    ("numbers", pa.binary()),
-    ("words", pa.binary()),
-]
-SPLIT_SCHEMA = "block long, doc_ids array<long>, counts array<int>, seq binary, bucket long, numbers binary, words binary"
-
-
-def _split(pattern: str, block_bytes: int, buckets: int):
-    """Arrow step: texts to rows of their pre-tokens' numbers, and to rows of each block's words by bucket.
-
-    The more often a block has a word, the lower its number, so numbers compress well.
-    """
+#: Rows of words, and rows of texts (several a row, of ``RUN`` pre-tokens or one longer text).
+WORDS = [("block", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("words", pa.binary())]
+TEXTS = [("block", pa.int64()), ("mark", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("seq", pa.binary())]
+
+
+class _Block:
+    """A run of whole texts: its words, numbered as they are first seen, and a digest of the texts."""
+
+    def __init__(self):
+        self.words, self.digest, self.size = _Numbers(), xxhash.xxh64(), 0
+
+    def add(self, text: bytes) -> str:
+        self.digest.update(len(text).to_bytes(8, "little") + text)
+        self.size += len(text)
+        return text.decode("utf-8", "replace")
+
+    @property
+    def mark(self) -> int:
+        return self.digest.intdigest() - (1 << 63)
 
-    def batch_of(block: int, columns: dict[str, list]) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        arrays = [pa.array(columns[c], k) if c in columns else pa.array([block] * n, k) if c == "block" else pa.nulls(n, k) for c, k in SPLIT]
-        return pa.RecordBatch.from_arrays(arrays, [c for c, _ in SPLIT])
-
-    def flush(block: int, docs: list, seqs: list, words: _Numbers) -> Iterator[pa.RecordBatch]:
-        every = np.concatenate([*seqs, np.empty(0, dtype="<u4")])
-        order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
-        number = np.empty(len(order), dtype="<u4")
-        number[order] = np.arange(len(order), dtype="<u4")
-        every = number[every]
-        counts, at, start = [len(s) for s in seqs], 0, 0
-        while at < len(docs):
-            upto, size = at + 1, counts[at]
-            while upto < len(docs) and size + counts[upto] <= RUN:
-                size += counts[upto]
-                upto += 1
-            yield batch_of(block, {"doc_ids": [docs[at:upto]], "counts": [counts[at:upto]], "seq": [pack_numbers(every[start : start + size])]})
-            at, start = upto, start + size
-        known = [w.encode() for w in words]
-        if known:
-            of = np.array([xxhash.xxh64_intdigest(w) % buckets for w in known], dtype=np.int64)[order]
-            by_bucket = np.argsort(of, kind="stable")
-            own, starts = np.unique(of[by_bucket], return_index=True)
-            held = np.split(by_bucket, starts[1:])
-            packs = [pack_parts([known[i] for i in order[h].tolist()]) for h in held]
-            yield batch_of(block, {"bucket": own.tolist(), "numbers": [pack_numbers(h) for h in held], "words": packs})
+
+def _batch(columns: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), columns)], [n for n, _ in columns])
+
+
+def _list_words(pattern: str, block_bytes: int, buckets: int):
+    """Arrow step: the distinct words of each block, one row per bucket of words."""
+
+    def rows_of(number: int, block: _Block) -> Iterator[pa.RecordBatch]:
+        known = [w.encode() for w in block.words]
+        of = np.array([xxhash.xxh64_intdigest(w) % buckets for w in known], dtype=np.int64)
+        order = np.argsort(of, kind="stable")
+        own, starts = np.unique(of[order], return_index=True)
+        # One row more, of bucket -1, has the block's mark.
+        rows = [(number, -1, None, block.mark.to_bytes(8, "little", signed=True))]
+        for bucket, held in zip(own.tolist(), np.split(order, starts[1:])):
+            rows.append((number, bucket, pack_numbers(np.diff(held, prepend=0)), pack_parts([known[i] for i in held.tolist()])))
+        yield _batch(WORDS, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = regex.compile(pattern)
-        block = TaskContext.get().partitionId() << 32
-        docs, seqs, words, size = [], [], _Numbers(), 0
+        compiled, number, block = regex.compile(pattern), TaskContext.get().partitionId() << 32, _Block()
+        for batch in batches:
+            for text in text_bytes(batch.column("t")):
+                for found in pre_tokens(block.add(text), compiled):
+                    for word in dict.fromkeys(found):
+                        block.words[word]
+                if block.size >= block_bytes:
+                    yield from rows_of(number, block)
+                    number, block = number + 1, _Block()
+        yield from rows_of(number, block)
+
+    return run
+
+
+def _list_texts(pattern: str, block_bytes: int):
+    """Arrow step: the texts of each block as the numbers of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, number, block = regex.compile(pattern), TaskContext.get().partitionId() << 32, _Block()
+        docs, seqs, rows, tokens = [], [], [], 0
+
+        def close_row() -> None:
+            nonlocal docs, seqs, tokens
+            if docs:
+                rows.append((docs, [len(s) for s in seqs], pack_numbers(np.concatenate(seqs))))
+                docs, seqs, tokens = [], [], 0
+
+        def close_block() -> Iterator[pa.RecordBatch]:
+            close_row()
+            if rows:
+                yield _batch(TEXTS, [(number, block.mark, *row) for row in rows])
+                rows.clear()
+
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("t"))):
-                found = pre_tokens(text.decode("utf-8", "replace"), compiled)
+                found = pre_tokens(block.add(text), compiled)
                 docs.append(doc)
-                seqs.append(np.concatenate([np.array([words[w] for w in part], dtype="<u4") for part in found]))
-                size += len(text)
-                if size >= block_bytes:
-                    yield from flush(block, docs, seqs, words)
-                    docs, seqs, words, size, block = [], [], _Numbers(), 0, block + 1
-        yield from flush(block, docs, seqs, words)
+                seqs.append(np.concatenate([np.array([block.words[w] for w in part], dtype="<u4") for part in found]))
+                tokens += len(seqs[-1])
+                if tokens >= RUN:
+                    close_row()
+                if block.size >= block_bytes:
+                    yield from close_block()
+                    number, block = number + 1, _Block()
+        yield from close_block()
 
     return run
 
@@ -188,13 +212,16 @@ def _encode_bucket(path: str):
 
     def run(rows: pa.Table) -> pa.Table:
         encode_one, ids_of, packs = encoding(path).encode_ordinary, {}, []
-        for pack in rows.column("words").to_pylist():
+        for pack, bucket in zip(rows.column("words").to_pylist(), rows.column("bucket").to_pylist()):
+            if bucket < 0:
+                packs.append(pack)
+                continue
             words = unpack_parts(pack)
             for word in words:
                 if word not in ids_of:
                     ids_of[word] = np.array(encode_one(word.decode()), dtype="<u4").tobytes()
             packs.append(pack_parts([ids_of[w] for w in words]))
-        return pa.table({"block": rows.column("block"), "numbers": rows.column("numbers"), "ids": pa.array(packs, pa.binary())})
+        return pa.table({"of": rows.column("of"), "numbers": rows.column("numbers"), "ids": pa.array(packs, pa.binary())})
 
     return run
 
@@ -256,25 +283,38 @@ def encode(
     ids, empty bytes); null ids are kept; repeated rows give repeated rows; an
     empty table gives none; other columns are ignored, whatever their names. A
     text longer than a block is a block of its own, split in segments.
+
+    Texts are read twice, once for the words and once for the positions, which is
+    cheaper than to keep the positions in a table besides their shuffle. Blocks carry a digest of their
+    texts: a table whose partitions differ from one read to the next raises an error.
     """
     path = ranks or public_tokenizers.path(RANKS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    step = saved(rows.mapInArrow(_split(pattern, block_bytes, 1 + size // bucket_bytes), SPLIT_SCHEMA), "blocks")
-
     spark = docs.sparkSession
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, size // (4 * block_bytes))
-    packs = step.where("words IS NOT NULL").select("block", "bucket", "numbers", "words").repartition(wide, "bucket")
-    coded = packs.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, numbers binary, ids binary")
-    coded = saved(coded.withColumnRenamed("block", "of"), "words").repartition(wide, "of")
-    texts = step.where("seq IS NOT NULL").select("block", "doc_ids", "counts", "seq").repartition(wide, "block")
+
+    listed = rows.select("t").mapInArrow(_list_words(pattern, block_bytes, 1 + size // bucket_bytes), "of long, bucket long, numbers binary, words binary")
+    # Marks of blocks are dealt like words.
+    dealt = F.when(F.col("bucket") < 0, -1 - F.pmod("of", F.lit(1024))).otherwise(F.col("bucket"))
+    listed = listed.withColumn("dealt", dealt).repartition(wide, "dealt")
+    coded = listed.groupBy("dealt").applyInArrow(_encode_bucket(path), "of long, numbers binary, ids binary")
+    coded = saved(coded, "words").repartition(wide, "of")
+    texts = rows.mapInArrow(_list_texts(pattern, block_bytes), "block long, mark long, doc_ids array<long>, counts array<int>, seq binary").repartition(wide, "block")
 
     def put(own: pa.Table, found: pa.Table) -> pa.Table:
-        packs = [unpack_parts(p) for p in found.column("ids").to_pylist()]
-        ids_of: list[bytes] = [b""] * sum(map(len, packs))
-        for numbers, pack in zip(found.column("numbers").to_pylist(), packs):
-            for number, ids in zip(unpack_numbers(numbers).tolist(), pack):
-                ids_of[number] = ids
+        packs, marks = [], set(own.column("mark").to_pylist())
+        for numbers, pack in zip(found.column("numbers").to_pylist(), found.column("ids").to_pylist()):
+            if numbers is None:
+                marks.add(int.from_bytes(pack, "little", signed=True))
+            else:
+                packs.append((unpack_numbers(numbers).cumsum().tolist(), unpack_parts(pack)))
+        if own.num_rows and (len(marks) > 1 or not found.num_rows):
+            raise ValueError("the rows of this table came in another order when they were read again; write it to files first")
+        ids_of: list[bytes] = [b""] * sum(len(p) for _, p in packs)
+        for numbers, pack in packs:
+            for number, some in zip(numbers, pack):
+                ids_of[number] = some
         docs, ids = [], []
         for some, counts, seq in zip(*(own.column(c).to_pylist() for c in ("doc_ids", "counts", "seq"))):
             docs += some
