@@ -167,7 +167,7 @@ def _(spark, sf):
 @query(
     "manifest_round_trip",
     f"""WITH {ASSIGNED}, {TILES} SELECT tile_col, tile_row, feature_count, round(min_lon, 9) AS min_lon, round(max_lat, 9) AS max_lat, 51 AS zone, true AS north,
-    'tiles/tile_' || tile_col || '_' || tile_row || '/osm.geojson' AS geojson FROM tiles""",
+    'features/tile_col=' || tile_col || '/tile_row=' || tile_row AS geojson FROM tiles""",
     ("box",),
 )
 def _(spark, sf):
@@ -239,7 +239,7 @@ def _(spark, sf):
 @query(
     "validation_issues",
     f"""WITH {ASSIGNED}, {COUNTS}, t AS (SELECT *, feature_count + CASE WHEN feature_count % 3 = 0 THEN 1 ELSE 0 END AS declared, feature_count % 5 = 0 AS lost FROM counts)
-    SELECT tile_col, tile_row, 'geojson_missing' AS rule, 'tiles/tile_' || tile_col || '_' || tile_row || '/osm.geojson' AS detail FROM t WHERE lost
+    SELECT tile_col, tile_row, 'geojson_missing' AS rule, 'features/tile_col=' || tile_col || '/tile_row=' || tile_row AS detail FROM t WHERE lost
     UNION ALL SELECT tile_col, tile_row, 'count_mismatch', feature_count || '/' || declared FROM t WHERE NOT lost AND declared <> feature_count""",
     ("box",),
 )
