@@ -83,6 +83,11 @@ def area_sqm(points: Column) -> Column:
     return F.abs(signed_area(points)) / 10000.0
 
 
+def net_area_sqm(points: Column, holes: Column) -> Column:
+    """Area in m2 of a ring without the areas of its holes."""
+    return area_sqm(points) - F.aggregate(holes, F.lit(0.0), lambda acc, h: acc + area_sqm(h))
+
+
 def is_clockwise(points: Column, fx: str = "x", fy: str = "y") -> Column:
     return signed_area(points, fx, fy) < 0.0
 

@@ -2,8 +2,8 @@
 
 Segments act in a fixed order (roads, rivers, coastlines; feature order;
 vertex order). A segment splits a piece only when the finite segment crosses at
-least two of its edges away from their ends; the piece is then divided by the
-whole line through the segment.
+least two edges of its outer ring away from their ends; the piece, holes
+included, is then divided by the whole line through the segment.
 """
 
 from __future__ import annotations
@@ -88,82 +88,176 @@ def candidate_segments(pieces: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
-def _meet(ax, ay, bx, by, cx, cy, dx, dy):
-    """Line parameters of edges a-b (arrays) with segment c-d."""
-    ex, ey, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
-    denom = ex * sy - ey * sx
+def line_candidates(pieces: DataFrame, segments: DataFrame) -> DataFrame:
+    """Segments that pass a cell of a piece's box: ``piece_id, ord, x0 .. y1``.
+
+    As ``candidate_segments``, but a segment is put into the cells its line
+    passes, column by column, not into all cells of its box, so a long diagonal road
+    costs its length. The cells are widened by a rounding margin.
+    """
+    box = pieces.select("piece_id", "after", G.bbox(F.col("world_vertices"), "x", "y").alias("b")).select("piece_id", "after", "b.*")
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1.0))
+    box = box.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(extent / (4.0 * CELL_CM)) / math.log(4.0))).cast("int"))
+    levels = [r[0] for r in box.select("level").distinct().collect()]  # a handful of integers
+    w = F.lit(CELL_CM) * F.pow(F.lit(4.0), F.col("level"))
+    cell = lambda v: F.floor(v / w).cast("long")
+    run = lambda lo, hi: F.explode(F.sequence(cell(lo), cell(hi)))
+
+    left = box.withColumn("cx", run(F.col("min_x"), F.col("max_x"))).withColumn("cy", run(F.col("min_y"), F.col("max_y")))
+    seg = segments.withColumns(
+        {"sx0": F.least("x0", "x1"), "sx1": F.greatest("x0", "x1"), "sy0": F.least("y0", "y1"), "sy1": F.greatest("y0", "y1")}
+    ).withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)])))
+    seg = seg.withColumn("cx", run(F.col("sx0"), F.col("sx1")))
+    slope = F.try_divide(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))
+    at = lambda x: F.col("y0") + slope * (F.greatest(F.col("sx0"), F.least(F.col("sx1"), x)) - F.col("x0"))
+    ya, yb = at(F.col("cx") * w), at((F.col("cx") + 1) * w)
+    margin = w * 1e-6
+    low = F.coalesce(F.greatest(F.col("sy0"), F.least(ya, yb) - margin), F.col("sy0"))
+    high = F.coalesce(F.least(F.col("sy1"), F.greatest(ya, yb) + margin), F.col("sy1"))
+    right = seg.withColumn("cy", run(F.least(low, high), F.greatest(low, high)))
+    meets = (
+        (F.col("sx0") <= F.col("max_x")) & (F.col("sx1") >= F.col("min_x"))
+        & (F.col("sy0") <= F.col("max_y")) & (F.col("sy1") >= F.col("min_y"))
+    )
+    met = left.join(right, ["level", "cx", "cy"]).where(meets & (F.col("ord") > F.col("after")))
+    return met.select("piece_id", "ord", "x0", "y0", "x1", "y1").distinct()
+
+
+def _meet(ring: np.ndarray, segs: np.ndarray):
+    """Line parameters of each ring edge (columns) with each segment (rows)."""
+    edge = np.roll(ring, -1, axis=0) - ring
+    line = segs[:, None, 2:] - segs[:, None, :2]
+    apart = segs[:, None, :2] - ring
+    denom = edge[:, 0] * line[..., 1] - edge[:, 1] * line[..., 0]
     ok = np.abs(denom) >= G.PARALLEL_EPS
     safe = np.where(ok, denom, 1.0)
-    t = ((cx - ax) * sy - (cy - ay) * sx) / safe
-    u = ((cx - ax) * ey - (cy - ay) * ex) / safe
+    t = (apart[..., 0] * line[..., 1] - apart[..., 1] * line[..., 0]) / safe
+    u = (apart[..., 0] * edge[:, 1] - apart[..., 1] * edge[:, 0]) / safe
     return ok, t, u
 
 
-def _half(ring: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray, left: bool) -> np.ndarray:
-    """Part of the ring on one side of the line a-b."""
-    keep = side >= -G.PARALLEL_EPS if left else side <= G.PARALLEL_EPS
-    nxt = np.roll(ring, -1, axis=0)
-    ok, t, u = _meet(ring[:, 0], ring[:, 1], nxt[:, 0], nxt[:, 1], a[0], a[1], b[0], b[1])
-    eps = G.PARALLEL_EPS
-    ok &= (t >= -eps) & (t <= 1 + eps) & (u >= -eps) & (u <= 1 + eps)
-    crossing = (keep != np.roll(keep, -1)) & ok
-    out = []
-    for i in range(len(ring)):
-        if keep[i]:
-            out.append(ring[i])
-        if crossing[i]:
-            f = min(max(t[i], 0.0), 1.0)
-            out.append(ring[i] + (nxt[i] - ring[i]) * f)
-    return np.array(out) if out else np.empty((0, 2))
-
-
-def split_ring(ring: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """Two halves of the ring, or None when the segment does not split it."""
-    nxt = np.roll(ring, -1, axis=0)
-    ok, t, u = _meet(ring[:, 0], ring[:, 1], nxt[:, 0], nxt[:, 1], a[0], a[1], b[0], b[1])
+def splitters(ring: np.ndarray, segs: np.ndarray) -> np.ndarray:
+    """Which segments (rows ``x0, y0, x1, y1``) split the ring."""
+    ok, t, u = _meet(ring, segs)
     lo, hi = EDGE_MARGIN, 1.0 - EDGE_MARGIN
-    if np.count_nonzero(ok & (t > lo) & (t < hi) & (u > lo) & (u < hi)) < 2:
+    return np.count_nonzero(ok & (t > lo) & (t < hi) & (u > lo) & (u < hi), axis=1) >= 2
+
+
+def ring_halves(ring: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of a ring left and right of the line through the segment.
+
+    Vertices and crossing points stand in one array in ring order; each part
+    takes those on its side. Empty parts have no rows.
+    """
+    way = seg[2:] - seg[:2]
+    way = way / math.hypot(*way) * EXTENSION_CM
+    line = np.concatenate([seg[:2] - way, seg[2:] + way])
+    side = (line[2] - line[0]) * (ring[:, 1] - line[1]) - (line[3] - line[1]) * (ring[:, 0] - line[0])
+    ok, t, u = (v[0] for v in _meet(ring, line[None]))
+    eps = G.PARALLEL_EPS
+    ok = ok & (t >= -eps) & (t <= 1 + eps) & (u >= -eps) & (u <= 1 + eps)
+    points = ring + (np.roll(ring, -1, axis=0) - ring) * np.clip(t, 0.0, 1.0)[:, None]
+    every = np.stack([ring, points], axis=1).reshape(-1, 2)
+    parts = []
+    for keep in (side >= -eps, side <= eps):
+        taken = np.stack([keep, (keep != np.roll(keep, -1)) & ok], axis=1).ravel()
+        parts.append(every[taken])
+    return parts[0], parts[1]
+
+
+def split_rings(rings: list[np.ndarray], seg: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+    """A polygon (outer ring, then holes) cut by a segment's line; None if a side has no area of its own.
+
+    Holes are cut by the same line: one on a side stays whole, one across the line
+    becomes a notch of either side.
+    """
+    halves = ring_halves(rings[0], seg)
+    if min(map(len, halves)) < 3:
         return None
-    d = (b - a) / math.hypot(*(b - a)) * EXTENSION_CM
-    a, b = a - d, b + d
-    side = (b[0] - a[0]) * (ring[:, 1] - a[1]) - (b[1] - a[1]) * (ring[:, 0] - a[0])
-    left, right = _half(ring, side, a, b, True), _half(ring, side, a, b, False)
-    return (left, right) if len(left) >= 3 and len(right) >= 3 else None
+    left, right = [halves[0]], [halves[1]]
+    for hole in rings[1:]:
+        for part, goal in zip(ring_halves(hole, seg), (left, right)):
+            if len(part) >= 3:
+                goal.append(part)
+    return left, right
+
+
+#: Edges times segments tested at once.
+TESTS = 1 << 20
+
+
+def first_splitter(rings: list[np.ndarray], segs: np.ndarray, start: int = 0):
+    """``(index, halves)`` of the first segment that splits the polygon, or None.
+
+    Looked for in runs that grow, so that a polygon cut early tests few segments it will not need.
+    """
+    width = 64
+    while start < len(segs):
+        upto = min(len(segs), start + max(1, min(width, TESTS // len(rings[0]))))
+        for i in np.flatnonzero(splitters(rings[0], segs[start:upto])) + start:
+            halves = split_rings(rings, segs[i])
+            if halves:
+                return int(i), halves
+        start, width = upto, width * 4
+    return None
+
+
+def cut_rings(rings: list[np.ndarray], segs: np.ndarray, names: np.ndarray) -> list[tuple[str, list[np.ndarray]]]:
+    """``(suffix, rings)`` of the parts of a polygon cut by segments in order.
+
+    A tree of splits: the first segment that splits a part makes two, and each
+    goes on with the later segments whose box meets its own. A segment
+    is thus held against the parts it can reach, all of them at once, and never
+    looked at again where it did not split.
+    """
+    boxes = np.concatenate([np.minimum(segs[:, :2], segs[:, 2:]), np.maximum(segs[:, :2], segs[:, 2:])], axis=1)
+    done, open_ = [], [("", rings, np.arange(len(segs)))]
+    while open_:
+        name, rings, near = open_.pop()
+        low, high = rings[0].min(axis=0), rings[0].max(axis=0)
+        own = boxes[near]
+        near = near[(own[:, :2] <= high).all(axis=1) & (own[:, 2:] >= low).all(axis=1)]
+        found = first_splitter(rings, segs[near])
+        if found is None:
+            done.append((name, rings))
+            continue
+        at, halves = found
+        open_ += [(f"{name}.{names[near[at]]}{side}", half, near[at + 1 :]) for side, half in zip("rl", reversed(halves))]
+    return done
+
+
+def _points(ring: np.ndarray) -> list[dict]:
+    return [{"x": float(x), "y": float(y)} for x, y in ring]
 
 
 def _cut_piece(piece: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
     """Apply one batch of segments, in order, to one piece."""
     row = piece.iloc[0]
-    ring = np.array([(v["x"], v["y"]) for v in row["world_vertices"]], dtype=float)
-    parts = [(row["piece_id"], ring)]
+    rings = [np.array([(v["x"], v["y"]) for v in r], dtype=float) for r in (row["world_vertices"], *row["world_holes"])]
     segs = segs.sort_values("ord")
-    for number, s in zip(segs["ord"].to_numpy(), segs[["x0", "y0", "x1", "y1"]].to_numpy()):
-        a, b = s[:2], s[2:]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        nxt = []
-        for name, r in parts:
-            apart = (r.max(axis=0) < lo).any() or (r.min(axis=0) > hi).any()
-            halves = None if apart else split_ring(r, a, b)
-            nxt += [(f"{name}.{number}{side}", h) for side, h in zip("lr", halves)] if halves else [(name, r)]
-        parts = nxt
+    parts = cut_rings(rings, segs[["x0", "y0", "x1", "y1"]].to_numpy(float), segs["ord"].to_numpy())
     return pd.DataFrame(
         {
             "polygon_id": row["polygon_id"],
-            "piece_id": [name for name, _ in parts],
+            "piece_id": [row["piece_id"] + name for name, _ in parts],
             "after": int(segs["ord"].max()) if len(segs) else int(row["after"]),
             "more": bool(row["more"]),
-            "world_vertices": [[{"x": float(x), "y": float(y)} for x, y in r] for _, r in parts],
+            "world_vertices": [_points(r[0]) for _, r in parts],
+            "world_holes": [[_points(h) for h in r[1:]] for _, r in parts],
         }
     )
 
 
-_PIECE = "piece_id string, after long, more boolean, world_vertices array<struct<x:double,y:double>>"
+_RING = "array<struct<x:double,y:double>>"
+_PIECE = f"piece_id string, after long, more boolean, world_vertices {_RING}, world_holes array<{_RING}>"
+SHAPE = ("polygon_id", "piece_id", "world_vertices", "world_holes")
 
 
 def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -> DataFrame:
     """Cut ``polygon_id, world_vertices`` by ordered segments.
 
-    Returns ``polygon_id, piece_id, world_vertices``; slivers are dropped. A
+    Returns ``polygon_id, piece_id, world_vertices, world_holes``; slivers are
+    dropped. ``world_holes`` of the polygons are cut with them (none, if there is no such column). A
     piece is named by its cuts - segment number and side - so names do not
     depend on ``batch``. Polygons without a segment near are never sent to
     Python. A task takes one piece and at most ``batch`` of its segments. A
@@ -172,25 +266,27 @@ def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -
     """
     schema = f"polygon_id {polygons.schema['polygon_id'].dataType.simpleString()}, {_PIECE}"
     segments = checkpointed(segments)
+    holes = F.col("world_holes") if "world_holes" in polygons.columns else F.array().cast(f"array<{_RING}>")
     pending = polygons.where(F.size("world_vertices") >= 3).select(
         "polygon_id",
         F.col("polygon_id").cast("string").alias("piece_id"),
         F.lit(-1).cast("long").alias("after"),
         "world_vertices",
+        F.coalesce(holes, F.array().cast(f"array<{_RING}>")).alias("world_holes"),
     )
     finished: list[DataFrame] = []
 
     def run(piece: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
         if not len(piece):
-            return pd.DataFrame(columns=["polygon_id", "piece_id", "after", "more", "world_vertices"])
+            return pd.DataFrame(columns=["polygon_id", "piece_id", "after", "more", "world_vertices", "world_holes"])
         return _cut_piece(piece, segs)
 
     while True:
         pending = checkpointed(pending)
-        pairs = checkpointed(candidate_segments(pending, segments))
+        pairs = checkpointed(line_candidates(pending, segments))
         load = pairs.groupBy("piece_id").agg((F.count(F.lit(1)) > batch).alias("more"))
         marked = pending.join(load, "piece_id")
-        finished.append(pending.join(load, "piece_id", "left_anti").select("polygon_id", "piece_id", "world_vertices"))
+        finished.append(pending.join(load, "piece_id", "left_anti").select(*SHAPE))
         heavy = checkpointed(load.where("more").select("piece_id"))
         taken = pairs
         if not heavy.isEmpty():

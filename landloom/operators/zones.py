@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -366,40 +367,58 @@ def outline_edges(cells: DataFrame) -> DataFrame:
 
 
 def _rings_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chain one zone's outline edges to rings, turning left where two meet."""
-    starts: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    head = pdf["heading"].to_numpy()
-    a = list(zip(pdf["ax"], pdf["ay"]))
-    b = list(zip(pdf["bx"], pdf["by"]))
-    for i in range(len(a)):
-        starts.setdefault(a[i], []).append((int(head[i]), i))
-    order = sorted(range(len(a)), key=lambda i: (a[i][1], a[i][0], head[i]))
-    used = np.zeros(len(a), dtype=bool)
-    out, ring_no = [], 0
-    for first in order:
-        if used[first]:
-            continue
-        seq, i = 0, first
-        while not used[i]:
-            used[i] = True
-            out.append((ring_no, seq, a[i][0], a[i][1], int(head[i])))
-            seq += 1
-            turn = {(int(head[i]) + k) % 4: r for r, k in enumerate((1, 0, 3))}
-            i = min(starts[b[i]], key=lambda e: turn.get(e[0], 9))[1]
-        ring_no += 1
-    res = pd.DataFrame(out, columns=["ring_no", "seq", "ax", "ay", "heading"])
-    res.insert(0, "zone_id", pdf["zone_id"].iloc[0])
-    res.insert(0, "grid_id", pdf["grid_id"].iloc[0])
-    return res
+    """Chain one zone's outline edges to rings, turning left where two meet.
+
+    Edges are sorted by start; each finds the edges that start where it ends by
+    search, takes the leftmost turn, and pointer doubling over whole arrays
+    gives the least edge of each ring and the steps to it.
+    """
+    ax, ay = pdf["ax"].to_numpy(np.int64), pdf["ay"].to_numpy(np.int64)
+    head = pdf["heading"].to_numpy(np.int64)
+    order = np.lexsort((head, ax, ay))
+    ax, ay, head = ax[order], ay[order], head[order]
+    place = ay * ROW_STEP + ax
+    ends = place + np.choose(head, (1, ROW_STEP, -1, -ROW_STEP))
+    first = np.searchsorted(place, ends)
+    after = np.minimum(first + 1, len(place) - 1)  # at most two edges start at a corner
+    two = (first + 1 < len(place)) & (place[after] == ends)
+    # Left, straight on, right, in this order.
+    rank = np.array([1, 0, 9, 2])
+    better = two & (rank[(head[after] - head) % 4] < rank[(head[first] - head) % 4])
+    succ = np.where(better, after, first)
+    size = len(succ)
+    low, at, steps = np.arange(size), succ, 1
+    while steps < size:
+        low, at, steps = np.minimum(low, low[at]), at[at], steps * 2
+    # Distance to the ring's least edge, going on: that edge ends its own walk.
+    goal = low == np.arange(size)
+    dist, at = np.where(goal, 0, 1), np.where(goal, np.arange(size), succ)
+    steps = 1
+    while steps < size:
+        dist, at, steps = dist + dist[at], at[at], steps * 2
+    length = np.bincount(low, minlength=size)
+    ring_no = np.cumsum(goal) - 1
+    out = pd.DataFrame({"ring_no": ring_no[low], "seq": (length[low] - dist) % length[low], "ax": ax, "ay": ay, "heading": head})
+    out.insert(0, "zone_id", pdf["zone_id"].iloc[0])
+    out.insert(0, "grid_id", pdf["grid_id"].iloc[0])
+    return out
 
 
 def outline_rings(cells: DataFrame, outline_limit: int = OUTLINE_LIMIT) -> DataFrame:
     """Closed outlines ``grid_id, zone_id, ring_no, seq, ax, ay`` per zone.
 
-    Only corners where the outline turns are kept. Ring 0 is the one that
-    starts at the zone's lowest, then leftmost corner, which is its outer ring;
-    further rings are holes. Zones up to ``outline_limit`` edges are chained in
-    one task; longer outlines are chained by pointer doubling.
+    Only corners where the outline turns are kept. Rings are numbered by their lowest, then leftmost
+    corner, so ring 0 is an outer ring.
+    """
+    return _corners_only(edge_rings(cells, outline_limit))
+
+
+def edge_rings(cells: DataFrame, outline_limit: int = OUTLINE_LIMIT) -> DataFrame:
+    """Every outline edge with its ring: ``grid_id, zone_id, ring_no, seq, ax, ay, heading``.
+
+    Outer rings run counter-clockwise, holes clockwise. Zones up to
+    ``outline_limit`` edges are chained in one task; longer outlines are
+    chained by pointer doubling, with the same result.
     """
     edges = checkpointed(outline_edges(cells))
     length = edges.groupBy("grid_id", "zone_id").agg(F.count(F.lit(1)).alias("n"))
@@ -421,7 +440,50 @@ def outline_rings(cells: DataFrame, outline_limit: int = OUTLINE_LIMIT) -> DataF
     oversized = sized.where(F.col("n") > outline_limit).drop("n")
     if not oversized.isEmpty():
         rings = rings.unionByName(_rings_by_doubling(oversized))
-    return _corners_only(rings)
+    return rings
+
+
+def ring_nesting(rings: DataFrame) -> DataFrame:
+    """``grid_id, zone_id, ring_no, outer_no, pixels`` of ``edge_rings``: the outer ring each ring belongs to.
+
+    ``pixels`` is the enclosed area in cells, below zero for holes. A hole lies
+    in the run of zone cells that ends at the leftmost edge of its lowest row; the run begins at
+    an edge of the outer ring around it or of another hole in that ring, whose
+    lowest row is lower, or equal and further left. So one ordered pass over the
+    vertical edges of a row gives each hole the ring before it, and following
+    these leads to the outer ring. No edge is tested against the edges of other rings.
+    """
+    keys = ["grid_id", "zone_id", "ring_no"]
+    upright = rings.where("heading IN (1, 3)").select(
+        *keys, (F.col("ay") - F.when(F.col("heading") == 3, 1).otherwise(0)).alias("row"), F.col("ax").alias("x"), "heading"
+    )
+    sides = F.when(F.col("heading") == 1, F.col("x")).otherwise(-F.col("x")).cast("long")
+    found = checkpointed(upright.groupBy(*keys).agg(F.sum(sides).alias("pixels"), F.min(F.struct("row", "x")).alias("seed")))
+    before = F.lag("ring_no").over(W.partitionBy("grid_id", "zone_id", "row").orderBy("x"))
+    holes = found.where("pixels < 0").select(*keys, F.col("seed.row").alias("row"), F.col("seed.x").alias("x"))
+    ordered = upright.join(holes.select("grid_id", "zone_id", "row").distinct(), ["grid_id", "zone_id", "row"], "left_semi").withColumn("to", before)
+    met = ordered.join(holes, [*keys, "row", "x"]).select("grid_id", F.struct("zone_id", "ring_no").alias("zone_id"), F.struct("zone_id", F.col("to").alias("ring_no")).alias("to"))
+    ends = follow_moves(met).select("grid_id", "zone_id.zone_id", "zone_id.ring_no", F.col("merged_id.ring_no").alias("_end"))
+    return found.join(ends, keys, "left").select(*keys, F.coalesce("_end", "ring_no").alias("outer_no"), "pixels")
+
+
+def zone_polygons(cells: DataFrame, outline_limit: int = OUTLINE_LIMIT) -> DataFrame:
+    """``grid_id, zone_id, outer_no, pixels, ring, holes``: one row per outer ring, holes cut out.
+
+    ``ring`` and the ``holes`` are arrays of corners ``(ax, ay)``; ``pixels`` is
+    the area left, in cells, so the polygons of a zone add up to its cells.
+    """
+    edges = checkpointed(edge_rings(cells, outline_limit))
+    keys = ["grid_id", "zone_id", "ring_no"]
+    corners = _corners_only(edges).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "ax", "ay"))).alias("_r"))
+    shapes = corners.select(*keys, F.transform("_r", lambda c: F.struct(c["ax"].alias("ax"), c["ay"].alias("ay"))).alias("ring"))
+    nested = shapes.join(ring_nesting(edges), keys)
+    own = F.col("ring_no") == F.col("outer_no")
+    return nested.groupBy("grid_id", "zone_id", "outer_no").agg(
+        F.sum("pixels").alias("pixels"),
+        F.max(F.when(own, F.struct(F.lit(1), "ring"))).alias("_o"),
+        F.array_sort(F.collect_list(F.when(~own, F.struct("ring_no", "ring")))).alias("_h"),
+    ).select("grid_id", "zone_id", "outer_no", "pixels", F.col("_o.ring").alias("ring"), F.transform("_h", lambda h: h["ring"]).alias("holes"))
 
 
 def _rings_by_doubling(edges: DataFrame) -> DataFrame:
@@ -492,16 +554,18 @@ def _corners_only(rings: DataFrame) -> DataFrame:
 def zone_outlines(
     cells: DataFrame, bounds, shape: tuple[int, int], origin_lon: float, origin_lat: float, outline_limit: int = OUTLINE_LIMIT
 ) -> DataFrame:
-    """Outer outline of each zone as ``geo_vertices`` and ``world_vertices``."""
+    """Polygons of each zone: ``geo_vertices, geo_holes, world_vertices, world_holes``, one row per outer ring."""
     lo_x, lo_y, hi_x, hi_y = map(float, bounds)
     step_x, step_y = (hi_x - lo_x) / shape[0], (hi_y - lo_y) / shape[1]
-    outer = outline_rings(cells, outline_limit).where("ring_no = 0")
-    corner = F.struct((lo_x + F.col("ax") * step_x).alias("lon"), (lo_y + F.col("ay") * step_y).alias("lat"))
-    rings = outer.groupBy("grid_id", "zone_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", corner.alias("p")))).alias("_r")
+
+    def placed(ring):
+        return F.transform(ring, lambda c: F.struct((lo_x + c["ax"] * step_x).alias("lon"), (lo_y + c["ay"] * step_y).alias("lat")))
+
+    polygons = zone_polygons(cells, outline_limit).select(
+        "grid_id", "zone_id", "outer_no", placed(F.col("ring")).alias("geo_vertices"), F.transform("holes", placed).alias("geo_holes")
     )
-    rings = rings.select("grid_id", "zone_id", F.transform("_r", lambda v: v["p"]).alias("geo_vertices"))
-    return rings.withColumn("world_vertices", P.geo_array_to_world(F.col("geo_vertices"), origin_lon, origin_lat))
+    world = lambda ring: P.geo_array_to_world(ring, origin_lon, origin_lat)
+    return polygons.withColumns({"world_vertices": world(F.col("geo_vertices")), "world_holes": F.transform("geo_holes", world)})
 
 
 def shape_ok(width: int, height: int) -> bool:

@@ -112,15 +112,21 @@ def polygons_from_zones(
     origin_lat: float,
     min_area_sqm: float = BUILDER_MIN_AREA,
 ) -> DataFrame:
-    """Polygons from zone outlines cut by roads, rivers and coastlines."""
+    """Polygons from zone outlines cut by roads, rivers and coastlines.
+
+    Holes of a zone stay holes of its pieces (``world_holes``, ``geo_holes``) and
+    do not count to their area.
+    """
     outlines = zones.zone_outlines(cells, bounds, shape, origin_lon, origin_lat)
     kept = outlines.join(zone_rows.select("grid_id", "zone_id"), ["grid_id", "zone_id"], "left_semi")
     segments = cutting.cut_segments(features, origin_lon, origin_lat)
-    key = F.to_json(F.struct("grid_id", "zone_id")).alias("polygon_id")
-    pieces = cutting.cut_polygons(kept.select(key, "world_vertices"), segments)
-    info = zone_rows.select(key, "grid_id", "zone_id", "avg_elevation", "avg_slope", "terrain_class")
+    key = F.to_json(F.struct("grid_id", "zone_id", "outer_no")).alias("polygon_id")
+    kept = kept.select(key, "grid_id", "zone_id", "world_vertices", "world_holes")
+    pieces = cutting.cut_polygons(kept, segments)
+    info = zone_rows.select("grid_id", "zone_id", "avg_elevation", "avg_slope", "terrain_class")
+    info = kept.select("polygon_id", "grid_id", "zone_id").join(info, ["grid_id", "zone_id"])
     sized = pieces.join(info, "polygon_id").withColumns(
-        {"area_sqm": G.area_sqm(F.col("world_vertices")), "_c": G.vertex_mean(F.col("world_vertices"), "x", "y")}
+        {"area_sqm": G.net_area_sqm(F.col("world_vertices"), F.col("world_holes")), "_c": G.vertex_mean(F.col("world_vertices"), "x", "y")}
     )
     typed = Fl.min_area(sized, min_area_sqm).select(
         F.xxhash64("piece_id").alias("polygon_id"),
@@ -130,6 +136,8 @@ def polygons_from_zones(
         K.terrain_to_land_use(F.col("terrain_class")).alias("land_use"),
         "world_vertices",
         P.world_array_to_geo(F.col("world_vertices"), origin_lon, origin_lat).alias("geo_vertices"),
+        "world_holes",
+        F.transform("world_holes", lambda h: P.world_array_to_geo(h, origin_lon, origin_lat)).alias("geo_holes"),
         "area_sqm",
         F.col("_c.x").alias("center_x"),
         F.col("_c.y").alias("center_y"),

@@ -1,6 +1,9 @@
+import time
+
 import numpy as np
 import pytest
 
+from landloom.functions.geometry import net_area_sqm
 from landloom.operators import cutting, terrain, zones
 from landloom.schema import TerrainConfig
 
@@ -106,6 +109,34 @@ def test_outlines_enclose_each_zone(case):
     assert area == labelled.toPandas().groupby(["grid_id", "zone_id"]).size().to_dict()
 
 
+def test_zone_polygons_leave_out_their_holes(spark):
+    # Rings in rings, holes side by side, and two separate parts of zone 0.
+    art = """
+        0000000000011
+        0111110222011
+        0100010222000
+        0102010000030
+        0100010303030
+        0111110000000
+        0000000000044
+        4444444444444
+        0000004404444
+    """
+    lines = [list(map(int, q)) for q in art.split()][::-1]
+    rows = [("g", x, y, c) for y, line in enumerate(lines) for x, c in enumerate(line)]
+    df = spark.createDataFrame(rows, "grid_id string, x int, y int, zone_id int")
+    for limit in (500_000, 4):
+        got = zones.zone_polygons(df, limit).collect()
+        total = {}
+        for r in got:
+            total[r.zone_id] = total.get(r.zone_id, 0) + r.pixels
+            shoelace = lambda q: sum(a.ax * b.ay - b.ax * a.ay for a, b in zip(q, [*q[1:], q[0]])) / 2
+            assert shoelace(r.ring) > 0 and all(shoelace(h) < 0 for h in r.holes)
+            assert shoelace(r.ring) + sum(map(shoelace, r.holes)) == r.pixels
+        assert total == {z: sum(line.count(z) for line in lines) for z in range(5)}
+        assert sorted((r.zone_id, r.pixels, len(r.holes)) for r in got if r.zone_id < 2) == [(0, 1, 0), (0, 6, 0), (0, 8, 1), (0, 50, 5), (1, 4, 0), (1, 16, 1)]
+
+
 def test_plane_slope(spark):
     rows = [("g", x, y, 30.0 * x) for x in range(4) for y in range(4)]
     df = spark.createDataFrame(rows, "grid_id string, x int, y int, elev double")
@@ -155,3 +186,64 @@ def test_cut_in_batches_gives_the_same(spark):
     assert once == cut(spark, [SQUARE, far], segs, names, batch=4)
     assert names[0] == names[1] and "1" in names[0] and any(n.startswith("0.0") for n in names[0])
     assert sum(once[0]) == pytest.approx(1e6, abs=200.0) and len(once[0]) > 6 and once[1] == [1000000.0]
+
+
+def polygon_areas(spark, holes, segs):
+    ring = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(0, SQUARE, holes)], f"polygon_id long, world_vertices {ring}, world_holes array<{ring}>")
+    lines = spark.createDataFrame([(i, *map(float, s)) for i, s in enumerate(segs)], "ord long, x0 double, y0 double, x1 double, y1 double")
+    cut_ = cutting.cut_polygons(df, lines)
+    area = net_area_sqm(cut_.world_vertices, cut_.world_holes)
+    return sorted((r["piece_id"], len(r["world_holes"]), round(r["a"] * 1e4, 3)) for r in cut_.withColumn("a", area).collect())
+
+
+def test_cutting_through_holes(spark):
+    hole = [(300.0, 300.0), (300.0, 700.0), (700.0, 700.0), (700.0, 300.0)]
+    whole = polygon_areas(spark, [hole], [(500, 250, 500, 350)])
+    assert whole == [("0", 1, 840000.0)]
+    # Through the hole, then beside what is left of it.
+    assert polygon_areas(spark, [hole], [(500, -90, 500, 1090), (-90, 100, 1090, 100)]) == [
+        ("0.0l.1l", 1, 370000.0), ("0.0l.1r", 0, 50000.0), ("0.0r.1l", 1, 370000.0), ("0.0r.1r", 0, 50000.0),
+    ]
+    assert polygon_areas(spark, [hole], [(200, -90, 200, 1090)]) == [("0.0l", 0, 200000.0), ("0.0r", 1, 640000.0)]
+
+
+def test_split_tree_equals_a_plain_loop():
+    rng = np.random.default_rng(9)
+    ring = np.array([(0, 0), (1000, 0), (1000, 1000), (600, 1000), (600, 300), (400, 300), (400, 1000), (0, 1000)], float)
+    segs = rng.uniform(-200, 1200, (60, 4))
+    parts = [("", [ring])]
+    for n, s in enumerate(segs):
+        nxt = []
+        for name, rings in parts:
+            halves = cutting.split_rings(rings, s) if cutting.splitters(rings[0], s[None])[0] else None
+            nxt += [(f"{name}.{n}{side}", h) for side, h in zip("lr", halves)] if halves else [(name, rings)]
+        parts = nxt
+    tree = cutting.cut_rings([ring], segs, np.arange(len(segs)))
+    assert len(parts) > 30 and {n for n, _ in tree} == {n for n, _ in parts}
+    assert all(np.array_equal(dict(tree)[n][0], r[0]) for n, r in parts)
+
+
+def test_many_segments_on_one_polygon():
+    rng = np.random.default_rng(2)
+    ring, at = np.array(SQUARE), rng.uniform(0, 1000, (100_000, 2))
+    short = np.concatenate([at, at + rng.uniform(-3, 3, at.shape)], axis=1)
+    long = np.stack([np.array((x, -50.0, x, 1050.0)) for x in range(10, 1000, 10)])
+    start = time.perf_counter()
+    parts = cutting.cut_rings([ring], np.concatenate([short, long, short]), np.arange(200_099))
+    assert len(parts) >= 98 and time.perf_counter() - start < 20
+    assert sum(abs(np.cross(r[0], np.roll(r[0], -1, axis=0)).sum()) / 2 for _, r in parts) == pytest.approx(1e6)
+
+
+def test_walked_cells_miss_no_segment(spark):
+    rng = np.random.default_rng(4)
+    rings = [[(x, y), (x + w, y), (x + w, y + w), (x, y + w)] for x, y, w in rng.uniform(1e4, 3e5, (12, 3))]
+    rows = [(i, -1, ring) for i, ring in enumerate(rings)]
+    pieces = spark.createDataFrame([(i, a, [tuple(map(float, q)) for q in r]) for i, a, r in rows], "piece_id long, after long, world_vertices array<struct<x:double,y:double>>")
+    ends = rng.uniform(-1e5, 7e5, (150, 4))
+    ends[:10, 2] = ends[:10, 0]
+    lines = spark.createDataFrame([(i, *map(float, e)) for i, e in enumerate(ends)], "ord long, x0 double, y0 double, x1 double, y1 double")
+    near = {(r.piece_id, r.ord) for r in cutting.line_candidates(pieces, lines).collect()}
+    boxes = {(r.piece_id, r.ord) for r in cutting.candidate_segments(pieces, lines).collect()}
+    cross = {(i, n) for i, r in enumerate(rings) for n in np.flatnonzero(cutting.splitters(np.array(r), ends))}
+    assert cross <= near <= boxes and len(near) < len(boxes)
