@@ -7,8 +7,8 @@ groups, in order, are the leaves of one more tree, whose root is the dataset's.
 The built levels are stored as rows that name their parent: ``(tree, level, no)``, the digests of
 its children in order (``kids``, 32 bytes each), and the parent with the place among
 its children. A recursive query starts at every leaf with the digest that is to be
-proved and ascends: at each parent it appends the other children to the proof
-and folds the digest with them, up to the root.
+proved and ascends: at each parent it appends a row with the other children to
+the proof and folds the digest with them, up to the root.
 
 Scale. Leaves get their place in the group from one range partitioning and a
 count per (partition, group); no window runs over rows. A level is an
@@ -16,8 +16,8 @@ eighth of the one below. All leaves of a dataset meet at the same root,
 so upper nodes would be hot keys of the climb: leaves climb in chunks of
 ``8 ** CHUNK_LEVELS`` neighbours, and a node above that level is stored once for each chunk
 below it. So a key of the climb has that many leaves at most,
-and the copies are one row per chunk and level. Each step shuffles the digest and the proof
-so far; neighbours carry equal proofs, which compress.
+and the copies are one row per chunk and level. Each step shuffles the digest
+only; the siblings it appends meet once, at the end.
 """
 
 from __future__ import annotations
@@ -98,31 +98,38 @@ def levels_of(leaves: DataFrame) -> list[DataFrame]:
 
 
 CLIMB = """
-WITH RECURSIVE climb (row_id, lang_no, chunk, folded, proof, tree, level, no, slot) AS (
-  SELECT row_id, lang_no, chunk, start, X'', up_tree, up_level, up_no, slot FROM {leaves}
+WITH RECURSIVE climb (row_id, lang_no, chunk, step, folded, beside, tree, level, no, slot) AS (
+  SELECT row_id, lang_no, chunk, 0, start, X'', up_tree, up_level, up_no, slot FROM {leaves}
   UNION ALL
-  SELECT c.row_id, c.lang_no, c.chunk,
+  SELECT c.row_id, c.lang_no, c.chunk, c.step + 1,
          unhex(sha2(lower(hex(concat(substring(n.kids, 1, c.slot * 32), c.folded, substring(n.kids, c.slot * 32 + 33)))), 256)),
-         concat(c.proof, substring(n.kids, 1, c.slot * 32), substring(n.kids, c.slot * 32 + 33)),
+         concat(substring(n.kids, 1, c.slot * 32), substring(n.kids, c.slot * 32 + 33)),
          n.up_tree, n.up_level, n.up_no, n.slot
   FROM climb c JOIN {nodes} n
     ON c.lang_no = n.lang_no AND c.chunk = n.chunk AND c.tree = n.tree AND c.level = n.level AND c.no = n.no
 )
-SELECT row_id, lower(hex(folded)) AS folded_root, sha2(lower(hex(proof)), 256) AS proof_sha256 FROM climb WHERE tree IS NULL
+SELECT row_id, lang_no, chunk, step, folded, beside FROM climb
 """
 
 
 def climbed(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """``row_id, folded_root, proof_sha256`` per leaf, by the recursive query (saved).
 
-    The recursion yields a row per leaf and level, so Spark's default limit of
-    recursive rows is lifted while it runs; the depth ends at the root.
+    Each step of the recursion folds the digest and appends a row with the
+    siblings it met; a leaf's rows in order are its proof. The rows of a chunk
+    stay together, so equal siblings of neighbours compress. The recursion yields
+    a row per leaf and level, so Spark's default limit of recursive rows is
+    lifted while it runs; the depth ends at the root.
     """
     spark, limit = leaves.sparkSession, "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        return saved(spark.sql(CLIMB, leaves=leaves, nodes=nodes), "climbed")
+        rows = spark.sql(CLIMB, leaves=leaves, nodes=nodes).repartition("lang_no", "chunk")
+        beside = F.transform(F.array_sort(F.collect_list(F.struct("step", "beside"))), lambda s: F.hex(s["beside"]))
+        ends = rows.groupBy("lang_no", "chunk", "row_id").agg(F.max_by("folded", "step").alias("folded"), beside.alias("beside"))
+        proof = F.sha2(F.lower(F.array_join("beside", "")), 256)
+        return saved(ends.select("row_id", F.lower(F.hex("folded")).alias("folded_root"), proof.alias("proof_sha256")), "climbed")
     finally:
         spark.conf.set(limit, before)
 
