@@ -311,22 +311,30 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
     common = _common(rows, words)
     made = rows.mapInArrow(run, "doc_id long, text_key long, size int, firsts array<long>")
-    made = made.groupBy("doc_id", "text_key").agg(F.first("size").alias("size"), F.first("firsts").alias("firsts"), F.count(F.lit(1)).alias("n"))
-    prints = saved(made.withColumn("no", F.monotonically_increasing_id()), "prints")
-    posted = prints.select(F.explode("firsts").alias("key"), "no", "size")
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    left = saved(posted.join(shared, "key"), "postings")
+    made = saved(made.withColumn("no", F.monotonically_increasing_id()), "shingles")
+    # Rows that repeat an id and a text stand for one another.
+    alike_rows = made.groupBy("doc_id", "text_key").agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("n"))
+    prints = saved(alike_rows, "prints")
+    lone = made if prints.where("n > 1").isEmpty() else made.join(prints.select("no"), "no", "left_semi")
+    posted = lone.select(F.explode("firsts").alias("key"), "no", "size")
+    # Most shingles stand in one text: a bitmap of the others keeps those where they are.
+    shared = saved(posted.groupBy("key").agg((F.min("no") < F.max("no")).alias("_both")).where("_both").select("key"), "shared")
+    met_keys = shared.withColumnRenamed("key", "_key")
+    marked = with_mark(posted, F.col("key"), met_keys, F.col("_key")).where("_hit").drop("_hit")
+    left = saved(marked.join(shared, "key"), "postings")
+    discard(made, shared)
 
     members = saved(left.select("no").distinct().join(prints.select("no", "doc_id", "text_key"), "no"), "members")
     near = with_mark(rows, F.col("text_key"), members, F.col("text_key")).where("_hit").dropDuplicates(["doc_id", "text_key"])
     near = near.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "t")
     texts = members.join(near, members["doc_id"].eqNullSafe(near["_d"]) & (members["text_key"] == near["_k"]))
     sets = saved(texts.select("no", "t").mapInArrow(cut, "no long, set array<long>"), "sets")
+    discard(members)
 
     both = F.size(F.array_intersect("set", "_set"))
     alike = both >= F.lit(float(similarity)) * (F.size("set") + F.size("_set") - both)
     links = kin = tried = None
-    heads_each = 1
+    heads_each, spent = 1, []
     while not left.isEmpty():
         placed = left.withColumn("kin", F.col("no")) if kin is None else left.join(kin, "no", "left").withColumn("kin", F.coalesce("kin", "no"))
         # One head of each group at a shingle, a few groups at first, then more.
@@ -341,17 +349,22 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         judged = met.join(sets.select(F.col("no").alias("u"), "set"), "u").join(sets.select(F.col("no").alias("v"), F.col("set").alias("_set")), "v")
         more = saved(judged.where(alike).select("u", "v"), "similar")
         tried = met if tried is None else tried.unionByName(met)
+        spent += [met, more]
         after = saved(placed.join(heads.select("key", F.col("hno").alias("no")), ["key", "no"], "left_anti").select("key", "no", "size"), "postings")
         discard(left, heads)
         left = after
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
+            before = kin
             kin = saved(connected_components(links).select(F.col("node").alias("no"), F.col("root").alias("kin")), "kin")
+            if before is not None:
+                discard(before)
         heads_each = min(8 * heads_each, HEADS)
     if kin is None:
         kin = prints.where("false").select("no", F.col("no").alias("kin"))
     # Texts in order: by id (null last), then by text.
     uid = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_key").alias("k"))
+    discard(sets, left, *spent)
     judged = saved(kin.join(prints.select("no", "doc_id", "text_key", uid.alias("uid")), "no"), "judged")
     stay = judged.groupBy("kin").agg(F.min("uid").alias("_stay"))
     out = judged.join(stay, "kin").select("doc_id", "text_key", (F.col("uid") == F.col("_stay")).alias("stays"))

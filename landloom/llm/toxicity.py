@@ -306,30 +306,40 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed_terms
     return ToxicityModel(terms, weights, bias)
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+#: Rows whose scores and hits are held at once.
+SCORED = 1024
+
+
+def score(
+    docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_hits: bool = True
+) -> DataFrame:
     """``doc_id, score, predicted, hits`` per input row, then the ``carry`` columns.
 
-    ``hits`` lists ``token, term, edits, quoted``. Null and empty texts have no
-    hits and get the score of a text without any; repeated rows stay.
+    ``hits`` lists ``token, term, edits, quoted`` (left out without ``with_hits``). Null and empty
+    texts have no hits and get the score of a text without any; repeated rows stay.
     """
     kind = pa.list_(pa.struct([("token", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.terms)
         table = Hits(lexicon)
-        for batch in batches:
-            scores, hits = [], []
-            for t in text_bytes(batch.column("_t")):
-                found = table.of(t)
-                scores.append(model.score(features(lexicon, found)))
-                hits.append([{"token": i, "term": lexicon.terms[m[1]][0], "edits": m[0], "quoted": q} for i, m, q in found])
-            own = [batch.column(f"_c{i}") for i in range(len(carry))]
-            predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
-            names = ["doc_id", "score", "predicted", "hits", *(f"_c{i}" for i in range(len(carry)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), predicted, pa.array(hits, kind), *own], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SCORED):
+                batch = whole.slice(at, SCORED)
+                scores, hits = [], []
+                for t in text_bytes(batch.column("_t")):
+                    found = table.of(t)
+                    scores.append(model.score(features(lexicon, found)))
+                    if with_hits:
+                        hits.append([{"token": i, "term": lexicon.terms[m[1]][0], "edits": m[0], "quoted": q} for i, m, q in found])
+                own = {f"_c{i}": batch.column(f"_c{i}") for i in range(len(carry))}
+                shown = {"hits": pa.array(hits, kind)} if with_hits else {}
+                predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
+                out = {"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64()), "predicted": predicted, **shown, **own}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    made = "doc_id long, score double, predicted int, hits array<struct<token:int,term:string,edits:int,quoted:boolean>>"
+    made = "doc_id long, score double, predicted int" + (", hits array<struct<token:int,term:string,edits:int,quoted:boolean>>" if with_hits else "")
     types = "".join(f", `_c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     return rows.mapInArrow(run, made + types)
 
@@ -337,5 +347,5 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the model rejects, columns as they were."""
     names = docs.columns
-    out = score(docs, model, names[0] if "doc_id" not in names else "doc_id", text_col, tuple(names))
+    out = score(docs, model, names[0] if "doc_id" not in names else "doc_id", text_col, tuple(names), with_hits=False)
     return out.where("predicted = 0").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
