@@ -101,12 +101,49 @@ def _(spark, sf):
     return zones.label_zones(terrain_cells(spark, sf)).select("x", "y", "terrain_class", "zone_id")
 
 
-@query("terrain_zones")
+# Small zones one by one, in order of their ids: each goes to the neighbour group with most contacts.
+SMALLEST = CFG.min_zone_area_sqm / CFG.cell_area_sqm
+MERGED = f"""zs AS (SELECT zone_id AS z, count(*) AS n FROM zn GROUP BY 1),
+ ct AS (SELECT a.zone_id AS a, b.zone_id AS b, count(*) AS n, min((CAST(a.y AS BIGINT) * 536870912 + a.x) * 4 + s.side) AS f
+   FROM zn a JOIN (VALUES (-1, 0, 0), (1, 0, 1), (0, -1, 2), (0, 1, 3)) s(dx, dy, side) ON true JOIN zn b ON b.x = a.x + s.dx AND b.y = a.y + s.dy AND b.zone_id <> a.zone_id GROUP BY 1, 2),
+ small AS (SELECT z, row_number() OVER (ORDER BY z) AS i FROM zs WHERE n < {SMALLEST}),
+ mg(i, root, size) AS (SELECT 0, (SELECT list(z ORDER BY z) FROM zs), (SELECT list(n ORDER BY z) FROM zs)
+   UNION ALL
+   SELECT i, CASE WHEN best IS NULL THEN root ELSE list_transform(root, LAMBDA q: CASE WHEN q = z THEN best ELSE q END) END,
+     CASE WHEN best IS NULL THEN size ELSE size[:best] || [size[best + 1] + size[z + 1]] || size[best + 2:] END
+   FROM (SELECT t.i, t.z, any_value(t.root) AS root, any_value(t.size) AS size, arg_min(t.g, {{'c': -t.c, 'f': t.f}}) AS best
+     FROM (SELECT s.i, s.z, any_value(mg.root) AS root, any_value(mg.size) AS size, mg.root[ct.b + 1] AS g, sum(ct.n) AS c, min(ct.f) AS f
+       FROM mg JOIN small s ON s.i = mg.i + 1 LEFT JOIN ct ON mg.root[ct.a + 1] = s.z AND mg.root[ct.b + 1] <> s.z AND mg.size[s.z + 1] < {SMALLEST} GROUP BY s.i, s.z, mg.root[ct.b + 1]) t
+     GROUP BY t.i, t.z)),
+ mz AS (SELECT zn.x, zn.y, zn.c, tc.z, tc.s, (SELECT arg_max(root, i) FROM mg)[zone_id + 1] AS m FROM zn JOIN tc ON tc.x = zn.x AND tc.y = zn.y),
+ mk AS (SELECT m, c, row_number() OVER (PARTITION BY m ORDER BY count(*) DESC, c) AS i FROM mz GROUP BY m, c)"""
+
+
+@query(
+    "terrain_zones",
+    f"""WITH RECURSIVE {HORN}, {ZONES}, {MERGED} SELECT mz.m AS zone_id, count(*) AS pixels, CAST(any_value(mk.c) AS INT) AS terrain_class, count(*) * {d(CFG.cell_area_sqm)} AS area_sqm,
+    round(avg(mz.z), 6) AS avg_elevation, round(avg(mz.s), 6) AS avg_slope FROM mz JOIN mk ON mk.m = mz.m AND mk.i = 1 GROUP BY mz.m HAVING count(*) * {d(CFG.cell_area_sqm)} >= {d(CFG.min_zone_area_sqm)}""",
+    ("cell",),
+)
 def _(spark, sf):
     z = D.analyze_terrain(V.cells(spark, sf), CFG)[1]
     return z.select("zone_id", "pixels", "terrain_class", "area_sqm", r("avg_elevation").alias("avg_elevation"), r("avg_slope").alias("avg_slope"))
 
 
+# Corners of a zone from the cells around each lattice point; outer rings less holes from their kinds.
+@query(
+    "zone_polygons",
+    f"""WITH RECURSIVE {HORN}, {ZONES}, lt AS (SELECT zone_id, x + i AS vx, y + j AS vy, count(*) AS n, sum(b) AS p FROM zn JOIN (VALUES (0, 0, 1), (1, 0, 2), (0, 1, 4), (1, 1, 8)) s(i, j, b) ON true GROUP BY 1, 2, 3),
+    k AS (SELECT zone_id, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN p IN (6, 9) THEN 2 ELSE 0 END) AS corners, sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN p IN (6, 9) THEN 2 ELSE 0 END) / 4 AS euler FROM lt GROUP BY 1)
+    SELECT zone_id, count(*) AS pixels, CAST(any_value(corners) AS BIGINT) AS corners, CAST(1 - any_value(euler) AS BIGINT) AS holes FROM zn JOIN k USING (zone_id) GROUP BY zone_id""",
+    ("cell",),
+)
+def _(spark, sf):
+    z = zones.zone_polygons(zones.label_zones(terrain_cells(spark, sf)))
+    corners = F.size("ring") + F.aggregate("holes", F.lit(0), lambda a, h: a + F.size(h))
+    return z.select("zone_id", "pixels", corners.cast("long").alias("corners"), F.size("holes").cast("long").alias("holes"))
+
+
 @query("zone_outline_corners")
 def _(spark, sf):
     return zones.outline_rings(bands(spark, sf).drop("slope", "terrain_class"))
@@ -231,7 +268,37 @@ def _(spark, sf):
     return cutting.candidate_segments(p, segs).select(F.col("piece_id").alias("pid"), "ord")
 
 
-@query("polygons_cut_by_roads")
+# The first segment that crosses two edges splits a piece; its parts go on with the later ones.
+ENDS = cutting.EDGE_MARGIN, 1.0 - cutting.EDGE_MARGIN
+PIECES = f"""o AS (SELECT *, row_number() OVER (ORDER BY rid) - 1 AS ord FROM seg WHERE (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) >= 1),
+ pc(pid, name, aft, pts) AS (SELECT pid, pid::VARCHAR, -1::BIGINT, list({{'x': x, 'y': y}} ORDER BY i) FROM world WHERE i < 4 GROUP BY pid
+   UNION ALL
+   SELECT pid, name || '.' || ord || sd, ord, list({{'x': px, 'y': py}} ORDER BY i, k) FROM (
+     SELECT *, CASE WHEN k = 0 THEN ax ELSE ax + (bx - ax) * greatest(0, least(1, t)) END AS px, CASE WHEN k = 0 THEN ay ELSE ay + (by_ - ay) * greatest(0, least(1, t)) END AS py FROM (
+       SELECT *, CASE WHEN sd = 'l' THEN sa >= -{d(1e-4)} ELSE sa <= {d(1e-4)} END AS keep, CASE WHEN sd = 'l' THEN sb >= -{d(1e-4)} ELSE sb <= {d(1e-4)} END AS keep2,
+         CASE WHEN abs(den) >= {d(1e-4)} THEN ((ex0 - ax) * (ey1 - ey0) - (ey0 - ay) * (ex1 - ex0)) / den END AS t, CASE WHEN abs(den) >= {d(1e-4)} THEN ((ex0 - ax) * (by_ - ay) - (ey0 - ay) * (bx - ax)) / den END AS u FROM (
+         SELECT *, (ex1 - ex0) * (ay - ey0) - (ey1 - ey0) * (ax - ex0) AS sa, (ex1 - ex0) * (by_ - ey0) - (ey1 - ey0) * (bx - ex0) AS sb, (bx - ax) * (ey1 - ey0) - (by_ - ay) * (ex1 - ex0) AS den FROM (
+           SELECT pid, name, ord, i, pts[i].x AS ax, pts[i].y AS ay, pts[i % len(pts) + 1].x AS bx, pts[i % len(pts) + 1].y AS by_,
+             x0 - (x1 - x0) / h * {d(cutting.EXTENSION_CM)} AS ex0, y0 - (y1 - y0) / h * {d(cutting.EXTENSION_CM)} AS ey0, x1 + (x1 - x0) / h * {d(cutting.EXTENSION_CM)} AS ex1, y1 + (y1 - y0) / h * {d(cutting.EXTENSION_CM)} AS ey1
+           FROM (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS h, unnest(range(1, len(pts) + 1)) AS i FROM (
+             SELECT pid, name, ord, pts, x0, y0, x1, y1, row_number() OVER (PARTITION BY name ORDER BY ord) AS rn FROM pc JOIN o ON ord > aft
+               AND least(x0, x1) <= list_max([q.x FOR q IN pts]) AND greatest(x0, x1) >= list_min([q.x FOR q IN pts]) AND least(y0, y1) <= list_max([q.y FOR q IN pts]) AND greatest(y0, y1) >= list_min([q.y FOR q IN pts])
+             WHERE len([v FOR v IN range(1, len(pts) + 1) IF {{edge}}]) >= 2) WHERE rn = 1))), (VALUES ('l'), ('r')) sides(sd)), (VALUES (0), (1)) ks(k))
+   WHERE CASE WHEN k = 0 THEN keep ELSE keep <> keep2 AND t BETWEEN -{d(1e-4)} AND 1 + {d(1e-4)} AND u BETWEEN -{d(1e-4)} AND 1 + {d(1e-4)} END
+   GROUP BY pid, name, ord, sd)"""
+_A, _B = "pts[v]", "pts[v % len(pts) + 1]"
+_DEN = f"(({_B}.x - {_A}.x) * (y1 - y0) - ({_B}.y - {_A}.y) * (x1 - x0))"
+_T, _U = f"((x0 - {_A}.x) * (y1 - y0) - (y0 - {_A}.y) * (x1 - x0)) / {_DEN}", f"((x0 - {_A}.x) * ({_B}.y - {_A}.y) - (y0 - {_A}.y) * ({_B}.x - {_A}.x)) / {_DEN}"
+PIECES = PIECES.replace("{edge}", f"abs({_DEN}) >= {d(1e-4)} AND {_T} > {d(ENDS[0])} AND {_T} < {d(ENDS[1])} AND {_U} > {d(ENDS[0])} AND {_U} < {d(ENDS[1])}")
+
+
+@query(
+    "polygons_cut_by_roads",
+    f"""WITH RECURSIVE {VERTS}, {WORLD}, {WSEG}, {PIECES}, whole AS (SELECT * FROM pc ANTI JOIN (SELECT DISTINCT regexp_replace(name, '[.][0-9]+[lr]$', '') AS up FROM pc WHERE aft >= 0) q ON pc.name = q.up),
+    s AS (SELECT pid, name, len(pts) AS n, abs(list_sum([pts[v].x * pts[v % len(pts) + 1].y - pts[v % len(pts) + 1].x * pts[v].y FOR v IN range(1, len(pts) + 1)])) / 2 AS sq FROM whole)
+    SELECT pid AS polygon_id, name AS piece_id, n AS vertices, round(sq / 10000, 3) AS area_sqm FROM s WHERE sq > 100""",
+    ("box", "road"),
+)
 def _(spark, sf):
     segs = cutting.cut_segments(V.roads(spark, sf), LON0, LAT0)
     p = V.boxes(spark, sf).select(F.col("feature_id").alias("polygon_id"), P.geo_array_to_world(F.slice("coords", 1, 4), LON0, LAT0).alias("world_vertices"))

@@ -15,17 +15,21 @@ The loops below run over grid levels (a handful), never over data.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.functions import geometry as G
-from landloom.session import checkpointed
+from landloom.session import checkpointed, spread
 
 CELL_CAPACITY = 128
 SPLIT = 4  # a cell is cut SPLIT x SPLIT
 SHIFT = 2  # log2(SPLIT)
+SWEEP_CAPACITY = 20_000  # segments of a cell that one task sweeps
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -423,37 +427,41 @@ def _segment_cells(df: DataFrame, size: float, within_parent: bool = False) -> D
     return df.withColumns({"cx": F.col("_cx"), "cy": F.col("_cy")}).drop("_cx", "_cy")
 
 
-def crossing_segments(segments: DataFrame, cell: float, eps: float = 0.001, max_depth: int = 8) -> DataFrame:
+def crossing_segments(segments: DataFrame, cell: float, eps: float = 0.001, max_depth: int = 8, capacity: int = SWEEP_CAPACITY) -> DataFrame:
     """Pairs of segments that cross strictly inside both.
 
     ``segments``: ``seg_id, n0, n1, x0, y0, x1, y1``. Segments that share an
     end node are no pair. Returns ``a_id, b_id`` (a < b) with the parameters
     ``t, u`` and the crossing ``x, y``. Segments between the same two nodes are
     reduced to one before pairing and expanded only in the found crossings.
-    Crowded cells are cut finer. Segments that meet in one node stay together
-    however fine the cells are, and need no pairing among themselves: a cell's
-    busiest node is its hub, only the segments beside it count as crowd, and
-    pairs have at least one of those.
+
+    The segments of a cell are swept in order of x (``_sweep_cells``), many cells to a task.
+    Only cells above ``capacity`` segments are cut finer first, so that no
+    task takes an unbounded cell. Segments that meet in one node stay together
+    however fine the cells are, and need no pairing among themselves: such a
+    cell's busiest node is its hub, only the segments beside it count as crowd.
     """
     ends = ["n0", "n1", "x0", "y0", "x1", "y1"]
-    distinct = segments.groupBy(*ends).agg(F.min("seg_id").alias("sid"))
-    pending = _segment_cells(checkpointed(distinct), cell)
+    distinct = checkpointed(segments.groupBy(*ends).agg(F.min("seg_id").alias("sid")))
+    pending = _segment_cells(distinct, cell)
     size, found = float(cell), []
     for depth in range(max_depth + 1):
-        pending = checkpointed(pending)
         load = pending.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-        crowded = checkpointed(load.where(F.col("n") > CELL_CAPACITY))
+        crowded = checkpointed(load.where(F.col("n") > capacity))
         if crowded.isEmpty():
-            found.append(_cross_in_cells(pending.withColumn("hub", F.lit(None).cast(pending.schema["n0"].dataType)), eps))
+            found.append(_sweep_cells(pending, eps))
             break
+        pending = checkpointed(pending)
         node = F.explode(F.array_distinct(F.array("n0", "n1"))).alias("node")
         degrees = pending.join(crowded, ["cx", "cy"]).select("cx", "cy", "n", node).groupBy("cx", "cy", "n", "node").agg(F.count(F.lit(1)).alias("d"))
         hubs = degrees.groupBy("cx", "cy", "n").agg(F.max(F.struct("d", "node")).alias("h"))
         hubs = checkpointed(hubs.select("cx", "cy", F.col("h.node").alias("hub"), (F.col("n") - F.col("h.d")).alias("beside")))
-        hot = hubs.where(F.col("beside") > CELL_CAPACITY).select("cx", "cy")
+        hot = hubs.where(F.col("beside") > capacity).select("cx", "cy")
         last = depth == max_depth or hot.isEmpty()
         settled = pending if last else pending.join(hot, ["cx", "cy"], "left_anti")
-        found.append(_cross_in_cells(settled.join(hubs.select("cx", "cy", "hub"), ["cx", "cy"], "left"), eps))
+        found.append(_sweep_cells(settled.join(crowded.select("cx", "cy"), ["cx", "cy"], "left_anti"), eps))
+        # Around a hub, pairs have at least one segment beside it.
+        found.append(_cross_in_cells(settled.join(hubs.select("cx", "cy", "hub"), ["cx", "cy"]), eps))
         if last:
             break
         size /= SPLIT
@@ -477,6 +485,86 @@ def crossing_segments(segments: DataFrame, cell: float, eps: float = 0.001, max_
     )
 
 
+#: Pairs held against each other at once.
+PAIRS = 1 << 20
+
+
+def _overlapping(group: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Index pairs (runs of arrays) whose ranges overlap within a group.
+
+    Rows are sorted by (group, low). A row's partners stand right behind it, up
+    to the last one that begins before it ends: one search gives their number.
+    """
+    order = np.unique(np.concatenate([low, high]), return_inverse=True)[1]
+    wide = int(order.max(initial=0)) + 1
+    begins, ends = group * wide + order[: len(low)], group * wide + order[len(low) :]
+    count = np.searchsorted(begins, ends, side="right") - np.arange(len(low)) - 1
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(low):
+        done = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
+        a = np.repeat(np.arange(at, stop), count[at:stop])
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(upto[at:stop] - count[at:stop] - done, count[at:stop])
+        at = stop
+
+
+def _sweep_cells(cells: DataFrame, eps: float) -> DataFrame:
+    """Crossings within cells: a sweep over x, candidates kept where their y ranges meet, too."""
+    keys = ["cx", "cy"]
+    sid = cells.schema["sid"].dataType.simpleString()
+    names = ["sid_a", "sid_b", "t", "u", "x", "y"]
+
+    def crossings(rows: pa.Table) -> pa.RecordBatch | None:
+        rows = rows.combine_chunks()
+        cx, cy, x0, y0, x1, y1 = (rows.column(c).to_numpy() for c in ("cx", "cy", "x0", "y0", "x1", "y1"))
+        fresh = np.concatenate([[False], (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])])
+        nodes = pa.concat_arrays([c for n in ("n0", "n1") for c in rows.column(n).chunks]).dictionary_encode().indices.to_numpy()
+        n0, n1 = nodes[: len(x0)], nodes[len(x0) :]
+        low_y, high_y = np.minimum(y0, y1), np.maximum(y0, y1)
+        rank = rows.column("sid").to_numpy()
+        out = []
+        for a, b in _overlapping(np.cumsum(fresh), np.minimum(x0, x1), np.maximum(x0, x1)):
+            near = (low_y[a] <= high_y[b]) & (low_y[b] <= high_y[a])
+            near &= (n0[a] != n0[b]) & (n0[a] != n1[b]) & (n1[a] != n0[b]) & (n1[a] != n1[b])
+            a, b = a[near], b[near]
+            a, b = np.where(rank[a] < rank[b], a, b), np.where(rank[a] < rank[b], b, a)
+            ax, ay, bx, by = x1[a] - x0[a], y1[a] - y0[a], x1[b] - x0[b], y1[b] - y0[b]
+            px, py = x0[b] - x0[a], y0[b] - y0[a]
+            denom = ax * by - ay * bx
+            ok = np.abs(denom) >= G.PARALLEL_EPS
+            a, b, ax, ay, bx, by, px, py, denom = (v[ok] for v in (a, b, ax, ay, bx, by, px, py, denom))
+            t, u = (px * by - py * bx) / denom, (px * ay - py * ax) / denom
+            ok = (t > eps) & (t < 1.0 - eps) & (u > eps) & (u < 1.0 - eps)
+            out.append((a[ok], b[ok], t[ok], u[ok], (x0[a] + ax * t)[ok], (y0[a] + ay * t)[ok]))
+        a, b, *rest = (np.concatenate(v) for v in zip(*out))
+        own = rows.column("sid")
+        return pa.RecordBatch.from_arrays([own.take(pa.array(i)).combine_chunks() for i in (a, b)] + [pa.array(v) for v in rest], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Cells are sorted: all but the last one of this batch are complete.
+            cx, cy = batch.column("cx").to_numpy(), batch.column("cy").to_numpy()
+            open_ = np.flatnonzero((cx != cx[-1]) | (cy != cy[-1]))
+            whole = int(open_[-1]) + 1 if len(open_) else 0
+            if held and not whole and (held[-1].column("cx")[-1].as_py(), held[-1].column("cy")[-1].as_py()) != (int(cx[0]), int(cy[0])):
+                yield crossings(pa.Table.from_batches(held))
+                held = []
+            if whole:
+                yield crossings(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield crossings(pa.Table.from_batches(held))
+
+    rows = cells.select(*keys, "sid", "n0", "n1", "x0", "y0", "x1", "y1", F.least("x0", "x1").alias("_lo"))
+    rows = spread(rows, *keys).sortWithinPartitions(*keys, "_lo")
+    return rows.mapInArrow(run, f"sid_a {sid}, sid_b {sid}, t double, u double, x double, y double")
+
+
 def _cross_in_cells(cells: DataFrame, eps: float) -> DataFrame:
     cols = ["sid", "n0", "n1", "x0", "y0", "x1", "y1"]
     at_hub = F.coalesce((F.col("n0") == F.col("hub")) | (F.col("n1") == F.col("hub")), F.lit(False))
