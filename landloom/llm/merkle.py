@@ -77,23 +77,21 @@ def numbered(rows: DataFrame, group: str, *order: Column) -> DataFrame:
 
 
 def levels_of(leaves: DataFrame) -> list[DataFrame]:
-    """Levels above ``tree, no, digest`` rows: ``tree, level, no, kids, digest``, each a saved table.
+    """Levels above ``tree, last, no, digest`` rows: ``tree, last, level, no, kids, digest``, each a saved table.
 
-    A tree ends at the level where it has one node; a tree of one leaf has none above it.
+    ``last`` is the number of the tree's last node at that level. A tree ends at the
+    level where it has one node; a tree of one leaf has none above it.
     """
-    level, levels, below = 0, [], leaves
-    most = leaves.agg(F.max("no")).first()[0]
-    while most:
-        level += 1
-        wide = below.withColumn("_up", F.shiftright("no", 3))
+    levels, below = [], leaves
+    while below.agg(F.max("last")).first()[0]:
+        level = len(levels) + 1
         kids = F.transform(F.array_sort(F.collect_list(F.struct("no", "digest"))), lambda k: k["digest"])
+        up = [F.shiftright(c, 3).alias(f"up_{c}") for c in ("last", "no")]
         # The only node of its tree has no run to join.
-        open_trees = below.groupBy("tree").agg(F.max("no").alias("_most")).where("_most > 0").select("tree")
-        runs = wide.join(open_trees, "tree", "left_semi").groupBy("tree", "_up").agg(joined_digests(kids).alias("kids"))
-        runs = runs.select("tree", F.lit(level).alias("level"), F.col("_up").alias("no"), "kids", digest_of(F.col("kids")).alias("digest"))
+        runs = below.where("last > 0").groupBy("tree", *up).agg(joined_digests(kids).alias("kids"))
+        runs = runs.select("tree", F.col("up_last").alias("last"), F.lit(level).alias("level"), F.col("up_no").alias("no"), "kids", digest_of(F.col("kids")).alias("digest"))
         below = saved(runs, "level")
         levels.append(below)
-        most = below.agg(F.max("no")).first()[0]
     return levels
 
 
@@ -165,16 +163,16 @@ def manifest(
     langs = leaves.groupBy("lang").agg(F.max("no").alias("most"))
     langs = numbered(langs.withColumn("all", F.lit(0)), "all", F.col("lang").asc_nulls_first()).withColumnRenamed("no", "lang_no")
     named = F.col("lang").eqNullSafe(F.col("_lang"))
-    trees = leaves.join(langs.select(F.col("lang").alias("_lang"), F.col("lang_no").alias("tree")), named).select("tree", "no", "digest")
+    named_trees = langs.select(F.col("lang").alias("_lang"), F.col("lang_no").alias("tree"), F.col("most").alias("last"))
+    trees = leaves.join(named_trees, named).select("tree", "last", "no", "digest")
     levels = levels_of(trees)
     heights = langs.select(F.col("lang_no").alias("tree"), "most")
-    lone = trees.join(heights.where("most = 0"), "tree").select("tree", F.lit(0).alias("height"), F.col("digest").alias("subroot"))
-    tops = lone
+    tops = trees.where("last = 0").select("tree", F.lit(0).alias("height"), F.col("digest").alias("subroot"))
     for own in levels:
-        last = own.groupBy("tree").agg(F.max("no").alias("_n")).where("_n = 0").select("tree")
-        tops = tops.unionByName(own.join(last, "tree").select("tree", F.col("level").alias("height"), F.col("digest").alias("subroot")))
+        tops = tops.unionByName(own.where("last = 0").select("tree", F.col("level").alias("height"), F.col("digest").alias("subroot")))
     tops = saved(tops, "tops")
-    upper = levels_of(tops.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("no"), F.col("subroot").alias("digest")))
+    last_lang = F.lit(tops.count() - 1).cast("long")
+    upper = levels_of(tops.select(F.lit(TOP).cast("long").alias("tree"), last_lang.alias("last"), F.col("tree").alias("no"), F.col("subroot").alias("digest")))
 
     # Every node with its parent. A group's root hangs in the upper tree; the last root hangs nowhere.
     single = not upper
