@@ -12,11 +12,16 @@ from __future__ import annotations
 import functools
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
+import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 MOST = 400_000
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Marks that a pre-token never shares with the letter before them.
 MARKS = b".,;:!?"
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -63,6 +68,8 @@ class Pieces(dict):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.single = single_run(json.loads(self.tokenizer.to_str()))
+        # Byte-level vocabularies: a piece's parts are cut as their pre-tokenizer does; marks of special tokens go to the library.
+        self.parts = regex.compile(public_tokenizers.PATTERN) if self.single and not self.single[1] else None
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
     def __missing__(self, piece: bytes) -> bytes:
@@ -75,6 +82,11 @@ class Pieces(dict):
     def piece(self, piece: bytes) -> bytes:
         """Ids of a piece that is not known yet."""
         text = piece.decode("utf-8", "replace")
+        if self.parts is not None and b"<|" not in piece:
+            ids = array("I")
+            for part in (text,) if self.single[0].fullmatch(text) else self.parts.findall(text):
+                ids.extend([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+            return ids.tobytes() if LITTLE else np.asarray(ids, dtype="<u4").tobytes()
         if self.single is None or not self.single[0].fullmatch(text):
             return self.whole(piece)
         if self.single[1]:
