@@ -1,7 +1,7 @@
 """GeoJSON reader.
 
-Newline-delimited features are the splittable form and the one to use at
-scale; whole FeatureCollection files are also read, one file per row.
+Newline-delimited features are split by Spark's text source; FeatureCollection
+files are read in byte ranges, too (``geojson_ranges``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from landloom.functions import tags as K
 from landloom.operators.indexing import dense_index
+from landloom.sources.geojson_ranges import collection_features
 
 GEOMETRY_TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
 PLUGIN_TYPES = ("Point", "LineString", "Polygon", "MultiPolygon")
@@ -136,14 +137,14 @@ def read_geojson(spark: SparkSession, paths: str | list[str], parity: str = "til
     """Features of GeoJSON files, with ``feature_id`` in file and row order.
 
     Ids are 0-based over all files in path order and are given to every
-    feature that has a geometry, before any other check.
+    feature that has a geometry, before any other check. Files are read in byte
+    ranges (``geojson_ranges``), so a collection of any size is many tasks.
     """
-    docs = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
-    rows = explode_collections(docs)
+    rows = collection_features(spark, paths)
     if with_ids:
         rows = _has_geometry(rows)
-        rows = dense_index(rows, [F.col("source")], [F.col("pos")], "feature_id")
-    return parse_features(rows.drop("pos"), parity=parity)
+        rows = dense_index(rows, [F.col("source"), F.col("split")], [F.col("no")], "feature_id")
+    return parse_features(rows.drop("split", "no"), parity=parity)
 
 
 def read_geojson_lines(spark: SparkSession, paths: str | list[str], parity: str = "tiler", with_ids: bool = True) -> DataFrame:
