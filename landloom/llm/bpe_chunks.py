@@ -260,7 +260,8 @@ def encode(
                     name = None if own is not None else known[i]["chunk"]
                     yield (2, doc, uid, i, name, None if own is None else _pack(own), left, right, both, *blank, key)
 
-        return _rows(batches, with_key, each)
+        yield from _rows(batches, with_key, each)
+        table.release()
 
     made = ", ".join(f"`{n}` {k}" for n, k in with_key)
     step = alone.withColumn("uid", F.lit(-1).cast("long")).mapInArrow(encode_rows, made).unionByName(met.mapInArrow(encode_rows, made))
@@ -296,7 +297,8 @@ def encode(
             for doc, t in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("t"))):
                 yield (doc, *_values(path, table.words(t), outputs))
 
-        return _rows(batches, [after[0], *after[3:]], each)
+        yield from _rows(batches, [after[0], *after[3:]], each)
+        table.release()
 
     again = rows.join(failed, rows["doc_id"].eqNullSafe(failed["_d"]) & (rows["key"] == failed["_k"]), "left_semi")
     return result.unionByName(again.select("doc_id", "t").mapInArrow(encode_whole, ", ".join(f"`{n}` {k}" for n, k in [after[0], *after[3:]])))

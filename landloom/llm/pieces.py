@@ -17,6 +17,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -104,6 +105,13 @@ class Pieces(dict):
             self.older = dict(self)
             self.clear()
 
+    def release(self, most: int = MOST // 4) -> None:
+        """Give memory back at the end of a task: other stages use the same worker."""
+        if len(self) + len(self.older) > most:
+            self.clear()
+            self.older = {}
+            pa.default_memory_pool().release_unused()
+
     def words(self, text: bytes) -> bytes:
         """For tokenizers that drop white space: pieces are the words."""
         self.bounded()

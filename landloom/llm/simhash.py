@@ -331,8 +331,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     sets = saved(texts.select("no", "t").mapInArrow(cut, "no long, set array<long>"), "sets")
     discard(members)
 
-    both = F.size(F.array_intersect("set", "_set"))
-    alike = both >= F.lit(float(similarity)) * (F.size("set") + F.size("_set") - both)
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    alike = both >= F.lit(float(similarity)) * (F.size("set_u") + F.size("set_v") - both)
     links = kin = tried = None
     heads_each, spent = 1, []
     while not left.isEmpty():
@@ -346,7 +346,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         met = placed.join(heads, "key").where((F.col("kin") != F.col("hkin")) & (F.least("size", "hsize") >= F.lit(float(similarity)) * F.greatest("size", "hsize") - 1e-9))
         met = met.select(F.least("no", "hno").alias("u"), F.greatest("no", "hno").alias("v")).distinct()
         met = saved(met if tried is None else met.join(tried, ["u", "v"], "left_anti"), "pairs")
-        judged = met.join(sets.select(F.col("no").alias("u"), "set"), "u").join(sets.select(F.col("no").alias("v"), F.col("set").alias("_set")), "v")
+        # Only the sets of texts that are in a pair of this round move.
+        wanted = lambda side: with_mark(sets, F.col("no"), met, F.col(side)).where("_hit").select(F.col("no").alias(side), F.col("set").alias(f"set_{side}"))
+        judged = met.join(wanted("u"), "u").join(wanted("v"), "v")
         more = saved(judged.where(alike).select("u", "v"), "similar")
         tried = met if tried is None else tried.unionByName(met)
         spent += [met, more]

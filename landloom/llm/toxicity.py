@@ -327,7 +327,7 @@ def score(
             for at in range(0, whole.num_rows, SCORED):
                 batch = whole.slice(at, SCORED)
                 scores, hits = [], []
-                for t in text_bytes(batch.column("_t")):
+                for t in text_bytes(batch.column(text_at)):
                     found = table.of(t)
                     scores.append(model.score(features(lexicon, found)))
                     if with_hits:
@@ -338,7 +338,11 @@ def score(
                 out = {"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64()), "predicted": predicted, **shown, **own}
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    # A text that is carried along need not be sent twice.
+    carried = text_col in carry and docs.schema[text_col].dataType.simpleString() == "string"
+    text_at = f"_c{carry.index(text_col)}" if carried else "_t"
+    own_text = [] if carried else [text_of(text_col).alias("_t")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own_text, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     made = "doc_id long, score double, predicted int" + (", hits array<struct<token:int,term:string,edits:int,quoted:boolean>>" if with_hits else "")
     types = "".join(f", `_c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     return rows.mapInArrow(run, made + types)
