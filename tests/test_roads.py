@@ -1,8 +1,11 @@
 import json
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 
 from landloom.operators import roads
 from landloom.operators.classify import assign_parameters, classify
@@ -74,6 +77,45 @@ def test_feature_service_pages(spark):
     assert url == "http://h/0/query?where=1%3D1&outFields=%2A&f=geojson&resultRecordCount=5"
 
 
+def test_filters_reach_the_feature_service(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def fetch(url):
+        asked = unquote(url.split("where=")[1].split("&")[0])
+        with open(log, "a") as f:
+            f.write(asked + "\n")
+        if "returnCountOnly" in url:
+            raise OSError("no counts")
+        # The server knows one condition, and compares without case.
+        rows = [("Elm", 3), ("elm", 9), ("Oak", 12), ("O'Hara", 4), (None, 7)]
+        kept = [r for r in rows if "pop > 3" not in asked or r[1] > 3]
+        return json.dumps({"features": [{"type": "Feature", "properties": {"name": n, "pop": p}, "geometry": {"type": "Point", "coordinates": [p, 0]}} for n, p in kept]})
+
+    arcgis.register(spark, fetch)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        only = (F.col("pop") > 3) & F.col("name").isin("elm", "O'Hara") & (F.length("name") > 1)
+        df = arcgis.read_arcgis(spark, "http://h/0", where="a = 1", fields="name string, pop long", only=only)
+        assert sorted((r["feature_id"], r["props"]["name"]) for r in df.collect()) == [(0, "elm"), (1, "O'Hara")]
+        asked = set(open(log).read().splitlines())
+        assert all(a.startswith("(a = 1) AND ") and "pop > 3" in a and "name IN ('elm', 'O''Hara')" in a for a in asked if "pop" in a) and any("pop" in a for a in asked)
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    rows = spark.read.format("arcgis_features").option("url", "http://h/0").option("fields", "name string, pop double").option("push_filters", "false").load()
+    assert sorted(r["pop"] for r in rows.where("name IS NULL OR pop > 8").collect()) == [7.0, 9.0, 12.0]
+
+
+def test_conditions_for_the_server():
+    names = {"a", "b"}
+    say = lambda f: arcgis.condition(f, names)
+    assert say(ds.EqualTo(("a",), "it's")) == "a = 'it''s'" and say(ds.LessThanOrEqual(("b",), 2.5)) == "b <= 2.5"
+    assert say(ds.Not(ds.In(("a",), (1, 2)))) == "NOT (a IN (1, 2))" and say(ds.IsNull(("a",))) == "a IS NULL"
+    assert say(ds.StringStartsWith(("a",), "ab")) == "a LIKE 'ab%'" and say(ds.StringContains(("a",), "5%")) is None
+    assert say(ds.EqualTo(("c",), 1)) is None and say(ds.EqualTo(("a",), True)) is None and say(ds.EqualTo(("a", "x"), 1)) is None
+    assert say(ds.Not(ds.EqualTo(("a",), "x"))) is None and say(ds.LessThan(("a",), "x")) is None
+    assert say(ds.Not(ds.IsNull(("a",)))) is None and say(ds.GreaterThan(("a",), float("inf"))) is None
+
+
 def test_region_store_and_tile_reads(spark, tmp_path):
     def box(lon, lat, s):
         return [[[lon, lat], [lon + s, lat], [lon + s, lat + s], [lon, lat + s], [lon, lat]]]
@@ -105,8 +147,6 @@ def test_region_store_and_tile_reads(spark, tmp_path):
 
 
 def test_terrain_derivation_covers_the_area(spark):
-    from pyspark.sql import functions as F
-
     tiles = spark.createDataFrame([("t", 0, 0.0, 0.0, 0.01, 0.01, 40, 40)], "dem_id string, tile_ord long, min_lon double, min_lat double, max_lon double, max_lat double, width int, height int")
     pixels = spark.range(1600).selectExpr("'t' dem_id", "CAST(id % 40 AS INT) px", "CAST(floor(id / 40) AS INT) py", "CAST(IF(id % 40 < 20, 10, 400) AS FLOAT) elev")
     road = lines(spark, [[(-0.001, 0.005), (0.011, 0.005)]]).selectExpr("*", "'LineString' geom_type", "'Road' category")
