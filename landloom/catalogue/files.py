@@ -111,6 +111,18 @@ def _(spark, sf):
     return pixels.groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("pixels"), F.sum("code").alias("code_sum"))
 
 
+@query(
+    "tiled_provider_landcover_in_bounds",
+    f"""WITH {ASSIGNED}, {TILES} SELECT tile_col, tile_row, CAST(100 AS BIGINT) AS pixels FROM tiles
+    WHERE NOT (max_lon < {BOUNDS[0]} OR min_lon > {BOUNDS[2]} OR max_lat < {BOUNDS[1]} OR min_lat > {BOUNDS[3]})""",
+    ("box",),
+)
+def _(spark, sf):
+    out, _ = tiled_output(spark, sf, cover=True)
+    _, pixels = TiledFiles(spark, f"{out}/manifest").landcover(BOUNDS)
+    return pixels.groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("pixels"))
+
+
 # Polygons on the seam of two sheets: every box is held by its own sheet and the next.
 @query(
     "landcover_votes_in_two_tiles",

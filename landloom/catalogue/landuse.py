@@ -287,6 +287,43 @@ def _(spark, sf):
     return p.select("polygon_id", r("x", 3).alias("x"), r("y", 3).alias("y"), "land_use_type")
 
 
+# Squares whose third corner is pulled in past the middle.
+ARROW = "arrow AS (SELECT pid, i, CASE WHEN i = 2 THEN x0 + (x - x0) * {0} ELSE x END AS x, CASE WHEN i = 2 THEN y0 + (y - y0) * {0} ELSE y END AS y FROM (SELECT *, min(x) OVER p AS x0, min(y) OVER p AS y0 FROM world WHERE i < 4 WINDOW p AS (PARTITION BY pid)))".format(d(0.375))
+
+
+def arrow_sql(x: str, y: str) -> str:
+    """Points ``x, y`` of table ``p`` (with its ``pid``) inside the arrow of that id."""
+    edges = "SELECT a.pid, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM arrow a JOIN arrow b ON b.pid = a.pid AND b.i = (a.i + 3) % 4"
+    return f"p JOIN ({edges}) e USING (pid) WHERE (ay > {y}) <> (by_ > {y}) AND {x} < (bx - ax) * ({y} - ay) / (by_ - ay) + ax GROUP BY pid, ix, iy HAVING count(*) % 2 = 1"
+
+
+GRID = """bb AS (SELECT pid, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM arrow GROUP BY pid),
+    gx AS (SELECT *, unnest(range(0, CAST(floor((x1 - x0) / 1000) AS BIGINT) + 1)) AS ix FROM bb),
+    gy AS (SELECT *, unnest(range(0, CAST(floor((y1 - y0) / 1000) AS BIGINT) + 1)) AS iy FROM gx)"""
+
+
+def arrows(spark, sf):
+    ring = F.col("world_vertices")
+    pulled = lambda c: ring[0][c] + (ring[2][c] - ring[0][c]) * 0.375
+    shape = F.array(ring[0], ring[1], F.struct(pulled("x").alias("x"), pulled("y").alias("y")), ring[3])
+    return raw_polygons(spark, sf).select("polygon_id", shape.alias("world_vertices"))
+
+
+for _name, _reach in (("sample_points_arrows", 0.0), ("sample_points_arrows_jittered", 200.0)):
+    _x, _y = ("x0 + ix * 1000", "y0 + iy * 1000") if not _reach else (f"x0 + ix * 1000 + {jitter_sql(104729)}", f"y0 + iy * 1000 + {jitter_sql(1299709)}")
+
+    def _run(spark, sf, reach=_reach):
+        p = sampling.lattice_points(arrows(spark, sf), 1000.0, reach)
+        return p.select(F.col("polygon_id").alias("pid"), "ix", "iy", r("x", 3).alias("x"), r("y", 3).alias("y"))
+
+    query(
+        _name,
+        f"""WITH {VERTS}, {WORLD}, {ARROW}, {GRID}, p AS (SELECT pid, ix, iy, {_x} AS px, {_y} AS py FROM gy)
+        SELECT pid, ix, iy, round(any_value(px), 3) AS x, round(any_value(py), 3) AS y FROM {arrow_sql("px", "py")}""",
+        ("box",),
+    )(_run)
+
+
 @query(
     "nearest_road_vertex",
     f"""WITH v AS (SELECT rid, lon0 * 100000 AS x, lat0 * 100000 AS y FROM road), q AS (SELECT event_id, lon * 100000 AS x, lat * 100000 AS y FROM pts),

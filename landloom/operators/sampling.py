@@ -24,25 +24,14 @@ def _jitter(seed: int, axis: str, amount: float) -> Column:
     return ((F.pmod(at * at + at * 7, F.lit(JITTER_PRIME)) / float(JITTER_PRIME)) * 2.0 - 1.0) * float(amount)
 
 
-def lattice_points(polygons: DataFrame, interval_cm: float = 1000.0, jitter_cm: float = 0.0, seed: int = 42) -> DataFrame:
-    """Points of a square lattice that fall inside each polygon.
-
-    The lattice starts at the polygon's lowest x and y and includes the far
-    edge. A random offset is derived from the lattice position, so results do
-    not depend on execution order; the inside test follows the offset.
-
-    Each lattice row of a polygon carries only the edges near that row. The
-    rows are dealt out by polygon and row before edges are gathered and columns
-    expanded, so a very large polygon is shared out row by row.
-    """
-    cols = [c for c in ("land_use", "building_density", "vegetation_density") if c in polygons.columns]
+def _bands(polygons: DataFrame, cols: list[str], step: float, reach: float) -> DataFrame:
+    """Each lattice row ``iy`` of a polygon with the edges within ``reach`` of it, holes included."""
     shapes = polygons.where(F.size("world_vertices") >= 3)
     edges = G.explode_edges(shapes.select("polygon_id", F.col("world_vertices").alias("ring")), "ring", ["polygon_id"])
-    box = shapes.select("polygon_id", *cols, G.bbox(F.col("world_vertices"), "x", "y").alias("b")).select(
-        "polygon_id", *cols, "b.*"
-    )
-    step = float(interval_cm)
-    reach = float(jitter_cm)
+    if "world_holes" in polygons.columns:
+        holes = shapes.select("polygon_id", F.explode("world_holes").alias("ring"))
+        edges = edges.unionByName(G.explode_edges(holes, "ring", ["polygon_id"]))
+    box = shapes.select("polygon_id", *cols, G.bbox(F.col("world_vertices"), "x", "y").alias("b")).select("polygon_id", *cols, "b.*")
     last_row = F.floor((F.col("max_y") - F.col("min_y")) / step)
 
     def row(v: Column) -> Column:
@@ -50,26 +39,62 @@ def lattice_points(polygons: DataFrame, interval_cm: float = 1000.0, jitter_cm:
 
     first = F.greatest(F.lit(0), F.ceil(row(F.least("ay", "by") - reach) - 1e-6))
     last = F.least(last_row, F.floor(row(F.greatest("ay", "by") + reach) + 1e-6))
-    banded = (
-        edges.join(box, "polygon_id")
-        .withColumn("iy", F.explode(F.when(first <= last, F.sequence(first, last))))
-        .repartition("polygon_id", "iy")
-    )
-    carried = [c for c in box.columns if c != "polygon_id"]
-    rows = banded.groupBy("polygon_id", "iy").agg(
+    return edges.join(box, "polygon_id").withColumn("iy", F.explode(F.when(first <= last, F.sequence(first, last))))
+
+
+def _filled_rows(banded: DataFrame, cols: list[str], step: float) -> DataFrame:
+    """Scan-line fill: a row's crossings, sorted, bound its runs in pairs; only points inside are made."""
+    y = F.col("min_y") + F.col("iy") * step
+    spans = (F.col("ay") > y) != (F.col("by") > y)
+    at = (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / F.when(spans, F.col("by") - F.col("ay")) + F.col("ax")
+    carried = [*cols, "min_x", "max_x", "min_y"]
+    rows = banded.where(spans).withColumn("at", at).repartition("polygon_id", "iy").groupBy("polygon_id", "iy")
+    rows = rows.agg(F.array_sort(F.collect_list("at")).alias("xs"), *[F.first(c).alias(c) for c in carried])
+    pairs = F.transform(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2)), lambda k: F.struct(F.element_at("xs", k).alias("lo"), F.element_at("xs", k + 1).alias("hi")))
+    runs = rows.where(F.size("xs") > 1).withColumn("run", F.explode(pairs)).drop("xs")
+    column = lambda v: F.floor((v - F.col("min_x")) / step).cast("long")
+    first = F.greatest(F.lit(0).cast("long"), column(F.col("run.lo")))
+    last = F.least(column(F.col("max_x")), column(F.col("run.hi")) + 1)
+    grid = runs.withColumn("ix", F.explode(F.when(first <= last, F.sequence(first, last))))
+    grid = grid.withColumns({"x": F.col("min_x") + F.col("ix") * step, "y": y})
+    return grid.where((F.col("x") >= F.col("run.lo")) & (F.col("x") < F.col("run.hi")))
+
+
+def _tested_rows(banded: DataFrame, cols: list[str], step: float, reach: float, seed: int) -> DataFrame:
+    """Every point of a row, moved, and tested against the edges near the row."""
+    carried = [*cols, "min_x", "max_x", "min_y"]
+    rows = banded.repartition("polygon_id", "iy").groupBy("polygon_id", "iy").agg(
         F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("near"), *[F.first(c).alias(c) for c in carried]
     )
     columns = F.sequence(F.lit(0).cast("long"), F.floor((F.col("max_x") - F.col("min_x")) / step))
     grid = rows.withColumn("ix", F.explode(columns))
-    dx = _jitter(seed, "x", reach) if reach else F.lit(0.0)
-    dy = _jitter(seed, "y", reach) if reach else F.lit(0.0)
+    dx, dy = _jitter(seed, "x", reach), _jitter(seed, "y", reach)
     grid = grid.withColumns(
         {"x": F.col("min_x") + F.col("ix") * step + dx, "y": F.col("min_y") + F.col("iy") * step + dy}
     )
     hits = F.size(
         F.filter("near", lambda e: G.edge_crosses_ray(F.col("x"), F.col("y"), e["ax"], e["ay"], e["bx"], e["by"]))
     )
-    return grid.where(hits % 2 == 1).select("polygon_id", *cols, "ix", "iy", "x", "y")
+    return grid.where(hits % 2 == 1)
+
+
+def lattice_points(polygons: DataFrame, interval_cm: float = 1000.0, jitter_cm: float = 0.0, seed: int = 42) -> DataFrame:
+    """Points of a square lattice that fall inside each polygon and outside its ``world_holes``, if any.
+
+    The lattice starts at the polygon's lowest x and y and includes the far
+    edge. A random offset is derived from the lattice position, so results do
+    not depend on execution order; the inside test follows the offset.
+
+    Lattice rows are dealt out by polygon and row before columns are
+    expanded, so a very large polygon is shared out row by row. Without an offset a row is
+    filled between its sorted crossings, and no point outside is ever made;
+    with one, each point of a row is tested against the edges near that row.
+    """
+    cols = [c for c in ("land_use", "building_density", "vegetation_density") if c in polygons.columns]
+    step, reach = float(interval_cm), float(jitter_cm)
+    banded = _bands(polygons, cols, step, reach)
+    grid = _tested_rows(banded, cols, step, reach, seed) if reach else _filled_rows(banded, cols, step)
+    return grid.select("polygon_id", *cols, "ix", "iy", "x", "y")
 
 
 def sample_points(

@@ -129,15 +129,33 @@ class TiledFiles:
     def _wanted(self, bounds) -> DataFrame:
         return self.tiles() if bounds is None else Fl.tiles_in_bounds(self.tiles(), bounds)
 
-    def _documents(self, tiles: DataFrame, kind: str, pattern: str) -> DataFrame:
+    def _listed(self, tiles: DataFrame, kind: str) -> list[str]:
+        """Declared paths of the wanted tiles, under the manifest's folder.
+
+        One short string per tile of a bounded query; Spark's reader takes its
+        file list from the driver, too.
+        """
+        rows = tiles.where(F.col(kind) != "").select(kind).distinct().toLocalIterator()
+        return [f"{self.base}/{r[0]}" for r in rows]
+
+    def _documents(self, tiles: DataFrame, kind: str, pattern: str, bounded: bool = False) -> DataFrame:
         """Stored documents of the wanted tiles: ``tile_col, tile_row, source, value``.
 
-        Documents and tiles meet in a join on the declared path (a file or its
-        folder). A declared path without a file is an error, not an empty tile.
+        With ``bounded`` only the wanted paths are listed and read, so a query
+        of three tiles opens three tiles' files however many are stored; else the
+        whole folder is read. Documents and tiles meet in a join on the declared
+        path (a file or its folder). A declared path without a file is an error,
+        not an empty tile.
         """
         named = tiles.where(F.col(kind) != "").select("tile_col", "tile_row", F.col(kind).alias("_path"))
-        top = named.select(F.regexp_extract("_path", r"^([^/]+)/", 1).alias("t")).distinct().limit(2).collect()
-        root = self.base if len(top) != 1 or not top[0]["t"] else f"{self.base}/{top[0]['t']}"
+        if bounded:
+            root = self._listed(tiles, kind)
+            lost = [p.removeprefix(f"{self.base}/") for p in root if not _exists(self.spark, p)]
+            if lost:
+                raise FileNotFoundError(f"the manifest names {kind} files that are not stored: {lost[:3]}")
+        else:
+            top = named.select(F.regexp_extract("_path", r"^([^/]+)/", 1).alias("t")).distinct().limit(2).collect()
+            root = self.base if len(top) != 1 or not top[0]["t"] else f"{self.base}/{top[0]['t']}"
         reader = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         docs = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
         base = self.base.removeprefix("file:").lstrip("/")
@@ -160,16 +178,19 @@ class TiledFiles:
         tiles = self._wanted(bounds)
         listed = tiles.where("geojson <> ''")
         if listed.where("geojson LIKE 'features/tile_col=%'").isEmpty():
-            docs = self._documents(tiles, "geojson", "*json")
+            docs = self._documents(tiles, "geojson", "*json", bounds is not None)
             rows = geojson.parse_features(geojson.explode_collections(docs).drop("pos"))
             ids = geojson.source_feature_id(F.col("props"), self.id_keys)
             rows = rows.withColumn("feature_id", ids)
         else:
             stored = self.spark.read.parquet(f"{self.base}/features")
-            gone = listed.join(stored.select("tile_col", "tile_row").distinct(), ["tile_col", "tile_row"], "left_anti")
-            lost = gone.select("geojson").limit(3).collect()
+            if bounds is None:
+                gone = listed.join(stored.select("tile_col", "tile_row").distinct(), ["tile_col", "tile_row"], "left_anti")
+                lost = [r[0] for r in gone.select("geojson").limit(3).collect()]
+            else:
+                lost = [p.removeprefix(f"{self.base}/") for p in self._listed(listed, "geojson") if not _exists(self.spark, p)][:3]
             if lost:
-                raise FileNotFoundError(f"the manifest names tiles that are not stored: {[r[0] for r in lost]}")
+                raise FileNotFoundError(f"the manifest names tiles that are not stored: {lost}")
             rows = stored.join(listed.select("tile_col", "tile_row"), ["tile_col", "tile_row"], "left_semi")
             rows = rows.drop("clipped", *RECT_FIELDS)
         return rows.join(tiles.select("tile_col", "tile_row", "tile_ord"), ["tile_col", "tile_row"])
@@ -198,5 +219,5 @@ class TiledFiles:
             return None
         if tiles.where("landcover <> ''").isEmpty():
             return None
-        grids, pixels = landcover.parse_landcover(self._documents(tiles, "landcover", "*"))
+        grids, pixels = landcover.parse_landcover(self._documents(tiles, "landcover", "*", bounds is not None))
         return landcover.with_tile_bounds(grids, tiles), pixels

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landloom.functions import geometry as G
+from landloom.operators import filters as Fl
 from landloom.operators import tiling
 from landloom.operators import validate as val
 from landloom.plans import tiled
@@ -121,6 +122,10 @@ def test_preprocess_end_to_end(spark, tmp_path):
     assert provider.features((121.4701, 31.2301, 121.4712, 31.2312)).count() >= 1
     grids, pixels = provider.landcover()
     assert grids.count() == tiles.count() and pixels.count() == 100 * tiles.count()
+    near = (121.4701, 31.2301, 121.4712, 31.2312)
+    wanted = Fl.tiles_in_bounds(tiles, near).count()
+    docs = provider._documents(Fl.tiles_in_bounds(tiles, near), "landcover", "*", True)
+    assert len(docs.inputFiles()) == wanted < tiles.count() and provider.landcover(near)[1].count() == 100 * wanted
     polygons, _ = generate_region(spark, "tiled", str(out / "manifest"), 121.47, 31.23)
     assert polygons.count() == len(feats) - 1
     gone = out / "features" / f"tile_col={one[0]}" / f"tile_row={one[1]}"
