@@ -381,7 +381,60 @@ def _(spark, sf):
     return nodes.select("node_id", r("lon").alias("lon"), r("lat").alias("lat"))
 
 
-@query("road_graph_split")
+def first_come(points: str, tolerance: float, tag: str) -> str:
+    """First-come merging of table ``points(o, x, y)`` (distinct positions): tables ``{tag}_st(o, s)`` and ``{tag}_to(o, leader)``."""
+    return f"""{tag}_c AS (SELECT *, floor(x / {d(tolerance)}) AS cx, floor(y / {d(tolerance)}) AS cy FROM {points}),
+ {tag}_r AS (SELECT a.o AS later, b.o AS earlier, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS q FROM (SELECT *, cx + i AS kx, cy + j AS ky FROM {tag}_c, range(-1, 2) f(i), range(-1, 2) g(j)) a
+   JOIN {tag}_c b ON b.cx = a.kx AND b.cy = a.ky AND b.o < a.o WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < {d(tolerance * tolerance)}),
+ {tag}_st(o, s) USING KEY (o) AS (SELECT o, CASE WHEN o IN (SELECT later FROM {tag}_r) THEN 0 ELSE 1 END FROM {points}
+   UNION SELECT a.o, CASE WHEN bool_or(n.s = 1) THEN 2 ELSE 1 END FROM recurring.{tag}_st a JOIN {tag}_r ON a.o = later JOIN recurring.{tag}_st n ON n.o = earlier
+     WHERE a.s = 0 GROUP BY a.o HAVING bool_or(n.s = 1) OR bool_and(n.s = 2)),
+ {tag}_to AS (SELECT o, o AS leader FROM {tag}_st WHERE s = 1
+   UNION ALL SELECT later, arg_min(earlier, {{'q': q, 'e': earlier}}) FROM {tag}_r JOIN {tag}_st e ON e.o = earlier AND e.s = 1 JOIN {tag}_st l ON l.o = later AND l.s = 2 GROUP BY later)"""
+
+
+def nearby(left: str, right: str, size: float) -> str:
+    """Cells of points: joins ``left(x, y)`` with ``right(x, y)`` in the nine cells around."""
+    return f"(SELECT *, floor(x / {d(size)}) + i AS kx, floor(y / {d(size)}) + j AS ky FROM {left}, range(-1, 2) f(i), range(-1, 2) g(j)) a JOIN (SELECT *, floor(x / {d(size)}) AS kx, floor(y / {d(size)}) AS ky FROM {right}) b USING (kx, ky)"
+
+
+SPLIT = roads.SPLIT_TOLERANCE
+GRAPH = f"""rv AS (SELECT rid * 2 AS o, lon0 * 100000 AS x, lat0 * 100000 AS y FROM road UNION ALL SELECT rid * 2 + 1, lon1 * 100000, lat1 * 100000 FROM road),
+ sp AS (SELECT min(o) AS o, x, y FROM rv GROUP BY x, y), {first_come("sp", roads.MERGE_TOLERANCE, "m")},
+ node AS (SELECT o, x, y, row_number() OVER (ORDER BY o) - 1 AS node_id FROM sp JOIN m_st USING (o) WHERE s = 1),
+ vx AS (SELECT rv.o, n.node_id, n.x, n.y FROM rv JOIN sp ON sp.x = rv.x AND sp.y = rv.y JOIN m_to ON m_to.o = sp.o JOIN node n ON n.o = m_to.leader),
+ ed AS (SELECT row_number() OVER (ORDER BY a.o) - 1 AS e, a.node_id AS n0, b.node_id AS n1, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM vx a JOIN vx b ON b.o = a.o + 1 AND a.o % 2 = 0 WHERE a.node_id <> b.node_id),
+ ec AS (SELECT *, unnest(range(CAST(floor(least(y0, y1) / 1000) AS BIGINT), CAST(floor(greatest(y0, y1) / 1000) AS BIGINT) + 1)) AS cy
+   FROM (SELECT *, unnest(range(CAST(floor(least(x0, x1) / 1000) AS BIGINT), CAST(floor(greatest(x0, x1) / 1000) AS BIGINT) + 1)) AS cx FROM ed)),
+ pr AS (SELECT DISTINCT a.e AS ae, b.e AS be FROM ec a JOIN ec b USING (cx, cy) WHERE a.e < b.e AND a.n0 <> b.n0 AND a.n0 <> b.n1 AND a.n1 <> b.n0 AND a.n1 <> b.n1),
+ cr AS (SELECT ae, be, (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) AS den, (b.x0 - a.x0) * (b.y1 - b.y0) - (b.y0 - a.y0) * (b.x1 - b.x0) AS tn,
+   (b.x0 - a.x0) * (a.y1 - a.y0) - (b.y0 - a.y0) * (a.x1 - a.x0) AS un, a.x0 AS ax, a.y0 AS ay, a.x1 - a.x0 AS dx, a.y1 - a.y0 AS dy FROM pr JOIN ed a ON a.e = ae JOIN ed b ON b.e = be),
+ hit AS (SELECT ae, be, tn / den AS t, un / den AS u, ax + dx * (tn / den) AS x, ay + dy * (tn / den) AS y FROM cr WHERE abs(den) >= {d(0.0001)}
+   AND tn / den > {d(0.001)} AND tn / den < {d(0.999)} AND un / den > {d(0.001)} AND un / den < {d(0.999)}),
+ po AS (SELECT ae AS e, t, x, y FROM hit UNION ALL SELECT be, u, x, y FROM hit),
+ kp AS (SELECT e, t, x, y FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM po WINDOW w AS (PARTITION BY e ORDER BY t, x, y)) WHERE px IS NULL OR (x - px) * (x - px) + (y - py) * (y - py) >= 1),
+ pb AS (SELECT *, row_number() OVER (ORDER BY e, t, x, y) - 1 AS o FROM kp),
+ old AS (SELECT a.o, arg_min(b.node_id, {{'q': sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 'n': b.node_id}}) AS node_id FROM {nearby("pb", "node", SPLIT)}
+   WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < {d(SPLIT)} GROUP BY a.o),
+ fr AS (SELECT min(o) AS o, x, y FROM pb WHERE o NOT IN (SELECT o FROM old) GROUP BY x, y), {first_come("fr", SPLIT, "f")},
+ nw AS (SELECT o, row_number() OVER (ORDER BY o) - 1 + (SELECT coalesce(max(node_id), -1) + 1 FROM node) AS node_id FROM f_st WHERE s = 1),
+ pn AS (SELECT o, node_id FROM old UNION ALL SELECT pb.o, nw.node_id FROM pb JOIN fr ON fr.x = pb.x AND fr.y = pb.y JOIN f_to ON f_to.o = fr.o JOIN nw ON nw.o = f_to.leader WHERE pb.o NOT IN (SELECT o FROM old)),
+ sq AS (SELECT e, o AS k, node_id FROM pb JOIN pn USING (o) UNION ALL SELECT e, -1, n0 FROM ed UNION ALL SELECT e, 1000000000, n1 FROM ed),
+ ch AS (SELECT e, k, node_id AS n0, lead(node_id) OVER (PARTITION BY e ORDER BY k) AS n1 FROM sq),
+ live AS (SELECT row_number() OVER (ORDER BY e, k) - 1 AS edge_id, n0, n1, e AS source_edge_id FROM ch WHERE n1 IS NOT NULL AND n1 <> n0)"""
+
+
+@query("road_graph_edges", f"WITH RECURSIVE {GRAPH} SELECT edge_id, n0, n1, source_edge_id FROM live", ("road",))
+def _(spark, sf):
+    n, e = roads.build_graph(V.roads(spark, sf))
+    return roads.split_at_crossings(n, e)[1].select("edge_id", "n0", "n1", "source_edge_id")
+
+
+@query(
+    "road_graph_split",
+    f"WITH RECURSIVE {GRAPH} SELECT (SELECT count(*) FROM node) + (SELECT count(*) FROM nw) AS nodes, (SELECT count(*) FROM live) AS edges",
+    ("road",),
+)
 def _(spark, sf):
     n, e = roads.build_graph(V.roads(spark, sf))
     return stats.graph_counts(*roads.split_at_crossings(n, e))
