@@ -29,21 +29,38 @@ NEAR_IN_TILE = MAIN.replace("SELECT lon0 AS lon, lat0 AS lat FROM road", "SELECT
 NEAR_IN_TILE = NEAR_IN_TILE.replace("AS y FROM rv", "AS y, tile_col, tile_row FROM rv").replace("SELECT DISTINCT pid FROM poly JOIN rw ON", "SELECT DISTINCT pid, tile_col, tile_row FROM tpoly JOIN rw USING (tile_col, tile_row) WHERE")
 
 
-@query(
-    "all_tiles_build",
-    f"""WITH {POLY}, {PLACED}, {TILES}, c AS (SELECT pid, sum(lon) / count(*) AS lon, sum(lat) / count(*) AS lat FROM every GROUP BY pid),
+def placed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All features with their tiles, and the tile table."""
+    features = tiling.assign_tiles(tiling.with_bbox(V.all_features(spark, sf)), V.GRID)
+    t = tiling.tile_table(features, V.GRID).withColumn("tile_ord", F.struct("tile_col", "tile_row"))
+    return features.drop("min_lon", "min_lat", "max_lon", "max_lat"), t
+
+
+ALL_TILES = f"""WITH {POLY}, {PLACED}, {TILES}, c AS (SELECT pid, sum(lon) / count(*) AS lon, sum(lat) / count(*) AS lat FROM every GROUP BY pid),
     tf AS (SELECT c.pid, tile_col, tile_row FROM c JOIN tiles ON lon BETWEEN min_lon AND max_lon AND lat BETWEEN min_lat AND max_lat
       WHERE EXISTS (SELECT 1 FROM assigned a WHERE a.pid = c.pid AND a.tile_col BETWEEN tiles.tile_col - 1 AND tiles.tile_col + 1 AND a.tile_row BETWEEN tiles.tile_row - 1 AND tiles.tile_row + 1)),
     tpoly AS (SELECT poly.*, tile_col, tile_row FROM poly JOIN tf USING (pid)), {NEAR_IN_TILE},
     ruled AS (SELECT t.*, CASE WHEN area_sqm < 20000 THEN CASE WHEN near.pid IS NOT NULL THEN 'Commercial' ELSE 'Residential' END ELSE 'Farmland' END AS land_use
       FROM (SELECT pid, area_sqm, tile_col, tile_row FROM tpoly) t LEFT JOIN near USING (pid, tile_col, tile_row))
-    SELECT tile_col, tile_row, land_use, count(*) AS polygons, round(sum(area_sqm), 2) AS area_sqm FROM ruled GROUP BY ALL""",
+    SELECT tile_col, tile_row, land_use, count(*) AS polygons, round(sum(area_sqm), 2) AS area_sqm FROM ruled GROUP BY ALL"""
+
+
+@query("all_tiles_build", ALL_TILES, ("box", "road"))
+def _(spark, sf):
+    features, t = placed(spark, sf)
+    p = tiled.build_all_tiles(features, t, V.GRID, RULES)
+    return p.groupBy("tile_col", "tile_row", "land_use").agg(F.count(F.lit(1)).alias("polygons"), r(F.sum("area_sqm"), 2).alias("area_sqm"))
+
+
+@query(
+    "test_tile_build",
+    f"""SELECT q.* FROM ({ALL_TILES}) q JOIN (WITH {POLY}, {PLACED}, {TILES} SELECT tile_col, tile_row FROM tiles ORDER BY feature_count DESC, tile_col, tile_row LIMIT 1) b
+    ON b.tile_col = q.tile_col AND b.tile_row = q.tile_row""",
     ("box", "road"),
 )
 def _(spark, sf):
-    features = tiling.assign_tiles(tiling.with_bbox(V.all_features(spark, sf)), V.GRID)
-    t = tiling.tile_table(features, V.GRID).withColumn("tile_ord", F.struct("tile_col", "tile_row"))
-    p = tiled.build_all_tiles(features.drop("min_lon", "min_lat", "max_lon", "max_lat"), t, V.GRID, RULES)
+    features, t = placed(spark, sf)
+    p = tiled.build_test_tile(features, t, V.GRID, RULES)
     return p.groupBy("tile_col", "tile_row", "land_use").agg(F.count(F.lit(1)).alias("polygons"), r(F.sum("area_sqm"), 2).alias("area_sqm"))
 
 

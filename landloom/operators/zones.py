@@ -71,14 +71,15 @@ def label_zones(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     found = connected_components(seams).select(
         F.col("node.grid_id").alias("grid_id"), F.col("node.root").alias("root"), F.col("root.root").alias("_top")
     )
-    rooted = local.join(found, ["grid_id", "root"], "left").withColumn("root", F.coalesce("_top", "root"))
-    rooted = rooted.drop("_top", "_bx", "_by")
-    # The first cell of each zone is its own root: one row per zone, no distinct.
-    firsts = rooted.where(F.col("root") == F.col("y").cast("long") * ROW_STEP + F.col("x"))
-    firsts = firsts.select("grid_id", "y", "x", "root")
+    # Final numbers go to the block labels, of which there are few; a cell then
+    # meets the label of its own block only, never all cells of its zone.
+    labels = checkpointed(local.select("grid_id", "root").distinct())
+    tops = labels.join(found, ["grid_id", "root"], "left").select("grid_id", "root", F.coalesce("_top", "root").alias("top"))
+    firsts = tops.where("root = top").select("grid_id", "top", F.shiftright("top", 31).alias("y"), (F.col("top") % ROW_STEP).alias("x"))
     numbered = dense_index(firsts, [F.col("grid_id"), F.col("y")], [F.col("x")], "zone_id", restart=1)
-    labels = rooted.join(numbered.select("grid_id", "root", "zone_id"), ["grid_id", "root"]).drop("root")
-    return cells.join(labels.select("grid_id", "x", "y", "zone_id"), ["grid_id", "x", "y"])
+    named = tops.join(numbered.select("grid_id", "top", "zone_id"), ["grid_id", "top"]).select("grid_id", "root", "zone_id")
+    placed = local.join(named, ["grid_id", "root"])
+    return cells.join(placed.select("grid_id", "x", "y", "zone_id"), ["grid_id", "x", "y"])
 
 
 def _seam_links(local: DataFrame, axis: str, other: str, block: int) -> DataFrame:

@@ -24,8 +24,8 @@ def cut_into_tiles(features: DataFrame, grid: tiling.Grid) -> tuple[DataFrame, D
     return assigned, tiling.tile_table(assigned, grid)
 
 
-def query_tile_features(copies: DataFrame, tiles: DataFrame, grid: tiling.Grid) -> DataFrame:
-    """Features of every tile's own query, all tiles at once.
+def query_tile_features(copies: DataFrame, tiles: DataFrame, grid: tiling.Grid, only: DataFrame | None = None) -> DataFrame:
+    """Features of every tile's own query, all tiles at once (of the tiles ``only``, where given).
 
     For each tile: the copies in tiles that touch it, the first copy per
     feature id in manifest order, kept if its vertex mean is in the tile.
@@ -38,7 +38,8 @@ def query_tile_features(copies: DataFrame, tiles: DataFrame, grid: tiling.Grid)
     c = G.vertex_mean(F.col("coords"), "lon", "lat")
     light = copies.select("feature_id", *TILE, c["lon"].alias("c_lon"), c["lat"].alias("c_lat"))
     own = tiles.select(*TILE, "tile_ord", *RECT_FIELDS)
-    q = own.select(F.col("tile_col").alias("q_col"), F.col("tile_row").alias("q_row"), *[F.col(f).alias(f"q_{f}") for f in RECT_FIELDS])
+    asked = own if only is None else own.join(only.select(*TILE), TILE, "left_semi")
+    q = asked.select(F.col("tile_col").alias("q_col"), F.col("tile_row").alias("q_row"), *[F.col(f).alias(f"q_{f}") for f in RECT_FIELDS])
     touching = tiling.tiles_for_bounds(q, own, grid).select("q_col", "q_row", *[f"q_{f}" for f in RECT_FIELDS], *TILE, "tile_ord")
     near = light.join(touching, TILE)
     with_id = (
@@ -77,15 +78,16 @@ def build_all_tiles(
     single_tile_landcover_only: bool = False,
     refresh_parameters: bool = False,
     keep_water: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Land-use polygons of all tiles in one job, the tile being a key.
+    """Land-use polygons of all tiles (or of ``only`` some) in one job, the tile being a key.
 
     Roads and water count within the polygon's own tile query. Land cover
     (``(grids, pixels)``) is fused per tile after the parameters were set;
     ``refresh_parameters`` sets them again. ``single_tile_landcover_only``
     fuses only tiles that touch no other tile.
     """
-    features = checkpointed(query_tile_features(copies, tiles, grid))
+    features = checkpointed(query_tile_features(copies, tiles, grid, only))
     polygons = D.polygons_from_vectors(features, grid.origin_lon, grid.origin_lat, min_area_sqm, by=tuple(TILE))
     polygons = C.assign_parameters(C.classify(polygons, rules, keep_water), rules)
     if landcover_data is None:
@@ -98,14 +100,19 @@ def build_all_tiles(
         alone = tiling.tiles_for_bounds(q, tiles.select(*TILE, *RECT_FIELDS), grid).groupBy("q_col", "q_row").agg(F.count(F.lit(1)).alias("n"))
         alone = alone.where("n = 1").select(F.col("q_col").alias("tile_col"), F.col("q_row").alias("tile_row"))
         grids = grids.join(alone, TILE, "left_semi")
+    if only is not None:
+        grids = grids.join(only.select(*TILE), TILE, "left_semi")
     fused = landcover.fuse_landcover(polygons, pixels, grids, row_origin)
     return C.assign_parameters(fused, rules) if refresh_parameters else fused
 
 
 def build_test_tile(copies: DataFrame, tiles: DataFrame, grid: tiling.Grid, rules: ClassifyRules | None = None, **options) -> DataFrame:
-    """The catalog build for the tile with most features only."""
-    best = tiling.busiest_tile(tiles).select(*TILE)
-    return build_all_tiles(copies, tiles, grid, rules, **options).join(F.broadcast(best), TILE, "left_semi")  # one row
+    """The catalog build for the tile with most features only.
+
+    Only copies in the tiles that touch it are read and built.
+    """
+    best = checkpointed(tiling.busiest_tile(tiles).select(*TILE))
+    return build_all_tiles(copies, tiles, grid, rules, only=best, **options)
 
 
 def preprocess(
