@@ -40,6 +40,8 @@ SLICE = 1 << 15
 FEW_WORDS = 20
 #: Texts that the order of shingles is taken from, shingles it tells apart, and heads at a shingle in a round.
 SAMPLED, COMMON, HEADS = 4096, 200_000, 64
+#: Bins of a text's shingle counts, and the count that stands for itself and all above.
+BINS, FULL = 256, 127
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -246,6 +248,19 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64).view(np.int64))
 
 
+def shingle_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes fall in each of ``BINS`` bins; ``FULL`` stands for that many or more."""
+    bins = (hashes.view(np.uint64) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(bins, minlength=BINS), FULL).astype(np.int8)
+
+
+def most_shared(a: Column, b: Column) -> Column:
+    """Upper bound of the shingles two texts share, from their counts: the lesser count, bin by bin; null where a bin is full."""
+    lesser = F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int"))
+    full = (F.array_max(a) == FULL) | (F.array_max(b) == FULL)
+    return F.when(~full, F.aggregate(lesser, F.lit(0), lambda s, x: s + x))
+
+
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes that several of the sampled texts have, and in how many.
 
@@ -305,7 +320,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_hashes(t, words) for t in text_bytes(part.column("t"))]
-                yield pa.RecordBatch.from_arrays([part.column("no"), pa.array(sets, pa.list_(pa.int64()))], ["no", "set"])
+                own = [part.column("no"), pa.array(sets, pa.list_(pa.int64())), pa.array([shingle_counts(s) for s in sets], pa.list_(pa.int8()))]
+                yield pa.RecordBatch.from_arrays(own, ["no", "set", "counts"])
 
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
@@ -328,7 +344,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     near = with_mark(rows, F.col("text_key"), members, F.col("text_key")).where("_hit").dropDuplicates(["doc_id", "text_key"])
     near = near.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "t")
     texts = members.join(near, members["doc_id"].eqNullSafe(near["_d"]) & (members["text_key"] == near["_k"]))
-    sets = saved(texts.select("no", "t").mapInArrow(cut, "no long, set array<long>"), "sets")
+    sets = saved(texts.select("no", "t").mapInArrow(cut, "no long, set array<long>, counts array<tinyint>"), "sets")
     discard(members)
 
     both = F.size(F.array_intersect("set_u", "set_v"))
@@ -344,14 +360,23 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         heads = saved(heads.join(kinds, "key").where(chosen).select("key", F.col("kin").alias("hkin"), F.col("h.no").alias("hno"), F.col("h.size").alias("hsize")), "heads")
         placed = placed.join(kinds.select("key"), "key")
         met = placed.join(heads, "key").where((F.col("kin") != F.col("hkin")) & (F.least("size", "hsize") >= F.lit(float(similarity)) * F.greatest("size", "hsize") - 1e-9))
-        met = met.select(F.least("no", "hno").alias("u"), F.greatest("no", "hno").alias("v")).distinct()
+        first = F.col("no") < F.col("hno")
+        sizes = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("size", "hsize", "size_u"), ("hsize", "size", "size_v"))]
+        met = met.select(F.least("no", "hno").alias("u"), F.greatest("no", "hno").alias("v"), *sizes).distinct()
         met = saved(met if tried is None else met.join(tried, ["u", "v"], "left_anti"), "pairs")
-        # Only the sets of texts that are in a pair of this round move.
-        wanted = lambda side: with_mark(sets, F.col("no"), met, F.col(side)).where("_hit").select(F.col("no").alias(side), F.col("set").alias(f"set_{side}"))
-        judged = met.join(wanted("u"), "u").join(wanted("v"), "v")
+        # Counts of shingles by bin, a few hundred bytes a text, rule most pairs out;
+        # only the sets of texts that are in a pair left over move.
+        def wanted(pairs: DataFrame, side: str, column: str) -> DataFrame:
+            return with_mark(sets, F.col("no"), pairs, F.col(side)).where("_hit").select(F.col("no").alias(side), F.col(column).alias(f"{column}_{side}"))
+
+        least_shared = F.lit(float(similarity) / (1.0 + float(similarity))) * (F.col("size_u") + F.col("size_v")) - 1e-6
+        bound = F.coalesce(most_shared(F.col("counts_u"), F.col("counts_v")) >= least_shared, F.lit(True))
+        close = saved(met.join(wanted(met, "u", "counts"), "u").join(wanted(met, "v", "counts"), "v").where(bound).select("u", "v"), "close")
+        judged = close.join(wanted(close, "u", "set"), "u").join(wanted(close, "v", "set"), "v")
         more = saved(judged.where(alike).select("u", "v"), "similar")
         tried = met if tried is None else tried.unionByName(met)
         spent += [met, more]
+        discard(close)
         after = saved(placed.join(heads.select("key", F.col("hno").alias("no")), ["key", "no"], "left_anti").select("key", "no", "size"), "postings")
         discard(left, heads)
         left = after
