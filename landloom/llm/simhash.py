@@ -41,7 +41,7 @@ FEW_WORDS = 20
 #: Texts that the order of shingles is taken from, shingles it tells apart, and heads at a shingle in a round.
 SAMPLED, COMMON, HEADS = 4096, 200_000, 64
 #: Bins of a text's shingle counts, and the count that stands for itself and all above.
-BINS, FULL = 256, 127
+BINS, FULL = 256, 255
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -251,14 +251,26 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 def shingle_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes fall in each of ``BINS`` bins; ``FULL`` stands for that many or more."""
     bins = (hashes.view(np.uint64) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(bins, minlength=BINS), FULL).astype(np.int8)
+    return np.minimum(np.bincount(bins, minlength=BINS), FULL).astype(np.uint8)
 
 
-def most_shared(a: Column, b: Column) -> Column:
-    """Upper bound of the shingles two texts share, from their counts: the lesser count, bin by bin; null where a bin is full."""
-    lesser = F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int"))
-    full = (F.array_max(a) == FULL) | (F.array_max(b) == FULL)
-    return F.when(~full, F.aggregate(lesser, F.lit(0), lambda s, x: s + x))
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the shingles that the texts of each row share: the lesser count, bin by bin; no bound where a bin is full."""
+    full = (a == FULL).any(axis=1) | (b == FULL).any(axis=1)
+    return np.where(full, np.iinfo(np.int64).max, np.minimum(a, b).sum(axis=1, dtype=np.int64))
+
+
+def _may_be_alike(similarity: float):
+    """Arrow step: pairs ``u, v`` whose counts leave room for enough shared shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("counts_u", "counts_v")]
+            sizes = batch.column("size_u").to_numpy() + batch.column("size_v").to_numpy()
+            kept = most_shared(*counts) >= similarity / (1.0 + similarity) * sizes - 1e-6
+            yield batch.select(["u", "v"]).filter(pa.array(kept))
+
+    return run
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +332,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_hashes(t, words) for t in text_bytes(part.column("t"))]
-                own = [part.column("no"), pa.array(sets, pa.list_(pa.int64())), pa.array([shingle_counts(s) for s in sets], pa.list_(pa.int8()))]
+                own = [part.column("no"), pa.array(sets, pa.list_(pa.int64())), pa.array([shingle_counts(s).tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(own, ["no", "set", "counts"])
 
     text = text_of(text_col)
@@ -344,7 +356,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     near = with_mark(rows, F.col("text_key"), members, F.col("text_key")).where("_hit").dropDuplicates(["doc_id", "text_key"])
     near = near.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "t")
     texts = members.join(near, members["doc_id"].eqNullSafe(near["_d"]) & (members["text_key"] == near["_k"]))
-    sets = saved(texts.select("no", "t").mapInArrow(cut, "no long, set array<long>, counts array<tinyint>"), "sets")
+    sets = saved(texts.select("no", "t").mapInArrow(cut, "no long, set array<long>, counts binary"), "sets")
     discard(members)
 
     both = F.size(F.array_intersect("set_u", "set_v"))
@@ -369,9 +381,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         def wanted(pairs: DataFrame, side: str, column: str) -> DataFrame:
             return with_mark(sets, F.col("no"), pairs, F.col(side)).where("_hit").select(F.col("no").alias(side), F.col(column).alias(f"{column}_{side}"))
 
-        least_shared = F.lit(float(similarity) / (1.0 + float(similarity))) * (F.col("size_u") + F.col("size_v")) - 1e-6
-        bound = F.coalesce(most_shared(F.col("counts_u"), F.col("counts_v")) >= least_shared, F.lit(True))
-        close = saved(met.join(wanted(met, "u", "counts"), "u").join(wanted(met, "v", "counts"), "v").where(bound).select("u", "v"), "close")
+        held = met.join(wanted(met, "u", "counts"), "u").join(wanted(met, "v", "counts"), "v")
+        close = saved(held.mapInArrow(_may_be_alike(similarity), "u long, v long"), "close")
         judged = close.join(wanted(close, "u", "set"), "u").join(wanted(close, "v", "set"), "v")
         more = saved(judged.where(alike).select("u", "v"), "similar")
         tried = met if tried is None else tried.unionByName(met)
