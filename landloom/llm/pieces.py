@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-MOST = 800_000
+MOST = 400_000
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Marks that a pre-token never shares with the letter before them.
 MARKS = b".,;:!?"
@@ -105,7 +105,7 @@ class Pieces(dict):
             self.older = dict(self)
             self.clear()
 
-    def release(self, most: int = MOST // 8) -> None:
+    def release(self, most: int = MOST // 4) -> None:
         """Give memory back at the end of a task: other stages use the same worker."""
         if len(self) + len(self.older) > most:
             self.clear()
