@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions import tags as K
 from landloom.operators.tiling import Grid
+from landloom.session import once, spread
 
 LON0, LAT0 = 121.47, 31.23
 GRID = Grid(1000.0, LON0, LAT0)
@@ -92,6 +93,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Rows of a table over all task slots: its file is small, the geometry made of a row is not."""
+    return spread(table(spark, sf, name).select(key, *columns), key)
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr("event_id", f"{EV_LON} AS lon", f"{EV_LAT} AS lat")
 
@@ -102,10 +108,10 @@ def _ring(lon, lat, h):
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Area features: one square per part."""
-    df = table(spark, sf, "part").selectExpr(
+    df = dealt(spark, sf, "part", "p_partkey", "p_type").selectExpr(
         "p_partkey AS feature_id", f"{PT_LON} AS lon", f"{PT_LAT} AS lat", f"{PT_H} AS h", f"{TAG_KEY} AS k", f"{TAG_VALUE} AS v"
     )
-    df = df.withColumns({"coords": _ring(F.col("lon"), F.col("lat"), F.col("h")), "props": F.create_map("k", "v")})
+    df = once(df, coords=_ring(F.col("lon"), F.col("lat"), F.col("h"))).withColumn("props", F.create_map("k", "v"))
     return df.select(
         "feature_id",
         F.lit("Polygon").alias("geom_type"),
@@ -119,14 +125,14 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 def roads(spark: SparkSession, sf: str) -> DataFrame:
     """Line features: one two-vertex road per order."""
-    df = table(spark, sf, "orders").selectExpr(
+    df = dealt(spark, sf, "orders", "o_orderkey", "o_orderpriority").selectExpr(
         "o_orderkey AS feature_id", f"{RD_LON0} AS lon0", f"{RD_LAT0} AS lat0", f"{RD_LON1} AS lon1", f"{RD_LAT1} AS lat1", f"{RD_CLASS} AS cls"
     )
     coords = F.array(
         F.struct(F.col("lon0").alias("lon"), F.col("lat0").alias("lat")),
         F.struct(F.col("lon1").alias("lon"), F.col("lat1").alias("lat")),
     )
-    return df.withColumns({"coords": coords, "props": F.create_map(F.lit("highway"), "cls")}).select(
+    return once(df, coords=coords).withColumn("props", F.create_map(F.lit("highway"), "cls")).select(
         "feature_id",
         F.lit("LineString").alias("geom_type"),
         K.infer_category(F.col("props")).alias("category"),
@@ -145,7 +151,7 @@ def all_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def feature_text(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes as GeoJSON text, one feature per row."""
-    df = table(spark, sf, "part").selectExpr(
+    df = dealt(spark, sf, "part", "p_partkey", "p_type", "p_size").selectExpr(
         "p_partkey AS feature_id", f"{PT_LON} AS lon", f"{PT_LAT} AS lat", f"{PT_H} AS h", f"{TAG_KEY} AS k", f"{TAG_VALUE} AS v", "p_size"
     )
     pair = [F.array(F.col("lon") + sx * F.col("h"), F.col("lat") + sy * F.col("h")) for sx, sy in CORNERS]
@@ -153,12 +159,8 @@ def feature_text(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('{"'), "k", F.lit('":"'), "v", F.lit('","size":'), F.col("p_size").cast("string"), F.lit(',"ok":true,"gone":null,"deep":{"a":1}}')
     )
     ring = F.to_json(F.array(F.array(*pair)))
-    return df.select(
-        "feature_id",
-        F.concat(
-            F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":{"type":"Polygon","coordinates":'), ring, F.lit("}}")
-        ).alias("feature"),
-    )
+    text = F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":{"type":"Polygon","coordinates":'), ring, F.lit("}}"))
+    return once(df, feature=text).select("feature_id", "feature")
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.functions import geometry as G
-from landloom.session import checkpointed, spread
+from landloom.session import checkpointed, shuffled, spread
 
 CELL_CAPACITY = 128
 SPLIT = 4  # a cell is cut SPLIT x SPLIT
@@ -150,17 +150,17 @@ def flag_within_radius(
         cand = _cover(keys.where(F.col("level") == level).drop("level"), width, F.col("r"))
         if carried is not None:
             cand = cand.unionByName(carried)
-        judged = cand.join(_coarser(base, level, by), cells).withColumns(_bounds_to_probe())
+        judged = shuffled(cand).join(_coarser(base, level, by), cells).withColumns(_bounds_to_probe())
         settled = (F.col("d_sample") < F.col("r")) | (F.col("d_max") < F.col("r"))
         judged = judged.where(F.col("d_min") < F.col("r")).select(*key, "cx", "cy", settled.alias("hit"))
         if top > 0 and level > 0:
             judged = checkpointed(judged)
         found = judged.where("hit").select(*key).distinct()
-        open_cells = judged.where("NOT hit").join(found, key, "left_anti").select(*key, "cx", "cy")
+        open_cells = shuffled(judged.where("NOT hit")).join(found, key, "left_anti").select(*key, "cx", "cy")
         hits.append(found)
         carried = _children(open_cells) if level > 0 else open_cells
     exact = (
-        carried.join(pts.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)}), cells)
+        shuffled(carried).join(pts.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)}), cells)
         .where(_dist(F.col("x") - F.col("px"), F.col("y") - F.col("py")) < F.col("r"))
         .select(*key)
     )
@@ -171,7 +171,7 @@ def flag_within_radius(
         *by, F.col("px").alias(probe_x), F.col("py").alias(probe_y), F.col("r").alias(radius), F.lit(True).alias("_near")
     )
     return (
-        probes.join(near, [*by, probe_x, probe_y, radius], "left")
+        shuffled(probes).join(near, [*by, probe_x, probe_y, radius], "left")
         .withColumn(flag, F.coalesce("_near", F.lit(False)))
         .select(*probes.columns, flag)
     )
@@ -193,13 +193,13 @@ def nearest_within(
     cand = _cover(keys, tolerance, F.lit(float(tolerance)))
     base = _summaries(spots, size, []) if levels else None
     for level in range(levels, 0, -1):
-        judged = cand.join(_coarser(base, level, []), ["cx", "cy"]).withColumns(_bounds_to_probe())
+        judged = shuffled(cand).join(_coarser(base, level, []), ["cx", "cy"]).withColumns(_bounds_to_probe())
         judged = checkpointed(judged.where(F.col("d_min") < tolerance).select("px", "py", "cx", "cy", "d_min", "d_sample"))
         best = judged.groupBy("px", "py").agg(F.min("d_sample").alias("bound"))
         cand = _children(judged.join(best, ["px", "py"]).where("d_min <= bound").select("px", "py", "cx", "cy"))
     d = _dist(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     pairs = (
-        cand.join(spots.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)}), ["cx", "cy"])
+        shuffled(cand).join(spots.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)}), ["cx", "cy"])
         .withColumn("distance", d)
         .where(F.col("distance") < tolerance)
     )
@@ -207,7 +207,7 @@ def nearest_within(
     best = best.select(
         F.col("px").alias("x"), F.col("py").alias("y"), F.col("_m.nid").alias(node_id), F.col("_m.distance").alias("distance")
     )
-    return probes.select(probe_id, "x", "y").join(best, ["x", "y"]).select(probe_id, node_id, "distance")
+    return shuffled(probes.select(probe_id, "x", "y")).join(best, ["x", "y"]).select(probe_id, node_id, "distance")
 
 
 def _edges_of(rings: DataFrame, keep: list[str]) -> DataFrame:
@@ -302,7 +302,7 @@ def flag_inside_any(
     decided = _parity(candidates.distinct(), shapes, edges.where(tall), by).unionByName(settled).distinct()
     decided = decided.select(*by, F.col("px").alias(point_lon), F.col("py").alias(point_lat), F.lit(True).alias("_in"))
     return (
-        points.join(decided, [*by, point_lon, point_lat], "left")
+        shuffled(points).join(decided, [*by, point_lon, point_lat], "left")
         .withColumn(flag, F.coalesce("_in", F.lit(False)))
         .select(*points.columns, flag)
     )

@@ -13,6 +13,7 @@ from landloom.operators import cutting, elevation, spatial, terrain, zones
 from landloom.operators import filters as Fl
 from landloom.operators.stats import feature_bounds
 from landloom.schema import ClassifyRules, TerrainConfig
+from landloom.session import once
 
 MAIN_ROAD_FACTOR = 1.5
 FLAT_WATER_EDGE_DEG = 1e-4
@@ -22,10 +23,8 @@ BUILDER_MIN_AREA = 800.0
 
 def with_world_geometry(areas: DataFrame, origin_lon: float, origin_lat: float) -> DataFrame:
     """Add ``world_vertices, area_sqm, center_x, center_y`` to area features."""
-    df = areas.withColumn("world_vertices", P.geo_array_to_world(F.col("coords"), origin_lon, origin_lat))
-    df = df.withColumns(
-        {"area_sqm": G.area_sqm(F.col("world_vertices")), "_c": G.vertex_mean(F.col("world_vertices"), "x", "y")}
-    )
+    df = once(areas, world_vertices=P.geo_array_to_world(F.col("coords"), origin_lon, origin_lat))
+    df = once(df, area_sqm=G.area_sqm(F.col("world_vertices")), _c=G.vertex_mean(F.col("world_vertices"), "x", "y"))
     return df.withColumns({"center_x": F.col("_c.x"), "center_y": F.col("_c.y")}).drop("_c")
 
 

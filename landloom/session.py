@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,11 +51,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 
     The columns are named anew, so the result can be joined with anything
-    derived from ``df`` without sharing column references.
+    derived from ``df`` without sharing column references. Spark goes on
+    estimating the result by the files it came from, which says little after
+    rows were expanded; the hint keeps joins from sending it through the driver.
     """
     ensure_checkpoint_dir(df.sparkSession)
     saved = df.checkpoint(eager=True)
-    return saved.select(*[F.col(c).alias(c) for c in saved.columns])
+    return shuffled(saved.select(*[F.col(c).alias(c) for c in saved.columns]))
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by shuffles and not broadcast, whatever its estimated size.
+
+    The hint reaches the next join through projections, filters and
+    aggregates, but not through a union or another join.
+    """
+    return df.hint("merge")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -67,3 +78,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(wanted, *keys)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that a row computes once.
+
+    Filters on a computed column would be pushed below it, and below a
+    repartitioning, with its whole expression repeated for each use; they stay
+    above a generator, here of one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

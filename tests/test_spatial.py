@@ -3,8 +3,12 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from landloom.catalogue import views
 from landloom.operators import spatial
+from landloom.plans import derive
+from landloom.session import checkpointed
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +102,21 @@ def test_star_needs_no_pairs(spark):
     assert (n, n + 1) in met and {(i, n) for i in np.flatnonzero(rays)} <= met
     assert all(i < n <= j for i, j in met - {(n, n + 1)}) and len(got) == len(met)
     assert np.allclose(got.y[(got.b_id == n)], 0.5)
+
+
+def test_saved_rows_are_not_broadcast_by_a_stale_estimate(spark, tmp_path):
+    """A small file's estimate outlives the expansion of its rows; such joins overfilled the driver."""
+    spark.range(50).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    many = checkpointed(few.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(100)))))
+    plan = many.where("x > 3").join(few.withColumnRenamed("id", "x"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_geometry_of_a_small_file_is_dealt_out_and_made_once(spark, tmp_path):
+    spark.range(40).selectExpr("id AS p_partkey", "'PROMO' AS p_type", "1 AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    boxes = views.boxes(spark, str(tmp_path))
+    sized = derive.with_world_geometry(boxes, views.LON0, views.LAT0).where("area_sqm > 0")
+    assert boxes.rdd.getNumPartitions() == 2 and sized.count() == 40
+    plan = sized._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "transform(" in line]
