@@ -135,6 +135,8 @@ def preprocess(
     features, the splittable form. The output holds ``features`` (a table
     partitioned by tile, which the tiled provider reads), ``landcover``, ``dem``,
     ``tiles`` and the ``manifest``, whose paths are checked against what is stored.
+    Above ``sinks.tiles.FOLDERS`` tiles only a column of tiles has a folder; the
+    paths of the manifest then name a tile's values in the table.
     """
     listed = discovery.discover_inputs(spark, input_dir)
     vector = [r[0] for r in listed.where("kind = 'geojson'").orderBy("path").collect()]  # file names
@@ -142,8 +144,11 @@ def preprocess(
         raise FileNotFoundError(f"no GeoJSON files in {input_dir}")
     features = (geojson.read_geojson_lines if lines else geojson.read_geojson)(spark, vector)
     assigned, tiles = cut_into_tiles(features, grid)
-    K.write_tiled_features(assigned, f"{output_dir}/features", "overwrite")
     tiles = checkpointed(tiles)
+    many = K.packed(tiles)
+    (K.write_by_column if many else K.write_tiled_features)(assigned, f"{output_dir}/features", "overwrite")
+    cover_folder = tiling.stored_folder("landcover") if many else K.landcover_folder()
+    write_cover = K.write_by_column if many else K.write_landcover
     if not skip_dem and not listed.where("kind = 'dem'").isEmpty():
         dem_tiles, pixels = dem_source.read_dem(spark, input_dir, *dem_size, only=listed.where("kind = 'dem'"))
         K.write_dem_tiles(elevation.resample_tiles(tiles, dem_tiles, pixels), f"{output_dir}/dem", "overwrite")
@@ -152,13 +157,13 @@ def preprocess(
     if not skip_landcover and landcover_raster is not None:
         pixels, transform, width, height = landcover_raster
         crops = landcover.crop_to_tiles(tiles, pixels, transform, width, height)
-        K.write_landcover(K.landcover_documents(crops, tiles, transform[1]), f"{output_dir}/landcover", "overwrite")
-        covered = crops.select(*TILE).distinct().withColumn("_lc", K.landcover_folder())
+        write_cover(K.landcover_documents(crops, tiles, transform[1]), f"{output_dir}/landcover", "overwrite")
+        covered = crops.select(*TILE).distinct().withColumn("_lc", cover_folder)
         tiles = tiles.join(covered, TILE, "left").withColumn("landcover", F.coalesce("_lc", F.lit(""))).drop("_lc")
     elif not skip_landcover and placeholder_landcover:
         crops = landcover.placeholder_landcover(tiles)
-        K.write_landcover(K.landcover_documents(crops, tiles, 0.0), f"{output_dir}/landcover", "overwrite")
-        tiles = tiles.withColumn("landcover", K.landcover_folder())
+        write_cover(K.landcover_documents(crops, tiles, 0.0), f"{output_dir}/landcover", "overwrite")
+        tiles = tiles.withColumn("landcover", cover_folder)
     tiles = checkpointed(tiles)
     K.write_manifest(tiles, grid, f"{output_dir}/manifest")
     tiles.write.mode("overwrite").parquet(f"{output_dir}/tiles")
@@ -172,6 +177,9 @@ def validate_output(spark: SparkSession, output_dir: str) -> DataFrame:
     docs = spark.read.text(f"{output_dir}/manifest", wholetext=True)
     _, tiles = manifest.parse_manifest(docs)
     stored = spark.read.parquet(f"{output_dir}/features").groupBy(*TILE).agg(F.count(F.lit(1)).alias("actual_count"))
-    found = validate.manifest_issues(docs).unionByName(validate.tile_issues(tiles, stored, discovery.stored_folders(spark, output_dir)))
-    return found
+    files = discovery.stored_folders(spark, output_dir)
+    if not tiles.where("landcover LIKE 'landcover/tile_col=%'").isEmpty():
+        cover = spark.read.parquet(f"{output_dir}/landcover").select(tiling.stored_folder("landcover").alias("path"))
+        files = files.unionByName(cover.distinct())
+    return validate.manifest_issues(docs).unionByName(validate.tile_issues(tiles, stored, files))
 

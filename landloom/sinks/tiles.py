@@ -11,6 +11,21 @@ from landloom.operators.tiling import Grid
 from landloom.sources.geojson import coordinates_text, feature_text
 
 TILE = ["tile_col", "tile_row"]
+FOLDERS = 1_000  # tiles with a folder each; a file system takes longer over a folder than Spark over its rows
+
+
+def packed(tiles: DataFrame) -> bool:
+    """Whether there are too many tiles for a folder each; then a folder holds a column of tiles."""
+    return tiles.select("tile_col").limit(FOLDERS + 1).count() > FOLDERS
+
+
+def write_by_column(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Rows of any number of tiles as one table with a folder per tile column.
+
+    Both tile columns can be read from it, as from a table with a folder per
+    tile; rows are sorted, so statistics of a file's parts rule tiles out.
+    """
+    rows.repartitionByRange(*TILE).sortWithinPartitions(*TILE).write.mode(mode).partitionBy("tile_col").parquet(path)
 
 
 def write_tiled_features(assigned: DataFrame, path: str, mode: str = "error", salt: int = 1) -> None:

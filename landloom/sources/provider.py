@@ -169,6 +169,24 @@ class TiledFiles:
             raise FileNotFoundError(f"the manifest names {kind} files that are not stored: {[r[0] for r in gone]}")
         return found.drop("_path")
 
+    def _stored(self, listed: DataFrame, kind: str, folder: str, bounded: bool = False) -> DataFrame:
+        """Rows of the listed tiles in a stored table; a declared tile without rows is an error.
+
+        The table has a folder per tile or per column of tiles; with ``bounded``
+        the rows outside the extent of the listed tiles are not read.
+        """
+        stored = self.spark.read.parquet(f"{self.base}/{folder}")
+        keys = ["tile_col", "tile_row"]
+        if bounded:
+            box = listed.agg(*[f(k).alias(f"{f.__name__}_{k}") for k in keys for f in (F.min, F.max)]).first()
+            for k in keys:
+                stored = stored.where(F.col(k).between(box[f"min_{k}"], box[f"max_{k}"]))
+        gone = listed.join(stored.select(*keys).distinct(), keys, "left_anti")
+        lost = [r[0] for r in gone.select(kind).limit(3).collect()]
+        if lost:
+            raise FileNotFoundError(f"the manifest names tiles that are not stored: {lost}")
+        return stored.join(listed.select(*keys), keys, "left_semi")
+
     def copies(self, bounds=None) -> DataFrame:
         """Feature copies per tile, with the id stored by the tiling run.
 
@@ -183,16 +201,7 @@ class TiledFiles:
             ids = geojson.source_feature_id(F.col("props"), self.id_keys)
             rows = rows.withColumn("feature_id", ids)
         else:
-            stored = self.spark.read.parquet(f"{self.base}/features")
-            if bounds is None:
-                gone = listed.join(stored.select("tile_col", "tile_row").distinct(), ["tile_col", "tile_row"], "left_anti")
-                lost = [r[0] for r in gone.select("geojson").limit(3).collect()]
-            else:
-                lost = [p.removeprefix(f"{self.base}/") for p in self._listed(listed, "geojson") if not _exists(self.spark, p)][:3]
-            if lost:
-                raise FileNotFoundError(f"the manifest names tiles that are not stored: {lost}")
-            rows = stored.join(listed.select("tile_col", "tile_row"), ["tile_col", "tile_row"], "left_semi")
-            rows = rows.drop("clipped", *RECT_FIELDS)
+            rows = self._stored(listed, "geojson", "features", bounds is not None).drop("clipped", *RECT_FIELDS)
         return rows.join(tiles.select("tile_col", "tile_row", "tile_ord"), ["tile_col", "tile_row"])
 
     def features(self, bounds=None) -> DataFrame:
@@ -219,5 +228,10 @@ class TiledFiles:
             return None
         if tiles.where("landcover <> ''").isEmpty():
             return None
-        grids, pixels = landcover.parse_landcover(self._documents(tiles, "landcover", "*", bounds is not None))
+        listed = tiles.where("landcover <> ''")
+        if listed.where("landcover LIKE 'landcover/tile_col=%'").isEmpty():
+            docs = self._documents(tiles, "landcover", "*", bounds is not None)
+        else:
+            docs = self._stored(listed, "landcover", "landcover", bounds is not None)
+        grids, pixels = landcover.parse_landcover(docs)
         return landcover.with_tile_bounds(grids, tiles), pixels

@@ -153,3 +153,30 @@ def test_manifest_spellings_and_issues(spark):
     bad = spark.createDataFrame([("{\"projection\": \"UTM1N\", \"tiles\": []}",), ("not json",)], "value string")
     rules = sorted(r["rule"] for r in val.manifest_issues(bad).collect())
     assert rules == ["manifest_json", "missing_field", "missing_field", "missing_field", "no_tiles"]
+
+
+def test_many_tiles_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "FOLDERS", 2, raising=False)
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    feats = [square(121.4702 + i * 0.006, 31.2302 + j * 0.005, 0.0005, building="yes") for i in range(2) for j in range(3)]
+    (src / "area.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": feats}))
+    grid = tiling.Grid(500.0, 121.47, 31.23)
+    assert tiled.preprocess(spark, str(src), str(out), grid, skip_dem=True, placeholder_landcover=True).count() == 0
+    for kind in ("features", "landcover"):
+        assert not list((out / kind).glob("*/tile_row=*")) and list((out / kind).glob("tile_col=*"))
+    provider = TiledFiles(spark, str(out / "manifest"))
+    assert sorted(r["feature_id"] for r in provider.features().collect()) == list(range(len(feats)))
+    tiles, near = provider.tiles(), (121.4701, 31.2301, 121.4712, 31.2312)
+    wanted = Fl.tiles_in_bounds(tiles, near).count()
+    assert wanted < tiles.count() and provider.landcover(near)[1].count() == 100 * wanted and provider.features(near).count() == 1
+    assert provider.landcover()[1].count() == 100 * tiles.count()
+    col = tiles.first()["tile_col"]
+    for kind in ("features", "landcover"):
+        (out / kind / f"tile_col={col}").rename(tmp_path / kind)
+    lost = tiles.where(f"tile_col = {col}").count()
+    rules = [r["rule"] for r in tiled.validate_output(spark, str(out)).collect()]
+    assert rules.count("geojson_missing") == rules.count("landcover_missing") == lost > 0
+    for read in (provider.features, provider.landcover):
+        with pytest.raises(FileNotFoundError):
+            read()
