@@ -9,8 +9,10 @@ from landloom.functions import geometry as G
 from landloom.functions import tags as K
 from landloom.operators import filters as Fl
 from landloom.schema import LAND_USE_TYPES
+from landloom.session import once
 
 JITTER_PRIME = 16777213
+FEW_EDGES, FEW_PLACES = 64, 1 << 16  # a polygon up to which no row of it is shuffled
 
 
 def _jitter(seed: int, axis: str, amount: float) -> Column:
@@ -24,32 +26,57 @@ def _jitter(seed: int, axis: str, amount: float) -> Column:
     return ((F.pmod(at * at + at * 7, F.lit(JITTER_PRIME)) / float(JITTER_PRIME)) * 2.0 - 1.0) * float(amount)
 
 
-def _bands(polygons: DataFrame, cols: list[str], step: float, reach: float) -> DataFrame:
-    """Each lattice row ``iy`` of a polygon with the edges within ``reach`` of it, holes included."""
-    shapes = polygons.where(F.size("world_vertices") >= 3)
-    edges = G.explode_edges(shapes.select("polygon_id", F.col("world_vertices").alias("ring")), "ring", ["polygon_id"])
+def _edges(ring: Column) -> Column:
+    """Edges ``ax, ay, bx, by`` of a closed ring, as one array; an edge runs from a vertex to its predecessor."""
+
+    def edge(p: Column, i: Column) -> Column:
+        q = F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i).cast("int"))
+        return F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"))
+
+    return F.transform(ring, edge)
+
+
+def _rows(polygons: DataFrame, cols: list[str], step: float, reach: float) -> DataFrame:
+    """Each lattice row ``iy`` of a polygon with its ``near`` edges (within ``reach`` of the row), holes included.
+
+    Polygons of few edges and few places are cut into rows where they are; only
+    rows of the others are shuffled.
+    """
+    edges = _edges(F.col("world_vertices"))
     if "world_holes" in polygons.columns:
-        holes = shapes.select("polygon_id", F.explode("world_holes").alias("ring"))
-        edges = edges.unionByName(G.explode_edges(holes, "ring", ["polygon_id"]))
-    box = shapes.select("polygon_id", *cols, G.bbox(F.col("world_vertices"), "x", "y").alias("b")).select("polygon_id", *cols, "b.*")
+        edges = F.concat(edges, F.coalesce(F.flatten(F.transform("world_holes", _edges)), F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>")))
+    shapes = once(polygons.where((F.size("world_vertices") >= 3) & F.col("polygon_id").isNotNull()), edges=edges, b=G.bbox(F.col("world_vertices"), "x", "y"))
+    shapes = shapes.select("polygon_id", *cols, "edges", "b.*")
     last_row = F.floor((F.col("max_y") - F.col("min_y")) / step)
+    places = (last_row + 1.0) * (F.floor((F.col("max_x") - F.col("min_x")) / step) + 1.0)
+    few = (F.size("edges") <= FEW_EDGES) & (places <= FEW_PLACES)
 
     def row(v: Column) -> Column:
         return (v - F.col("min_y")) / step
 
-    first = F.greatest(F.lit(0), F.ceil(row(F.least("ay", "by") - reach) - 1e-6))
-    last = F.least(last_row, F.floor(row(F.greatest("ay", "by") + reach) + 1e-6))
-    return edges.join(box, "polygon_id").withColumn("iy", F.explode(F.when(first <= last, F.sequence(first, last))))
+    def first(ay: Column, by: Column) -> Column:
+        return F.greatest(F.lit(0), F.ceil(row(F.least(ay, by) - reach) - 1e-6))
 
+    def last(ay: Column, by: Column) -> Column:
+        return F.least(last_row, F.floor(row(F.greatest(ay, by) + reach) + 1e-6))
 
-def _filled_rows(banded: DataFrame, cols: list[str], step: float) -> DataFrame:
+    small = shapes.where(few).withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), last_row)))
+    at_row = lambda e: (first(e["ay"], e["by"]) <= F.col("iy")) & (last(e["ay"], e["by"]) >= F.col("iy"))
+    carried = [*cols, "min_x", "max_x", "min_y"]
+    small = small.select("polygon_id", "iy", *carried, F.filter("edges", at_row).alias("near"))
+    large = shapes.where(~few).select("*", F.explode("edges").alias("e")).drop("edges")
+    at = first(F.col("e.ay"), F.col("e.by")), last(F.col("e.ay"), F.col("e.by"))
+    large = large.withColumn("iy", F.explode(F.when(at[0] <= at[1], F.sequence(*at)))).repartition("polygon_id", "iy").groupBy("polygon_id", "iy")
+    large = large.agg(F.collect_list("e").alias("near"), *[F.first(c).alias(c) for c in carried])
+    return small.unionByName(large)
+
+
+def _filled_rows(rows: DataFrame, step: float) -> DataFrame:
     """Scan-line fill: a row's crossings, sorted, bound its runs in pairs; only points inside are made."""
     y = F.col("min_y") + F.col("iy") * step
-    spans = (F.col("ay") > y) != (F.col("by") > y)
-    at = (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / F.when(spans, F.col("by") - F.col("ay")) + F.col("ax")
-    carried = [*cols, "min_x", "max_x", "min_y"]
-    rows = banded.where(spans).withColumn("at", at).repartition("polygon_id", "iy").groupBy("polygon_id", "iy")
-    rows = rows.agg(F.array_sort(F.collect_list("at")).alias("xs"), *[F.first(c).alias(c) for c in carried])
+    spans = F.filter("near", lambda e: (e["ay"] > y) != (e["by"] > y))
+    crossing = lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+    rows = once(rows, xs=F.array_sort(F.transform(spans, crossing))).drop("near")
     pairs = F.transform(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2)), lambda k: F.struct(F.element_at("xs", k).alias("lo"), F.element_at("xs", k + 1).alias("hi")))
     runs = rows.where(F.size("xs") > 1).withColumn("run", F.explode(pairs)).drop("xs")
     column = lambda v: F.floor((v - F.col("min_x")) / step).cast("long")
@@ -60,12 +87,8 @@ def _filled_rows(banded: DataFrame, cols: list[str], step: float) -> DataFrame:
     return grid.where((F.col("x") >= F.col("run.lo")) & (F.col("x") < F.col("run.hi")))
 
 
-def _tested_rows(banded: DataFrame, cols: list[str], step: float, reach: float, seed: int) -> DataFrame:
+def _tested_rows(rows: DataFrame, step: float, reach: float, seed: int) -> DataFrame:
     """Every point of a row, moved, and tested against the edges near the row."""
-    carried = [*cols, "min_x", "max_x", "min_y"]
-    rows = banded.repartition("polygon_id", "iy").groupBy("polygon_id", "iy").agg(
-        F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("near"), *[F.first(c).alias(c) for c in carried]
-    )
     columns = F.sequence(F.lit(0).cast("long"), F.floor((F.col("max_x") - F.col("min_x")) / step))
     grid = rows.withColumn("ix", F.explode(columns))
     dx, dy = _jitter(seed, "x", reach), _jitter(seed, "y", reach)
@@ -85,15 +108,16 @@ def lattice_points(polygons: DataFrame, interval_cm: float = 1000.0, jitter_cm:
     edge. A random offset is derived from the lattice position, so results do
     not depend on execution order; the inside test follows the offset.
 
-    Lattice rows are dealt out by polygon and row before columns are
-    expanded, so a very large polygon is shared out row by row. Without an offset a row is
+    Rows of a small polygon are made in its own row. Those of others are dealt
+    out by polygon and row before columns are expanded, so a very large polygon
+    is shared out row by row. Without an offset a row is
     filled between its sorted crossings, and no point outside is ever made;
     with one, each point of a row is tested against the edges near that row.
     """
     cols = [c for c in ("land_use", "building_density", "vegetation_density") if c in polygons.columns]
     step, reach = float(interval_cm), float(jitter_cm)
-    banded = _bands(polygons, cols, step, reach)
-    grid = _tested_rows(banded, cols, step, reach, seed) if reach else _filled_rows(banded, cols, step)
+    rows = _rows(polygons, cols, step, reach)
+    grid = _tested_rows(rows, step, reach, seed) if reach else _filled_rows(rows, step)
     return grid.select("polygon_id", *cols, "ix", "iy", "x", "y")
 
 

@@ -37,3 +37,15 @@ def test_points_inside_any_shape(spark, reach):
         if inside(x, y, [ring, *holes]):
             want[r.polygon_id, r.ix, r.iy] = (x, y)
     assert got == want and len({k[0] for k in want}) == 3
+
+
+@pytest.mark.parametrize("reach", [0.0, 120.0])
+def test_small_polygons_are_cut_in_place(spark, monkeypatch, reach):
+    rows = [(i, [tuple(map(float, p)) for p in ring], [[tuple(map(float, p)) for p in h] for h in holes]) for i, (ring, holes) in enumerate(SHAPES)]
+    df = spark.createDataFrame([*rows, (7, rows[2][1], None)], f"polygon_id long, world_vertices {RING}, world_holes array<{RING}>")
+    points = sampling.lattice_points(df, 250.0, reach)
+    assert "Join" not in points._jdf.queryExecution().optimizedPlan().toString()  # edges met their polygon again in a join, a broadcast by its estimate
+    monkeypatch.setattr(sampling, "FEW_PLACES", 0)
+    dealt = sampling.lattice_points(df, 250.0, reach)
+    got = [sorted(map(tuple, p.select("polygon_id", "ix", "iy", "x", "y").collect())) for p in (points, dealt)]
+    assert got[0] == got[1] and {r[0] for r in got[0]} == {0, 1, 2, 7}
