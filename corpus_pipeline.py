@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from landloom.llm import bpe_chunks, exact_dedup, mixing, simhash, toxicity
-from landloom.llm.common import scratch_path, table
+from landloom.llm.common import release, scratch_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with four fifths of their five-word shingles in common."""
+    """One document of each group of texts with four fifths of their five-word shingles in common: SimHash links, verified, then an exact check."""
+    release(spark)
     return simhash.drop_similar(docs)
 
 

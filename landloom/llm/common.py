@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,15 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left in the driver: plans, broadcasts and checkpoints no longer referred to.
+
+    The driver's heap otherwise fills up to its limit before anything is let go.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(name: str) -> Column:
     """The text column, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.llm.common import discard, saved, text_bytes, text_of, with_mark
+from landloom.llm.common import discard, release, saved, text_bytes, text_of, with_mark
 from landloom.operators.components import connected_components
 
 WORDS = 3
@@ -38,8 +38,8 @@ HALF = 32
 SEED = 42
 SLICE = 1 << 15
 FEW_WORDS = 20
-#: Texts that the order of shingles is taken from, shingles it tells apart, and heads at a shingle in a round.
-SAMPLED, COMMON, HEADS = 4096, 200_000, 64
+#: Texts that the order of shingles is taken from, shingles it tells apart, and heads at a shingle in the first round and a later one.
+SAMPLED, COMMON, FIRST_HEADS, HEADS = 4096, 200_000, 8, 64
 #: Bins of a text's shingle counts, and the count that stands for itself and all above.
 BINS, FULL = 256, 255
 
@@ -286,8 +286,10 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     some = rows.where(F.pmod(F.xxhash64("text_key"), F.lit(max(rows.count(), 1))) < SAMPLED)
     found = some.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = sorted((r["s"], r["n"]) for r in found.orderBy(F.desc("n"), "s").limit(COMMON).collect())
-    return np.array([s for s, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
+    found = found.orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    known, counts = found.column("s").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(known)
+    return known[order], counts[order]
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -305,27 +307,46 @@ def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.n
     return hashes[np.lexsort((hashes, often))[:wide]]
 
 
+def linked_texts(prints: DataFrame) -> DataFrame:
+    """``u, v`` (u < v): pairs of ``no`` of texts whose fingerprints ``fp`` are equal or link.
+
+    The first text of a fingerprint stands for it: it is paired with each other
+    text of its fingerprint and with the first texts of linked fingerprints.
+    """
+    firsts = saved(prints.groupBy("fp").agg(F.min("no").alias("h")), "firsts")
+    found, edges = linked_components(firsts.select("fp"))
+    same = prints.join(firsts, "fp").select(F.col("h").alias("u"), F.col("no").alias("v"))
+    ends = [firsts.select(F.col("fp").alias(c), F.col("h").alias(f"h{c}")) for c in ("u", "v")]
+    across = edges.join(ends[0], "u").join(ends[1], "v").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))
+    pairs = saved(same.unionByName(across).where("u < v").distinct(), "linked")
+    discard(firsts, found, edges)
+    return pairs
+
+
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_key, stays`` of texts with a similar one; and ``doc_id, text_key`` of repeated rows.
 
     Two texts are similar if at least ``similarity`` of their shingles are in
     common. Texts joined by similar pairs form a group, and the one of the
-    smallest id stays. Similar texts share a shingle of their prefixes, so texts
-    meet at the shingles of their prefixes; each round holds the texts of a
-    shingle against some of it, until no shingle has texts of two groups that
-    were not compared. No similar pair is left out, whatever the length of the
-    texts. Rows that repeat an id and a text count once here.
+    smallest id stays. Pairs come from linked fingerprints and are verified on
+    their shingles. An exact check of what these left follows: similar texts
+    share a shingle of their prefixes, so texts meet at the shingles of their
+    prefixes; each round holds the texts of a shingle against some of it, until
+    no shingle has texts of two groups that were not compared. No similar pair
+    is left out, whatever the length of the texts. Rows that repeat an id and a
+    text count once here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, firsts = [], []
+            sizes, firsts, fps = [], [], []
             for text in text_bytes(batch.column("t")):
                 hashes = shingle_hashes(text, words)
                 sizes.append(len(hashes))
                 firsts.append(prefix(hashes, similarity, common).copy())
-            own = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "text_key", "size", "firsts"])
+                fps.append(fingerprint(text))
+            own = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "text_key", "size", "fp", "firsts"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,10 +359,10 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
     common = _common(rows, words)
-    made = rows.mapInArrow(run, "doc_id long, text_key long, size int, firsts array<long>")
+    made = rows.mapInArrow(run, "doc_id long, text_key long, size int, fp long, firsts array<long>")
     made = saved(made.withColumn("no", F.monotonically_increasing_id()), "shingles")
     # Rows that repeat an id and a text stand for one another.
-    alike_rows = made.groupBy("doc_id", "text_key").agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("n"))
+    alike_rows = made.groupBy("doc_id", "text_key").agg(F.min("no").alias("no"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     prints = saved(alike_rows, "prints")
     lone = made if prints.where("n > 1").isEmpty() else made.join(prints.select("no"), "no", "left_semi")
     posted = lone.select(F.explode("firsts").alias("key"), "no", "size")
@@ -361,8 +382,34 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
 
     both = F.size(F.array_intersect("set_u", "set_v"))
     alike = both >= F.lit(float(similarity)) * (F.size("set_u") + F.size("set_v") - both)
-    links = kin = tried = None
-    heads_each, spent = 1, []
+
+    def wanted(pairs: DataFrame, side: str, column: str) -> DataFrame:
+        return with_mark(sets, F.col("no"), pairs, F.col(side)).where("_hit").select(F.col("no").alias(side), F.col(column).alias(f"{column}_{side}"))
+
+    def verified(met: DataFrame) -> DataFrame:
+        """The similar ones of the pairs ``u, v``.
+
+        Counts of shingles by bin, a few hundred bytes a text, rule most pairs
+        out; only the sets of texts that are in a pair left over move.
+        """
+        held = met.join(wanted(met, "u", "counts"), "u").join(wanted(met, "v", "counts"), "v")
+        close = saved(held.mapInArrow(_may_be_alike(similarity), "u long, v long"), "close")
+        judged = close.join(wanted(close, "u", "set"), "u").join(wanted(close, "v", "set"), "v")
+        more = saved(judged.where(alike).select("u", "v"), "similar")
+        discard(close)
+        return more
+
+    def groups(links: DataFrame) -> DataFrame:
+        return saved(connected_components(links).select(F.col("node").alias("no"), F.col("root").alias("kin")), "kin")
+
+    linked = linked_texts(prints)
+    size_of = [prints.select(F.col("no").alias(c), F.col("size").alias(f"size_{c}")) for c in ("u", "v")]
+    tried = saved(linked.join(size_of[0], "u").join(size_of[1], "v"), "pairs")
+    discard(linked)
+    links = verified(tried)
+    release(docs.sparkSession)
+    kin = None if links.isEmpty() else groups(links)
+    heads_each, spent = FIRST_HEADS, [tried, links]
     while not left.isEmpty():
         placed = left.withColumn("kin", F.col("no")) if kin is None else left.join(kin, "no", "left").withColumn("kin", F.coalesce("kin", "no"))
         # One head of each group at a shingle, a few groups at first, then more.
@@ -375,28 +422,20 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         first = F.col("no") < F.col("hno")
         sizes = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("size", "hsize", "size_u"), ("hsize", "size", "size_v"))]
         met = met.select(F.least("no", "hno").alias("u"), F.greatest("no", "hno").alias("v"), *sizes).distinct()
-        met = saved(met if tried is None else met.join(tried, ["u", "v"], "left_anti"), "pairs")
-        # Counts of shingles by bin, a few hundred bytes a text, rule most pairs out;
-        # only the sets of texts that are in a pair left over move.
-        def wanted(pairs: DataFrame, side: str, column: str) -> DataFrame:
-            return with_mark(sets, F.col("no"), pairs, F.col(side)).where("_hit").select(F.col("no").alias(side), F.col(column).alias(f"{column}_{side}"))
-
-        held = met.join(wanted(met, "u", "counts"), "u").join(wanted(met, "v", "counts"), "v")
-        close = saved(held.mapInArrow(_may_be_alike(similarity), "u long, v long"), "close")
-        judged = close.join(wanted(close, "u", "set"), "u").join(wanted(close, "v", "set"), "v")
-        more = saved(judged.where(alike).select("u", "v"), "similar")
-        tried = met if tried is None else tried.unionByName(met)
+        met = saved(met.join(tried, ["u", "v"], "left_anti"), "pairs")
+        more = verified(met)
+        tried = tried.unionByName(met.select(*tried.columns))
         spent += [met, more]
-        discard(close)
         after = saved(placed.join(heads.select("key", F.col("hno").alias("no")), ["key", "no"], "left_anti").select("key", "no", "size"), "postings")
         discard(left, heads)
         left = after
         if not more.isEmpty():
-            links = more if links is None else links.unionByName(more)
+            links = links.unionByName(more)
             before = kin
-            kin = saved(connected_components(links).select(F.col("node").alias("no"), F.col("root").alias("kin")), "kin")
+            kin = groups(links)
             if before is not None:
                 discard(before)
+        release(docs.sparkSession)
         heads_each = min(8 * heads_each, HEADS)
     if kin is None:
         kin = prints.where("false").select("no", F.col("no").alias("kin"))

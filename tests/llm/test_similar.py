@@ -100,3 +100,22 @@ def test_bins_bound_what_texts_share():
     full = [bool((np.stack(c) == simhash.FULL).any()) for c in counts]
     assert any(full) and all((m > both) == f for m, (_, both), f in zip(most, want, full))
     assert most[6] < 400 * 0.8  # texts without anything in common are ruled out
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """Copies with one word more are paired by linked fingerprints; unlike texts of one fingerprint are not taken for copies."""
+    rng, seen, real = random.Random(8), [], simhash.linked_texts
+
+    def spy(prints):
+        pairs = real(prints)
+        fps = {r["no"]: (r["doc_id"], r["fp"] & (2**64 - 1)) for r in prints.collect()}
+        seen.extend((fps[r["u"]], fps[r["v"]]) for r in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(simhash, "linked_texts", spy)
+    texts = {i: " ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for i in range(20)}
+    texts |= {100 + i: f"{texts[i]} x{i}" for i in range(20)} | {200: texts[3].upper(), 300: "", 301: " ", 302: "a"}
+    assert stays(spark, texts) == plain_stays(texts)
+    assert all((a[1] ^ b[1]).bit_count() <= 3 for a, b in seen)
+    paired = {frozenset((a[0], b[0])) for a, b in seen}
+    assert len({frozenset((i, 100 + i)) for i in range(20)} & paired) >= 15 and frozenset((300, 301)) in paired
