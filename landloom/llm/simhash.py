@@ -365,7 +365,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     alike_rows = made.groupBy("doc_id", "text_key").agg(F.min("no").alias("no"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     prints = saved(alike_rows, "prints")
     lone = made if prints.where("n > 1").isEmpty() else made.join(prints.select("no"), "no", "left_semi")
-    posted = lone.select(F.explode("firsts").alias("key"), "no", "size")
+    # ``rest``: the shingles of a text from this one on, which is what it can share with a text that it shares none before with.
+    posted = lone.select(F.posexplode("firsts").alias("_at", "key"), "no", "size").select("key", "no", "size", (F.col("size") - F.col("_at")).alias("rest"))
     # Most shingles stand in one text: a bitmap of the others keeps those where they are.
     shared = saved(posted.groupBy("key").agg((F.min("no") < F.max("no")).alias("_both")).where("_both").select("key"), "shared")
     met_keys = shared.withColumnRenamed("key", "_key")
@@ -410,15 +411,24 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     release(docs.sparkSession)
     kin = None if links.isEmpty() else groups(links)
     heads_each, spent = FIRST_HEADS, [tried, links]
+    enough = lambda *sizes: F.lit(float(similarity / (1.0 + similarity))) * sum(sizes[1:], sizes[0]) - 1e-6
     while not left.isEmpty():
         placed = left.withColumn("kin", F.col("no")) if kin is None else left.join(kin, "no", "left").withColumn("kin", F.coalesce("kin", "no"))
-        # One head of each group at a shingle, a few groups at first, then more.
-        heads = placed.groupBy("key", "kin").agg(F.min_by(F.struct("no", "size"), "no").alias("h"))
-        kinds = heads.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("kin").alias("least")).where("kinds > 1")
-        chosen = (F.col("kin") == F.col("least")) | (F.pmod(F.xxhash64("kin", F.lit(heads_each)), F.col("kinds")) < heads_each - 1)
-        heads = saved(heads.join(kinds, "key").where(chosen).select("key", F.col("kin").alias("hkin"), F.col("h.no").alias("hno"), F.col("h.size").alias("hsize")), "heads")
+        # A text whose rest is too short for the smallest text at a shingle has met those alike to it at an earlier one.
+        smallest = placed.groupBy("key").agg(F.min("size").alias("_least"))
+        placed = placed.join(smallest, "key").where(F.col("rest") >= enough(F.col("size"), F.col("_least"))).drop("_least")
+        # One head of each group at a shingle, a few groups at first, then more; the same groups at all shingles, and
+        # the texts with most in reach first: most texts alike to any of a crowd are alike to those.
+        far = F.struct((-F.col("rest")).alias("r"), F.col("no").alias("n"))
+        heads = placed.groupBy("key", "kin").agg(F.min_by(F.struct("no", "size", "rest"), far).alias("h"), F.min(far).alias("far"))
+        kinds = heads.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min_by("kin", "far").alias("best")).where("kinds > 1")
+        place = F.pmod(F.xxhash64("kin", F.lit(len(spent))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        chosen = (F.col("kin") == F.col("best")) | (place * F.col("kinds") < heads_each - 1)
+        of_head = [F.col(f"h.{c}").alias(f"h{c}") for c in ("no", "size", "rest")]
+        heads = saved(heads.join(kinds, "key").where(chosen).select("key", F.col("kin").alias("hkin"), *of_head), "heads")
         placed = placed.join(kinds.select("key"), "key")
-        met = placed.join(heads, "key").where((F.col("kin") != F.col("hkin")) & (F.least("size", "hsize") >= F.lit(float(similarity)) * F.greatest("size", "hsize") - 1e-9))
+        wide = F.least("rest", "hrest") >= enough(F.col("size"), F.col("hsize"))
+        met = placed.join(heads, "key").where((F.col("kin") != F.col("hkin")) & wide)
         first = F.col("no") < F.col("hno")
         sizes = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("size", "hsize", "size_u"), ("hsize", "size", "size_v"))]
         met = met.select(F.least("no", "hno").alias("u"), F.greatest("no", "hno").alias("v"), *sizes).distinct()
@@ -426,7 +436,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         more = verified(met)
         tried = tried.unionByName(met.select(*tried.columns))
         spent += [met, more]
-        after = saved(placed.join(heads.select("key", F.col("hno").alias("no")), ["key", "no"], "left_anti").select("key", "no", "size"), "postings")
+        after = saved(placed.join(heads.select("key", F.col("hno").alias("no")), ["key", "no"], "left_anti").select("key", "no", "size", "rest"), "postings")
         discard(left, heads)
         left = after
         if not more.isEmpty():

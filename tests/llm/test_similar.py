@@ -119,3 +119,26 @@ def test_simhash_links_come_first(spark, monkeypatch):
     assert all((a[1] ^ b[1]).bit_count() <= 3 for a, b in seen)
     paired = {frozenset((a[0], b[0])) for a, b in seen}
     assert len({frozenset((i, 100 + i)) for i in range(20)} & paired) >= 15 and frozenset((300, 301)) in paired
+
+
+def test_pairs_of_a_crowd_of_versions(spark, monkeypatch):
+    """Versions of one text, most unlike each other, meet at the same shingles: few are held against each other, none is lost."""
+    rng, made, real = random.Random(9), [], simhash.saved
+
+    def spy(df, label):
+        out = real(df, label)
+        if label == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "saved", spy)
+    words, texts = [f"w{i}" for i in range(150)], {}
+    for i in range(240):
+        own = list(words)
+        for k in rng.sample(range(150), rng.choice((1, 2, 3, 4, 4, 5, 5, 6))):
+            own[k] = f"x{i}-{k}"
+        texts[i] = " ".join(own)
+    want = plain_stays(texts)
+    assert 10 < len(want) < 200
+    assert stays(spark, texts) == want
+    assert sum(made) < 12 * len(texts)
