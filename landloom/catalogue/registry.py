@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landloom.catalogue import views as V
+from landloom.session import measured_broadcasts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +19,12 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Register a query and, if it can be said in SQL, its counterpart."""
 
     def add(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            measured_broadcasts(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             text = sql.strip()
             if views:

@@ -60,6 +60,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return shuffled(saved.select(*[F.col(c).alias(c) for c in saved.columns]))
 
 
+def measured_broadcasts(spark: SparkSession) -> None:
+    """Let joins be broadcast by the size that adaptive execution measured, not by an estimate.
+
+    The estimate of rows made from a small file stays that of the file, however
+    much was made of them; a table taken for small then goes through the driver.
+    """
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    measured = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get(limit) != "-1":
+        if spark.conf.get(measured, None) is None:
+            spark.conf.set(measured, spark.conf.get(limit))
+        spark.conf.set(limit, "-1")
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """``df``, to be joined by shuffles and not broadcast, whatever its estimated size.
 

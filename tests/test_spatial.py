@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landloom.catalogue import views
 from landloom.operators import spatial
 from landloom.plans import derive
-from landloom.session import checkpointed
+from landloom.session import checkpointed, measured_broadcasts
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +120,27 @@ def test_geometry_of_a_small_file_is_dealt_out_and_made_once(spark, tmp_path):
     assert boxes.rdd.getNumPartitions() == 2 and sized.count() == 40
     plan = sized._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "transform(" in line]
+
+
+def test_broadcasts_by_measured_size(spark, tmp_path):
+    """Rows that outgrew the estimate of their file are joined by a shuffle, small ones still by a broadcast."""
+    names = ["spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    spark.range(2000).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+
+    def plan(repeats):
+        wide = rows.select("id", F.repeat(F.lit("x"), repeats).alias("s"))
+        joined = spark.range(50_000, numPartitions=2).join(wide.groupBy("id").agg(F.max("s").alias("s")), "id")
+        assert len(joined.collect()) == 2000
+        return joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    try:
+        spark.conf.set(names[0], "true")
+        spark.conf.set(names[1], "300KB")
+        measured_broadcasts(spark)
+        for repeats, way in ((1000, "SortMergeJoin"), (1, "BroadcastHashJoin")):
+            assert way in plan(repeats)
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
