@@ -143,8 +143,9 @@ def preprocess(
     if not vector:
         raise FileNotFoundError(f"no GeoJSON files in {input_dir}")
     features = (geojson.read_geojson_lines if lines else geojson.read_geojson)(spark, vector)
-    assigned, tiles = cut_into_tiles(features, grid)
-    tiles = checkpointed(tiles)
+    # Parsed once: counting tiles, sampling their ranges and writing each read the rows.
+    assigned = checkpointed(tiling.assign_tiles(tiling.with_bbox(features), grid))
+    tiles = checkpointed(tiling.tile_table(assigned, grid))
     many = K.packed(tiles)
     (K.write_by_column if many else K.write_tiled_features)(assigned, f"{output_dir}/features", "overwrite")
     cover_folder = tiling.stored_folder("landcover") if many else K.landcover_folder()
