@@ -132,8 +132,11 @@ def components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return found
 
 
-def linked_components(fps: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """``(fp, root)`` and the links ``u, v`` it was found by."""
+def linked_components(fps: DataFrame, bits: int = BITS, named: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """``(fp, root)`` and the links ``u, v`` it was found by.
+
+    Unless ``named``, roots are looked for only where crowded groups need them to find their links.
+    """
     if bits != 3:
         raise ValueError("segments and balls are laid out for 3 bits")
     members = saved(_halves(fps), "halves")
@@ -166,6 +169,9 @@ def linked_components(fps: DataFrame, bits: int = BITS) -> tuple[DataFrame, Data
     if crowded:
         edges = edges.unionByName(one_bit_stars(many.where("a = b")))
     edges = saved(edges, "edges")
+    if not (named or crowded):
+        discard(members, sizes, met)
+        return None, edges
     linked = connected_components(edges)
     found = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     found = saved(found, "found")
@@ -314,15 +320,30 @@ def linked_texts(prints: DataFrame) -> DataFrame:
     text of its fingerprint and with the first texts of linked fingerprints.
     """
     firsts = saved(prints.groupBy("fp").agg(F.min("no").alias("h")), "firsts")
-    found, edges = linked_components(firsts.select("fp"))
+    found, edges = linked_components(firsts.select("fp"), named=False)
     same = prints.join(firsts, "fp").select(F.col("h").alias("u"), F.col("no").alias("v"))
     ends = [firsts.select(F.col("fp").alias(c), F.col("h").alias(f"h{c}")) for c in ("u", "v")]
     across = edges.join(ends[0], "u").join(ends[1], "v").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))
     pairs = saved(same.unionByName(across).where("u < v").distinct(), "linked")
-    discard(firsts, found, edges)
+    discard(firsts, edges, *([] if found is None else [found]))
     return pairs
 
 
+def joined_groups(kin: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``no, kin``: groups ``kin`` joined by further ``links`` ``u, v``; named after their least member.
+
+    Only links between groups count, so a round's work does not grow with the links before it.
+    """
+    if kin is None:
+        return saved(connected_components(links).select(F.col("node").alias("no"), F.col("root").alias("kin")), "kin")
+    of = [kin.select(F.col("no").alias(c), F.col("kin").alias(f"k{c}")) for c in ("u", "v")]
+    ends = links.join(of[0], "u", "left").join(of[1], "v", "left").select(F.coalesce("ku", "u").alias("u"), F.coalesce("kv", "v").alias("v"))
+    tops = connected_components(ends).select(F.col("node").alias("kin"), F.col("root").alias("_top"))
+    fresh = links.select(F.explode(F.array("u", "v")).alias("no")).distinct().join(kin, "no", "left_anti").select("no", F.col("no").alias("kin"))
+    every = kin.select("no", "kin").unionByName(fresh).join(tops, "kin", "left")
+    return saved(every.select("no", F.coalesce("_top", "kin").alias("kin")), "kin")
+
+
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_key, stays`` of texts with a similar one; and ``doc_id, text_key`` of repeated rows.
 
@@ -400,16 +421,13 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         discard(close)
         return more
 
-    def groups(links: DataFrame) -> DataFrame:
-        return saved(connected_components(links).select(F.col("node").alias("no"), F.col("root").alias("kin")), "kin")
-
     linked = linked_texts(prints)
     size_of = [prints.select(F.col("no").alias(c), F.col("size").alias(f"size_{c}")) for c in ("u", "v")]
     tried = saved(linked.join(size_of[0], "u").join(size_of[1], "v"), "pairs")
     discard(linked)
     links = verified(tried)
     release(docs.sparkSession)
-    kin = None if links.isEmpty() else groups(links)
+    kin = None if links.isEmpty() else joined_groups(None, links)
     heads_each, spent = FIRST_HEADS, [tried, links]
     enough = lambda *sizes: F.lit(float(similarity / (1.0 + similarity))) * sum(sizes[1:], sizes[0]) - 1e-6
     while not left.isEmpty():
@@ -440,9 +458,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         discard(left, heads)
         left = after
         if not more.isEmpty():
-            links = links.unionByName(more)
             before = kin
-            kin = groups(links)
+            kin = joined_groups(before, more)
             if before is not None:
                 discard(before)
         release(docs.sparkSession)

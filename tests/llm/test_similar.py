@@ -142,3 +142,41 @@ def test_pairs_of_a_crowd_of_versions(spark, monkeypatch):
     assert 10 < len(want) < 200
     assert stays(spark, texts) == want
     assert sum(made) < 12 * len(texts)
+
+
+def test_groups_are_joined_by_new_links_only(spark, monkeypatch):
+    """Each similar pair is given to the search of groups once, whatever the number of rounds; links of fingerprints alone are not."""
+    rng, given, found, real, kept = random.Random(4), [], [], simhash.connected_components, simhash.saved
+
+    def components(links):
+        given.append(links.count())
+        return real(links)
+
+    def spy(df, label):
+        out = kept(df, label)
+        if label == "similar":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "connected_components", components)
+    monkeypatch.setattr(simhash, "saved", spy)
+    words, texts = [f"w{i}" for i in range(60)], {}
+    for i in range(40):
+        own = list(words)
+        for k in rng.sample(range(60), rng.choice((0, 1, 1, 2))):
+            own[k] = f"x{i}-{k}"
+        texts[i] = " ".join(own)
+    assert stays(spark, texts) == plain_stays(texts)
+    assert len([n for n in found if n]) > 1 and sum(given) == sum(found)
+
+
+def test_groups_joined_in_steps_equal_all_links_at_once(spark):
+    rng, kin, links, want = random.Random(6), None, [], {}
+    for _ in range(3):
+        more = [tuple(sorted(rng.sample(range(60), 2))) for _ in range(12)]
+        kin = simhash.joined_groups(kin, spark.createDataFrame(more, "u long, v long"))
+        links += more
+        want = {n: n for pair in links for n in pair}
+        for u, v in links * 12:
+            want[u] = want[v] = min(want[u], want[v])
+        assert {r["no"]: r["kin"] for r in kin.collect()} == want
