@@ -9,9 +9,10 @@ included, is then divided by the whole line through the segment.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,14 +126,24 @@ def line_candidates(pieces: DataFrame, segments: DataFrame) -> DataFrame:
 
 def _meet(ring: np.ndarray, segs: np.ndarray):
     """Line parameters of each ring edge (columns) with each segment (rows)."""
-    edge = np.roll(ring, -1, axis=0) - ring
-    line = segs[:, None, 2:] - segs[:, None, :2]
-    apart = segs[:, None, :2] - ring
-    denom = edge[:, 0] * line[..., 1] - edge[:, 1] * line[..., 0]
+    return _crossed(ring, _follow(ring), segs[:, None])
+
+
+def _follow(ring: np.ndarray) -> np.ndarray:
+    """Each row's next one, the first after the last."""
+    return np.concatenate([ring[1:], ring[:1]])
+
+
+def _crossed(a: np.ndarray, b: np.ndarray, segs: np.ndarray):
+    """Line parameters of edges from ``a`` to ``b`` and segments, row by row."""
+    edge = b - a
+    line = segs[..., 2:] - segs[..., :2]
+    apart = segs[..., :2] - a
+    denom = edge[..., 0] * line[..., 1] - edge[..., 1] * line[..., 0]
     ok = np.abs(denom) >= G.PARALLEL_EPS
     safe = np.where(ok, denom, 1.0)
     t = (apart[..., 0] * line[..., 1] - apart[..., 1] * line[..., 0]) / safe
-    u = (apart[..., 0] * edge[:, 1] - apart[..., 1] * edge[:, 0]) / safe
+    u = (apart[..., 0] * edge[..., 1] - apart[..., 1] * edge[..., 0]) / safe
     return ok, t, u
 
 
@@ -156,11 +167,11 @@ def ring_halves(ring: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ok, t, u = (v[0] for v in _meet(ring, line[None]))
     eps = G.PARALLEL_EPS
     ok = ok & (t >= -eps) & (t <= 1 + eps) & (u >= -eps) & (u <= 1 + eps)
-    points = ring + (np.roll(ring, -1, axis=0) - ring) * np.clip(t, 0.0, 1.0)[:, None]
+    points = ring + (_follow(ring) - ring) * np.clip(t, 0.0, 1.0)[:, None]
     every = np.stack([ring, points], axis=1).reshape(-1, 2)
     parts = []
     for keep in (side >= -eps, side <= eps):
-        taken = np.stack([keep, (keep != np.roll(keep, -1)) & ok], axis=1).ravel()
+        taken = np.stack([keep, (keep != _follow(keep)) & ok], axis=1).ravel()
         parts.append(every[taken])
     return parts[0], parts[1]
 
@@ -182,8 +193,8 @@ def split_rings(rings: list[np.ndarray], seg: np.ndarray) -> tuple[list[np.ndarr
     return left, right
 
 
-#: Edges times segments tested at once.
-TESTS = 1 << 20
+#: Edges times segments tested at once, of one ring and of many.
+TESTS, FLAT = 1 << 20, 1 << 17
 
 
 def first_splitter(rings: list[np.ndarray], segs: np.ndarray, start: int = 0):
@@ -226,26 +237,104 @@ def cut_rings(rings: list[np.ndarray], segs: np.ndarray, names: np.ndarray) -> l
     return done
 
 
-def _points(ring: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in ring]
-
-
-def _cut_piece(piece: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
-    """Apply one batch of segments, in order, to one piece."""
-    row = piece.iloc[0]
-    rings = [np.array([(v["x"], v["y"]) for v in r], dtype=float) for r in (row["world_vertices"], *row["world_holes"])]
-    segs = segs.sort_values("ord")
-    parts = cut_rings(rings, segs[["x0", "y0", "x1", "y1"]].to_numpy(float), segs["ord"].to_numpy())
-    return pd.DataFrame(
-        {
-            "polygon_id": row["polygon_id"],
-            "piece_id": [row["piece_id"] + name for name, _ in parts],
-            "after": int(segs["ord"].max()) if len(segs) else int(row["after"]),
-            "more": bool(row["more"]),
-            "world_vertices": [_points(r[0]) for _, r in parts],
-            "world_holes": [[_points(h) for h in r[1:]] for _, r in parts],
-        }
-    )
+def _flat(rings: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Points (rows ``x, y``) of all rings, and where each ring begins and ends among them."""
+    points, at = rings.values, rings.offsets.to_numpy()
+    return np.stack([points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1), at
+
+
+def _rings(rings: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rings)]).astype(np.int32)
+    points = np.concatenate(rings) if rings else np.empty((0, 2))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(points[:, i]) for i in (0, 1)], ["x", "y"]))
+
+
+def any_splits(points: np.ndarray, at: np.ndarray, segs: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether any of the segments ``first`` to ``last`` of each ring splits it, for many rings in one go.
+
+    Ring ``i`` is ``points[at[i]:at[i + 1]]``. Edges times segments of all rings are tested
+    together, ``FLAT`` at a time; a ring with more counts as split (and is looked at by itself).
+    """
+    edges, held = np.diff(at), last - first
+    tests = edges * held
+    found = tests > FLAT
+    follow = np.arange(len(points)) + 1
+    whole = edges > 0
+    follow[at[1:][whole] - 1] = at[:-1][whole]
+    small = np.flatnonzero(~found & (tests > 0))
+    lot = np.cumsum(tests[small]) // FLAT
+    for own in np.split(small, np.flatnonzero(np.diff(lot)) + 1):
+        if not len(own):
+            continue
+        # A row for each (ring, segment), then for each edge of its ring.
+        ring = np.repeat(own, held[own])
+        seg = np.repeat(first[own] - np.cumsum(held[own]) + held[own], held[own]) + np.arange(len(ring))
+        count = edges[ring]
+        starts = np.cumsum(count) - count
+        i = np.repeat(at[ring] - starts, count) + np.arange(int(count.sum()))
+        line = np.repeat(segs[seg], count, axis=0)
+        ok, t, u = _crossed(points[i], points[follow[i]], line)
+        lo, hi = EDGE_MARGIN, 1.0 - EDGE_MARGIN
+        cut = np.add.reduceat((ok & (t > lo) & (t < hi) & (u > lo) & (u < hi)).astype(np.int64), starts) >= 2
+        found[ring[cut]] = True
+    return found
+
+
+def _cut_group(rows: pa.Table) -> pa.RecordBatch:
+    """Apply its segments, in order, to each piece; ``rows`` hold whole groups of pieces and, after them, their segments."""
+    rows = rows.combine_chunks()
+    column = lambda c: rows.column(c).combine_chunks()
+    code = column("piece_id").dictionary_encode().indices.to_numpy()
+    is_piece = column("ord").is_null().to_numpy(zero_copy_only=False)
+    begin = np.flatnonzero(np.diff(code, prepend=-1))
+    group = np.cumsum(np.diff(code, prepend=-1) != 0) - 1
+    ends = np.append(begin[1:], len(code))
+    pieces = np.flatnonzero(is_piece)
+    first = (begin + np.add.reduceat(is_piece.astype(np.int64), begin))[group[pieces]]
+    last = ends[group[pieces]]
+    segs = np.stack([column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], axis=1)
+    ords = column("ord").fill_null(-1).to_numpy()
+    taken = rows.take(pa.array(pieces))
+    outer = taken.column("world_vertices").combine_chunks()
+    holes = taken.column("world_holes").combine_chunks()
+    points, at = _flat(outer)
+    hole_points, hole_at = _flat(holes.values)
+    of_hole = holes.offsets.to_numpy()
+    may = any_splits(points, at, segs, first, last)
+    source, names, out, inner = [], [], [], []
+    for i, name in enumerate(taken.column("piece_id").to_pylist()):
+        rings = [points[at[i] : at[i + 1]], *(hole_points[hole_at[h] : hole_at[h + 1]] for h in range(of_hole[i], of_hole[i + 1]))]
+        own = slice(first[i], last[i])
+        for suffix, part in cut_rings(rings, segs[own], ords[own]) if may[i] else [("", rings)]:
+            source.append(i)
+            names.append(name + suffix)
+            out.append(part[0])
+            inner.append(part[1:])
+    source = np.array(source, dtype=np.int64)
+    after = np.where(last > first, ords[np.maximum(last, 1) - 1], column("after").take(pa.array(pieces)).to_numpy())
+    nested = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, inner)]).astype(np.int32)), _rings([h for part in inner for h in part]))
+    own = [taken.column(c).combine_chunks().take(pa.array(source)) for c in ("polygon_id", "more")]
+    columns = [own[0], pa.array(names, pa.string()), pa.array(after[source], pa.int64()), own[1], _rings(out), nested]
+    return pa.RecordBatch.from_arrays(columns, ["polygon_id", "piece_id", "after", "more", "world_vertices", "world_holes"])
+
+
+def _cut_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut pieces as their rows come by, each piece followed by its segments in order; only the last piece waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = batch.column("piece_id").dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.diff(code)) + 1
+        if held and held[-1].column("piece_id")[-1] != batch.column("piece_id")[0]:
+            starts = np.insert(starts, 0, 0)
+        if not len(starts):
+            held.append(batch)
+            continue
+        yield _cut_group(pa.Table.from_batches([*held, batch.slice(0, int(starts[-1]))]))
+        held = [batch.slice(int(starts[-1]))]
+    if held:
+        yield _cut_group(pa.Table.from_batches(held))
 
 
 _RING = "array<struct<x:double,y:double>>"
@@ -260,7 +349,8 @@ def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -
     dropped. ``world_holes`` of the polygons are cut with them (none, if there is no such column). A
     piece is named by its cuts - segment number and side - so names do not
     depend on ``batch``. Polygons without a segment near are never sent to
-    Python. A task takes one piece and at most ``batch`` of its segments. A
+    Python. A task streams through its pieces, each with at most ``batch`` of its segments; those that
+    none of them splits are told by one test over many pieces. A
     piece with more is cut by the first batch, and its parts - which from then
     on do not affect each other - go on in the next round with the segments near them.
     """
@@ -276,11 +366,6 @@ def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -
     )
     finished: list[DataFrame] = []
 
-    def run(piece: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
-        if not len(piece):
-            return pd.DataFrame(columns=["polygon_id", "piece_id", "after", "more", "world_vertices", "world_holes"])
-        return _cut_piece(piece, segs)
-
     while True:
         pending = checkpointed(pending)
         pairs = checkpointed(line_candidates(pending, segments))
@@ -295,8 +380,10 @@ def cut_polygons(polygons: DataFrame, segments: DataFrame, batch: int = BATCH) -
             ranked = dense_index(crowded, bucket, [F.col("ord")], "_rank", restart=1)
             first = ranked.where(F.col("_rank") < batch).drop("_rank")
             taken = pairs.join(heavy, "piece_id", "left_anti").unionByName(first)
-        near = spread(taken.withColumnRenamed("piece_id", "near_piece"), "near_piece")
-        cut = spread(marked, "piece_id").groupBy("piece_id").cogroup(near.groupBy("near_piece")).applyInPandas(run, schema)
+        # A piece and its segments behind it, in order, so that a task streams through its pieces.
+        rows = marked.withColumn("ord", F.lit(None).cast("long")).unionByName(taken, allowMissingColumns=True)
+        rows = spread(rows, "piece_id").sortWithinPartitions("piece_id", F.col("ord").asc_nulls_first())
+        cut = rows.mapInArrow(_cut_stream, schema)
         if heavy.isEmpty():
             finished.append(cut.drop("after", "more"))
             break

@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from landloom.functions.geometry import net_area_sqm
@@ -270,3 +271,38 @@ def test_walked_cells_miss_no_segment(spark):
     boxes = {(r.piece_id, r.ord) for r in cutting.candidate_segments(pieces, lines).collect()}
     cross = {(i, n) for i, r in enumerate(rings) for n in np.flatnonzero(cutting.splitters(np.array(r), ends))}
     assert cross <= near <= boxes and len(near) < len(boxes)
+
+
+def test_pieces_are_cut_as_a_stream(spark, monkeypatch):
+    """Many rings are tested in one go as one by one, and rows in batches of any size give the same parts."""
+    rng = np.random.default_rng(12)
+    rings = [np.array(SQUARE, float) * rng.uniform(0.2, 2) + rng.uniform(0, 3000, 2) for _ in range(60)] + [np.empty((0, 2))]
+    rings += [np.stack([np.cos(a), np.sin(a)], axis=1) * 900 + 1500 for a in [np.linspace(0, 6, 40)]]
+    segs = np.concatenate([rng.uniform(0, 4000, (400, 2))] * 2, axis=1) + np.concatenate([np.zeros((400, 2)), rng.uniform(-1500, 1500, (400, 2))], axis=1)
+    first = rng.integers(0, 400, len(rings))
+    last = np.minimum(first + rng.integers(0, 90, len(rings)), 400)
+    at = np.cumsum([0, *map(len, rings)])
+    want = [bool(len(r) and b > a and cutting.splitters(r, segs[a:b]).any()) for r, a, b in zip(rings, first, last)]
+    assert 5 < sum(want) < len(rings) - 5
+    for flat in (1 << 17, 400):
+        monkeypatch.setattr(cutting, "FLAT", flat)
+        tests = np.diff(at) * (last - first)
+        assert (cutting.any_splits(np.concatenate(rings), at, segs, first, last) == (np.array(want) | (tests > flat))).all()
+
+    schema = pa.schema({"piece_id": pa.string(), "polygon_id": pa.int64(), "after": pa.int64(), "more": pa.bool_(), "ord": pa.int64(), "world_vertices": pa.list_(pa.struct({"x": pa.float64(), "y": pa.float64()}))} | {c: pa.float64() for c in ("x0", "y0", "x1", "y1")})
+    schema = schema.append(pa.field("world_holes", pa.list_(schema.field("world_vertices").type)))
+    rows, parts = [], []
+    for n, (ring, a, b) in enumerate(zip(rings, first, last)):
+        if len(ring):
+            rows.append({"piece_id": f"{n}", "polygon_id": n, "after": -1, "more": False, "world_vertices": [{"x": x, "y": y} for x, y in ring], "world_holes": []})
+            rows += [{"piece_id": f"{n}", "ord": o} | dict(zip(("x0", "y0", "x1", "y1"), segs[o])) for o in range(a, b)]
+            parts += [(n, f"{n}{name}", p[0].tolist()) for name, p in cutting.cut_rings([ring], segs[a:b], np.arange(a, b))]
+    assert len(parts) > len(rings)
+    table = pa.Table.from_pylist(rows, schema)
+    for size in (1, 7, 10_000):
+        found = pa.Table.from_batches(cutting._cut_stream(table.to_batches(size))).to_pylist()
+        assert [(r["polygon_id"], r["piece_id"], [[p["x"], p["y"]] for p in r["world_vertices"]]) for r in found] == parts
+
+    polys = spark.createDataFrame([(0, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0)])], "polygon_id long, world_vertices array<struct<x:double,y:double>>")
+    lines = spark.createDataFrame([(0, -1.0, 3.0, 99.0, 3.0)], "ord long, x0 double, y0 double, x1 double, y1 double")
+    assert "InPandas" not in cutting.cut_polygons(polys, lines)._jdf.queryExecution().executedPlan().toString()  # a frame for each piece
