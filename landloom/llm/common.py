@@ -83,18 +83,18 @@ def text_bytes(column, rows: int = 256) -> Iterator[bytes]:
 MARK_BITS = 1 << 24
 
 
-def with_mark(rows: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:
+def with_mark(rows: DataFrame, key: Column, keys: DataFrame, of: Column, bits: int = MARK_BITS) -> DataFrame:
     """Add ``_hit``: false only if ``key`` is not among the values ``of`` the table ``keys``.
 
-    A bitmap of fixed size is broadcast, at most ``MARK_BITS / 64`` rows. A key
+    A bitmap of fixed size is broadcast, at most ``bits / 64`` rows. A key
     may be hit by chance, more often the fuller the bitmap is; an exact join
     decides for the rows that are hit, the others need not move.
     """
     shift = lambda name, *args: F.call_function(name, *args)
-    bit = F.pmod(F.xxhash64(of), F.lit(MARK_BITS))
+    bit = F.pmod(F.xxhash64(of), F.lit(bits))
     marks = keys.select(F.shiftright(bit, 6).alias("_word"), shift("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("_b"))
     marks = marks.groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
-    own = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    own = F.pmod(F.xxhash64(key), F.lit(bits))
     placed = rows.withColumns({"_at": F.shiftright(own, 6), "_in": (own % 64).cast("int")})
     joined = placed.join(F.broadcast(marks), F.col("_at") == F.col("_word"), "left")
     hit = F.coalesce(shift("shiftright", F.col("_bits"), F.col("_in")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))

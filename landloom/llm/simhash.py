@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.llm.common import discard, release, saved, text_bytes, text_of, with_mark
+from landloom.llm.common import MARK_BITS, discard, release, saved, text_bytes, text_of, with_mark
 from landloom.operators.components import connected_components
 
 WORDS = 3
@@ -40,6 +41,10 @@ SLICE = 1 << 15
 FEW_WORDS = 20
 #: Texts that the order of shingles is taken from, shingles it tells apart, and heads at a shingle in the first round and a later one.
 SAMPLED, COMMON, FIRST_HEADS, HEADS = 4096, 200_000, 8, 64
+#: A round may make a pair for so many of the first postings, whatever ``HEADS`` says.
+POSTINGS_A_PAIR = 8
+#: Bits of a shared shingle in its bitmap, and of the bitmap at most.
+BITS_A_KEY, MOST_BITS = 8, 1 << 26
 #: Bins of a text's shingle counts, and the count that stands for itself and all above.
 BINS, FULL = 256, 255
 
@@ -246,12 +251,47 @@ def set_fingerprints(text: bytes, seeds: tuple[int, ...]) -> list[int]:
     return out
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles (the whole sequence if it is shorter)."""
-    parts = text.lower().split()
-    wide = min(words, len(parts))
-    found = {b" ".join(parts[i : i + wide]) for i in range(max(1, len(parts) - wide + 1))}
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64).view(np.int64))
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hash of each word of the text, in order."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, text.lower().split(), repeat(SEED))), dtype=np.uint64)
+
+
+def run_hashes(own: np.ndarray, words: int) -> np.ndarray:
+    """Hash of each run of ``words`` words (of the whole sequence, if it is shorter), from the hashes of the words."""
+    wide = min(words, len(own))
+    n = len(own) - wide + 1
+    out = np.full(n, wide + 1, dtype=np.uint64)
+    for i in range(wide):
+        out *= np.uint64(0x9E3779B97F4A7C1B)
+        out += own[i : i + n]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out ^= out >> np.uint64(shift)
+        out *= np.uint64(factor)
+    return out ^ (out >> np.uint64(31))
+
+
+_LANES, _LOW = np.arange(8, dtype=np.uint64), np.uint64(0x0101010101010101)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64 bits: those set in over half of the hashes, which are counted in byte lanes, 255 at a time."""
+    counts = np.zeros((8, 8), dtype=np.int64)
+    for at in range(0, len(hashes), SLICE):
+        lanes = (hashes[at : at + SLICE, None] >> _LANES) & _LOW
+        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
+        counts += sums.view(np.uint8).reshape(-1, 8, 8).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts.T.ravel() * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def shingle_hashes(own: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles (the whole sequence if it is shorter) of a text with the word hashes ``own``."""
+    found = np.sort(run_hashes(own, words).view(np.int64))
+    return found[np.diff(found, prepend=~found[:1]) != 0]
+
+
+def _lists(items: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, items)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(items) if items else np.empty(0, dtype=np.int64)))
 
 
 def shingle_counts(hashes: np.ndarray) -> np.ndarray:
@@ -288,7 +328,7 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in text_bytes(batch.column("t")):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text, words), pa.int64())], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(word_hashes(text), words), pa.int64())], ["s"])
 
     some = rows.where(F.pmod(F.xxhash64("text_key"), F.lit(max(rows.count(), 1))) < SAMPLED)
     found = some.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
@@ -298,19 +338,29 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return known[order], counts[order]
 
 
-def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def sieve(known: np.ndarray) -> np.ndarray:
+    """Which leading 22 bits the hashes have."""
+    out = np.zeros(1 << 22, dtype=bool)
+    out[known.view(np.uint64) >> np.uint64(42)] = True
+    return out
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray], leads: np.ndarray) -> np.ndarray:
     """The rarest of the sorted ``hashes`` of a text: any text alike to it has one of them among its own.
 
     Of ``n`` shingles at least ``similarity * n`` are shared, so two alike texts
-    cannot differ in all of the first ``n - ceil(similarity * n) + 1`` of one order.
+    cannot differ in all of the first ``n - ceil(similarity * n) + 1`` of one order. ``leads`` is the ``sieve`` of the common ones.
     """
     known, counts = common
     wide = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
     if not len(known):
         return hashes[:wide]
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    often = np.where(known[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, often))[:wide]]
+    often = np.zeros(len(hashes), dtype=np.uint16)
+    maybe = np.flatnonzero(leads[hashes.view(np.uint64) >> np.uint64(42)])
+    at = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
+    often[maybe] = np.where(known[at] == hashes[maybe], np.minimum(counts[at], 0xFFFF), 0)
+    rare = np.flatnonzero(often == 0)
+    return hashes[rare[:wide] if len(rare) >= wide else np.argsort(often, kind="stable")[:wide]]
 
 
 def linked_texts(prints: DataFrame) -> DataFrame:
@@ -359,22 +409,26 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads = sieve(common[0])
         for batch in batches:
-            sizes, firsts, fps = [], [], []
-            for text in text_bytes(batch.column("t")):
-                hashes = shingle_hashes(text, words)
-                sizes.append(len(hashes))
-                firsts.append(prefix(hashes, similarity, common).copy())
-                fps.append(fingerprint(text))
-            own = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "text_key", "size", "fp", "firsts"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sizes, firsts, fps = [], [], []
+                for text in text_bytes(part.column("t")):
+                    own = word_hashes(text)
+                    hashes = shingle_hashes(own, words)
+                    sizes.append(len(hashes))
+                    firsts.append(prefix(hashes, similarity, common, leads))
+                    fps.append(majority(run_hashes(own, WORDS)) if len(own) else 0)
+                columns = [part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, _lists(firsts)], ["doc_id", "text_key", "size", "fp", "firsts"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_hashes(t, words) for t in text_bytes(part.column("t"))]
-                own = [part.column("no"), pa.array(sets, pa.list_(pa.int64())), pa.array([shingle_counts(s).tobytes() for s in sets], pa.binary())]
+                sets = [shingle_hashes(word_hashes(t), words) for t in text_bytes(part.column("t"))]
+                own = [part.column("no"), _lists(sets), pa.array([shingle_counts(s).tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(own, ["no", "set", "counts"])
 
     text = text_of(text_col)
@@ -385,19 +439,21 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     # Rows that repeat an id and a text stand for one another.
     alike_rows = made.groupBy("doc_id", "text_key").agg(F.min("no").alias("no"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     prints = saved(alike_rows, "prints")
-    lone = made if prints.where("n > 1").isEmpty() else made.join(prints.select("no"), "no", "left_semi")
+    repeats = not prints.where("n > 1").isEmpty()
+    lone = made.join(prints.select("no"), "no", "left_semi") if repeats else made
     # ``rest``: the shingles of a text from this one on, which is what it can share with a text that it shares none before with.
     posted = lone.select(F.posexplode("firsts").alias("_at", "key"), "no", "size").select("key", "no", "size", (F.col("size") - F.col("_at")).alias("rest"))
     # Most shingles stand in one text: a bitmap of the others keeps those where they are.
     shared = saved(posted.groupBy("key").agg((F.min("no") < F.max("no")).alias("_both")).where("_both").select("key"), "shared")
     met_keys = shared.withColumnRenamed("key", "_key")
-    marked = with_mark(posted, F.col("key"), met_keys, F.col("_key")).where("_hit").drop("_hit")
+    bits = min(max(MARK_BITS, 1 << (BITS_A_KEY * shared.count()).bit_length()), MOST_BITS)
+    marked = with_mark(posted, F.col("key"), met_keys, F.col("_key"), bits).where("_hit").drop("_hit")
     left = saved(marked.join(shared, "key"), "postings")
     discard(made, shared)
 
     members = saved(left.select("no").distinct().join(prints.select("no", "doc_id", "text_key"), "no"), "members")
-    near = with_mark(rows, F.col("text_key"), members, F.col("text_key")).where("_hit").dropDuplicates(["doc_id", "text_key"])
-    near = near.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "t")
+    near = with_mark(rows, F.col("text_key"), members, F.col("text_key")).where("_hit")
+    near = (near.dropDuplicates(["doc_id", "text_key"]) if repeats else near).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "t")
     texts = members.join(near, members["doc_id"].eqNullSafe(near["_d"]) & (members["text_key"] == near["_k"]))
     sets = saved(texts.select("no", "t").mapInArrow(cut, "no long, set array<long>, counts binary"), "sets")
     discard(members)
@@ -430,23 +486,37 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     kin = None if links.isEmpty() else joined_groups(None, links)
     heads_each, spent = FIRST_HEADS, [tried, links]
     enough = lambda *sizes: F.lit(float(similarity / (1.0 + similarity))) * sum(sizes[1:], sizes[0]) - 1e-6
-    while not left.isEmpty():
+    count = held = most = left.count()
+    while count:
         placed = left.withColumn("kin", F.col("no")) if kin is None else left.join(kin, "no", "left").withColumn("kin", F.coalesce("kin", "no"))
         # A text whose rest is too short for the smallest text at a shingle has met those alike to it at an earlier one.
-        smallest = placed.groupBy("key").agg(F.min("size").alias("_least"))
-        placed = placed.join(smallest, "key").where(F.col("rest") >= enough(F.col("size"), F.col("_least"))).drop("_least")
-        # One head of each group at a shingle, a few groups at first, then more; the same groups at all shingles, and
-        # the texts with most in reach first: most texts alike to any of a crowd are alike to those.
-        far = F.struct((-F.col("rest")).alias("r"), F.col("no").alias("n"))
-        heads = placed.groupBy("key", "kin").agg(F.min_by(F.struct("no", "size", "rest"), far).alias("h"), F.min(far).alias("far"))
-        kinds = heads.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min_by("kin", "far").alias("best")).where("kinds > 1")
-        place = F.pmod(F.xxhash64("kin", F.lit(len(spent))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        chosen = (F.col("kin") == F.col("best")) | (place * F.col("kinds") < heads_each - 1)
-        of_head = [F.col(f"h.{c}").alias(f"h{c}") for c in ("no", "size", "rest")]
-        heads = saved(heads.join(kinds, "key").where(chosen).select("key", F.col("kin").alias("hkin"), *of_head), "heads")
-        placed = placed.join(kinds.select("key"), "key")
+        of_key = placed.groupBy("key").agg(F.min("size").alias("_least"), F.min("kin").alias("_k0"), F.max("kin").alias("_k1")).where("_k0 < _k1")
+        placed = placed.join(of_key, "key").where(F.col("rest") >= enough(F.col("size"), F.col("_least")))
+        placed = saved(placed.select("key", "no", "size", "rest", "kin"), "placed")
+        discard(left)
+        pairs_left = placed.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+        if pairs_left <= most // POSTINGS_A_PAIR:
+            # So few that all are held against one another at once, however many of a group there are.
+            heads = placed
+            found = placed.select("key", *[F.col(c).alias(f"h{c}") for c in ("kin", "no", "size", "rest")])
+        else:
+            # One head of each group at a shingle, a few groups at first, then more; the same groups at all shingles, and
+            # the texts with most in reach first: most texts alike to any of a crowd are alike to those.
+            far = F.min(F.struct((-F.col("rest")).alias("r"), "no", "size")).alias("far")
+            groups = placed.groupBy("key", "kin").agg(far, F.count(F.lit(1)).alias("members"))
+            kinds = groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("far", "kin"))["kin"].alias("best")).where("kinds > 1")
+            place = lambda c: F.pmod(F.xxhash64(c, F.lit(len(spent))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+            groups = groups.join(kinds, "key").where((F.col("kin") == F.col("best")) | (place("kin") * F.col("kinds") < heads_each - 1))
+            if heads_each == FIRST_HEADS:
+                heads = groups.select("key", F.col("kin").alias("hkin"), F.col("far.no").alias("hno"), F.col("far.size").alias("hsize"), (-F.col("far.r")).alias("hrest"))
+            else:
+                # Heads left over where groups are few go to more of their members.
+                each = place("no") * F.col("members") < F.floor(F.lit(heads_each) / F.col("kinds")) - 1
+                heads = placed.join(groups, ["key", "kin"]).where((F.col("no") == F.col("far.no")) | each)
+                heads = heads.select("key", *[F.col(c).alias(f"h{c}") for c in ("kin", "no", "size", "rest")])
+            found = heads = saved(heads, "heads")
         wide = F.least("rest", "hrest") >= enough(F.col("size"), F.col("hsize"))
-        met = placed.join(heads, "key").where((F.col("kin") != F.col("hkin")) & wide)
+        met = placed.join(found, "key").where((F.col("kin") != F.col("hkin")) & wide)
         first = F.col("no") < F.col("hno")
         sizes = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("size", "hsize", "size_u"), ("hsize", "size", "size_v"))]
         met = met.select(F.least("no", "hno").alias("u"), F.greatest("no", "hno").alias("v"), *sizes).distinct()
@@ -454,16 +524,24 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, simi
         more = verified(met)
         tried = tried.unionByName(met.select(*tried.columns))
         spent += [met, more]
-        after = saved(placed.join(heads.select("key", F.col("hno").alias("no")), ["key", "no"], "left_anti").select("key", "no", "size", "rest"), "postings")
-        discard(left, heads)
-        left = after
+        last = heads is placed
+        if not last:
+            left = saved(placed.join(heads.select("key", F.col("hno").alias("no")), ["key", "no"], "left_anti").select("key", "no", "size", "rest"), "postings")
+            discard(heads)
+        discard(placed)
         if not more.isEmpty():
             before = kin
             kin = joined_groups(before, more)
             if before is not None:
                 discard(before)
         release(docs.sparkSession)
-        heads_each = min(8 * heads_each, HEADS)
+        count = 0 if last else left.count()
+        heads_each = min(8 * heads_each, max(HEADS, most // POSTINGS_A_PAIR // max(count, 1)))
+        if 0 < count * 8 < held:
+            # Later rounds read the shingles of the texts left only.
+            held, wide_sets = count, sets
+            sets = saved(with_mark(sets, F.col("no"), left.select(F.col("no").alias("_no")), F.col("_no")).where("_hit").drop("_hit"), "sets")
+            discard(wide_sets)
     if kin is None:
         kin = prints.where("false").select("no", F.col("no").alias("kin"))
     # Texts in order: by id (null last), then by text.

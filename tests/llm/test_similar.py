@@ -180,3 +180,41 @@ def test_groups_joined_in_steps_equal_all_links_at_once(spark):
         for u, v in links * 12:
             want[u] = want[v] = min(want[u], want[v])
         assert {r["no"]: r["kin"] for r in kin.collect()} == want
+
+
+def test_hashes_of_runs_of_words():
+    """Shingles are told apart by their words in order, and fingerprint bits are those of the majority."""
+    rng = random.Random(10)
+    texts = ["", " ", "a", "a b", "b a", "a b c d", "a b c d e", "b a c d e", "A b  c\td e", "ab c d e f"]
+    texts += [" ".join(f"w{rng.randrange(30)}" for _ in range(n)) for n in (5, 60, 4000)]
+    for words in (3, 5):
+        runs = [[tuple(p[i : i + words]) for i in range(max(1, len(p) - words + 1))] for p in (t.lower().split() for t in texts)]
+        hashes = [simhash.run_hashes(simhash.word_hashes(t.encode()), words).tolist() for t in texts]
+        named = {h: r for run, own in zip(runs, hashes) for r, h in zip(run, own, strict=True)}
+        assert len(named) == len({r for run in runs for r in run})
+        assert all([named[h] for h in own] == run for run, own in zip(runs, hashes))
+    for t in texts:
+        own = simhash.word_hashes(t.encode())
+        assert simhash.shingle_hashes(own, 5).tolist() == sorted(set(simhash.run_hashes(own, 5).view(np.int64).tolist()))
+        found = simhash.run_hashes(own, 3)
+        bits = [2 * sum(h >> i & 1 for h in found.tolist()) > len(found) for i in range(64)]
+        assert simhash.majority(found) & (2**64 - 1) == sum(1 << i for i, b in enumerate(bits) if b)
+
+
+def test_rounds_do_not_grow_with_groups(spark, monkeypatch):
+    """Groups of many members at the same shingles took a round for each member; few pairs are left after some, and are held at once."""
+    rng, rounds, real = random.Random(11), [], simhash.saved
+
+    def spy(df, label):
+        rounds.extend([label] if label == "pairs" else [])
+        return real(df, label)
+
+    monkeypatch.setattr(simhash, "saved", spy)
+    lines, texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(12)) for _ in range(8)], {}
+    for i in range(10):
+        own = " ".join(rng.sample(lines, 5))
+        texts |= {i * 100 + k: f"{own} {' '.join(['x', 'y'][: k % 3])} z{k}" for k in range(14)}
+    want = plain_stays(texts)
+    assert len(want) < 20
+    assert stays(spark, texts) == want
+    assert len(rounds) <= 5
